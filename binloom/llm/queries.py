@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from binloom.llm.decontaminate import op5_suffix_array_decontamination
+from binloom.llm.html_mincut import op1_mincut_html
+from binloom.llm.merkle import op7_merkle_fingerprints
 from binloom.llm.mixing import op4_curriculum_mixing
+from binloom.llm.quality import op6_bradley_terry_quality
 from binloom.llm.sharding import op3_rendezvous_sharding
 from binloom.llm.simhash import op9_simhash_trie
+from binloom.llm.substrings import op10_suffix_array_dedup
+from binloom.llm.token_counts import op8_longest_match_counts
+from binloom.llm.toxicity import op2_nb_ngram_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_rendezvous_sharding, op4_curriculum_mixing, op9_simhash_trie)}
+_ALL = (
+    op1_mincut_html, op2_nb_ngram_toxicity, op3_rendezvous_sharding, op4_curriculum_mixing, op5_suffix_array_decontamination,
+    op6_bradley_terry_quality, op7_merkle_fingerprints, op8_longest_match_counts, op9_simhash_trie, op10_suffix_array_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
+#: Sizes are word counts and targets a water level over sources; the order in which a source's documents are taken is a
+#: hash that SQL has no equal of, so op4 is given no SQL, like the other nine; tests hold all ten against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -9,7 +9,7 @@ numbered inside a cell, and a cell starts where the cells before it end, so no t
 
 Defined results: a null key is a key like any other (its rows meet in one shard); a null text has size `overhead` and
 crc32 0; empty text likewise; repeated rows and equal keys share a shard and get slots of their own; an empty table gives
-an empty result; further columns of the input are ignored by `shard_records` unless asked for by `keep`.
+an empty result; `shard_records` ignores further columns, `shard_documents` keeps them all.
 """
 
 from __future__ import annotations
@@ -66,6 +66,14 @@ def shard_records(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_
     return number_slots(out, "shard", [F.col(id_col).asc_nulls_first(), F.col("text_crc32"), F.col("size")], F.col(id_col), "slot", cells)
 
 
+def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+    """All columns of docs with `shard` and `slot`."""
+    if {"shard", "slot"} & set(docs.columns):
+        raise ValueError("docs has a column shard or slot already")
+    out = docs.withColumn("shard", rendezvous(F.col(id_col), weights).cast("int"))
+    return number_slots(out, "shard", [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)], F.col(id_col), "slot", cells)
+
+
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23 by doc_id; grown_shard is the shard of 25."""
     out = shard_records(table(spark, sf_dir, "documents"), [1.0] * 24, grown=[1.0] * 25)
