@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import Roller, buffers, durable, groups_of, mix64, spread, table, utf8
+from binloom.llm.common import Roller, buffers, durable_table, groups_of, mix64, table, utf8
 
 WIDTH, GRAM, GRID = 200, 32, 24
 #: Bytes that one step of the anchor scan handles; a longer text is scanned in overlapping pieces.
@@ -293,7 +293,7 @@ def search_buckets(suffixes: DataFrame, buckets: int, width: int, grid: int) ->
             # n: places in this bucket; 1 is the place itself, open if it is the run's only one.
             yield from out(r, low, low, h1, h2, np.where(once[r] | (n > 1), n, 2))
 
-    found = durable(suffixes.repartitionByRange(buckets, "suffix", "left", "doc_id", "start").mapInArrow(kernel, _HIT))
+    found = durable_table(suffixes.repartitionByRange(buckets, "suffix", "left", "doc_id", "start").mapInArrow(kernel, _HIT))
     inside = found.where("n = 0").select("doc_id", "tie", "low", "high")
     alone = F.when(F.col("n") == 1, F.struct("doc_id", "tie", "low", "high"))
     across = found.where("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.collect_list(alone).alias("places"))  # a place a bucket
@@ -302,25 +302,28 @@ def search_buckets(suffixes: DataFrame, buckets: int, width: int, grid: int) ->
 
 def repeated_places(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, grid: int = GRID, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, tie, low, high): windows starting at bytes low to high are repeated. docs: (doc_id, tie, text binary)."""
-    rows = durable(anchors(docs.where(F.octet_length("text") >= width), width, gram))
-    runs = rows.where("n > 0").groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "tie", "low", "high")).alias("at"))
-    many = rows.where("n > 0").groupBy("anchor").agg(F.min("run").alias("r1"), F.max("run").alias("r2"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    mixed = many.where("r1 <> r2").select("anchor")
-    twice = runs.where("n > 1").select("anchor", "run")
-    settled = rows.where("n = 0").select("doc_id", "tie", "low", "high")
-    settled = settled.unionByName(rows.where("n = 1").join(twice, ["anchor", "run"], "left_semi").select("doc_id", "tie", "low", "high"))
-    open_runs = runs.join(mixed, "anchor", "left_semi").select("at.*", (F.col("n") == 1).alias("once"))
+    rows = durable_table(anchors(docs.where(F.octet_length("text") >= width), width, gram))
+    places = rows.where("n > 0")
+    mixed = places.groupBy("anchor").agg((F.min("run") != F.max("run")).alias("mixed"), F.sum("n").alias("all"))
+    mixed = mixed.where("all > 1 and mixed").select("anchor", F.lit(True).alias("mixed"))
+    runs = places.groupBy("anchor", "run").agg(F.sum("n").alias("total")).join(mixed, "anchor", "left")
+    runs = runs.where("total > 1 or mixed").withColumnsRenamed({"anchor": "a2", "run": "r2"})
+    known = durable_table(places.join(runs, (F.col("anchor") == F.col("a2")) & (F.col("run") == F.col("r2"))).drop("a2", "r2"))
+    place = ["doc_id", "tie", "low", "high"]
+    settled = rows.where("n = 0").select(*place).unionByName(known.where("n = 1 and total > 1").select(*place))
+    open_runs = known.where("mixed").groupBy("anchor", "run").agg(F.min(F.struct(*place)).alias("at"), F.first("total").alias("total"))
+    open_runs = open_runs.select("at.*", (F.col("total") == 1).alias("once"))
     per_doc = open_runs.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("low", "high", "once")).alias("open"))
     with_open = docs.join(per_doc.withColumnsRenamed({"doc_id": "d2", "tie": "t2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tie") == F.col("t2")))
-    suffixes = durable(open_suffixes(with_open.select("doc_id", "tie", "text", "open"), width, gram, grid))
+    suffixes = durable_table(open_suffixes(with_open.select("doc_id", "tie", "text", "open"), width, gram, grid))
     buckets = max(1, min(suffixes.count() // bucket_rows + 1, 100_000))
     return settled.unionByName(search_buckets(suffixes, buckets, width, grid))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, text): the tie tells apart rows of one id; equal rows have equal places and results."""
+    """(doc_id, tie, text): the tie (a crc32) tells apart rows of one id; equal rows have equal places and results."""
     text = utf8("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("tie"), text.alias("text"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, grid: int = GRID, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
