@@ -1 +1,82 @@
+"""Column functions: names, k-mers, vectors and scores, all of built-in expressions."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def contig_name(name: Column) -> Column:
+    """Trimmed, up to the first space, at most two `_` parts."""
+    return F.substring_index(F.substring_index(F.trim(name), " ", 1), "_", 2)
+
+
+def species_of_read(read: Column) -> Column:
+    return F.substring_index(read, "_reads", 1)
+
+
+def kmers(seq: Column, k: int = 4) -> Column:
+    """Every window of k letters that are all upper-case A, C, G or T."""
+    at = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - (k - 1)))
+    return F.filter(F.transform(at, lambda i: F.substr(seq, i, F.lit(k))), lambda x: F.rlike(x, F.lit(f"^[ACGT]{{{k}}}$")))
+
+
+def reverse_complement(seq: Column) -> Column:
+    return F.translate(F.reverse(seq), "ACGT", "TGCA")
+
+
+def canonical(kmer: Column) -> Column:
+    return F.least(kmer, reverse_complement(kmer))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+
+
+def medoid_normalise(a: Column) -> Column:
+    """Divided by norm times sqrt 2; a row whose sum is zero counts as 1/d everywhere."""
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    filled = F.when(total == 0, F.transform(a, lambda _: F.lit(1.0) / F.size(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return F.transform(filled, lambda x: x / (norm(filled) * F.sqrt(F.lit(2.0))))
+
+
+def medoid_distance(a: Column, b: Column) -> Column:
+    """Half of one minus the cosine, of rows normalised by `medoid_normalise`."""
+    return F.lit(0.5) - dot(a, b)
+
+
+def f1(precision: Column, recall: Column) -> Column:
+    return F.when(precision * recall == 0, F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+
+
+def choose2(n: Column) -> Column:
+    return n * (n - 1) / 2
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def leaky_relu(x: Column, slope: float = 0.2) -> Column:
+    return F.when(x >= 0, x).otherwise(x * slope)
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def is_hq(comp: Column, cont: Column, strict: bool = False) -> Column:
+    """High quality: completeness 90 and more, contamination under 5."""
+    return ((comp > 90) if strict else (comp >= 90)) & (cont < 5)
+
+
+def is_mq(comp: Column, cont: Column, strict: bool = False) -> Column:
+    return ((comp > 50) if strict else (comp >= 50)) & (cont < 10)
