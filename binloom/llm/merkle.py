@@ -127,7 +127,7 @@ def by_ranges(docs: DataFrame, ranges: int, accuracy: int = 10_000) -> DataFrame
     part = F.lit(len(cuts))
     if cuts:
         at = F.array(*[F.lit(c).cast("long") for c in cuts])
-        part = F.size(F.filter(at, lambda c: c >= F.col("doc_id"))) if len(cuts) <= 64 else F.lit(len(cuts)) - _rank(at, F.col("doc_id"), len(cuts))
+        part = F.lit(len(cuts)) - _rank(at, F.col("doc_id"), len(cuts))
         part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(part)
     parted = keyed.withColumn("part", part.cast("int"))
     # The first row of a range has its largest id and, among ties, the least (tie, len).
@@ -150,14 +150,10 @@ def by_ranges(docs: DataFrame, ranges: int, accuracy: int = 10_000) -> DataFrame
 
 
 def _rank(cuts, value, n: int):
-    """How many of the ascending cuts are less than the value, by binary search in a few steps."""
-    low = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        ahead = low + step
-        low = F.when((ahead <= n) & (F.element_at(cuts, F.least(ahead, F.lit(n))) < value), ahead).otherwise(low)
-        step >>= 1
-    return low
+    """How many of the ascending cuts are less than the value, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    ahead = lambda low, step: F.when((low + step <= n) & (F.element_at(cuts, F.least(low + step, F.lit(n))) < value), low + step).otherwise(low)
+    return F.aggregate(steps, F.lit(0), ahead)
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
