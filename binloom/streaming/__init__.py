@@ -1 +1 @@
-
+"""Empty: the operators built so far are batch plans, as no input here has a time column."""
