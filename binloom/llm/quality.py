@@ -103,7 +103,7 @@ class QualityModel:
         if self.cuts is None:
             return np.ones(len(x))
         shift = np.log(self.at_threshold / (1 - self.at_threshold))
-        return sigmoid(self.steps(x) @ self.weights - self.threshold + shift)
+        return sigmoid((self.steps(x) * self.weights).sum(axis=1) - self.threshold + shift)  # row by row: equal texts, equal scores
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, pairs: int = PAIRS, at_threshold: float = AT_THRESHOLD) -> QualityModel:
@@ -132,7 +132,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     delta = (z[gap[:, 0]] - z[gap[:, 1]]).astype(np.float32)
     # Every pair has a winner on the left: the loss is ln(1 + exp(-w . difference)).
     model.weights = fit_logistic(delta, np.ones(len(delta)), L2, kinds.astype(float), bias=False)
-    worth = z @ model.weights
+    worth = (z * model.weights).sum(axis=1)
     model.threshold = float(np.quantile(worth, len(bad) / len(y)))
     return model
 
