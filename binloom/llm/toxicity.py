@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,13 +114,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
         for batch in batches:
             for a, n, row, feature, tf in _features(batch.column(0), orders, sent.value, roll):
                 cuts = np.searchsorted(row, np.arange(1, n))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n), pa.array(np.split(feature.astype(np.int32), cuts), pa.list_(pa.int32())), pa.array(np.split(tf.astype(np.int32), cuts), pa.list_(pa.int32()))], ["y", "f", "tf"])
-
-    rows_ = train.mapInArrow(kernel, "y int, f array<int>, tf array<int>").collect()
-    rows_.sort(key=lambda r: (r["y"], r["f"], r["tf"]))  # the fit does not depend on the order of arrival
-    x, y = np.zeros((len(rows_), len(best)), np.float32), np.array([r["y"] for r in rows_], float)
-    for k, r in enumerate(rows_):
-        x[k, r["f"]] = ratio[r["f"]] * (1 + np.log(r["tf"]))
+                order = [xxhash.xxh3_64_intdigest(t.encode()) >> 1 for t in _texts(batch.column(0).slice(a, n))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n), pa.array(order, pa.int64()), pa.array(np.split(feature.astype(np.int32), cuts), pa.list_(pa.int32())), pa.array(np.split(tf.astype(np.int32), cuts), pa.list_(pa.int32()))], ["y", "order", "f", "tf"])
+
+    got = train.mapInArrow(kernel, "y int, order long, f array<int>, tf array<int>").toArrow().combine_chunks()  # bounded by `rows`
+    got = got.sort_by([("y", "ascending"), ("order", "ascending")])  # the fit does not depend on the order of arrival
+    x, y = np.zeros((got.num_rows, len(best)), np.float32), got["y"].to_numpy().astype(float)
+    row = np.repeat(np.arange(got.num_rows), pc.list_value_length(got["f"]).to_numpy())
+    feature, tf = (pc.list_flatten(got[c]).to_numpy() for c in ("f", "tf"))
+    x[row, feature] = ratio[feature] * (1 + np.log(tf))
+    del got, row, feature, tf
     w = fit_logistic(x, y, L2)
     return ToxicityModel(orders, index, w[:-1] * ratio, float(w[-1]))
 
