@@ -54,12 +54,19 @@ def pair_distances(df: DataFrame, key: str, vector: str, blocks: int = 8) -> Dat
     return a.join(b, ["x", "y"]).where("i < j").select("i", "j", G.medoid_distance(F.col("vi"), F.col("vj")).alias("distance"))
 
 
-def top_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(i, j, score, rank): the k largest dot products of each row, itself included; ties to the lower key."""
-    a, b = df.select(F.col(key).alias("i"), F.col(vector).alias("vi")), df.select(F.col(key).alias("j"), F.col(vector).alias("vj"))
-    scored = a.crossJoin(b).select("i", "j", G.dot(F.col("vi"), F.col("vj")).alias("score"))  # the reference's all-pairs operator
-    w = Window.partitionBy("i").orderBy(F.round("score", 6).desc(), "j")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def top_neighbours(df: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
+    """(i, j, score, rank): the k largest dot products of each row, itself included; ties to the lower key.
+
+    Rows meet in pairs of blocks; each pair of blocks keeps its k best a row, and the best of those are the result.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = rows.select(F.col("k").alias("i"), F.col("v").alias("vi"), F.col("block").alias("x"), others.alias("y"))
+    b = rows.select(F.col("k").alias("j"), F.col("v").alias("vj"), F.col("block").alias("y"), others.alias("x"))
+    scored = a.join(b, ["x", "y"]).select("i", "y", "j", G.dot(F.col("vi"), F.col("vj")).alias("score"))
+    best = [F.round("score", 6).desc(), "j"]
+    part = scored.withColumn("r", F.row_number().over(Window.partitionBy("i", "y").orderBy(*best))).where(F.col("r") <= k)
+    return part.select("i", "j", "score", F.row_number().over(Window.partitionBy("i").orderBy(*best)).alias("rank")).where(F.col("rank") <= k)
 
 
 def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int) -> DataFrame:

@@ -116,20 +116,21 @@ def attention(edges: DataFrame, scores: DataFrame, node: str, left: str, right:
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the least node reachable, by label passing with a jump to the label's label in each round."""
+    """(node, component): the least node reachable, by label passing with a jump to the label's label in each round.
+
+    Nodes are of any type that orders. Stops when no label changes; raises if that takes more than `rounds`.
+    """
     both = both_directions(edges.select("src", "dst")).distinct()
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    before = None
     for _ in range(rounds):
         near = both.join(labels.withColumnsRenamed({"node": "dst"}), "dst").groupBy("src").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("src", "node"), "node").select("node", F.least("component", "m").alias("component"))
+        step = labels.join(near.withColumnRenamed("src", "node"), "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = _cut(step.join(jump, "component").select("node", F.col("next").alias("component")))
-        state = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if state == before:
-            break
-        before = state
-    return labels
+        done = _cut(step.join(jump, "component").select("node", F.col("next").alias("component"), (F.col("next") != F.col("old")).alias("changed")))
+        labels = done.select("node", "component")
+        if done.where("changed").isEmpty():
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -138,14 +139,20 @@ def _cut(df: DataFrame) -> DataFrame:
     return durable(df)
 
 
-def negative_edges(edges: DataFrame, nodes: DataFrame, node: str, per_edge: int, seed: int) -> DataFrame:
-    """(src, dst): for each edge, `per_edge` ends drawn evenly among the nodes, by hash, so that reruns agree."""
-    ranked = nodes.select(F.col(node).alias("dst"), F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(1 << 20)).alias("slot"))
-    width = ranked.count()
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy("slot", "dst")) - 1).select("dst", "rank")
-    drawn = edges.select("src", F.col("dst").alias("old"), F.explode(F.sequence(F.lit(1), F.lit(per_edge))).alias("k"))
-    drawn = drawn.withColumn("rank", F.pmod(F.xxhash64("src", "old", "k", F.lit(seed)), F.lit(max(width, 1))).cast("int"))
-    return drawn.join(ranked, "rank").select("src", "dst", "k")
+def negative_edges(edges: DataFrame, nodes: DataFrame, node: str, per_edge: int, seed: int, groups: int = 1024) -> DataFrame:
+    """(src, dst, k): for each edge, `per_edge` ends drawn evenly among the nodes, by hash, so that reruns agree.
+
+    Nodes are numbered within hash groups, each after the groups before it: only the groups' sizes are sorted in one task.
+    """
+    hashed = nodes.select(F.col(node).alias("dst"), F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(groups)).cast("int").alias("slot"))
+    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("slot").orderBy("dst")) - 1
+    ranked = hashed.withColumn("inside", inside).join(F.broadcast(starts), "slot").select("dst", (F.col("start") + F.col("inside")).alias("rank"))  # a row a group
+    width = sizes.agg(F.sum("n").alias("width"))
+    drawn = edges.select("src", F.col("dst").alias("old"), F.explode(F.sequence(F.lit(1), F.lit(per_edge))).alias("k")).crossJoin(F.broadcast(width))  # a single row
+    return drawn.withColumn("rank", F.pmod(F.xxhash64("src", "old", "k", F.lit(seed)), F.col("width"))).join(ranked, "rank").select("src", "dst", "k")
 
 
 def sample_neighbours(edges: DataFrame, fan_out: int, seed: int) -> DataFrame:
@@ -153,3 +160,58 @@ def sample_neighbours(edges: DataFrame, fan_out: int, seed: int) -> DataFrame:
     u = (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     w = Window.partitionBy("src").orderBy(-F.ln(u) / F.col("weight"), "dst")
     return edges.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= fan_out).drop("__k")
+
+
+def undirected_edges(links: DataFrame, contigs: DataFrame, min_length: int = 1000, root: str | None = None) -> DataFrame:
+    """(src, dst) by name, each pair once, the lower name first; with a root, also (root, name) of every contig kept."""
+    ok = contigs.where(F.col("length") >= min_length).select("name")
+    kept = links.join(ok.withColumnRenamed("name", "src"), "src", "left_semi").join(ok.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    out = kept.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return out if root is None else out.unionByName(ok.distinct().select(F.lit(root).alias("src"), F.col("name").alias("dst")))
+
+
+def edges_over(edges: DataFrame, least: float) -> DataFrame:
+    """Edges of weight `least` and more; a negative bound stands for the mean weight."""
+    if least >= 0:
+        return edges.where(F.col("weight") >= least)
+    return edges.crossJoin(F.broadcast(edges.agg(F.avg("weight").alias("__mean")))).where("weight >= __mean").drop("__mean")  # a single row
+
+
+def without_nodes(edges: DataFrame, gone: DataFrame, node: str) -> DataFrame:
+    """Edges with neither end among the nodes that go."""
+    ends = gone.select(F.col(node).alias("src")).distinct()
+    return edges.join(ends, "src", "left_anti").join(ends.withColumnRenamed("src", "dst"), "dst", "left_anti").select(*edges.columns)
+
+
+def linked_and_marked(nodes: DataFrame, edges: DataFrame, markers: DataFrame, key: str) -> DataFrame:
+    """Nodes that have another node as neighbour and at least one marker."""
+    return connected_only(nodes, edges.where("src <> dst"), key).join(markers.select(key), key, "left_semi")
+
+
+def replace_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """The new edges, and those old ones whose source has none among the new."""
+    return edges.join(new.select("src"), "src", "left_anti").select(*edges.columns).unionByName(new.select(*edges.columns))
+
+
+def edge_similarity(edges: DataFrame, cosines: DataFrame, shared: DataFrame, over: float = 2, cap: int = 150) -> DataFrame:
+    """(src, dst, weight, cosine, shares): a row for each undirected edge of weight above `over`, weights up to the cap.
+
+    cosines holds (src, dst, cosine), shared the edges whose ends share a marker.
+    """
+    e = edges.where((F.col("src") < F.col("dst")) & (F.col("weight") > over)).select("src", "dst", F.least(F.col("weight"), F.lit(cap)).alias("weight"))
+    flag = shared.select("src", "dst").distinct().withColumn("shares", F.lit(True))
+    return e.join(cosines.select("src", "dst", "cosine"), ["src", "dst"]).join(flag, ["src", "dst"], "left").withColumn("shares", F.coalesce("shares", F.lit(False)))
+
+
+def density(edges: DataFrame) -> DataFrame:
+    """One row (nodes, edges, density) of the undirected graph without self loops; nodes are the ends of edges."""
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    n = pairs.select(F.explode(F.array("a", "b")).alias("node")).agg(F.countDistinct("node").alias("nodes"))
+    out = n.crossJoin(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("edges"))))  # single rows
+    return out.withColumn("density", 2 * F.col("edges") / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0)))
+
+
+def component_labels(members: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """(component, nodes, labels): sizes of components and the number of different labels in each; more than 1 is mixed."""
+    known = members.join(labels.select(F.col(node).alias("node"), label), "node", "left")
+    return known.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct(label).alias("labels"))

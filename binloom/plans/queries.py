@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, graph, metrics, stats
+from binloom.operators import cluster, features, graph, metrics, models, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,12 +164,12 @@ def must_differ_pairs(t: Tables) -> DataFrame:
 
 
 # The graph of parts that share an order.
-EDGE = "o as (select distinct l_orderkey k, l_partkey n from lineitem where l_quantity>=30), e as (select a.n src, b.n dst, count(*) weight from o a join o b on a.k=b.k and a.n<>b.n group by all)"
+EDGE = "o as (select distinct l_orderkey k, l_partkey n from lineitem), e as (select a.n src, b.n dst, count(*) weight from o a join o b on a.k=b.k and a.n<>b.n group by all)"
 NORM = EDGE + ", a as (select src, dst, weight::double w from e union all select distinct src, src, 1.0 from e), d as (select src, sum(w) d from a group by src), na as (select a.src, a.dst, a.w/sqrt(x.d*y.d) norm from a join d x on a.src=x.src join d y on a.dst=y.src)"
 
 
 def _edges(t: Tables) -> DataFrame:
-    return graph.shared_member_edges(t.lineitem.where("l_quantity>=30").select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), "n", "k")
+    return graph.shared_member_edges(t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), "n", "k")
 
 
 @query("with " + EDGE + " select * from e")
@@ -188,10 +188,10 @@ def edges_cleaned(t: Tables) -> DataFrame:
     return graph.remove_edges(e, graph.same_marker_edges(e, t.lineitem.where("l_returnflag='R'"), "l_partkey", "l_suppkey"))
 
 
-@query("with s as (select distinct l_orderkey contig, l_partkey segment from lineitem where l_shipdate >= timestamp '1995-03-01' and l_shipdate < timestamp '1995-04-01'), l as (select p_partkey a, p_partkey+1 b from part where p_size=1), u as (select a,b from l union select b,a from l) select src, dst, count(*) n from (select x.contig src, y.contig dst from s x join s y on x.segment=y.segment and x.contig<>y.contig union all select x.contig, y.contig from s x join u on x.segment=u.a join s y on y.segment=u.b) group by all")
+@query("with s as (select distinct l_partkey contig, l_orderkey segment from lineitem), l as (select o_orderkey a, o_orderkey+1 b from orders where o_orderpriority='1-URGENT'), u as (select a,b from l union select b,a from l) select src, dst, count(*) n from (select x.contig src, y.contig dst from s x join s y on x.segment=y.segment and x.contig<>y.contig union all select x.contig, y.contig from s x join u on x.segment=u.a join s y on y.segment=u.b) group by all")
 def contig_segment_graph(t: Tables) -> DataFrame:
-    s = t.lineitem.where("l_shipdate >= timestamp_ntz '1995-03-01' and l_shipdate < timestamp_ntz '1995-04-01'").select(F.col("l_orderkey").alias("contig"), F.col("l_partkey").alias("segment"))
-    links = t.part.where("p_size=1").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
+    s = t.lineitem.select(F.col("l_partkey").alias("contig"), F.col("l_orderkey").alias("segment"))
+    links = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
     return graph.contig_segment_edges(s, links).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -233,10 +233,18 @@ def edge_binarise(t: Tables) -> DataFrame:
     return graph.binarise(_edges(t))
 
 
-@query("with recursive o as (select distinct l_orderkey k, l_partkey n from lineitem where l_quantity>=49), e as (select distinct a.n src, b.n dst from o a join o b on a.k=b.k and a.n<>b.n), r as (select src node, src m from e union select r.node, e.dst from r join e on r.m=e.src) select node, min(m) component from r group by node")
+# Customers and suppliers linked to their nation, nodes of one name space.
+STARS = "e as (select 'c'||c_custkey src, 'n'||c_nationkey dst from customer union all select 's'||s_suppkey, 'n'||s_nationkey from supplier), u as (select src, dst from e union select dst, src from e), r as (select src node, src m from u union select r.node, u.dst from r join u on r.m=u.src), c as (select node, min(m) component from r group by node)"
+
+
+def _components(t: Tables) -> DataFrame:
+    link = lambda df, letter, key, nation: df.select(F.concat(F.lit(letter), key).alias("src"), F.concat(F.lit("n"), nation).alias("dst"))
+    return graph.components(link(t.customer, "c", "c_custkey", "c_nationkey").unionByName(link(t.supplier, "s", "s_suppkey", "s_nationkey")))
+
+
+@query("with recursive " + STARS + " select node, component from c")
 def connected_components(t: Tables) -> DataFrame:
-    pairs = t.lineitem.where("l_quantity>=49").select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k"))
-    return graph.components(graph.shared_member_edges(pairs, "n", "k"))
+    return _components(t)
 
 
 DEPTH = "d as (select l_partkey name, l_returnflag||l_linestatus sample, sum(l_quantity) depth from lineitem group by all)"
@@ -424,3 +432,123 @@ def dbscan_core(t: Tables) -> DataFrame:
     return cluster.dbscan(t.embeddings, "vec_id", "embedding", 0.25, 4).select("vec_id", "neighbours", "core")
 
 
+
+
+# Vectors of parts: size, price and a constant; the pairs that stand for drawn ones are fixed by a rule, so SQL can state them.
+VEC = "v as (select p_partkey n, [p_size::double, p_retailprice/50, 10.0] v from part)"
+DRAWN = "ng as (select a.p_partkey src, b.p_partkey dst from part a join part b on b.p_partkey=(a.p_partkey*7)%100+1)"
+
+
+def _vectors(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("n"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 50, F.lit(10.0)).alias("v"))
+
+
+def _marked(t: Tables) -> DataFrame:
+    return graph.same_marker_edges(_edges(t), t.lineitem.where("l_returnflag='R'"), "l_partkey", "l_suppkey")
+
+
+SIM = EDGE + ", " + VEC + ", m as (select distinct l_partkey n, l_suppkey g from lineitem where l_returnflag='R'), sh as (select distinct e.src, e.dst from e join m x on e.src=x.n join m y on e.dst=y.n and x.g=y.g), si as (select e.src, e.dst, least(e.weight,2) weight, list_cosine_similarity(a.v,b.v) c, sh.src is not null shares from e join v a on e.src=a.n join v b on e.dst=b.n left join sh on sh.src=e.src and sh.dst=e.dst where e.src<e.dst and e.weight>0)"
+
+
+def _similarity(t: Tables) -> DataFrame:
+    e = _edges(t)
+    return graph.edge_similarity(e, models.pair_cosines(e.where("src < dst"), _vectors(t), "n", "v"), _marked(t), 0, 2)
+
+
+@query("with " + SIM + " select src, dst, weight, round(c,6) cosine, shares from si")
+def edge_similarity(t: Tables) -> DataFrame:
+    return _similarity(t).select("src", "dst", "weight", *r6("cosine"), "shares")
+
+
+@query("with " + EDGE + " select src, dst, weight from e where weight >= (select avg(weight) from e)")
+def edges_over_mean(t: Tables) -> DataFrame:
+    return graph.edges_over(_edges(t), -1)
+
+
+@query("with " + EDGE + ", g as (select p_partkey n from part where p_size<=10) select src, dst, weight from e where src not in (select n from g) and dst not in (select n from g)")
+def nodes_removed(t: Tables) -> DataFrame:
+    return graph.without_nodes(_edges(t), t.part.where("p_size <= 10"), "p_partkey")
+
+
+@query("with " + EDGE + " select p_partkey, p_brand from part where p_partkey in (select src from e) and p_partkey in (select l_partkey from lineitem where l_returnflag='R')")
+def linked_and_marked(t: Tables) -> DataFrame:
+    marks = t.lineitem.where("l_returnflag='R'").select(F.col("l_partkey").alias("p_partkey"))
+    return graph.linked_and_marked(t.part, _edges(t), marks, "p_partkey").select("p_partkey", "p_brand")
+
+
+@query("with " + EDGE + ", w as (select p_partkey src, p_partkey+1 dst, 1::bigint weight from part where p_size=1) select * from w union all select * from e where src not in (select src from w)")
+def edges_replaced(t: Tables) -> DataFrame:
+    new = t.part.where("p_size = 1").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"), F.lit(1).cast("long").alias("weight"))
+    return graph.replace_edges(_edges(t), new)
+
+
+@query("with l as (select l_partkey::varchar src, l_suppkey::varchar dst from lineitem where l_quantity>=45), k as (select p_partkey::varchar n from part where p_size>=5) select distinct least(src,dst) src, greatest(src,dst) dst from l where src in (select n from k) and dst in (select n from k) union all select 'root', n from k")
+def rooted_graph(t: Tables) -> DataFrame:
+    links = t.lineitem.where("l_quantity >= 45").select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"))
+    return graph.undirected_edges(links, t.part.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").alias("length")), 5, "root")
+
+
+@query("with " + EDGE + ", u as (select src, dst from e where src<dst), n as (select count(*) n from (select src from u union select dst from u)) select n nodes, (select count(*) from u) edges, round(2.0*(select count(*) from u)/(n*(n-1)),6) density from n")
+def graph_density(t: Tables) -> DataFrame:
+    return graph.density(_edges(t)).select("nodes", "edges", *r6("density"))
+
+
+@query("with recursive " + STARS + " select component, count(*) nodes, count(distinct c_mktsegment) labels from c left join customer on node='c'||c_custkey group by 1")
+def component_labels(t: Tables) -> DataFrame:
+    labels = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("name"), "c_mktsegment")
+    return graph.component_labels(_components(t), labels, "name", "c_mktsegment")
+
+
+@query("with " + NORM + ", s as (select na.src, sum(norm*p_retailprice) price, sum(norm*p_size) size from na join part on p_partkey=dst group by na.src) select p_partkey, p_retailprice price, p_size size, round(coalesce(s.price,0),4) near_price, round(coalesce(s.size,0),4) near_size from part left join s on src=p_partkey")
+def sage_propagate(t: Tables) -> DataFrame:
+    x = t.part.select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    out = models.sage(graph.normalised_adjacency(_edges(t)), x, "norm", ["price", "size"], "p_partkey")
+    return out.select("p_partkey", "price", "size", *[F.round(c, 4).alias(c) for c in ("near_price", "near_size")])
+
+
+@query("with " + NORM + ", x as (select p_partkey n, 1/(1+exp(-(p_size/25.0-1))) s from part), u as (select na.src, sum(norm*pow(s,1.0))+1e-6 a, sum(norm*pow(1-s,0.5))+1e-6 b, sum(norm*pow(s,2.0))+1e-6 c, sum(norm*pow(1-s,0.0))+1e-6 d from na join x on n=dst group by na.src), w as (select src, pow(a,1.0)*0.7+pow(b,2.0)*-0.2 up, pow(c,0.5)*0.4+pow(d,1.0)*0.3 below from u) select src, round(up*below/(below*below+1e-3),6) \"value\" from w")
+def learned_fraction(t: Tables) -> DataFrame:
+    x = t.part.select("p_partkey", (F.col("p_size") / 25.0 - 1).alias("x"))
+    out = models.learned_fraction(graph.normalised_adjacency(_edges(t)), x, "norm", "x", "p_partkey", (1.0, 0.5, 2.0, -1.0), (1.0, 2.0, 0.5, 1.0), (0.7, -0.2, 0.4, 0.3))
+    return out.select("src", *r6("value"))
+
+
+@query("with " + EDGE + ", " + VEC + ", " + DRAWN + ", p as (select src, dst, 1.0::double y from e union all select src, dst, 0.0::double from ng), c as (select y, list_cosine_similarity(a.v,b.v) c from p join v a on src=a.n join v b on dst=b.n) select round(avg(c) filter (where y=1),6) pos, round(avg(c) filter (where y=0),6) neg, round(avg(ln(1+exp(c))-y*c),6) loss from c")
+def edge_loss(t: Tables) -> DataFrame:
+    a, b = t.part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 7 % 100 + 1).alias("dst")), t.part.select(F.col("p_partkey").alias("dst"))
+    return models.edge_loss(_edges(t), a.join(b, "dst"), _vectors(t), "n", "v").select(*r6("pos", "neg", "loss"))
+
+
+@query("with " + EDGE + ", " + VEC + ", c as (select list_cosine_similarity(a.v,b.v) c from e join v a on src=a.n join v b on dst=b.n where src<dst) select count(*) pairs, round((sum(ln(1+exp(c)))+ln(1+exp(1.0))-1)/(count(*)+1),6) loss from c")
+def marker_loss(t: Tables) -> DataFrame:
+    return models.marker_loss(_edges(t).where("src < dst"), _vectors(t), "n", "v").select("pairs", *r6("loss"))
+
+
+@query("""with d as (select (p_size/50.0)::double q, (p_partkey%10/10.0)::double h, ln(p_retailprice/1000)::double lv from part),
+l as (select -(q*ln(0.4+0.2*h+1e-9)+(1-q)*ln(0.6-0.2*h+1e-9)) a, (pow(q-h,2)+pow(h-q*q,2))/2 k, -0.5*(1+least(greatest(lv,-2),2)-h*h-exp(least(greatest(lv,-2),2))) z from d),
+s as (select avg(a)*0.85 abundance, avg(k)*0.15 kmer, avg(z)/200 kld from l) select round(abundance,6) abundance, round(kmer,6) kmer, round(kld,6) kld, round(abundance+kmer+kld,6) loss from s""")
+def autoencoder_loss(t: Tables) -> DataFrame:
+    d = t.part.select((F.col("p_size") / 50.0).alias("q"), (F.col("p_partkey") % 10 / 10.0).alias("h"), F.ln(F.col("p_retailprice") / 1000).alias("lv"))
+    q, h = F.col("q"), F.col("h")
+    rows = d.select(F.array(q, 1 - q, q, h).alias("x"), F.array(0.4 + 0.2 * h, 0.6 - 0.2 * h, h, q * q).alias("x_hat"), F.array(h).alias("mu"), F.array("lv").alias("logvar"))
+    return models.autoencoder_loss(rows, "x", "x_hat", "mu", "logvar", 2).select(*r6("abundance", "kmer", "kld", "loss"))
+
+
+@query("with c as (select label bin, i pos, avg(embedding[i]::double) m from embeddings, unnest(range(1,65)) u(i) group by all), d as (select vec_id, bin, sum((embedding[pos]::double-m)*(embedding[pos]::double-m)) d from embeddings, c where label<=4 group by all) select count(*) points, round(avg(d),6) loss from (select vec_id, min(d) d from d group by 1)")
+def centroid_loss(t: Tables) -> DataFrame:
+    return models.centroid_loss(t.embeddings, "vec_id", "embedding", "label", t.embeddings.where("label <= 4")).select("points", *r6("loss"))
+
+
+@query()
+def principal_components(t: Tables) -> DataFrame:
+    return models.principal_components(t.embeddings, "vec_id", "embedding").select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
+
+
+@query()
+def label_classifier(t: Tables) -> DataFrame:
+    return models.label_classifier(t.embeddings, t.embeddings, "vec_id", "embedding", "label")
+
+
+@query()
+def bisecting_bins(t: Tables) -> DataFrame:
+    return cluster.bisecting_kmeans(t.embeddings, "vec_id", "embedding", 8)
