@@ -128,3 +128,49 @@ def test_components_and_empty_tables(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9)], "src long, dst long")
     assert rows(graph.components(e)) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 9)]
     assert graph.components(e.limit(0)).count() == 0
+
+
+def test_components_of_names_and_of_a_long_path(spark):
+    named = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("z", "z")], "src string, dst string")
+    assert rows(graph.components(named)) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")]
+    path = spark.range(40).selectExpr("id as src", "id + 1 as dst")
+    assert {r["component"] for r in graph.components(path).collect()} == {0}
+    assert graph.components(named.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.components(path, rounds=1)
+
+
+def test_graph_filters(t):
+    links, contigs = t["links"], t["contigs"]
+    assert rows(graph.undirected_edges(links, contigs)) == [("edge_1", "edge_2"), ("edge_2", "edge_3"), ("edge_3", "edge_3"), ("edge_5", "edge_6")]
+    assert len(rows(graph.undirected_edges(links, contigs, 1000, "root"))) == 9
+    assert [r[2] for r in rows(graph.edges_over(links, -1))] == [10, 7]  # the mean is 5.6
+    assert [r[2] for r in rows(graph.edges_over(links, 5))] == [10, 7, 5]
+    gone = contigs.where("name = 'edge_3'")
+    assert rows(graph.without_nodes(links, gone, "name")) == [("edge_1", "edge_2", 10), ("edge_5", "edge_6", 5)]
+    one = tuple(graph.density(links).first())
+    assert one[:2] == (6, 4) and one[2] == pytest.approx(8 / 30)
+
+
+def test_negative_edges_are_even_and_repeatable(spark):
+    edges, nodes = spark.range(3000).selectExpr("id as src", "id + 1 as dst"), spark.range(10).withColumnRenamed("id", "n")
+    first = rows(graph.negative_edges(edges, nodes, "n", 2, 7))
+    assert first == rows(graph.negative_edges(edges.repartition(7), nodes, "n", 2, 7)) and len(first) == 6000
+    per = [sum(r[1] == k for r in first) for k in range(10)]
+    assert min(per) > 480 and max(per) < 720
+
+
+def test_losses_by_hand(spark):
+    from math import exp, log
+
+    from binloom.operators import models
+
+    nodes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 5.0]), (4, [0.0, 0.0])], "n int, v array<double>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "src int, dst int")
+    assert [r["cosine"] for r in models.pair_cosines(pairs, nodes, "n", "v").orderBy("dst").collect()] == [1.0, 0.0, 0.0]
+    got = models.edge_loss(pairs.where("dst = 2"), pairs.where("dst = 3"), nodes, "n", "v").first()
+    assert got["loss"] == pytest.approx((log(1 + exp(1)) - 1 + log(2)) / 2)
+    assert models.marker_loss(pairs.limit(0), nodes, "n", "v").first()["loss"] == pytest.approx(log(1 + exp(1)) - 1)
+    x = spark.createDataFrame([([0.5, 1.0], [0.25, 3.0], [0.0], [9.0])], "x array<double>, y array<double>, mu array<double>, lv array<double>")
+    one = models.autoencoder_loss(x, "x", "y", "mu", "lv", 1).first()
+    assert tuple(one)[:3] == pytest.approx((0.85 * 0.0625, 0.15 * 4, -0.5 * (1 + 2 - exp(2)) / 200))
