@@ -56,6 +56,22 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def without(columns: list[str], *names: str) -> list[str]:
+    """The column names that differ from all of `names`, upper and lower case being the same to Spark."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def pick(names: list[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def numbered(df: DataFrame, names: list[str], last: Column) -> DataFrame:
+    """The named columns and a last one, called by number: what Arrow functions can take, whatever the names are."""
+    return df.select(*[c.alias(f"_{k}") for k, c in enumerate(pick(names))], last.alias("last"))
+
+
 def utf8(col: str | Column) -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")

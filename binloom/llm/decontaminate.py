@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import Roller, buffers, groups_of, table, utf8
+from binloom.llm.common import Roller, buffers, groups_of, numbered, table, utf8
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one block holds, and bytes of documents that a shard holds.
@@ -213,16 +213,16 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs; each row is judged by itself."""
     blocks = _blocks(benchmark, window, block_bytes)
-    width = len(docs.columns)
+    columns, width = docs.columns, len(docs.columns)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Roller(1 << 16)
         for batch in batches:
-            rows = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
+            rows = pa.RecordBatch.from_arrays(batch.columns[:width], columns)
             for a, b, _, n_hit, _, _ in _search(batch.column(width), blocks, roll):
                 yield rows.slice(a, b - a).filter(pa.array(n_hit == 0))
 
-    return docs.select(*docs.columns, utf8("text").alias("__utf8")).mapInArrow(kernel, docs.schema)
+    return numbered(docs, columns, utf8("text")).mapInArrow(kernel, docs.schema)
 
 
 def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ The cut is exact. Blocks whose own cost outweighs all their edges are settled fi
 
 Defined results: null, empty and blockless pages have the empty text; tags that are never closed, cut-off tags and
 entities at the end of a page, stray closing tags and unknown elements are tolerated; raw text elements that are not
-closed run to the end; pages of any length are read whole; equal pages have equal texts; repeated rows stay.
+closed run to the end; pages of any length are read whole; equal pages have equal texts; repeated rows stay; columns of pages
+that have the name of a result's column give way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import table
+from binloom.llm.common import numbered, pick, table, without
 
 # HTML elements by their role.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -38,6 +39,8 @@ CLOSE_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "
 # Names and roles that speak for boilerplate or for content.
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations trending sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus footer foot header masthead topbar toolbar pagination pager tags widget widgets search form paywall toc skip outbrain taboola hidden print copyright disclaimer".split())
 GOOD_WORDS = frozenset("article articlebody content post entry main story text body maintext prose".split())
+#: A name with one of the first (has-sidebar) tells of another element; the second beside a good word (post-header) hold a title.
+ABOUT_WORDS, TITLE_WORDS = frozenset("no has with without".split()), frozenset("header head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form button".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset address".split())
 #: Weights of the classifier's features, in units of cost (positive: content), and of the smoothness edges.
@@ -74,11 +77,15 @@ def _judge(tag: str, attributes: str) -> float:
         if name in ("role", "itemprop") and value.lower() in ("main", "article", "articlebody"):
             verdict = 1
         if name in ("class", "id") and tag not in ("html", "body"):
-            parts = {p.lower() for p in _NAME_PART.findall(value)} | {p.lower() for p in re.split(r"[^a-zA-Z0-9]+", value)}
-            if parts & BAD_WORDS:
-                return -1
-            if parts & GOOD_WORDS:
-                verdict = 1
+            for one in value.split():
+                parts = {p.lower() for p in _NAME_PART.findall(one)} | {p.lower() for p in re.split(r"[^a-zA-Z0-9]+", one)}
+                if parts & ABOUT_WORDS:
+                    continue
+                good = bool(parts & GOOD_WORDS)
+                if parts & BAD_WORDS - (TITLE_WORDS if good else frozenset()):
+                    return -1
+                if good:
+                    verdict = 1
     return verdict
 
 
@@ -283,9 +290,7 @@ def extract(page: str | None) -> str:
 
 def extract_pages(pages: DataFrame, html_col: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The columns of pages without the html, and the text and its length in code points."""
-    kept = [c for c in pages.columns if c != html_col]
-    if {text, n_chars} & set(kept):
-        raise ValueError("the result's columns are in pages already; choose other names")
+    kept = without(pages.columns, html_col, text, n_chars)
     width = len(kept)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +300,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", text: str = "text",
                 texts = [extract(p) for p in part.column(width).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, text, n_chars])
 
-    schema = pages.select(*kept).schema.add(text, "string").add(n_chars, "long")
-    return pages.select(*kept, F.col(html_col).alias("__html")).mapInArrow(kernel, schema)
+    schema = pages.select(*pick(kept)).schema.add(text, "string").add(n_chars, "long")
+    return numbered(pages, kept, F.col(html_col)).mapInArrow(kernel, schema)
 
 
 def op1_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:

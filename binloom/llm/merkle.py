@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import buffers, spread, table, utf8
+from binloom.llm.common import buffers, numbered, pick, spread, table, utf8, without
 
 LEAF_WORDS, LEAF_CHARS = 8, 64
 _SECTIONS = re.compile(r"(?:\n[ \t\r]*){2,}")
@@ -94,18 +94,17 @@ def differing(a: str, b: str) -> list[tuple[int, int, int]]:
 
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """All columns of docs and the fingerprint of the text."""
-    width = len(docs.columns)
+    """All columns of docs and the fingerprint of the text, which takes the place of a column of its name."""
+    kept = without(docs.columns, out)
+    width = len(kept)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t.decode("utf-8", "replace")) for t in batch.column(width).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(prints, pa.string())], [*batch.schema.names[:width], out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(prints, pa.string())], [*kept, out])
 
-    schema = docs.schema.add(out, "string") if out not in docs.columns else None
-    if schema is None:
-        raise ValueError(f"docs has a column {out} already")
-    return docs.select(*docs.columns, utf8(text_col).alias("__utf8")).mapInArrow(kernel, schema)
+    schema = docs.select(*pick(kept)).schema.add(out, "string")
+    return numbered(docs, kept, utf8(text_col)).mapInArrow(kernel, schema)
 
 
 def edit(text: str, other: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import Roller, buffers, fold_of, groups_of, table, utf8
+from binloom.llm.common import Roller, buffers, fold_of, groups_of, numbered, pick, table, utf8, without
 from binloom.llm.linear import SAMPLE_ROWS, fit_logistic, sigmoid, training_docs, training_labels
 
 PAIRS, STEPS, L2, AT_THRESHOLD, STEP_BYTES = 40_000, 12, 1.0, 0.7, 1 << 20
@@ -138,25 +138,33 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
 
 
 def with_score(docs: DataFrame, model: QualityModel, score: str = "score") -> DataFrame:
-    """All columns of docs and the score of the whole text."""
-    if score in docs.columns:
-        raise ValueError(f"docs has a column {score} already")
-    sent, width = docs.sparkSession.sparkContext.broadcast(model), len(docs.columns)
+    """All columns of docs and the score of the whole text, which takes the place of a column of its name."""
+    kept = without(docs.columns, score)
+    sent, width = docs.sparkSession.sparkContext.broadcast(model), len(kept)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Roller(STEP_BYTES)
         for batch in batches:
             for a, b, x in _described(batch.column(width), roll):
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:width]), pa.array(sent.value.score(x))], [*batch.schema.names[:width], score])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:width]), pa.array(sent.value.score(x))], [*kept, score])
 
-    schema = docs.select("*", F.lit(0.0).cast("double").alias(score)).schema
-    return docs.select("*", utf8("text").alias("__utf8")).mapInArrow(kernel, schema)
+    schema = docs.select(*pick(kept), F.lit(0.0).cast("double").alias(score)).schema
+    return numbered(docs, kept, utf8("text")).mapInArrow(kernel, schema)
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents, with their columns, that score at least the threshold."""
-    model = fit_quality(docs, labels, **options)
-    return with_score(docs, model, "__score").where(F.col("__score") >= model.at_threshold).drop("__score")
+    """The documents, with all their columns, that score at least the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, **options))
+    columns, width = docs.columns, len(docs.columns)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, roll = sent.value, Roller(STEP_BYTES)
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays(batch.columns[:width], columns)
+            for a, b, x in _described(batch.column(width), roll):
+                yield rows.slice(a, b - a).filter(pa.array(model.score(x) >= model.at_threshold))
+
+    return numbered(docs, columns, utf8("text")).mapInArrow(kernel, docs.schema)
 
 
 def op6_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ numbered inside a cell, and a cell starts where the cells before it end, so no t
 
 Defined results: a null key is a key like any other (its rows meet in one shard); a null text has size `overhead` and
 crc32 0; empty text likewise; repeated rows and equal keys share a shard and get slots of their own; an empty table gives
-an empty result; `shard_records` ignores further columns, `shard_documents` keeps them all.
+an empty result; `shard_records` ignores further columns, `shard_documents` keeps them, but its shard and slot take the
+place of columns of these names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binloom.llm.common import table
+from binloom.llm.common import pick, table, without
 
 CELLS = 4096
 
@@ -68,10 +69,10 @@ def shard_records(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_
 
 def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """All columns of docs with `shard` and `slot`."""
-    if {"shard", "slot"} & set(docs.columns):
-        raise ValueError("docs has a column shard or slot already")
-    out = docs.withColumn("shard", rendezvous(F.col(id_col), weights).cast("int"))
-    return number_slots(out, "shard", [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)], F.col(id_col), "slot", cells)
+    row = F.struct(*pick(without(docs.columns, "shard", "slot")))  # packed, so that no name meets those used here
+    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), rendezvous(F.col(id_col), weights).cast("int").alias("shard"), row.alias("row"))
+    out = number_slots(out, "shard", [F.col("id").asc_nulls_first(), F.col("hash")], F.col("id"), "slot", cells)
+    return out.select("row.*", "shard", "slot")
 
 
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

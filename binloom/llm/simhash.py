@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import buffers, durable, table, utf8
+from binloom.llm.common import buffers, durable, pick, table, utf8
 
 SHINGLE, BUDGET, BITS = 3, 2, 64
 #: Fingerprints that a subtree has in the mean, at most.
@@ -198,7 +198,7 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     known = docs.where("doc_id is not null")
     keep = near_duplicates(known, **options).where("doc_id = component_id").select("doc_id").distinct()
     out = known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return out.select(*pick(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

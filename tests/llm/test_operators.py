@@ -71,6 +71,30 @@ def test_extraction_keeps_the_article_only():
         html_mincut.extract(PAGE[:cut])  # any page may end anywhere
 
 
+def test_names_that_tell_of_other_elements():
+    menu, text = "<ul class='menu'><li><a href=a>Home</a></li></ul>", "<p>The text of the page, long enough to be one.</p>"
+    page = f"<div class='layout has-sidebar no-comments'>{menu}<div class='post'><div class='post-header'><h1>Title</h1></div>{text}</div><div class='post-comments'>{text}</div></div>"
+    assert html_mincut.extract(page) == "Title\n\nThe text of the page, long enough to be one."
+
+
+def test_clashing_columns_give_way(spark, docs, labels):
+    """Extra columns with an operator's own names, dots in them or not: the result's columns take their place, others stay."""
+    taken = "score Shard slot fingerprint utf8 __score __row __cell __shard hash id row size y a.b".split()
+    odd = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(taken)])
+    left = lambda *gone: [c for c in odd.columns if c.lower() not in gone]
+    model = quality.fit_quality(odd, labels)
+    assert quality.with_score(odd, model).columns == [*left("score"), "score"]
+    assert rows(quality.with_score(odd, model).select("doc_id", "score")) == rows(quality.with_score(docs, model).select("doc_id", "score"))
+    prints = merkle.fingerprint_documents(odd)
+    assert prints.columns == [*left("fingerprint"), "fingerprint"] and {r["fingerprint"][32] for r in prints.select("fingerprint").collect()} == {":"}
+    shards = sharding.shard_documents(odd, [1.0] * 5)
+    assert shards.columns == [*left("shard", "slot"), "shard", "slot"] and shards.where("shard between 0 and 4").count() == docs.count()
+    for whole in (lambda d: quality.accepted_documents(d, labels), simhash.representatives, lambda d: decontaminate.clean_documents(d, docs.limit(0).select(F.col("doc_id").alias("item_id"), "text")), mixing.mixed_corpus):
+        assert rows(whole(odd).select("doc_id", "`a.b`", "__row")) == rows(whole(docs).select("doc_id", F.lit(14), F.lit(6)))
+    pages = spark.createDataFrame([(1, "u", PAGE, "old", 7)], "page_id long, url string, html string, Text string, n_chars int")
+    assert [c for c in html_mincut.extract_pages(pages).columns] == ["page_id", "url", "text", "n_chars"]
+
+
 def test_pages_and_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "</p><p>", None), (3, "u", "</p><p>", None), (4, "u", PAGE, "y"), (5, "u", "plain & text", "y"), (6, "u", "<p>" + "a " * 50_000, "y")], "page_id long, url string, html string, block string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_mincut.extract_pages(pages).collect()}
