@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from binloom.llm.common import table
 from binloom.llm.decontaminate import clean_documents
 from binloom.llm.mixing import mixed_corpus
+from binloom.llm.near_copies import distinct_documents
 from binloom.llm.quality import accepted_documents
 from binloom.llm.sharding import shard_documents
-from binloom.llm.simhash import representatives
 
 SHARDS = 24
 
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash component."""
-    return representatives(docs)
+    """The document of the smallest id of each component of near copies: 5-word shingle sets of Jaccard similarity >= 0.8."""
+    return distinct_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
