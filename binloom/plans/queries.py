@@ -552,3 +552,9 @@ def label_classifier(t: Tables) -> DataFrame:
 @query()
 def bisecting_bins(t: Tables) -> DataFrame:
     return cluster.bisecting_kmeans(t.embeddings, "vec_id", "embedding", 8)
+
+
+# Over whole tables: the queries above that read a part of lineitem or part keep it, as their SQL states it; these read all rows.
+@query(ORACLE_SQL["must_differ_pairs"].replace(" where l_returnflag='R' and l_quantity>=48", ""))
+def must_differ_pairs_whole(t: Tables) -> DataFrame:
+    return graph.must_differ_pairs(t.lineitem, "l_suppkey", "l_partkey")
