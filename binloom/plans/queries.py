@@ -558,3 +558,70 @@ def bisecting_bins(t: Tables) -> DataFrame:
 @query(ORACLE_SQL["must_differ_pairs"].replace(" where l_returnflag='R' and l_quantity>=48", ""))
 def must_differ_pairs_whole(t: Tables) -> DataFrame:
     return graph.must_differ_pairs(t.lineitem, "l_suppkey", "l_partkey")
+
+
+def _whole(name: str) -> str:
+    """The SQL of a query without its filters of lineitem and of the marker sets."""
+    sql = ORACLE_SQL[name]
+    for cut in (" where l_returnflag='R' and l_quantity>=40", " where p_size <= 5", " where l_returnflag='R'", " where l_quantity>=45"):
+        sql = sql.replace(cut, "")
+    return sql
+
+
+def _whole_markers(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    m = t.lineitem.groupBy(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("gene")).agg(F.count(F.lit(1)).alias("copies"))
+    bins = t.supplier.select(F.col("s_suppkey").alias("contig"), F.col("s_nationkey").alias("bin"))
+    return m, bins, t.part.select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("gene"))
+
+
+def _whole_scores(t: Tables) -> DataFrame:
+    m, bins, sets = _whole_markers(t)
+    return metrics.marker_scores(metrics.gene_totals(m, bins, "contig"), sets)
+
+
+@query(_whole("marker_completeness"))
+def marker_completeness_whole(t: Tables) -> DataFrame:
+    return _whole_scores(t).select("bin", *r6("comp", "cont"))
+
+
+@query(_whole("hq_bins"))
+def hq_bins_whole(t: Tables) -> DataFrame:
+    return metrics.quality_counts(_whole_scores(t), (2, 1), (1, 5)).select("bins", "hq", "mq", *r6("hq_comp", "hq_cont"))
+
+
+@query(_whole("unresolved_pool"))
+def unresolved_pool_whole(t: Tables) -> DataFrame:
+    m, bins, sets = _whole_markers(t)
+    return metrics.unresolved(bins, m, _whole_scores(t), sets, "contig", (2, 1))
+
+
+@query(_whole("bin_extra_metrics"))
+def bin_extra_metrics_whole(t: Tables) -> DataFrame:
+    return metrics.extra_metrics(_whole_scores(t)).select(*r6("avg_comp", "avg_cont", "cont_50", "cont_90", "comp_5"))
+
+
+def _whole_marked(t: Tables) -> DataFrame:
+    return graph.same_marker_edges(_edges(t), t.lineitem, "l_partkey", "l_suppkey")
+
+
+@query(_whole("same_marker_edges"))
+def same_marker_edges_whole(t: Tables) -> DataFrame:
+    return _whole_marked(t)
+
+
+@query(_whole("edges_cleaned"))
+def edges_cleaned_whole(t: Tables) -> DataFrame:
+    return graph.remove_edges(_edges(t), _whole_marked(t))
+
+
+@query(_whole("edge_similarity"))
+def edge_similarity_whole(t: Tables) -> DataFrame:
+    e = _edges(t)
+    out = graph.edge_similarity(e, models.pair_cosines(e.where("src < dst"), _vectors(t), "n", "v"), _whole_marked(t), 0, 2)
+    return out.select("src", "dst", "weight", *r6("cosine"), "shares")
+
+
+@query(_whole("rooted_graph"))
+def rooted_graph_whole(t: Tables) -> DataFrame:
+    links = t.lineitem.select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"))
+    return graph.undirected_edges(links, t.part.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").alias("length")), 5, "root")
