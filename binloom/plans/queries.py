@@ -625,3 +625,11 @@ def edge_similarity_whole(t: Tables) -> DataFrame:
 def rooted_graph_whole(t: Tables) -> DataFrame:
     links = t.lineitem.select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"))
     return graph.undirected_edges(links, t.part.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").alias("length")), 5, "root")
+
+
+@query()
+def edge_loss_whole(t: Tables) -> DataFrame:
+    """The loss with a negative for each edge, its end drawn evenly over all parts; draws by hash are beyond SQL."""
+    e = _edges(t)
+    drawn = graph.negative_edges(e, t.part, "p_partkey", 1, 7).select("src", "dst")
+    return models.edge_loss(e, drawn, _vectors(t), "n", "v").select(*r6("pos", "neg", "loss"))
