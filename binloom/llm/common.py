@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="binloom-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="binloom-"))
     return sc.getCheckpointDir()
 
 
@@ -77,6 +80,12 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
+def row_identity(id_col: str, text_col: str) -> Column:
+    """16 bytes that tell rows apart by id and text: equal just for equal ids and texts, nulls counted."""
+    tag = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null"))
+    return F.unhex(F.md5(F.concat(F.concat(tag, F.lit(":")).cast("binary"), utf8(text_col))))
+
+
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds

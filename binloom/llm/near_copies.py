@@ -1,17 +1,32 @@
-"""Near copies, exactly: components of all pairs of documents whose sets of 5-word shingles have a Jaccard similarity >= 0.8.
-
-Equal sets are merged before anything else. Put all shingles into one order, whichever: two sets that are similar enough
-share a shingle among the first n - ceil(0.8 n) + 1 of each (n its size), so only documents that meet at one of those are
-compared, by their whole sets. The order is that of the hashes, but shingles that a sample shows to be common come last,
-which keeps the groups that meet small; the sample changes the work, never the result. Documents that meet at several
-shingles in the same company are compared once, and a group gives a spanning forest of its links, not the links.
-
-Words are as in simhash. A text of fewer words than a shingle is one shingle; null and white-space texts are copies of each
-other; of a component stays the row of the smallest id (null last, then by the text's hash).
+"""Near copies for the pipeline: SimHash of 5-word shingles, found by trie self-joins, linked at a Jaccard similarity >= 0.8.
+
+The SimHash operator as a filter of documents. At 0.8 two 64-bit fingerprints differ in ten bits, too many to prune by, so
+a fingerprint has several words and is read in `views`, each of its own few bits: two sets of similarity s differ
+in a bit with probability p = arccos(2s / (1 + s)) / pi, and the views are as many as make it likely (RECALL) that a pair of
+exactly 0.8 is within the budget of 2 bits in one of them. A view has as many bits as leave a document few unlike ones
+within that budget, so bits and views follow from the number of documents (`plan_views`).
+
+1. Documents of equal shingle sets are merged, by a 128-bit digest of the set.
+2. In each view the sets are range-sorted by key and fingerprint. Neighbours of one key are candidates; the first of a
+   key in a task stands for it. So a key that a third of all sets share is one sorted run over many tasks.
+3. Those that stand for a key meet in the trie self-join of simhash.py. Of the pairs within the budget, those whose first
+   two words are too far apart for the similarity go, and the nearest that connect the others stay (FORESTS disjoint
+   spanning forests in the order of distance): candidates grow with the documents, never with their pairs.
+4. Candidates are checked exactly on their two texts, each set's nearest one first; one inside a component found so
+   is spared. Links of similarity >= 0.8 make the components.
+
+So no document is ever linked below the similarity, and one with a partner is missed only where no view shows the pair or
+where all forests join the two by way of others that fail the check; the tests measure this.
+
+Defined results: words are as in simhash.py; a text of fewer words than a shingle is one shingle; null, empty and
+white-space texts have the empty set and are copies of each other; of a component stays the row of the smallest id (null
+last, then by the text's digest; of rows of equal id and text, one); an empty table gives an empty result; columns keep
+their names, whatever these are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,112 +35,215 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm.common import durable_table, pick, utf8
-from binloom.llm.simhash import components
+from binloom.llm.common import durable, durable_table, pick, row_identity, spread, utf8
+from binloom.llm.simhash import BITS, CROWD, TASK_ROWS, components, majority, pairs_of, shingle_hashes, subtrees
+
+SHINGLE, SIMILARITY, BUDGET, RECALL = 5, 0.8, 2, 0.98
+#: Disjoint forests of candidates that a subtree gives, so that a pair is not lost to one third text.
+FORESTS = 3
+#: Words whose distance a candidate is judged by, and by how many standard deviations it may be over the mean at SIMILARITY.
+JUDGED, SLACK = 2, 3.5
+
+
+def bit_rate(similarity: float) -> float:
+    """How often two sets of a Jaccard similarity differ in a bit of their fingerprints."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-SHINGLE = 5
-#: Texts that are looked at for common shingles; in how many of them a shingle is common; how many common ones are listed.
-SAMPLE, COMMON, LISTED = 10_000, 4, 100_000
 
+def plan_views(n: int, similarity: float = SIMILARITY, budget: int = BUDGET, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, views): bits such that n sets give a set about one unlike one in the budget; views for the recall."""
+    bits = min(BITS, max(16, math.ceil(math.log2(max(2, n))) + 8))
+    p = bit_rate(similarity)
+    seen = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(budget + 1))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - seen)))
 
-def shingles(data: bytes) -> np.ndarray:
-    """The sorted distinct XXH64 (seed 42) of the shingles of whole UTF-8 text, as signed numbers."""
-    words = data.lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    stops = ends[min(SHINGLE, len(words)) - 1 :].tolist()
-    starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops)], np.uint64).view(np.int64))
 
+def farthest(similarity: float) -> int:
+    """Differing bits of the judged words beyond which a pair is taken to be less similar."""
+    p, n = bit_rate(similarity), BITS * JUDGED
+    return math.floor(n * p + SLACK * math.sqrt(n * p * (1 - p)))
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set_id, shingles) of every document; equal sets have equal set_id."""
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, row, set_1, set_2, size, print): of each row its identity, and its set's digest, size and fingerprint."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *map(len, sets)])
-            lists = pa.LargeListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *sets])).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), lists], ["doc_id", "text_hash", "set_id", "shingles"])
+            digests, sizes, prints = np.zeros((batch.num_rows, 2), np.uint64), np.zeros(batch.num_rows, np.int32), []
+            for k in range(batch.num_rows):
+                some = np.unique(shingle_hashes(batch.column(2)[k].as_py(), SHINGLE))
+                x = xxhash.xxh3_128_intdigest(some.tobytes())
+                digests[k], sizes[k] = (x >> 64, x & (1 << 64) - 1), len(some)
+                prints.append(majority(some, words).tobytes())
+            columns = [*batch.columns[:2], *(pa.array(digests[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(sizes), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "set_1", "set_2", "size", "print"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_identity("doc_id", "text").alias("row"), utf8("text").alias("text"))
+    return rows.mapInArrow(kernel, "doc_id long, row binary, set_1 long, set_2 long, size int, print binary")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8("text")).alias("text_hash"), utf8("text").alias("text"))
-    return rows.mapInArrow(kernel, "doc_id long, text_hash long, set_id long, shingles array<long>")
 
+_VIEW = ["view", "key", "w1", "w2", "size", "node"]
 
-def common_shingles(sets: DataFrame) -> np.ndarray:
-    """Shingles that many of a sample of the distinct sets have."""
-    share = max(1, sets.count() // SAMPLE)
-    some = sets.where(F.pmod(F.xxhash64("set_id"), F.lit(share)) == 0).select(F.explode("shingles").alias("s"), "set_id").distinct()
-    counts = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(LISTED).collect()], np.int64))
 
+def viewed(sets: DataFrame, bits: int, views: int) -> DataFrame:
+    """(view, key, w1, w2, size, node) of (node, size, print): the fingerprint, a row for each view of it."""
 
-def meetings(sets: DataFrame) -> DataFrame:
-    """(company): the sets, by id, that meet at a shingle; each company once."""
-    common = common_shingles(sets)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = np.flatnonzero(batch.column(1).to_numpy() > 0)  # the empty set is like no other
+            if not len(full):
+                continue
+            nodes, sizes = (batch.column(k).to_numpy()[full] for k in (0, 1))
+            prints = np.stack([np.frombuffer(batch.column(2)[k].as_py(), np.uint64) for k in full.tolist()])
+            loose = np.unpackbits(prints.astype(">u8").view(np.uint8), axis=1)
+            for v in range(views):
+                key = np.zeros((len(full), BITS), np.uint8)
+                key[:, BITS - bits :] = loose[:, v * bits : (v + 1) * bits]
+                key = np.packbits(key, axis=1).view(">i8").ravel().astype(np.int64)
+                columns = [np.full(len(full), v, np.int32), key, prints[:, 0].view(np.int64), prints[:, 1].view(np.int64), sizes, nodes]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], _VIEW)
+
+    return sets.select("node", "size", "print").mapInArrow(kernel, "view int, key long, w1 long, w2 long, size int, node long")
+
+
+class Judge:
+    """What a task has of sets, and which pairs of them may be similar enough."""
+
+    def __init__(self, w1: np.ndarray, w2: np.ndarray, size: np.ndarray, similarity: float):
+        self.w1, self.w2, self.size, self.similarity, self.most = w1, w2, size, similarity, farthest(similarity)
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of the judged words; 255 for pairs that are no candidates."""
+        d = np.bitwise_count(self.w1[i] ^ self.w1[j]).astype(np.int64) + np.bitwise_count(self.w2[i] ^ self.w2[j])
+        low, high = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        return np.where((d <= self.most) & (low >= self.similarity * high), d, 255)
+
+
+def nearest_forests(pairs: Iterator[tuple[np.ndarray, np.ndarray]], judge: Judge, forests: int = FORESTS) -> np.ndarray:
+    """(distance, i, j) of the candidates among the pairs that are in one of `forests` disjoint spanning forests, each
+    built in the order of distance; blocks of pairs are merged in one by one, so memory stays with the nodes."""
+    kept = np.zeros((0, 3), np.int64)
+    for i, j in pairs:
+        d = judge.distance(i, j)
+        ok = d < 255
+        if not ok.any():
+            continue
+        both = np.concatenate([kept, np.stack([d[ok], i[ok], j[ok]], axis=1)])
+        both = both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))]
+        nodes, flat = np.unique(both[:, 1:], return_inverse=True)
+        parents, take = [list(range(len(nodes))) for _ in range(forests)], []
+        for k, ends in enumerate(flat.reshape(-1, 2).tolist()):
+            for parent in parents:
+                x, y = ends
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                if x != y:
+                    parent[x] = y
+                    take.append(k)
+                    break
+        kept = both[take]
+    return kept
+
+
+def candidates(sets: DataFrame, bits: int, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """(a, b, distance): pairs of nodes of (view, key, w1, w2, size, node) that may be similar enough, forests of each subtree."""
+    spark, n = sets.sparkSession, sets.count()
+    tasks = max(spread(spark), n // TASK_ROWS + 1)
+
+    def line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbours in the sorted run that may be similar, as (node, other); and, other null, the first of each key."""
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(k).to_numpy() for k in range(6)]
+            view, key, w1, w2, size, node = own if last is None else [np.concatenate([[x], y]) for x, y in zip(last, own)]
+            same = (view[1:] == view[:-1]) & (key[1:] == key[:-1])
+            judge = Judge(w1.view(np.uint64), w2.view(np.uint64), size, similarity)
+            at = np.flatnonzero(same)
+            gap = judge.distance(at, at + 1)
+            at, gap = at[gap < 255], gap[gap < 255]
+            head = np.flatnonzero(~same) + 1 if last is not None else np.concatenate([[0], np.flatnonzero(~same) + 1])
+            columns_ = [np.concatenate([x[at], x[head]]) for x in (view, key, w1, w2, size, node)]
+            none = np.arange(len(at) + len(head)) >= len(at)
+            other, gap = (pa.array(np.concatenate([x, np.zeros(len(head), np.int64)]), mask=none) for x in (node[at + 1], gap))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns_), other, gap], [*_VIEW, "other", "distance"])
+            last = [x[-1] for x in own]
+
+    order = ["view", "key", "w1", "w2", "node"]
+    lined = durable_table(sets.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(line, "view int, key long, w1 long, w2 long, size int, node long, other long, distance long"))
+    neighbours = lined.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "distance")
+    dealt, masks = subtrees(lined.where("other is null").drop("other", "distance"), bits, BUDGET, 1, crowd, ("view",))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        choice, view, key, w1, w2, size, node = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(7))
+        for c, v in sorted(set(zip(choice.tolist(), view.tolist()))):
+            at = np.flatnonzero((choice == c) & (view == v))
+            judge = Judge(w1[at].view(np.uint64), w2[at].view(np.uint64), size[at], similarity)
+            got = nearest_forests(pairs_of(key[at].view(np.uint64), masks[c], bits, BUDGET), judge)
+            ends = node[at][got[:, 1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1)), pa.array(got[:, 0].copy())], ["a", "b", "distance"])
+
+    met = dealt.repartition(max(tasks, 3 * n // TASK_ROWS + 1), "choice", "view", "shared").select("choice", *_VIEW).mapInArrow(walk, "a long, b long, distance long")
+    return neighbours.unionByName(met).where("a <> b").distinct()
+
+
+def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The edges (a, b) whose texts' sets of shingles have at least the similarity."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            late = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat if len(common) else np.zeros(len(flat), bool)
-            first = []
-            for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                s, n = flat[a:b], b - a
-                first.append(np.concatenate([s[~late[a:b]], s[late[a:b]]])[: n - (4 * n + 4) // 5 + 1])
-            yield pa.RecordBatch.from_arrays([np.concatenate([np.zeros(0, np.int64), *first]), np.repeat(ids, [len(x) for x in first])], ["s", "set_id"])
-
-    met = sets.select("set_id", "shingles").mapInArrow(kernel, "s long, set_id long")
-    return met.groupBy("s").agg(F.sort_array(F.collect_set("set_id")).alias("company")).where(F.size("company") > 1).select("company").distinct()
-
-
-def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect what the pairs of similarity >= 0.8 among sorted sets connect."""
-    size, label, edges = np.array([len(s) for s in sets]), np.arange(len(sets)), []
-    order = np.argsort(size, kind="stable")
-    ranked = size[order]
-    for k, i in enumerate(order.tolist()):
-        end = int(np.searchsorted(ranked, size[i] * 5 // 4, "right"))
-        others = order[k + 1 : end]
-        others = others[label[others] != label[i]]
-        for at in range(0, len(others), 1024):
-            block = others[at : at + 1024]
-            flat = np.concatenate([sets[j] for j in block])
-            where = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
-            both = np.add.reduceat(sets[i][where] == flat, np.cumsum(size[block]) - size[block], dtype=np.int64)
-            for j in block[5 * both >= 4 * (size[i] + size[block] - both)].tolist():
-                if label[j] != label[i]:
-                    edges.append((i, j))
-                    label[label == label[j]] = label[i]
-    return edges
-
-
-def near_copies(sets: DataFrame) -> DataFrame:
-    """(set_id, component) of the sets that have another one in their component."""
-    groups = durable_table(meetings(sets).select(F.xxhash64("company").alias("meeting"), F.explode("company").alias("set_id")))
-    wanted = sets.join(groups.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "shingles").dropDuplicates(["set_id"])
-
-    def kernel(t: pa.Table) -> pa.Table:
-        ids = t["set_id"].to_numpy()
-        lists = t["shingles"].combine_chunks()
-        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        edges = linked([flat[a:b] for a, b in zip(off[:-1], off[1:])])
-        return pa.table({"a": pa.array([ids[i] for i, _ in edges], pa.int64()), "b": pa.array([ids[j] for _, j in edges], pa.int64())})
-
-    edges = groups.join(wanted, "set_id").select("meeting", "set_id", "shingles").groupBy("meeting").applyInArrow(kernel, "a long, b long")
-    return components(edges).withColumnRenamed("node", "set_id")
-
-
-def distinct_documents(docs: DataFrame) -> DataFrame:
+            ok, last, one = np.zeros(batch.num_rows, bool), None, None
+            for k in range(batch.num_rows):
+                node = batch.column(1)[k].as_py()
+                if node != last:  # the edges of one text mostly follow each other
+                    last, one = node, np.unique(shingle_hashes(batch.column(3)[k].as_py(), SHINGLE))
+                two = np.unique(shingle_hashes(batch.column(2)[k].as_py(), SHINGLE))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                ok[k] = both >= similarity * (len(one) + len(two) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    left, right = texts.withColumnsRenamed({"node": "a", "text": "x"}), texts.withColumnsRenamed({"node": "b", "text": "y"})
+    return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(kernel, "a long, b long")
+
+
+def similar_components(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) from the candidates (a, b, distance): first each node's nearest one is checked, then those
+    that are left between components; one inside a component has nothing to add."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "distance", F.col("b").alias("other")), F.struct(F.col("b").alias("node"), "distance", F.col("a").alias("other")))).alias("e")).select("e.*")
+    nearest = ends.groupBy("node").agg(F.min(F.struct("distance", "other")).alias("m")).select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct()
+    first = durable_table(verified(nearest, texts, similarity))
+    label = components(first)
+    at = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    left = edges.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    left = left.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+    return components(first.unionByName(verified(left, texts, similarity)))
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, row, component) of every row: components of sets of shingles that are linked by the similarity."""
+    bits, views = plan_views(docs.count(), similarity, BUDGET, recall)
+    rows = durable_table(shingle_sets(docs, max(JUDGED, -(-bits * views // BITS))))
+    # Numbers are fixed by writing them: a set has one from here on.
+    sets = rows.groupBy("set_1", "set_2").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("print").alias("print"))
+    sets = durable_table(sets.withColumn("node", F.monotonically_increasing_id()))
+    edges = durable_table(candidates(viewed(sets, bits, views), bits, similarity, crowd))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "row"), "node")
+    texts = docs.select(row_identity("doc_id", "text").alias("row"), utf8("text").alias("text")).join(ends, "row").dropDuplicates(["node"]).select("node", "text")
+    linked = similar_components(edges, durable_table(texts), similarity)
+    label = sets.select("set_1", "set_2", "node").join(linked, "node", "left").select("set_1", "set_2", F.coalesce("component", "node").alias("component"))
+    return rows.join(label, ["set_1", "set_2"]).select("doc_id", "row", "component")
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """One row of each component of near copies, with the columns of docs."""
-    sets = durable_table(shingle_sets(docs))
-    comps = near_copies(sets)
-    rows = sets.select("doc_id", "text_hash", "set_id").join(comps, "set_id", "left")
-    best = rows.groupBy(F.coalesce("component", "set_id").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    keep = best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__text"))
-    keyed = docs.select(*pick(docs.columns), F.col("doc_id").cast("long").alias("__i"), F.xxhash64(utf8("text")).alias("__t"))
-    kept = keyed.join(keep, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__text")), "left_semi")
-    return kept.dropDuplicates(["__i", "__t"]).select(*pick(docs.columns))
+    found = near_copies(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    keep = durable(found.groupBy("component").agg(first).select(F.col("first.row").alias("kept")))
+    packed = docs.select(row_identity("doc_id", "text").alias("kept"), F.struct(*pick(docs.columns)).alias("whole"))
+    return packed.join(keep, "kept", "left_semi").dropDuplicates(["kept"]).select("whole.*")

@@ -1,22 +1,24 @@
 """SimHash fingerprints and near-duplicate components by a self-join of the binary trie of fingerprints.
 
-Equal fingerprints are merged before anything else, so copies by the thousand are one trie leaf. The trie is cut at a
-depth that grows with the log of the number of distinct fingerprints; every pair of subtrees whose prefixes differ in
-no more bits than the budget is a task's unit of work. Inside one, pairs of nodes are walked down together, level by
-level, as ranges of the sorted fingerprints: the differing bits add up and a pair over the budget is dropped with all
-below it. A subtree pair emits a spanning forest of its links, not the links; components come from alternating
-large-star and small-star rounds on those edges. A subtree holds distinct fingerprints only, so near copies of one text
-(all within a few bits) can fill it up to the volume of a Hamming ball at most, whatever the number of rows.
+Equal fingerprints are merged before anything else, so copies by the thousand are one trie leaf. The bits are cut into
+budget + 2 parts: two fingerprints that differ in no more bits than the budget agree in some two parts. For each choice
+of two parts the bits are taken in the order those two, then the rest, so that the fingerprints that agree there are one
+subtree of that order's trie; subtrees are dealt out by hash, six copies of a fingerprint for a budget of 2 at any size
+of the table. Inside a subtree, pairs of nodes are walked down together, level by level, as ranges of the sorted
+fingerprints: the differing bits add up and a pair over the budget is dropped with all below it. A subtree of more than
+CROWD fingerprints is cut again, exactly, by the same rule for its remaining bits. A task emits a spanning forest of its
+links, not the links; components come from alternating large-star and small-star rounds on those edges.
 
 Defined results: null or white-space text has fingerprint zero, which links like any other; a text of fewer words than a
 shingle is one shingle; repeated rows and ties share fingerprint and component; component_id is the smallest doc_id
-reachable (null ids are ignored unless a component has no other); an empty table gives an empty result.
+reachable (null ids link like others and are a component's id only if it has no other); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +26,41 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import buffers, durable, pick, table, utf8
+from binloom.llm.common import buffers, durable, durable_table, mix64, spread, table, utf8
 
 SHINGLE, BUDGET, BITS = 3, 2, 64
-#: Fingerprints that a subtree has in the mean, at most.
-LEAF = 2048
+#: Fingerprints that a subtree may have before it is cut again, and copies of fingerprints that a task gets in the mean.
+CROWD, TASK_ROWS = 1 << 18, 1 << 19
 
 
-def simhash(data: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of whole UTF-8 text: a bit is set if it is in over half of the shingles' XXH64 (seed 42)."""
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each shingle of whole UTF-8 text, repeats included; fewer words than a shingle are one."""
     words = data.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.zeros(0, np.uint64)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    stops = ends[shingle - 1 :].tolist()
-    starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    counts, step = np.zeros(BITS, np.int64), 1 << 15
-    for at in range(0, len(stops), step):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + step], stops[at : at + step])], dtype=">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(stops)).tobytes(), "big")
+    stops = ends[min(shingle, len(words)) - 1 :]
+    starts = np.concatenate([[0], ends[: len(stops) - 1] + 1])
+    del words
+    digest, step = xxhash.xxh64_intdigest, 1 << 15
+    parts = [np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + step].tolist(), stops[k : k + step].tolist())], np.uint64) for k in range(0, len(stops), step)]
+    return np.concatenate(parts)
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The bits that are set in over half of the hashes, as 64-bit words; the further words are of hashes mixed anew."""
+    counts, step = np.zeros(BITS * words, np.int64), 1 << 15
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step]
+        wide = np.stack([part, *(mix64(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(1, words))], axis=1)
+        counts += np.unpackbits(wide.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def simhash(data: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of whole UTF-8 text: a bit is set if it is in over half of the shingles' hashes."""
+    hashes = shingle_hashes(data, shingle)
+    return int(majority(hashes)[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,30 +76,29 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(kernel, "doc_id long, fp long")
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, top: int, spent: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with at most `budget` differing bits, from walking two tries (or one with itself) together.
+def trie_pairs(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j, with at most `budget` differing bits, from walking the trie of each range with itself.
 
-    a and b are sorted distinct uint64 that share their first `top` bits within each; those prefixes differ in `spent`.
+    values are sorted; those of a range lo to hi are equal but for the last `bits` bits.
     """
-    same, other = b is None, a if b is None else b
-    lo1, hi1, lo2, hi2, err = (np.array([x]) for x in (0, len(a), 0, len(other), spent))
-    for bit in range(BITS - 1 - top, -1, -1):
+    lo1, hi1, lo2, hi2, err = lo, hi, lo, hi, np.zeros(len(lo), np.int64)
+    for bit in range(bits - 1, -1, -1):
         leaf = (hi1 - lo1) * (hi2 - lo2) <= 4  # so few that comparing them costs less than walking on
-        if leaf.any() or bit == 0:
-            yield from _compare(a, other, lo1[leaf], hi1[leaf], lo2[leaf], hi2[leaf], budget, same)
+        if leaf.any():
+            yield from _compare(values, lo1[leaf], hi1[leaf], lo2[leaf], hi2[leaf], budget)
             keep = ~leaf
             lo1, hi1, lo2, hi2, err = (x[keep] for x in (lo1, hi1, lo2, hi2, err))
         if not len(lo1):
             return
-        mid1, mid2 = _middle(a, lo1, hi1, bit), _middle(other, lo2, hi2, bit)
+        mid1, mid2 = _middle(values, lo1, hi1, bit), _middle(values, lo2, hi2, bit)
         kids = []
         for x0, x1, y0, y1, cost in ((lo1, mid1, lo2, mid2, 0), (mid1, hi1, mid2, hi2, 0), (lo1, mid1, mid2, hi2, 1), (mid1, hi1, lo2, mid2, 1)):
             ok = (x1 > x0) & (y1 > y0) & (err + cost <= budget)
-            if same and cost and x0 is mid1:  # a node with itself: its halves meet once
+            if cost and x0 is mid1:  # a node with itself: its halves meet once
                 ok &= ~((lo1 == lo2) & (hi1 == hi2))
             kids.append((x0[ok], x1[ok], y0[ok], y1[ok], err[ok] + cost))
         lo1, hi1, lo2, hi2, err = (np.concatenate(x) for x in zip(*kids))
-    yield from _compare(a, other, lo1, hi1, lo2, hi2, budget, same)
+    yield from _compare(values, lo1, hi1, lo2, hi2, budget)
 
 
 def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -94,7 +107,7 @@ def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.
     return np.clip(np.searchsorted(values, prefix | np.uint64(1 << bit)), lo, hi)
 
 
-def _compare(a, b, lo1, hi1, lo2, hi2, budget, same) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compare(a: np.ndarray, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     n1, n2 = hi1 - lo1, hi2 - lo2
     todo = n1 * n2
     at, step = 0, 1 << 20
@@ -105,9 +118,7 @@ def _compare(a, b, lo1, hi1, lo2, hi2, budget, same) -> Iterator[tuple[np.ndarra
         which = np.repeat(np.arange(at, stop), k)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k)
         i, j = lo1[which] + inner // n2[which], lo2[which] + inner % n2[which]
-        ok = np.bitwise_count(a[i] ^ b[j]) <= budget
-        if same:
-            ok &= i < j
+        ok = (np.bitwise_count(a[i] ^ a[j]) <= budget) & (i < j)
         yield i[ok], j[ok]
         at = stop
 
@@ -135,33 +146,78 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple
     return out
 
 
-def trie_links(reps: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
-    """Edges (a, b) between the representatives of (fp, rep) that connect all fingerprints within the budget."""
-    spark, n = reps.sparkSession, reps.count()
-    depth = max(0, min(24, math.ceil(math.log2(max(1, n) / leaf)))) if n > leaf else 0
-    prefix = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
-    masks = [0] + [1 << i for i in range(depth)] * (budget >= 1) + [1 << i | 1 << j for i in range(depth) for j in range(i)] * (budget >= 2)
-    if budget > 2:
-        masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
-    # A subtree meets each other one at the smaller prefix of the two; it is sent to itself too.
-    home = reps.select("fp", "rep", prefix.alias("own"))
-    sent = home.select("fp", "rep", "own", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-    sent = sent.select("fp", "rep", "own", F.least(F.col("own"), F.col("own").bitwiseXOR(F.col("mask"))).alias("low"), "mask")
-
-    def kernel(key: tuple, t: pa.Table) -> pa.Table:
-        mask, fp, rep = int(key[1].as_py()), t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy()
-        order = np.argsort(fp, kind="stable")
-        fp, rep = fp[order], rep[order]
-        if mask:
-            cut = int(np.searchsorted(fp >> np.uint64(BITS - depth), np.uint64((int(key[0].as_py())) + 1))) if depth else len(fp)
-            a, b = fp[:cut], fp[cut:]
-            pairs = ((i, j + cut) for i, j in trie_pairs(a, b, depth, mask.bit_count(), budget)) if len(a) and len(b) else iter(())
-        else:
-            pairs = trie_pairs(fp, None, depth, 0, budget)
-        edges = forest(len(fp), pairs)
-        return pa.table({"a": pa.array([rep[i] for i, _ in edges], pa.int64()), "b": pa.array([rep[j] for _, j in edges], pa.int64())})
-
-    return sent.groupBy("low", "mask").applyInArrow(kernel, "a long, b long")
+def agreements(bits: int, budget: int, equal: int = 2, within: int = 0) -> list[int]:
+    """Masks of the bits outside `within`: some mask's bits are equal in any two keys that differ in `budget` bits at most."""
+    free = [b for b in range(bits - 1, -1, -1) if not within >> b & 1]
+    parts = budget + equal
+    cuts = [k * len(free) // parts for k in range(parts + 1)]
+    masks = [sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:])]
+    return [within | sum(chosen) for chosen in combinations(masks, equal)]
+
+
+def arranged(keys: np.ndarray, mask: int, bits: int) -> np.ndarray:
+    """The keys with the mask's bits moved to the front, the others after them, in order."""
+    out, place = np.zeros(len(keys), np.uint64), bits
+    order = [b for b in range(bits - 1, -1, -1) if mask >> b & 1] + [b for b in range(bits - 1, -1, -1) if not mask >> b & 1]
+    at = 0
+    while at < len(order):  # runs of neighbouring bits move at once
+        end = at
+        while end + 1 < len(order) and order[end + 1] == order[end] - 1:
+            end += 1
+        size = end - at + 1
+        place -= size
+        out |= (keys >> np.uint64(order[end]) & np.uint64((1 << size) - 1)) << np.uint64(place)
+        at = end + 1
+    return out
+
+
+def subtrees(keys: DataFrame, bits: int, budget: int, equal: int, crowd: int, by: tuple[str, ...] = ()) -> tuple[DataFrame, list[int]]:
+    """The rows of keys (key, columns `by` and others), once for each choice of parts that may agree, as `choice` (the
+    number of a mask in the list) and `shared` (the bits that agree): rows that share both, and `by`, are a subtree."""
+    first = agreements(bits, budget, equal)
+    second = [agreements(bits, budget, equal, m) for m in first]
+    masks = [*first, *(m for some in second for m in some)]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    choice = lambda k: F.struct(F.lit(k).alias("choice"), F.col("key").bitwiseAND(signed(masks[k])).alias("shared"))
+    dealt = keys.select("*", F.explode(F.array(*map(choice, range(len(first))))).alias("c")).select(*keys.columns, "c.*")
+    where = [*by, "choice", "shared"]
+    if keys.count() > crowd:
+        crowded = durable(dealt.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select(*where))
+        if not crowded.isEmpty():
+            per = len(second[0])
+            again = F.array(*[F.array(*[choice(len(first) + k * per + j) for j in range(per)]) for k in range(len(first))])
+            busy = dealt.join(crowded, where, "left_semi").withColumn("c", F.explode(F.element_at(again, F.col("choice") + 1))).select(*keys.columns, "c.*")
+            dealt = dealt.join(crowded, where, "left_anti").select(*busy.columns).unionByName(busy)
+    return dealt, masks
+
+
+def pairs_of(keys: np.ndarray, mask: int, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, within the budget, of keys that agree in the mask's bits."""
+    moved, rest = arranged(keys, mask, bits), bits - mask.bit_count()
+    order = np.argsort(moved, kind="stable")
+    moved = moved[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(moved >> np.uint64(rest)) > 0]))
+    ends = np.append(starts[1:], len(moved))
+    big = ends - starts > 1
+    for i, j in trie_pairs(moved, starts[big], ends[big], rest, budget):
+        yield order[i], order[j]
+
+
+def trie_links(prints: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (fp) that connect all of them within the budget."""
+    dealt, masks = subtrees(prints.select(F.col("fp").alias("key")), BITS, budget, 2, crowd)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        choice = np.concatenate([b.column(0).to_numpy() for b in got]) if got else np.zeros(0, np.int32)
+        keys = np.concatenate([b.column(1).to_numpy() for b in got]).view(np.uint64) if got else np.zeros(0, np.uint64)
+        for c in np.unique(choice).tolist():
+            own = keys[choice == c]
+            edges = np.array(forest(len(own), pairs_of(own, masks[c], BITS, budget)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(own[edges[:, k]].view(np.int64)) for k in (0, 1)], ["a", "b"])
+
+    tasks = max(spread(prints.sparkSession), 6 * prints.count() // TASK_ROWS + 1)
+    return dealt.repartition(tasks, "choice", "shared").select("choice", "key").mapInArrow(kernel, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,24 +237,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
-    fps = durable(fingerprints(docs, shingle))
-    reps = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    comps = components(trie_links(reps, budget, leaf))
-    label = reps.join(comps, reps.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(label, "fp", "left")
-
-
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, the one of the smallest doc_id (of repeated rows of that id, one); null ids stay.
-
-    The columns of documents are kept.
-    """
-    known = docs.where("doc_id is not null")
-    keep = near_duplicates(known, **options).where("doc_id = component_id").select("doc_id").distinct()
-    out = known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.select(*pick(docs.columns)).unionByName(docs.where("doc_id is null"))
+    fps = durable_table(fingerprints(docs, shingle))
+    known = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comps = components(trie_links(known.select("fp"), budget, crowd))
+    joined = known.join(comps, known.fp == comps.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    label = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    return fps.join(label, "fp")
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

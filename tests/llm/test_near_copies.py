@@ -1,11 +1,92 @@
-"""Near copies against brute-force Jaccard over all pairs."""
+"""Near copies against the Jaccard similarity of all pairs."""
+
+import random
 
 import pytest
 
 import corpus_pipeline
-from binloom.llm import near_copies
+from binloom.llm import near_copies, simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(docs, similarity=0.8):
+    """Component of every row (by position), from all pairs of distinct sets; and the linked pairs."""
+    sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for _, t in docs]
+    some = sorted(set(sets), key=len)
+    label = {s: s for s in some}
+
+    def find(s):
+        while label[s] is not s:
+            s = label[s]
+        return s
+
+    pairs = []
+    for i, s in enumerate(some):
+        for t in some[i + 1 :]:
+            if len(s) < similarity * len(t):
+                break
+            both = len(s & t)
+            if both and both >= similarity * (len(s) + len(t) - both) - 1e-9:
+                pairs.append((s, t))
+                label[find(s)] = find(t)
+    return [find(s) for s in sets], pairs, sets
+
+
+def same_groups(one, other):
+    seen = {}
+    return all(seen.setdefault(("a", x), y) == y and seen.setdefault(("b", y), x) == x for x, y in zip(one, other))
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    data = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
+    want, _, _ = brute(data)
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_copies(docs).collect()}
+    assert same_groups([got[d] for d, _ in data], want)
+    kept = near_copies.distinct_documents(docs)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+    first = {}
+    for (d, _), c in zip(data, want):
+        first[c] = min(first.get(c, d), d)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(first.values())
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 8])
+def test_families_of_near_copies(spark, crowd):
+    """Many variants of a few texts, at all similarities around the bound: no link is false, and few are lost."""
+    r = random.Random(7)
+    rows = []
+    for _ in range(12):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.choice([30, 120, 400]))]
+        for _ in range(40):
+            v = base.copy()
+            for _ in range(r.randrange(1 + len(base) // 25)):
+                v[r.randrange(len(v))] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    want, pairs, sets = brute(rows)
+    got = {x["doc_id"]: x["component"] for x in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crowd=crowd).collect()}
+    of = dict(zip(sets, (got[d] for d, _ in rows)))
+    assert sum(of[s] == of[t] for s, t in pairs) >= 0.9 * len(pairs)  # RECALL is for pairs just at the bound
+    label = {}
+    assert all(label.setdefault(got[d], c) == c for (d, _), c in zip(rows, want))  # nothing is joined that is not linked
+
+
+def test_odd_rows(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, text, "x"), (3, text.upper(), "y"), (None, text, "z"), (7, None, "a"), (8, "", "b"), (9, " \n ", "c"), (1, "aa bb cc dd", "d"), (1, "totally other words here now", "e"), (1, "aa bb cc dd", "d"), (None, "no id", "f"), (None, "no id", "f"), (2, "Der " * 900, "g"), (4, "Der " * 70, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = near_copies.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=repr) == sorted([rows[1], rows[3], rows[6], rows[7], rows[9], rows[11]], key=repr)
+    assert near_copies.distinct_documents(docs.limit(0)).count() == 0
+
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+def test_views_reach_the_recall():
+    for n in (1, 1000, 10**6, 10**10):
+        bits, views = near_copies.plan_views(n)
+        assert 16 <= bits <= 64 and views >= 1
+    assert near_copies.bit_rate(1.0) == 0 and 0.15 < near_copies.bit_rate(0.8) < 0.152
 
 
 def brute_kept(rows):
@@ -34,16 +115,14 @@ def test_stage_against_all_pairs(spark, sf):
     assert got == sorted(min(g)[1] for g in groups)
 
 
-def test_edges_of_similarity_and_odd_rows(spark, monkeypatch):
+def test_edges_of_similarity_and_odd_rows(spark):
     base = [f"w{i}" for i in range(44)]  # 40 shingles
     edit = lambda *at: " ".join("X" if i in at else w for i, w in enumerate(base))
     rows = [(1, " ".join(base)), (2, edit(43)), (3, edit(0, 1, 2, 3)), (4, edit(20)), (5, edit(10, 30)), (6, None), (7, " \n"), (8, "one two"), (9, "ONE  two")]
     rows += [(None, " ".join(base)), (None, "no id here at all"), (None, "no id here at all"), (10, "first text of this id"), (10, "second text, quite another one")]
-    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA).repartition(3)
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     groups = brute_kept(rows)
-    for common in (near_copies.COMMON, 1):  # with few and with all shingles put last
-        monkeypatch.setattr(near_copies, "COMMON", common)
-        got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in near_copies.distinct_documents(docs).collect())
-        assert got == sorted(min(g)[:2] for g in groups)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in near_copies.distinct_documents(docs).collect())
+    assert got == sorted(min(g)[:2] for g in groups)
     assert (True, 0) in got and got.count((False, 10)) == 2
     assert near_copies.distinct_documents(docs.limit(0)).count() == 0

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from binloom.llm import decontaminate, html_mincut, merkle, mixing, quality, sharding, simhash, substrings, token_counts, toxicity
+from binloom.llm import decontaminate, html_mincut, merkle, mixing, near_copies, quality, sharding, simhash, substrings, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -89,7 +89,7 @@ def test_clashing_columns_give_way(spark, docs, labels):
     assert prints.columns == [*left("fingerprint"), "fingerprint"] and {r["fingerprint"][32] for r in prints.select("fingerprint").collect()} == {":"}
     shards = sharding.shard_documents(odd, [1.0] * 5)
     assert shards.columns == [*left("shard", "slot"), "shard", "slot"] and shards.where("shard between 0 and 4").count() == docs.count()
-    for whole in (lambda d: quality.accepted_documents(d, labels), simhash.representatives, lambda d: decontaminate.clean_documents(d, docs.limit(0).select(F.col("doc_id").alias("item_id"), "text")), mixing.mixed_corpus):
+    for whole in (lambda d: quality.accepted_documents(d, labels), near_copies.distinct_documents, lambda d: decontaminate.clean_documents(d, docs.limit(0).select(F.col("doc_id").alias("item_id"), "text")), mixing.mixed_corpus):
         assert rows(whole(odd).select("doc_id", "`a.b`", "__row")) == rows(whole(docs).select("doc_id", F.lit(14), F.lit(6)))
     pages = spark.createDataFrame([(1, "u", PAGE, "old", 7)], "page_id long, url string, html string, Text string, n_chars int")
     assert [c for c in html_mincut.extract_pages(pages).columns] == ["page_id", "url", "text", "n_chars"]
@@ -307,27 +307,51 @@ def brute_components(points, budget=2):
     return [least.get(find(i)) for i in range(len(points))]
 
 
-def test_simhash_and_components(docs, odd, empty):
-    for df in (docs, odd):
+@pytest.fixture(scope="module")
+def bridged(spark):
+    """Fingerprints that only a null id's text links: three words, and two near ones found by trying."""
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(400))
+    seeds = [text() for _ in range(40)]
+    near = [s.split() for s in seeds]
+    rows = [(i, s) for i, s in enumerate(seeds)]
+    for k, w in enumerate(near):
+        for j in range(6):
+            v = w.copy()
+            v[r.randrange(len(v))] = r.choice(["alpha", "beta", "omega"])
+            rows.append((None if j % 2 else 100 + 10 * k + j, " ".join(v)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_simhash_and_components(docs, odd, bridged, empty):
+    for df in (docs, odd, bridged):
         data = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
         points = [(d, brute_simhash(t)) for d, t in data]
         want = sorted(((d, f, c) for (d, f), c in zip(points, brute_components(points))), key=repr)
-        for leaf in (simhash.LEAF, 4):  # an uncut trie and a cut one
-            got = [(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(df, leaf=leaf).collect()]
+        for crowd in (simhash.CROWD, 1):  # subtrees whole, and all cut again
+            got = [(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(df, crowd=crowd).collect()]
             assert sorted(got, key=repr) == want
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.representatives(odd)
-    assert kept.columns == odd.columns and kept.select("doc_id").distinct().count() == kept.count()
 
 
 def test_trie_pairs_find_every_link():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 20, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[b ^ (np.uint64(1) << r.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 30, dtype=np.uint64)) for b in base]]))
+    pairs = lambda found: {(min(x, y), max(x, y)) for a, b in found for x, y in zip(a.tolist(), b.tolist())}
     for budget in (0, 1, 2, 3):
-        got = {(int(i), int(j)) for a, b in simhash.trie_pairs(fps, None, 0, 0, budget) for i, j in zip(a, b)}
         want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= budget}
-        assert got == want
+        assert pairs(simhash.trie_pairs(fps, np.array([0]), np.array([len(fps)]), 64, budget)) == want
+        for equal in (1, 2):  # every link agrees in some choice of parts, also when these are cut again
+            masks = simhash.agreements(64, budget, equal)
+            assert set().union(*(pairs(simhash.pairs_of(fps, m, 64, budget)) for m in masks)) == want
+            assert set().union(*(pairs(simhash.pairs_of(fps, k, 64, budget)) for m in masks for k in simhash.agreements(64, budget, equal, m))) == want
+
+
+def test_long_text_is_hashed_in_steps():
+    r = random.Random(0)
+    text = " ".join(str(r.randrange(10**6)) for _ in range(150_000))
+    assert simhash.simhash(text.encode()) == brute_simhash(text)
 
 
 # 10
