@@ -77,6 +77,50 @@ def test_names_that_tell_of_other_elements():
     assert html_mincut.extract(page) == "Title\n\nThe text of the page, long enough to be one."
 
 
+MENU = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul>"
+LINES = ["The title", "First paragraph of the story, with enough words to be one.", "Of", "Another paragraph that is long enough to be text, as before."]
+STORY = f"<h1>{LINES[0]}</h1>" + "".join(f"<p>{x}</p>" for x in LINES[1:])
+
+
+@pytest.mark.parametrize("name", ["story-form", "text search-result", "side-story", "article tags-2", "article-comments-enabled", "search", "comments", "sidebar menu"])
+def test_a_name_around_the_article_does_not_drop_it(name):
+    page = f"<body><nav>{MENU}</nav><div class='{name}'><article>{STORY}</article></div><div class=ad>Buy our things now, they are good.</div><footer>us</footer></body>"
+    assert html_mincut.extract(page) == "\n\n".join(LINES)
+
+
+def test_the_cut_outvotes_the_classifier():
+    """Neutral names, no article: neighbours keep a line that looks like none, and drop a comment that looks like text."""
+    remark = "<h3>2 comments</h3><p>I liked this one a lot, thank you for it.</p><p>Bob</p>"
+    more = "And one more that goes on for a while, to fill the page with words."
+    page = f"<div class=a1>{MENU}</div><div class=a2>{STORY}<ul><li>Point</li><li>Item</li></ul><p><a href=x>The source</a></p><p>{more}</p></div><div class=a3>{remark}</div><div class=a4>Copyright us</div>"
+    assert html_mincut.extract(page) == "\n\n".join([*LINES, "Point", "Item", "The source", more])
+    assert html_mincut.extract(page, smoothness=0.0) != html_mincut.extract(page)
+    blocks, elements = html_mincut.blocks_of(page)
+    costs = html_mincut.costs_of(blocks, elements)
+    keep = html_mincut.minimum_cut(costs, html_mincut.edges_of(blocks))
+    assert {b.text for b, c, k in zip(blocks, costs, keep) if (c > 0) != k} == {"I liked this one a lot, thank you for it.", "The source"}
+
+
+def test_boilerplate_beside_and_inside_an_article():
+    remarks = "<section class='comments'><article><p>First reader comment, quite long, with many words in it.</p></article><article><p>Another one.</p></article></section>"
+    inside = "<aside>By the way, something else.</aside><div class='ad-box'><p>Buy our things now, they are really good, and cheap.</p></div>"
+    half = STORY.replace("<p>Of</p>", f"{inside}<p>Of</p>")
+    page = f"<header><h1>Site</h1></header><main><article><header><h1>{LINES[0]}</h1></header>{half.replace(f'<h1>{LINES[0]}</h1>', '')}</article></main>{remarks}<div class=x><p>A teaser of some length, for another page.</p></div>"
+    assert html_mincut.extract(page) == "\n\n".join(LINES)
+
+
+def test_nesting_costs_nothing():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert html_mincut.extract("<div><b>x</i>" * n + "</p>" * n) is not None
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 16 * seconds(2000) + 0.5
+
+
 def test_clashing_columns_give_way(spark, docs, labels):
     """Extra columns with an operator's own names, dots in them or not: the result's columns take their place, others stay."""
     taken = "score Shard slot fingerprint utf8 __score __row __cell __shard hash id row size y a.b".split()
