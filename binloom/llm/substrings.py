@@ -39,8 +39,8 @@ from binloom.llm.common import Roller, buffers, durable_table, groups_of, mix64,
 WIDTH, GRAM, GRID = 200, 32, 24
 #: Bytes that one step of the anchor scan handles; a longer text is scanned in overlapping pieces.
 STEP = 1 << 20
-#: Suffixes that a bucket has in the mean.
-BUCKET_ROWS = 50_000
+#: Suffixes that a bucket has in the mean, and tasks that they are dealt to at most (a task may hold several buckets).
+BUCKET_ROWS, MAX_TASKS = 50_000, 20_000
 _PLACE_BITS = 22
 
 
@@ -257,13 +257,26 @@ def bucket_matches(t: pa.Table, width: int, grid: int) -> tuple[np.ndarray, np.n
 _HIT = "doc_id long, tie long, low long, high long, h1 long, h2 long, n int"
 
 
-def search_buckets(suffixes: DataFrame, buckets: int, width: int, grid: int) -> DataFrame:
-    """(doc_id, tie, low, high) of repeated windows, from sorted buckets and a comparison across their boundaries."""
+def search_buckets(suffixes: DataFrame, rows: int, width: int, grid: int, bucket_rows: int, max_tasks: int) -> DataFrame:
+    """(doc_id, tie, low, high) of repeated windows, from sorted buckets and a comparison across their boundaries.
+
+    A task is a bucket while max_tasks of them do; beyond, a task's suffixes come sorted and are cut into buckets there.
+    """
+    buckets = rows // bucket_rows + 1
+    several = buckets > max_tasks
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
+        got, size = [], 0
+        for batch in batches:
+            got.append(batch)
+            size += batch.num_rows
+            if several and size >= bucket_rows:
+                yield from bucket(got)
+                got, size = [], 0
+        if size:
+            yield from bucket(got)
+
+    def bucket(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(got).combine_chunks()
         ids, ties, start, once = t["doc_id"], t["tie"], t["start"].to_numpy(), t["once"].to_numpy(zero_copy_only=False)
         rows, offsets, ends, end_offsets = bucket_matches(t, width, grid)
@@ -293,14 +306,16 @@ def search_buckets(suffixes: DataFrame, buckets: int, width: int, grid: int) ->
             # n: places in this bucket; 1 is the place itself, open if it is the run's only one.
             yield from out(r, low, low, h1, h2, np.where(once[r] | (n > 1), n, 2))
 
-    found = durable_table(suffixes.repartitionByRange(buckets, "suffix", "left", "doc_id", "start").mapInArrow(kernel, _HIT))
+    order = ["suffix", "left", "doc_id", "start"]
+    dealt = suffixes.repartitionByRange(min(buckets, max_tasks), *order)
+    found = durable_table((dealt.sortWithinPartitions(*order) if several else dealt).mapInArrow(kernel, _HIT))
     inside = found.where("n = 0").select("doc_id", "tie", "low", "high")
     alone = F.when(F.col("n") == 1, F.struct("doc_id", "tie", "low", "high"))
     across = found.where("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.collect_list(alone).alias("places"))  # a place a bucket
     return inside.unionByName(across.where("n > 1").select(F.explode("places").alias("p")).select("p.*"))
 
 
-def repeated_places(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, grid: int = GRID, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def repeated_places(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, grid: int = GRID, bucket_rows: int = BUCKET_ROWS, max_tasks: int = MAX_TASKS) -> DataFrame:
     """(doc_id, tie, low, high): windows starting at bytes low to high are repeated. docs: (doc_id, tie, text binary)."""
     rows = durable_table(anchors(docs.where(F.octet_length("text") >= width), width, gram))
     places = rows.where("n > 0")
@@ -316,20 +331,20 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, grid:
     per_doc = open_runs.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("low", "high", "once")).alias("open"))
     with_open = docs.join(per_doc.withColumnsRenamed({"doc_id": "d2", "tie": "t2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tie") == F.col("t2")))
     suffixes = durable_table(open_suffixes(with_open.select("doc_id", "tie", "text", "open"), width, gram, grid))
-    buckets = max(1, min(suffixes.count() // bucket_rows + 1, 100_000))
-    return settled.unionByName(search_buckets(suffixes, buckets, width, grid))
+    return settled.unionByName(search_buckets(suffixes, suffixes.count(), width, grid, bucket_rows, max_tasks))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, text): the tie (a crc32) tells apart rows of one id; equal rows have equal places and results."""
+    """(doc_id, tie, text): the tie, 64 bits of a digest of length and bytes, tells apart rows of one id; equal rows have
+    equal places and results. Only rows of one id (or of none) could meet, a billion of them with a chance of one in 36."""
     text = utf8("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("tie"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.octet_length(text), F.md5(text)).alias("tie"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, grid: int = GRID, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, grid: int = GRID, bucket_rows: int = BUCKET_ROWS, max_tasks: int = MAX_TASKS) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the bytes removed, as [from, to) spans, and those left, of every document."""
     keyed = _identified(docs)
-    places = repeated_places(keyed, width, gram, grid, bucket_rows)
+    places = repeated_places(keyed, width, gram, grid, bucket_rows, max_tasks)
     spans = places.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("low", "high")).alias("places")).withColumnsRenamed({"doc_id": "d2", "tie": "t2"})
     both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tie") == F.col("t2")), "left").select("doc_id", "text", "places")
 

@@ -260,13 +260,18 @@ def brute_windows(docs, items, window=10):
 def test_decontamination(spark, docs, odd, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     short = spark.createDataFrame([(900, "Same TEXT"), (901, "one"), (902, None), (903, " ... "), (904, "漢字 🙂 test"), (10, PASSAGE), (10, PASSAGE)], "item_id long, text string")
-    for df, b in ((docs, bench), (odd, short), (docs, short)):
+    thue = "a"  # a word of 1,024 letters and its opposite, which a linear hash of the bytes cannot tell apart
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    words = spark.createDataFrame([(1, other), (2, thue), (3, "x " * 30 + thue + " " + PASSAGE * 40), (4, (thue + " ") * 30 + PASSAGE)], "doc_id long, text string")
+    for df, b in ((docs, bench), (odd, short), (docs, short), (words, short), (words, spark.createDataFrame([(1, thue), (2, PASSAGE)], "item_id long, text string"))):
         want = sorted(brute_windows([(r[0], r[1]) for r in df.select("doc_id", "text").collect()], [tuple(r) for r in b.collect()]), key=repr)
-        for size in (decontaminate.BLOCK_BYTES, 300):  # one block or several
-            got = rows(decontaminate.find_windows(df, b, block_bytes=size).select("doc_id", "n_words", "n_hit", "item_ids"))
-            assert got == want
-        clean = Counter(r[0] for r in decontaminate.clean_documents(df, b).collect())
-        assert clean == Counter(w[0] for w in want if not w[2])
+        for size, shard in ((decontaminate.BLOCK_BYTES, decontaminate.SHARD_BYTES), (decontaminate.BLOCK_BYTES, 700), (1500, decontaminate.SHARD_BYTES)):  # one block or several; texts whole or in pieces
+            found = decontaminate.find_windows(df, b, block_bytes=size, shard_bytes=shard)
+            assert rows(found.select("doc_id", "n_words", "n_hit", "item_ids")) == want
+            clean = Counter(r[0] for r in decontaminate.clean_documents(df, b, block_bytes=size, shard_bytes=shard).collect())
+            assert clean == Counter(w[0] for w in want if not w[2])
     assert decontaminate.clean_documents(empty, bench).count() == 0
     assert decontaminate.clean_documents(odd, bench.limit(0)).count() == odd.count()
 
@@ -435,5 +440,43 @@ def test_repeats_across_many_buckets(spark):
     texts = [near() + core + near() + ("" if r.random() < 0.5 else core[: r.randint(20, 60)]) for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted(brute_repeats([t.encode() for t in texts], 40))
-    for bucket_rows in (50_000, 40):  # groups inside a bucket, and over the boundaries of many
-        assert digest(substrings.remove_repeats(df, 40, 16, 12, bucket_rows)) == want
+    for bucket_rows, tasks in ((50_000, 100), (40, 10_000), (40, 3)):  # groups inside a bucket, over many, and many in a task
+        assert digest(substrings.remove_repeats(df, 40, 16, 12, bucket_rows, tasks)) == want
+
+
+def crc_pair():
+    """Two texts of one length and crc32, of which only one holds a passage: four bytes are set so that they agree."""
+    import zlib
+
+    one = b"first " + b"0123456789" * 26 + b" end of it"
+    base = bytes(b"zyx" * 200)[: len(one) - 4]
+    table = {zlib.crc32(b"\0" * len(base) + (1 << k).to_bytes(4, "little")) ^ zlib.crc32(b"\0" * (len(base) + 4)): 1 << k for k in range(32)}
+    need, rows, four = zlib.crc32(one) ^ zlib.crc32(base + b"\0" * 4), list(table.items()), 0
+    for bit in range(31, -1, -1):  # elimination over the bits
+        pivot = next(((c, v) for c, v in rows if c >> bit & 1), None)
+        if pivot is None:
+            continue
+        rows = [(c ^ pivot[0], v ^ pivot[1]) if c >> bit & 1 else (c, v) for c, v in rows if (c, v) != pivot]
+        if need >> bit & 1:
+            need, four = need ^ pivot[0], four ^ pivot[1]
+    two = base + four.to_bytes(4, "little")
+    assert zlib.crc32(one) == zlib.crc32(two) and len(one) == len(two)
+    return one, two
+
+
+def test_rows_of_one_id_and_crc_keep_their_own_spans(spark):
+    one, two = crc_pair()
+    texts = [one, two, b"before " + one[:230]]
+    df = spark.createDataFrame([(None, bytearray(t)) for t in texts[:2]] + [(4, bytearray(texts[2]))], "doc_id long, text binary")
+    assert digest(substrings.remove_repeats(df)) == sorted(brute_repeats(texts, 200))
+
+
+def test_a_text_of_many_steps(spark):
+    """5 MB with passages over the cuts between steps, and their copies in other documents."""
+    r = random.Random(9)
+    long = bytearray(r.randbytes(5 << 19).hex().encode())
+    places = [(1 << 20) - 100, (2 << 20) - 300, (3 << 20) + 5, len(long) - 400]
+    rows = [(0, bytes(long))] + [(k + 1, b"x%d " % k + bytes(long[p : p + 250 + 20 * k]) + b" y%d" % k) for k, p in enumerate(places)]
+    got = {x["doc_id"]: x for x in substrings.remove_repeats(spark.createDataFrame([(k, bytearray(t)) for k, t in rows], "doc_id long, text binary")).collect()}
+    assert [(s["from_byte"], s["to_byte"]) for s in got[0]["spans"]] == [(p, min(len(long), p + 250 + 20 * k)) for k, p in enumerate(places)]
+    assert all([(s["from_byte"], s["to_byte"]) for s in got[k + 1]["spans"]] == [(3, 253 + 20 * k)] for k in range(4))
