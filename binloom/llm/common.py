@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,20 @@ def row_identity(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(F.concat(tag, F.lit(":")).cast("binary"), utf8(text_col))))
 
 
+def cells_for(rows: int, least: int = 1024, mean: int = 1 << 16) -> int:
+    """A power of two: how many cells rows are dealt to, so that one has about `mean` rows at most."""
+    return max(least, 1 << (rows // mean).bit_length())
+
+
+def each_copy(df: DataFrame, n: str, copy: str, step: int = 1 << 16) -> DataFrame:
+    """A row for each of the n copies that a row stands for, numbered 0 to n - 1 as `copy`; many copies by many tasks."""
+    count, columns = F.col(n), pick(df.columns)
+    blocks = df.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / step).cast("long"))).alias("__block"))
+    few, many = blocks.where(count <= step), blocks.where(count > step).repartition(F.xxhash64("__block", *columns))
+    last = F.least(count - 1, (F.col("__block") + 1) * step - 1)
+    return few.unionByName(many).select(*columns, F.explode(F.sequence(F.col("__block") * step, last)).alias(copy))
+
+
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
@@ -123,6 +138,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight bytes at a time are mixed in, so that no step is linear."""
+    size = end - start
+    out = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded.tobytes(), strides=(1,))
+    todo = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(todo):
+        left = np.minimum(size[todo] - at, 8).astype(np.uint64)
+        chunk = eight[start[todo] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        out[todo] = mix64((out[todo] ^ mix64(chunk)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(at + 1))
+        at += 8
+        todo = todo[size[todo] > at]
+    view = memoryview(data)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(view[start[k] : end[k]])
+    return out
+
+
 class Roller:
     """Hashes of substrings from prefix sums: h(i, j) = sum r[byte] * B^(t-i), modulo 2^64, r a fixed random table."""
 

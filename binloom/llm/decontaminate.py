@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import buffers, durable_table, groups_of, mix64, numbered, pick, row_identity, table, utf8
+from binloom.llm.common import buffers, durable_table, groups_of, hashes_of, numbered, pick, row_identity, table, utf8
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one block holds, and bytes of documents that a shard holds.
@@ -42,30 +41,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-#: Words of more bytes than this are hashed one by one.
-LONG_WORD = 256
-
-
-def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: eight bytes at a time are mixed in, so that no step is linear."""
-    size = end - start
-    out = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded.tobytes(), strides=(1,))
-    todo = np.flatnonzero(size <= LONG_WORD)
-    at = 0
-    while len(todo):
-        left = np.minimum(size[todo] - at, 8).astype(np.uint64)
-        chunk = eight[start[todo] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
-        out[todo] = mix64((out[todo] ^ mix64(chunk)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(at + 1))
-        at += 8
-        todo = todo[size[todo] > at]
-    view = memoryview(data)
-    for k in np.flatnonzero(size > LONG_WORD).tolist():
-        out[k] = xxhash.xxh3_64_intdigest(view[start[k] : end[k]])
-    return out
-
-
 def words_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of each word in the bytes; no word spans an edge (the offset where a text begins)."""
     inside = _IS_WORD[data]

@@ -6,24 +6,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm.common import fold_of
+from binloom.llm.common import fold_of, utf8
 
-#: A classifier is fitted on about this many labelled rows at most, chosen by a hash of the id.
+#: A classifier is fitted on about this many labelled documents at most, chosen by a hash of id and text.
 SAMPLE_ROWS = 20_000
 
 
-def training_labels(labels: DataFrame, label: str, folds: int, held: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, y) of labelled rows outside the held fold; of several labels of an id the largest; nulls are no labels."""
+def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(id, hash, text, y) of documents with a label outside the held fold, each different text of an id once.
+
+    Of several labels of an id the largest counts; nulls are no labels.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold_of("doc_id", folds) != held))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
-    total = known.count()
-    share = min(1.0, rows / max(total, 1))
-    return known.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
+    text = utf8("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    return rows.join(known, "id").dropDuplicates(["id", "hash"])
 
 
-def training_docs(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """(text, y) of the sampled rows. The sample is broadcast: its size is bounded by SAMPLE_ROWS."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(train), "id").select("text", "y")
+def sampled(rows: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
+    """About `bound` of the rows (id, hash) at most, the same ones each time."""
+    share = min(1.0, bound / max(rows.count(), 1))
+    return rows.where(F.pmod(F.xxhash64("id", "hash", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -4,8 +4,9 @@ Every (key, shard) pair gets a uniform number u from a 64-bit hash; a record goe
 -ln(u) / weight. A record's choice among the old shards does not change when a shard is added, so rows move only into
 the new one, a share of them equal to its share of the weights.
 
-Slots number the rows of a shard from 0 without a gap. A shard is cut into `cells` by a hash of the key; rows are
-numbered inside a cell, and a cell starts where the cells before it end, so no task ever sees a whole shard.
+Slots number the rows of a shard from 0 without a gap. A shard is cut into `cells` by a hash of key and text, as many as
+the rows ask for; rows are numbered inside a cell, and a cell starts where the cells before it end, so no task ever sees
+a whole shard, nor all rows of a repeated or null key. Equal rows of `shard_records` are one row with a count until then.
 
 Defined results: a null key is a key like any other (its rows meet in one shard); a null text has size `overhead` and
 crc32 0; empty text likewise; repeated rows and equal keys share a shard and get slots of their own; an empty table gives
@@ -20,9 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binloom.llm.common import pick, table, without
-
-CELLS = 4096
+from binloom.llm.common import cells_for, each_copy, pick, table, without
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -37,15 +36,13 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*costs) if len(costs) > 1 else costs[0])["shard"]
 
 
-def number_slots(df: DataFrame, shard: str, order: Sequence[Column], key: Column, slot: str, cells: int = CELLS) -> DataFrame:
-    """Add `slot`: 0, 1, 2 ... within each shard, by cell and then by `order`."""
-    celled = df.withColumn("__cell", F.pmod(F.xxhash64(key, F.lit("cell")), F.lit(cells)))
-    starts = (
-        celled.groupBy(shard, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__start", F.sum("__n").over(Window.partitionBy(shard).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(F.col(shard).alias("__shard"), F.col("__cell").alias("__cell2"), F.coalesce("__start", F.lit(0)).alias("__start"))
-    )
-    inside = F.row_number().over(Window.partitionBy(shard, "__cell").orderBy(*order)) - 1
+def number_slots(df: DataFrame, shard: str, order: Sequence[Column], cell: Column, slot: str, cells: int, n: Column | None = None) -> DataFrame:
+    """Add `slot`: 0, 1, 2 ... within each shard, by cell and then by `order`; a row that stands for n takes n of them."""
+    n = F.lit(1) if n is None else n
+    celled = df.withColumn("__cell", F.pmod(F.xxhash64(cell, F.lit("cell")), F.lit(cells)))
+    before = Window.partitionBy(shard).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a cell
+    starts = celled.groupBy(shard, "__cell").agg(F.sum(n).alias("__n")).select(F.col(shard).alias("__shard"), F.col("__cell").alias("__cell2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(shard, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         celled.withColumn("__inside", inside)
         .join(starts, (F.col(shard) == F.col("__shard")) & (F.col("__cell") == F.col("__cell2")))
@@ -54,24 +51,29 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[Column], key: Column
     )
 
 
-def shard_records(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, grown: Sequence[float] | None = None, cells: int = CELLS) -> DataFrame:
+def shard_records(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, grown: Sequence[float] | None = None, cells: int | None = None) -> DataFrame:
     """One row per document: id, size, text_crc32, shard, slot and, if `grown` weights are given, the shard under those."""
     text = F.col(text_col).cast("binary")
-    out = docs.select(
+    rows = docs.select(
         F.col(id_col),
         (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("text_crc32"),
+    ).groupBy(id_col, "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select(
+        "*",
         rendezvous(F.col(id_col), weights).cast("int").alias("shard"),
         (rendezvous(F.col(id_col), grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    return number_slots(out, "shard", [F.col(id_col).asc_nulls_first(), F.col("text_crc32"), F.col("size")], F.col(id_col), "slot", cells)
+    order = [F.col(id_col).asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    out = number_slots(rows, "shard", order, F.struct(F.col(id_col), F.col("text_crc32")), "first_slot", cells or cells_for(docs.count()), F.col("n"))
+    return each_copy(out, "n", "copy").withColumn("slot", F.col("first_slot") + F.col("copy")).select(id_col, "size", "text_crc32", "shard", "grown_shard", "slot")
 
 
-def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
     """All columns of docs with `shard` and `slot`."""
     row = F.struct(*pick(without(docs.columns, "shard", "slot")))  # packed, so that no name meets those used here
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), rendezvous(F.col(id_col), weights).cast("int").alias("shard"), row.alias("row"))
-    out = number_slots(out, "shard", [F.col("id").asc_nulls_first(), F.col("hash")], F.col("id"), "slot", cells)
+    out = number_slots(out, "shard", [F.col("id").asc_nulls_first(), F.col("hash")], F.struct("id", "hash"), "slot", cells or cells_for(docs.count()))
     return out.select("row.*", "shard", "slot")
 
 

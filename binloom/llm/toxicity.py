@@ -5,7 +5,8 @@ ratio r = ln((df in toxic + a) / (toxic rows + 2a)) - the same for clean is coun
 most (by the chi-square of their counts) are the features, with value r * (1 + ln tf), and a logistic fit gives their
 weights. A score needs one pass over a text's characters, with a table of 2^20 entries.
 
-The model is fitted on a bounded sample of the labelled rows (linear.SAMPLE_ROWS); every document is scored whole.
+The model is fitted on a bounded sample of the labelled documents (linear.SAMPLE_ROWS) and has FEATURES features; every
+document is scored whole, a very long one in pieces.
 
 Defined results: null and empty texts have no n-grams and get the score of the bias; a text shorter than the shortest
 n-gram likewise; equal texts have equal scores; repeated ids are scored each for itself; without any labels of a class
@@ -23,41 +24,72 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.llm.common import Roller, fold_of, mix64, table
-from binloom.llm.linear import SAMPLE_ROWS, fit_logistic, sigmoid, training_docs, training_labels
+from binloom.llm.common import Roller, durable_table, fold_of, mix64, table, utf8
+from binloom.llm.linear import SAMPLE_ROWS, fit_logistic, labelled_documents, sampled, sigmoid
 
 ORDERS, BUCKET_BITS, FEATURES, SMOOTH, L2 = (3, 4, 5, 6), 20, 768, 1.0, 1.0
 #: Tasks that count n-grams of the (bounded) sample, and characters that one step handles.
 TRAIN_TASKS, STEP_CHARS = 8, 1 << 19
 
 
-def gram_steps(texts: list[str], orders: tuple[int, ...], roll: Roller) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row, bucket) of the n-grams of some texts at a time; a text longer than a step is a step."""
-    a = 0
+def gram_steps(texts: list[str], orders: tuple[int, ...], roll: Roller, step: int = STEP_CHARS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first row, rows, row, bucket, whether the rows end here) of the n-grams of some texts at a time.
+
+    A text of more than two steps comes in pieces that overlap by the longest n-gram less one; each n-gram is in one."""
+    a, reach = 0, max(orders) - 1
     while a < len(texts):
         b, chars = a, 0
-        while b < len(texts) and (b == a or chars + len(texts[b]) <= STEP_CHARS):
+        while b < len(texts) and (b == a or chars + len(texts[b]) <= step):
             chars += len(texts[b])
             b += 1
         lowered = [t.lower() for t in texts[a:b]]
-        codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum([len(t) for t in lowered])
-        row = np.repeat(np.arange(b - a), np.diff(np.concatenate([[0], ends])))
-        roll.grow(len(codes))
-        pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * roll.up[: len(codes)])])
-        rows, buckets = [], []
-        for n in orders:
-            if len(codes) >= n:
-                fits = np.arange(n, len(codes) + 1) <= ends[row[: len(codes) - n + 1]]
-                h = roll.grams(np.append(pre, pre[-1]), n)[: len(codes) - n + 1][fits] * np.uint64(2 * n + 0x9E3779B97F4A7C15)
-                rows.append(row[: len(codes) - n + 1][fits])
-                buckets.append((mix64(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-        yield a, b - a, np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
+        if b > a + 1 or len(lowered[0]) <= 2 * step:
+            yield a, b - a, *_grams(lowered, orders, roll, None), True
+        else:
+            for at in range(0, len(lowered[0]), step):
+                yield a, 1, *_grams([lowered[0][at : at + step + reach]], orders, roll, step), at + step >= len(lowered[0])
         a = b
 
 
+def _grams(texts: list[str], orders: tuple[int, ...], roll: Roller, first: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the n-grams, of those that begin among the first characters if a number of these is given."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) for t in texts])
+    row = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))
+    roll.grow(len(codes))
+    pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * roll.up[: len(codes)])])
+    rows, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in orders:
+        if len(codes) >= n:
+            fits = np.arange(n, len(codes) + 1) <= ends[row[: len(codes) - n + 1]]
+            if first is not None:
+                fits[first:] = False
+            h = roll.grams(np.append(pre, pre[-1]), n)[: len(codes) - n + 1][fits] * np.uint64(2 * n + 0x9E3779B97F4A7C15)
+            rows.append(row[: len(codes) - n + 1][fits])
+            buckets.append((mix64(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(buckets)
+
+
 def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+    return [t.decode("utf-8", "replace") if t else "" for t in column.to_pylist()]
+
+
+def _counted(texts: list[str], orders: tuple[int, ...], roll: Roller, of: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, row, what, count): how often each row has each bucket, or each feature that `of` makes of them."""
+    held: list[tuple] = []
+    for a, n, row, bucket, done in gram_steps(texts, orders, roll):
+        if of is not None:
+            bucket = of[bucket]
+            row, bucket = row[bucket >= 0], bucket[bucket >= 0]
+        key, count = np.unique(row << BUCKET_BITS | bucket, return_counts=True)
+        if held or not done:
+            held.append((key, count))
+            if not done:
+                continue
+            key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            count = np.bincount(place, np.concatenate([c for _, c in held])).astype(np.int64)
+            held = []
+        yield a, n, key >> BUCKET_BITS, key & (1 << BUCKET_BITS) - 1, count
 
 
 def _count_grams(train: DataFrame, orders: tuple[int, ...]) -> DataFrame:
@@ -65,26 +97,16 @@ def _count_grams(train: DataFrame, orders: tuple[int, ...]) -> DataFrame:
         roll, df = Roller(STEP_CHARS), np.zeros((2, 1 << BUCKET_BITS), np.int32)
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, _, row, bucket in gram_steps(_texts(batch.column(0)), orders, roll):
-                key = np.unique(row << BUCKET_BITS | bucket)
-                toxic = y[a + (key >> BUCKET_BITS)] > 0
+            for a, _, row, bucket, _ in _counted(_texts(batch.column(0)), orders, roll, None):
+                toxic = y[a + row] > 0
                 for k in (0, 1):
-                    df[k] += np.bincount((key & ((1 << BUCKET_BITS) - 1))[toxic == bool(k)], minlength=1 << BUCKET_BITS).astype(np.int32)
+                    df[k] += np.bincount(bucket[toxic == bool(k)], minlength=1 << BUCKET_BITS).astype(np.int32)
         some = np.flatnonzero(df.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[0][some]), pa.array(df[1][some])], ["bucket", "clean", "toxic"])
 
     return train.mapInArrow(kernel, "bucket int, clean int, toxic int").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def _features(column: pa.Array, orders: tuple[int, ...], index: np.ndarray, roll: Roller) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, rows, row, feature, tf): what the texts have of the chosen features."""
-    for a, n, row, bucket in gram_steps(_texts(column), orders, roll):
-        feature = index[bucket]
-        hit = feature >= 0
-        key, tf = np.unique(row[hit] << 16 | feature[hit], return_counts=True)
-        yield a, n, key >> 16, key & 0xFFFF, tf
-
-
 class ToxicityModel:
     """What a score needs: the table of features, their ratios and weights."""
 
@@ -94,7 +116,7 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, orders: tuple[int, ...] = ORDERS, features: int = FEATURES, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on labelled rows outside the held fold (at most about `rows` of them)."""
-    train = training_docs(docs, training_labels(labels, label, folds, held, rows)).repartition(TRAIN_TASKS)
+    train = durable_table(sampled(labelled_documents(docs, labels, label, folds, held), rows).select("text", "y").repartition(TRAIN_TASKS))
     sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     index = np.full(1 << BUCKET_BITS, -1, np.int32)
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -112,9 +134,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Roller(STEP_CHARS)
         for batch in batches:
-            for a, n, row, feature, tf in _features(batch.column(0), orders, sent.value, roll):
+            for a, n, row, feature, tf in _counted(_texts(batch.column(0)), orders, roll, sent.value):
                 cuts = np.searchsorted(row, np.arange(1, n))
-                order = [xxhash.xxh3_64_intdigest(t.encode()) >> 1 for t in _texts(batch.column(0).slice(a, n))]
+                order = [xxhash.xxh3_64_intdigest(t or b"") >> 1 for t in batch.column(0).slice(a, n).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n), pa.array(order, pa.int64()), pa.array(np.split(feature.astype(np.int32), cuts), pa.list_(pa.int32())), pa.array(np.split(tf.astype(np.int32), cuts), pa.list_(pa.int32()))], ["y", "order", "f", "tf"])
 
     got = train.mapInArrow(kernel, "y int, order long, f array<int>, tf array<int>").toArrow().combine_chunks()  # bounded by `rows`
@@ -135,11 +157,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, roll = sent.value, Roller(STEP_CHARS)
         for batch in batches:
-            for a, n, row, feature, tf in _features(batch.column(1), m.orders, m.index, roll):
+            for a, n, row, feature, tf in _counted(_texts(batch.column(1)), m.orders, roll, m.index):
                 total = np.bincount(row, m.weights[feature] * (1 + np.log(tf)) if len(row) else None, minlength=n) + m.bias
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(sigmoid(total))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(kernel, "doc_id long, score double")
 
 
 def op2_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -156,6 +159,107 @@ def test_pages_and_odd_pages(spark):
 # 2 and 6
 
 
+def plain_mix(x):
+    m = (1 << 64) - 1
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & m
+    return x ^ x >> 32
+
+
+def plain_bucket(gram):
+    """The bucket of one n-gram, from its characters alone."""
+    base, m = 0x2545F4914F6CDD1D, (1 << 64) - 1
+    h = sum(plain_mix(ord(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(gram)) & m
+    return plain_mix(h * (2 * len(gram) + 0x9E3779B97F4A7C15) & m) >> 64 - toxicity.BUCKET_BITS
+
+
+def plain_grams(text):
+    low = (text or "").lower()
+    return Counter(plain_bucket(low[i : i + n]) for n in toxicity.ORDERS for i in range(len(low) - n + 1))
+
+
+def test_toxicity_against_a_plain_version(spark, docs, labels):
+    """Counts, ratios and scores from strings and dictionaries; the weights alone are the model's."""
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    train = [(texts[r["doc_id"]], r["toxic"]) for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    grams = [(plain_grams(t), y) for t, y in train]
+    df = {y: Counter(b for g, z in grams if z == y for b in g) for y in (0, 1)}
+    rows = toxicity.labelled_documents(docs, labels, "toxic", 5, 0).select("text", "y")
+    got = {r["bucket"]: (r["clean"], r["toxic"]) for r in toxicity._count_grams(rows, toxicity.ORDERS).collect()}
+    assert got == {b: (df[0][b], df[1][b]) for b in df[0].keys() | df[1].keys()}
+    model = toxicity.fit_toxicity(docs, labels)
+    chosen = {int(b): int(k) for b, k in enumerate(model.index) if k >= 0}
+    n = Counter(y for _, y in train)
+
+    def chi(b):
+        c, t = df[0][b], df[1][b]
+        return (n[0] + n[1]) * (t * n[0] - c * n[1]) ** 2 / (n[0] * n[1] * (c + t) * (n[0] + n[1] - c - t + 1))
+
+    able = [b for b in got if sum(got[b]) >= 3]
+    assert sorted(chosen) == sorted(sorted(able, key=lambda b: (-chi(b), b))[: toxicity.FEATURES])
+    for r in toxicity.score_toxicity(docs.where("doc_id < 30"), model).collect():
+        total = model.bias + sum(model.weights[chosen[b]] * (1 + math.log(tf)) for b, tf in plain_grams(texts[r["doc_id"]]).items() if b in chosen)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
+
+
+def test_a_text_in_pieces_has_the_grams_of_the_whole():
+    r = random.Random(3)
+    text = "".join(r.choice("abcdeÉß ") for _ in range(5000))
+    for step in (64, 997, 10_000):
+        found = Counter()
+        for *_, bucket, done in toxicity.gram_steps([text], toxicity.ORDERS, toxicity.Roller(100), step):
+            found.update(bucket.tolist())
+        assert done and found == plain_grams(text)
+
+
+def plain_features(text):
+    data = (text or "").encode()
+    size, words = max(len(data), 1), data.split(None)
+    words = [w for w in re.split(rb"[ \t\n\r\x0b\x0c]+", data) if w]
+    n, pairs = max(len(words), 1), list(zip(words, words[1:]))
+    share = lambda chars: sum(b in chars for b in data) / size
+    caps = sum(2 * sum(65 <= b < 91 for b in w) >= max(len(w), 3) for w in words) / n
+    return [
+        math.log1p(len(words)), sum(map(len, words)) / n, sum(len(w) > 12 for w in words) / n, share(range(65, 91)), share(range(48, 58)), share(b".!?"), share(b",;:"), share(b"|"),
+        share(b"#$%&*@^~=+<>_\\/{}[]"), share(b"\"'()-`"), share(range(128, 256)), share(b" \t\r\x0b\x0c"), share(b"\n"), len(set(words)) / n, len(set(pairs)) / max(len(words) - 1, 1),
+        sum(a == b for a, b in pairs) / n, max(Counter(words).values(), default=0) / n, caps, sum(65 <= w[0] < 91 for w in words) / n, math.log1p(len(words) / (data.count(b"\n") + 1)),
+    ]
+
+
+def test_quality_against_a_plain_version(spark, docs, labels, monkeypatch):
+    """Features from strings; the threshold as the quantile of all labelled; scores from steps one by one."""
+    texts = [*TEXTS, *(r["text"] for r in docs.limit(60).collect())]
+    data = [(t or "").encode() for t in texts]
+    edges = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    for step in (quality.STEP_BYTES, 100):
+        monkeypatch.setattr(quality, "STEP_BYTES", step)
+        x = quality.describe(np.frombuffer(b"".join(data), np.uint8), edges)
+        assert np.allclose(x, [plain_features(t) for t in texts])
+    monkeypatch.undo()
+    model = quality.fit_quality(docs, labels)
+    worth = lambda t: sum(w for w, on in zip(model.weights, (plain >= c for plain, cuts in zip(plain_features(t), model.cuts) for c in cuts)) if on)
+    of = {r["doc_id"]: r["text"] for r in docs.collect()}
+    train = [(worth(of[r["doc_id"]]), r["quality"]) for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    bad = sum(y == 0 for _, y in train)
+    assert sorted(w for w, _ in train)[bad - 1] == pytest.approx(model.threshold, abs=1e-6)
+    for r in quality.with_score(docs, model).where("doc_id < 40").collect():
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(worth(r["text"]) - model.threshold + math.log(0.7 / 0.3)))), abs=1e-6)
+
+
+def test_every_row_of_both_classes_is_in_pairs():
+    for n, m in ((3, 50), (1, 1), (200, 7)):
+        winner, loser = quality.pairings(np.arange(n), 1000 + np.arange(m), 4)
+        for side, size in ((winner, n), (loser, m)):
+            assert len(side) == 4 * max(n, m) and min(Counter(side.tolist()).values()) >= 4 * max(n, m) // size and len(set(side.tolist())) == size
+
+
+def test_the_sample_is_bounded_by_documents(spark):
+    """An id that repeats with other texts counts for each; repeated rows count once."""
+    docs = spark.createDataFrame([(1, f"text number {k}") for k in range(3000)] + [(2, "the same text")] * 500, "doc_id long, text string")
+    known = quality.labelled_documents(docs, spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int"), "quality", 4, 9)
+    assert known.count() == 3001 and 150 < quality.sampled(known, 300).count() < 450
+
+
 @pytest.mark.parametrize("fit, score, label", [(toxicity.fit_toxicity, toxicity.score_toxicity, "toxic"), (quality.fit_quality, quality.with_score, "quality")])
 def test_classifiers(spark, odd, empty, fit, score, label):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -176,6 +280,33 @@ def test_classifiers(spark, odd, empty, fit, score, label):
 # 3
 
 
+def plain_shard(key, shards):
+    """The shard of the least -ln(u), from XXH64 one key and shard at a time."""
+
+    def cost(shard):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return -math.log(((xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 11) + 0.5) * 2.0**-53)
+
+    return min(range(shards), key=cost)
+
+
+def test_sharding_against_a_plain_version(docs, odd):
+    for df in (docs, odd):
+        got = sharding.shard_records(df, [1.0] * 24, grown=[1.0] * 25).collect()
+        want = sorted(((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode()), plain_shard(r["doc_id"], 24), plain_shard(r["doc_id"], 25)) for r in df.select("doc_id", "text").collect()), key=repr)
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got), key=repr) == want
+
+
+def test_copies_by_many_tasks(spark):
+    from binloom.llm.common import each_copy
+
+    df = spark.createDataFrame([("a", 1), ("b", 10), ("c", 3)], "k string, n long")
+    assert rows(each_copy(df, "n", "copy", 3).select("k", "copy")) == sorted((k, i) for k, n in (("a", 1), ("b", 10), ("c", 3)) for i in range(n))
+    same = spark.createDataFrame([(7, "one text")] * 50 + [(None, f"text {i}") for i in range(50)] + [(None, "null id")] * 9, "doc_id long, text string")
+    got = sharding.shard_records(same, [1.0] * 3, cells=4).toPandas()
+    assert len(got) == 109 and got.groupby("shard").slot.agg(lambda s: sorted(s) == list(range(len(s)))).all()
+
+
 def test_sharding(odd, empty):
     got = sharding.shard_records(odd, [1.0] * 5, grown=[1.0] * 6, cells=4).toPandas()
     assert len(got) == odd.count() and (got.groupby("shard").slot.agg(lambda s: sorted(s) == list(range(len(s))))).all()
@@ -225,6 +356,48 @@ def test_mixing(docs, odd, empty):
     assert mixing.mixed_corpus(docs).columns == docs.columns
 
 
+def spark_hash(*values):
+    """XXH64 over columns as a chain of seeds, nulls left out."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v) if isinstance(v, int) else v.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_mix_against_a_plain_version(spark, docs, odd):
+    """Which words of which document are taken, and when, by walking the order of each source word by word."""
+    for df in (docs, odd, spark.createDataFrame([(1, "a b c", "x")] * 5 + [(None, "d e", "x"), (2, "f", None)], "doc_id long, text string, source string")):
+        data = [(r["doc_id"], r["text"], r["source"]) for r in df.select("doc_id", "text", "source").collect()]
+        size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        sources = sorted({s for *_, s in data}, key=lambda s: (s is None, s or ""))
+        totals = {s: sum(size(t) for _, t, z in data if z == s) for s in sources}
+        goal = water(totals, {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}, 1.5 * sum(totals.values()), 2)
+        want = []
+        for k, s in enumerate(sources):
+            rank = lambda r: (spark_hash(r[0], spark_hash(r[0], r[1]), "mix") % 1024, r[0] is not None, r[0] or 0, size(r[1]), spark_hash(r[0], r[1]))
+            order = sorted((r for r in data if r[2] == s), key=rank)
+            taken, first, at = [0] * len(order), [None] * len(order), 0
+            knots = mixing.SCHEDULES[k % 3]
+            grid = np.linspace(0, 1, 100_001)
+            w = np.interp(grid, *zip(*knots))
+            demand = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+            for _ in range(2):
+                for i, r in enumerate(order):
+                    n = max(0, min(size(r[1]), round(goal[s]) - at))
+                    if n and first[i] is None:
+                        first[i] = float(np.interp(at / goal[s], demand / demand[-1], grid))
+                    taken[i], at = taken[i] + n, at + size(r[1])
+            want += [(r[0], s, size(r[1]), taken[i], first[i]) for i, r in enumerate(order)]
+        got = [(r["doc_id"], r["source"], r["size"], r["taken"], r["positions"][0] if r["positions"] else None) for r in mixing.mix_documents(df, cells=1024).collect()]
+        assert len(got) == len(want)
+        for x, y in zip(sorted(got, key=repr), sorted(want, key=repr)):
+            assert x[:4] == y[:4] and (x[4] is None) == (y[4] is None) and (x[4] is None or abs(x[4] - y[4]) < 1e-3)
+        mixed = [r["doc_id"] for r in mixing.mixed_corpus(df, cells=1024).collect()]
+        passes = lambda w: (w[3] > 0) + (w[3] > w[2])
+        assert Counter(mixed) == Counter(d for w in want for d in [w[0]] * passes(w))
+
+
 def test_schedule_inverse(spark):
     knots = [(0.0, 0.0), (0.3, 2.0), (0.6, 0.0), (1.0, 1.0)]
     got = spark.range(1, 100).select((F.col("id") / 100).alias("x"), mixing.invert(F.col("id") / 100, knots).alias("t")).collect()
@@ -446,8 +619,6 @@ def test_repeats_across_many_buckets(spark):
 
 def crc_pair():
     """Two texts of one length and crc32, of which only one holds a passage: four bytes are set so that they agree."""
-    import zlib
-
     one = b"first " + b"0123456789" * 26 + b" end of it"
     base = bytes(b"zyx" * 200)[: len(one) - 4]
     table = {zlib.crc32(b"\0" * len(base) + (1 << k).to_bytes(4, "little")) ^ zlib.crc32(b"\0" * (len(base) + 4)): 1 << k for k in range(32)}
