@@ -7,27 +7,32 @@ its exact characters, white space included; a node's digest is of its children's
     <root, 32 hex>:<section>;<section>...   section = <digest, 8 hex>[<paragraph>,<paragraph>...]
     paragraph = its leaves' digests, 6 hex each, run together
 
-Roots are equal just if texts are equal (128-bit BLAKE2b). `differing` walks two trees from the root, skips equal
-branches, and names the leaves that differ; `likeness` is the share of leaves (as multisets of leaf digests, twice the
-common ones over all) that the trees have in common, 1.0 for equal roots.
+Roots are equal just if texts are equal (128-bit BLAKE2b). Two trees are compared from the root down: equal sections are
+aligned in order (`aligned`) and left alone with all below them; between them, the paragraphs of the sections that differ
+are aligned, and between those that differ, their leaves. What is then left is what was edited: `differing` names those
+leaves on both sides, so an inserted section is the only one named, and so is a removed one; `likeness` is twice the
+aligned leaves over all leaves, 1.0 for equal roots.
 
 Defined results: null is the empty text, which has one empty section; text of white space only has leaves like any other;
 equal texts have equal fingerprints; very long words are cut at LEAF_CHARS characters.
 
-`edited_documents` pairs each document with the next one in descending id. Ids are cut into ranges by splitters of
-sampled quantiles; a range's first document is sent to the range before it too, so each range is walked by itself in
-sorted order and no task sees the whole table. Ties in the id go by crc32 and length of the text; null ids come last.
+`edited_documents` pairs each document with the next one in descending id. Rows are cut into ranges by splitters of a
+sample of (id, text's hash); a range's first document is sent to the range before it too, so each range is walked by
+itself as a sorted stream, a document or two in memory. Ties in the id go by the text's hash, so that a repeated or null
+id is spread over ranges like others; null ids come last. Of rows equal in both, one follows the other.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.llm.common import buffers, numbered, pick, spread, table, utf8, without
@@ -62,35 +67,84 @@ def fingerprint(text: str) -> str:
     return root + ":" + ";".join(f"{s[:4].hex()}[{','.join(''.join(x[:3].hex() for x in p) for p in ps)}]" for s, ps in sections)
 
 
-def _leaves(print_: str) -> list[str]:
-    runs = re.findall(r"[0-9a-f]+(?=[,\]])", print_[33:])
-    return [run[i : i + 6] for run in runs for i in range(0, len(run), 6)]
+Node = tuple[str, list[str]]  # a section's digest and its paragraphs, each the digests of its leaves run together
+
+
+def branches(print_: str) -> list[Node]:
+    """The sections of a written fingerprint."""
+    return [(x[:8], x[9:-1].split(",")) for x in print_[33:].split(";")]
+
+
+def aligned(a: list, b: list) -> list[tuple[int, int, int, int]]:
+    """The gaps (from a, to a, from b, to b) between elements of a and b that are equal in order.
+
+    Common beginnings and ends are taken off; what occurs once on both sides, in the longest run of rising places, holds
+    the middle, and the parts between are treated alike. O(n log n) for lists with few equal elements, and never worse
+    than a step for each element and level.
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+        if a0 == a1 or b0 == b1:
+            if a0 < a1 or b0 < b1:
+                out.append((a0, a1, b0, b1))
+            continue
+        once_a, once_b = Counter(a[a0:a1]), Counter(b[b0:b1])
+        where = {x: j for j, x in enumerate(b[b0:b1], b0) if once_b[x] == 1}
+        pairs = [(i, where[x]) for i, x in enumerate(a[a0:a1], a0) if once_a[x] == 1 and x in where]
+        if not pairs:
+            out.append((a0, a1, b0, b1))
+            continue
+        tops, ends, before = [], [], []  # the longest rising run: least last place of each length, and its pair
+        for k, (_, j) in enumerate(pairs):
+            at = bisect_left(tops, j)
+            tops[at : at + 1], ends[at : at + 1] = [j], [k]
+            before.append(ends[at - 1] if at else -1)
+        run, k = [], ends[-1]
+        while k >= 0:
+            run.append(pairs[k])
+            k = before[k]
+        for i, j in run:  # from the last to the first
+            todo.append((i + 1, a1, j + 1, b1))
+            a1, b1 = i, j
+        todo.append((a0, a1, b0, b1))
+    return sorted(out)
+
+
+def _gaps(a: list[Node], b: list[Node]) -> Iterator[tuple[list, list]]:
+    """What differs between two trees, as lists of leaves (place, digest) on both sides, from the gaps of each level."""
+    for a0, a1, b0, b1 in aligned([x for x, _ in a], [x for x, _ in b]):
+        one = [((i, j), p) for i in range(a0, a1) for j, p in enumerate(a[i][1])]
+        two = [((i, j), p) for i in range(b0, b1) for j, p in enumerate(b[i][1])]
+        for p0, p1, q0, q1 in aligned([p for _, p in one], [p for _, p in two]):
+            x, y = ([((*at, k // 6), p[k : k + 6]) for at, p in some for k in range(0, len(p), 6)] for some in (one[p0:p1], two[q0:q1]))
+            for x0, x1, y0, y1 in aligned([d for _, d in x], [d for _, d in y]):
+                yield x[x0:x1], y[y0:y1]
+
+
+def _likeness(root_a: str, a: list[Node], root_b: str, b: list[Node]) -> float:
+    if root_a == root_b:
+        return 1.0
+    total = sum(len(p) // 6 for t in (a, b) for _, ps in t for p in ps)
+    apart = sum(len(x) + len(y) for x, y in _gaps(a, b))
+    return min((total - apart) / total, 1 - 1 / (total + 1)) if total else 0.0
 
 
 def likeness(a: str, b: str) -> float:
     """Of two fingerprints, 0 to 1."""
-    if a[:32] == b[:32]:
-        return 1.0
-    x, y = Counter(_leaves(a)), Counter(_leaves(b))
-    total = sum(x.values()) + sum(y.values())
-    return min(2 * sum((x & y).values()) / total, 1 - 1 / (total + 1)) if total else 0.0
+    return _likeness(a[:32], branches(a), b[:32], branches(b))
 
 
-def differing(a: str, b: str) -> list[tuple[int, int, int]]:
-    """Where fingerprint b differs from a: (section, paragraph, leaf) of b, found by going down unequal branches only."""
+def differing(a: str, b: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Where two fingerprints differ: the leaves (section, paragraph, leaf) that a has over b, and b over a."""
     if a[:32] == b[:32]:
-        return []
-    split = lambda s: [(x[:8], x[9:-1].split(",")) for x in s[33:].split(";")]
-    old, out = split(a), []
-    for i, (digest, paragraphs) in enumerate(split(b)):
-        was = old[i] if i < len(old) else ("", [])
-        if digest == was[0]:
-            continue
-        for j, p in enumerate(paragraphs):
-            before = was[1][j] if j < len(was[1]) else ""
-            if p != before:
-                out += [(i, j, k // 6) for k in range(0, len(p), 6) if p[k : k + 6] != before[k : k + 6]]
-    return out
+        return [], []
+    gaps = list(_gaps(branches(a), branches(b)))
+    return tuple([at for gap in gaps for at, _ in gap[side]] for side in (0, 1))
 
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -113,67 +167,75 @@ def edit(text: str, other: str) -> str:
     return text[: len(text) - third] + other[:third]
 
 
-def by_ranges(docs: DataFrame, ranges: int, accuracy: int = 10_000) -> DataFrame:
-    """(part, doc_id, text, order columns, mine): ranges of descending ids, each with its next range's first document.
+def by_ranges(docs: DataFrame, ranges: int, per_range: int = 16) -> DataFrame:
+    """(part, mine, doc_id, text, falling, tie): ranges of descending ids, each with its next range's first document.
 
-    Two short passes over the ids alone: quantiles as splitters, and the first row of every range (a row a range).
+    Two short passes: a sample of ids and text hashes (per_range a range) gives splitters, and the first row of each range
+    comes from the same columns; a row a range is all that the driver gets of it.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    keyed = keyed.withColumn("tie", F.crc32("text")).withColumn("len", F.octet_length("text"))
-    steps = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(docs.select(F.percentile_approx(F.col("doc_id").cast("long"), steps, accuracy)).first()[0] or [])) if steps else []
-    # Ascending cuts c: ids over the last cut are part 0; null ids sort below all and are in the last part.
-    part = F.lit(len(cuts))
-    if cuts:
-        at = F.array(*[F.lit(c).cast("long") for c in cuts])
-        part = F.lit(len(cuts)) - _rank(at, F.col("doc_id"), len(cuts))
-        part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(part)
-    parted = keyed.withColumn("part", part.cast("int"))
-    # The first row of a range has its largest id and, among ties, the least (tie, len).
-    firsts = parted.groupBy("part").agg(F.max(F.struct("doc_id", -F.col("tie"), -F.col("len"))).alias("f")).orderBy("part").collect()
-    heads, parts = {}, [r["part"] for r in firsts]
-    for k, r in enumerate(firsts):
-        f = r["f"]
-        heads[parts[k]] = (parts[k - 1], f[0], -f[1], -f[2])  # to the range before; the very first goes round to the last
-    is_head, goes_to = F.lit(False), F.lit(None).cast("int")
-    if heads:
-        spark = docs.sparkSession
-        head = spark.createDataFrame([(p, *v) for p, v in heads.items()], "hpart int, goes_to int, hid long, htie long, hlen int")
-        shown = parted.join(F.broadcast(head), F.col("part") == F.col("hpart"))  # a row a range, made just now on the driver
-        is_head = F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("tie") == F.col("htie")) & (F.col("len") == F.col("hlen"))
-        goes_to = F.when(is_head, F.col("goes_to"))
-    else:
-        shown = parted
-    copies = F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("mine")), F.struct(goes_to.alias("part"), F.lit(False).alias("mine"))), lambda x: x["part"].isNotNull())
-    return shown.select("doc_id", "text", "tie", "len", F.explode(copies).alias("c")).select("c.part", "c.mine", "doc_id", "text", "tie", "len")
-
-
-def _rank(cuts, value, n: int):
-    """How many of the ascending cuts are less than the value, by binary search."""
+    spark, text = docs.sparkSession, utf8("text")
+    falling = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit((1 << 63) - 1))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), falling.alias("falling"), F.xxhash64(text).alias("tie"))
+    bound, n = ranges * per_range, keyed.count()
+    share = F.pmod(F.xxhash64("falling", "tie"), F.lit(1 << 30)) < int(min(1.0, bound / max(n, 1)) * (1 << 30)) + 1
+    some = sorted((r["falling"], r["tie"]) for r in keyed.where(share).select("falling", "tie").distinct().collect()) if ranges > 1 else []
+    cuts = [some[len(some) * k // ranges] for k in range(1, ranges)] if some else []
+    cuts = sorted(set(cuts))
+    parted = keyed.withColumn("part", _rank(cuts, F.col("falling"), F.col("tie")).cast("int"))
+    firsts = parted.groupBy("part").agg(F.min(F.struct("falling", "tie")).alias("f")).orderBy("part").collect()
+    goes = [(r["f"]["falling"], r["f"]["tie"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)]  # to the range before; the very first goes round to the last
+    head = spark.createDataFrame(goes, "hf long, ht long, goes_to int")
+    shown = parted.join(F.broadcast(head), (F.col("falling") == F.col("hf")) & (F.col("tie") == F.col("ht")), "left")  # a row a range
+    copies = F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("mine")), F.struct(F.col("goes_to").alias("part"), F.lit(False).alias("mine"))), lambda x: x["part"].isNotNull())
+    return shown.select("doc_id", "text", "falling", "tie", F.explode(copies).alias("c")).select("c.part", "c.mine", "doc_id", "text", "falling", "tie")
+
+
+def _rank(cuts: list[tuple[int, int]], falling: Column, tie: Column) -> Column:
+    """How many of the ascending cuts are not above (falling, tie), by binary search."""
+    n = len(cuts)
+    if not n:
+        return F.lit(0)
+    one, two = (F.lit(np.array([c[k] for c in cuts], np.int64)) for k in (0, 1))
     steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
-    ahead = lambda low, step: F.when((low + step <= n) & (F.element_at(cuts, F.least(low + step, F.lit(n))) < value), low + step).otherwise(low)
+
+    def ahead(low: Column, step: Column) -> Column:
+        at = F.least(low + step, F.lit(n))
+        x, y = F.element_at(one, at), F.element_at(two, at)
+        return F.when((low + step <= n) & ((x < falling) | ((x == falling) & (y <= tie))), low + step).otherwise(low)
+
     return F.aggregate(steps, F.lit(0), ahead)
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_gone long, n_new long"
+#: Bytes of text that a range has in the mean, while MAX_RANGES of them do.
+RANGE_BYTES, MAX_RANGES = 32 << 20, 10_000
 
 
 def edited_documents(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Per document: its fingerprint, that of its edited text, and the likeness to this and to the next document."""
-    parted = by_ranges(docs, ranges or 2 * spread(docs.sparkSession))
+    """Per document: its fingerprint, that of its edited text, the likeness to this and to the next document, and how many
+    leaves the edit took and gave."""
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length(utf8("text")))).first()[0] or 0
+        ranges = min(MAX_RANGES, max(2 * spread(docs.sparkSession), size // RANGE_BYTES + 1))
+    parted = by_ranges(docs, ranges)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (part, doc_id, text, fingerprint) that waits for its next one
+        held = None  # (part, doc_id, text, fingerprint, its branches) that waits for its next one
         rows: list[tuple] = []
 
-        def row(one, text2: str, print2: str) -> tuple:
-            _, doc_id, text, print1 = one
+        def row(one: tuple, text2: str, print2: str, tree2: list[Node]) -> tuple:
+            _, doc_id, text, print1, tree1 = one
             new = edit(text, text2)
             print3 = fingerprint(new)
-            return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), print1, print3, likeness(print1, print3), likeness(print1, print2))
+            tree3 = branches(print3)
+            gone, fresh = (0, 0) if print1[:32] == print3[:32] else map(sum, zip((0, 0), *((len(x), len(y)) for x, y in _gaps(tree1, tree3))))
+            total = sum(len(p) // 6 for t in (tree1, tree3) for _, ps in t for p in ps)
+            near = 1.0 if print1[:32] == print3[:32] else min((total - gone - fresh) / total, 1 - 1 / (total + 1)) if total else 0.0
+            sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+            return doc_id, len(text), sha, print1, print3, near, _likeness(print1[:32], tree1, print2[:32], tree2), gone, fresh
 
         def out() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             names = [c.split()[0] for c in _OUT.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
@@ -184,17 +246,18 @@ def edited_documents(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             for k in range(len(parts)):
                 text = bytes(view[off[k] : off[k + 1]]).decode("utf-8", "replace")
                 mark = fingerprint(text)
+                tree_ = branches(mark)
                 if held and held[0] == parts[k]:
-                    rows.append(row(held, text, mark))
-                held = (parts[k], ids[k], text, mark) if mine[k] else None
+                    rows.append(row(held, text, mark, tree_))
+                held = (parts[k], ids[k], text, mark, tree_) if mine[k] else None
                 if len(rows) >= 500:
                     yield out()
                     rows = []
         if rows:
             yield out()
 
-    order = [F.col("part"), F.col("mine").desc(), F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("len")]
-    dealt = parted.repartition("part").sortWithinPartitions(*order)
+    order = [F.col("part"), F.col("mine").desc(), F.col("falling"), F.col("tie"), F.col("doc_id").isNull()]
+    dealt = parted.repartitionById(ranges, F.col("part")).sortWithinPartitions(*order)
     return dealt.select("part", "mine", "doc_id", "text").mapInArrow(kernel, _OUT)
 
 

@@ -457,7 +457,79 @@ def test_merkle_trees():
     for t in TEXTS:
         assert "".join(x for s in merkle.tree(t or "") for p in s for x in p) == (t or "")
     a, b = (merkle.fingerprint(f"First part here.\n\nSecond {x} there.\nThird one.") for x in ("part", "item"))
-    assert merkle.differing(a, b) == [(1, 0, 0)] and merkle.differing(a, a) == [] and 0 < merkle.likeness(a, b) < 1
+    assert merkle.differing(a, b) == ([(1, 0, 0)], [(1, 0, 0)]) and merkle.differing(a, a) == ([], []) and 0 < merkle.likeness(a, b) < 1
+
+
+def test_an_inserted_or_removed_section_is_the_only_one_named():
+    sections = [f"Section {k} starts. It has two lines\nand a second line here." for k in range(4)]
+    whole = merkle.fingerprint("\n\n".join(sections))
+    for k in range(4):
+        more = merkle.fingerprint("\n\n".join([*sections[:k], "Something new. And more.", *sections[k:]]))
+        gone, new = merkle.differing(whole, more)
+        assert gone == [] and {at[0] for at in new} == {k} and merkle.differing(more, whole) == (new, gone)
+    moved = merkle.differing(whole, merkle.fingerprint("\n\n".join([sections[0], sections[1].replace("two", "no"), "New one.", *sections[2:]])))
+    assert {at[0] for at in moved[0]} == {1} and {at[0] for at in moved[1]} == {1, 2}
+
+
+def plain_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment_is_in_order_and_near_the_longest():
+    r = random.Random(8)
+    for _ in range(300):
+        a = [r.randrange(40) for _ in range(r.randrange(15))]
+        b = a.copy()
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(3)] = [r.randrange(100, 200) for _ in range(r.randrange(3))]
+        gaps = merkle.aligned(a, b)
+        keep = lambda x, side: [v for k, v in enumerate(x) if not any(g[side] <= k < g[side + 1] for g in gaps)]
+        assert keep(a, 0) == keep(b, 2) and len(keep(a, 0)) <= plain_lcs(a, b)
+        if len(set(a)) == len(a) and len(set(b)) == len(b):
+            assert len(keep(a, 0)) == plain_lcs(a, b)
+
+
+def plain_fingerprint(text):
+    """The tree from its definition: sections end after blank lines, paragraphs at lines, leaves at sentences or 8 words."""
+    digest = lambda data, size: hashlib.blake2b(data, digest_size=size).digest()
+    sections, lines = [[]], (text or "").splitlines(keepends=True)
+    for k, line in enumerate(lines):
+        sections[-1].append(line)
+        if line.endswith("\n") and not line.strip(" \t\r\n") and k and (k + 1 == len(lines) or lines[k + 1].strip(" \t\r\n")) and lines[k - 1].endswith("\n"):
+            sections.append([])
+    sections = [s for s in sections if s] or [[]]
+
+    def leaves(line):
+        out, words = [""], 0
+        for piece in re.findall(r"\s+|\S+", line):
+            if words and (words == 8 or ended) and not piece.isspace():  # noqa: F821
+                out, words = [*out, ""], 0
+            out[-1] += piece
+            if not piece.isspace():
+                words, ended = words + 1, piece[-1] in ".!?"  # noqa: F841
+        return [x for x in out if x]
+
+    marks = [[[digest(x.encode(), 8) for x in leaves(line)] for line in s] for s in sections]
+    heads = [digest(b"s" + b"".join(digest(b"p" + b"".join(p), 16) for p in s), 16) for s in marks]
+    return digest(b"r" + b"".join(heads), 16).hex() + ":" + ";".join(f"{h[:4].hex()}[{','.join(''.join(x[:3].hex() for x in p) for p in s)}]" for h, s in zip(heads, marks))
+
+
+def test_fingerprints_against_a_plain_version():
+    for t in ["", "one", "A b. C d!\n\nNext part\nline", "Two. Sentences here, of many words that go on and on. Yes\n\n\nThree\n\nend.", PASSAGE, " lead\n x"]:
+        assert merkle.fingerprint(t) == plain_fingerprint(t)
+
+
+def test_a_repeated_id_is_spread_over_ranges(spark):
+    df = spark.createDataFrame([(7, f"text number {k}") for k in range(200)] + [(None, f"none {k}") for k in range(200)], "doc_id long, text string")
+    sizes = merkle.by_ranges(df, 8).where("mine").groupBy("part").count().toPandas()["count"]
+    assert len(sizes) == 8 and sizes.max() < 150
+    got = merkle.edited_documents(df, 8)
+    assert got.count() == 400 and got.select("fingerprint").distinct().count() == 400
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 8])
@@ -471,7 +543,14 @@ def test_edited_documents(docs, odd, empty, ranges):
             other = data[(k + 1) % len(data)][1]
             new = merkle.edit(t, other)
             assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[i]["n_chars"] == len(t)
-            assert got[i]["near_next"] == merkle.likeness(merkle.fingerprint(t), merkle.fingerprint(other))
+            assert got[i]["fingerprint"] == merkle.fingerprint(t) and got[i]["edited_fingerprint"] == merkle.fingerprint(new)
+            for column, text in (("near_next", other), ("near_edited", new)):
+                gone, fresh = merkle.differing(merkle.fingerprint(t), merkle.fingerprint(text))
+                leaves = sum(len(p) for x in (t, text) for s in merkle.tree(x) for p in s)
+                near = got[i][column]
+                assert near == 1.0 if t == text else near == pytest.approx(min((leaves - len(gone) - len(fresh)) / max(leaves, 1), 1 - 1 / (leaves + 1)) if leaves else 0.0)
+                if column == "near_edited":
+                    assert (got[i]["n_gone"], got[i]["n_new"]) == (len(gone), len(fresh))
     assert merkle.edited_documents(empty, ranges).count() == 0
     assert merkle.edited_documents(odd, ranges).count() == odd.count()  # ties in the id
 
