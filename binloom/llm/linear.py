@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm.common import fold_of, utf8
+from binloom.llm.common import durable, fold_of, utf8
 
 #: A classifier is fitted on about this many labelled documents at most, chosen by a hash of id and text.
 SAMPLE_ROWS = 20_000
+#: Labels that are sent to all tasks, at most, and rows that a step of the fit looks at.
+BROADCAST_ROWS, FIT_ROWS = 1 << 20, 8192
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
@@ -21,7 +23,9 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, folds: in
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
     text = utf8("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    return rows.join(known, "id").dropDuplicates(["id", "hash"])
+    known = durable(known)
+    few = known.count() <= BROADCAST_ROWS  # 12 bytes a row; more labels meet the documents by a shuffle
+    return rows.join(F.broadcast(known) if few else known, "id").dropDuplicates(["id", "hash"])
 
 
 def sampled(rows: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
@@ -35,19 +39,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, weight: np.ndarray | None = None, bias: bool = True, steps: int = 25) -> np.ndarray:
-    """Newton's method for L2-penalised logistic loss; the last weight is the bias (not penalised) if there is one."""
-    if bias:
-        x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
-    pull = np.full(x.shape[1], l2)
+    """Newton's method for L2-penalised logistic loss; the last weight is the bias (not penalised) if there is one.
+
+    x may be of any number type; it is widened a few rows at a time."""
+    n = x.shape[1] + bias
+    w, pull = np.zeros(n), np.full(n, l2)
     if bias:
         pull[-1] = 1e-6
     weight = np.ones(len(y)) if weight is None else weight
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        gradient = x.T @ (weight * (p - y)) + pull * w
-        curve = weight * np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * curve[:, None].astype(x.dtype)).T @ x + np.diag(pull), gradient)
+        gradient, curve = pull * w, np.diag(pull)
+        for at in range(0, len(y), FIT_ROWS):
+            part = x[at : at + FIT_ROWS].astype(np.float32)
+            if bias:
+                part = np.hstack([part, np.ones((len(part), 1), np.float32)])
+            p, k = sigmoid(part @ w), weight[at : at + FIT_ROWS]
+            gradient += part.T @ (k * (p - y[at : at + FIT_ROWS]))
+            curve += (part * (k * np.maximum(p * (1 - p), 1e-6))[:, None].astype(np.float32)).T @ part
+        step = np.linalg.solve(curve, gradient)
         biggest = np.abs(step).max(initial=0.0)
         w -= step * min(1.0, 4.0 / max(biggest, 1e-12))
         if biggest < 1e-4:

@@ -137,9 +137,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
         return QualityModel(None, np.zeros(0), 0.0, at_threshold)
     cuts = [np.unique(np.concatenate([np.quantile(part[:, k], np.linspace(0, 1, STEPS + 1)[1:-1]) for part in (x, x[bad])])) for k in range(x.shape[1])]
     model = QualityModel(cuts, np.zeros(0), 0.0, at_threshold)
-    z = model.steps(x)
+    z = model.steps(x).astype(np.int8)
     gap, kinds = np.unique(np.column_stack(pairings(good, bad, rounds)), axis=0, return_counts=True)
-    delta = (z[gap[:, 0]] - z[gap[:, 1]]).astype(np.float32)
+    delta = z[gap[:, 0]] - z[gap[:, 1]]
     # Every pair has a winner on the left: the loss is ln(1 + exp(-w . difference)).
     model.weights = fit_logistic(delta, np.ones(len(delta)), L2, kinds.astype(float), bias=False)
 
