@@ -16,9 +16,14 @@ def species_of_read(read: Column) -> Column:
 
 
 def kmers(seq: Column, k: int = 4) -> Column:
-    """Every window of k letters that are all upper-case A, C, G or T."""
-    at = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - (k - 1)))
-    return F.filter(F.transform(at, lambda i: F.substr(seq, i, F.lit(k))), lambda x: F.rlike(x, F.lit(f"^[ACGT]{{{k}}}$")))
+    """Every window of k letters that are all upper-case A, C, G or T, in one pass: a look-ahead takes no letters."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+
+
+def pieces(seq: Column, k: int, step: int = 1 << 16) -> Column:
+    """A sequence as one piece, or a long one as pieces that overlap by k - 1, so that each window is in just one."""
+    starts = F.sequence(F.lit(0), F.length(seq) - 1, F.lit(step))
+    return F.when(F.length(seq) > 2 * step, F.transform(starts, lambda i: F.substr(seq, i + 1, F.lit(step + k - 1)))).otherwise(F.array(seq))
 
 
 def reverse_complement(seq: Column) -> Column:

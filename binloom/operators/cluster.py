@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -45,34 +49,99 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, label: str) -> DataFr
     return df.crossJoin(F.broadcast(packed)).select(key, best.alias("b")).select(key, "b.bin", "b.distance2")  # a single row
 
 
-def pair_distances(df: DataFrame, key: str, vector: str, blocks: int = 8) -> DataFrame:
-    """(i, j, distance), i < j: all pairs by pairs of blocks, each pair of blocks a task of its own."""
-    rows = df.select(F.col(key).alias("k"), G.medoid_normalise(F.col(vector)).alias("v")).withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    a = rows.select("k", "v", F.col("block").alias("x"), others).withColumnsRenamed({"o": "y", "k": "i", "v": "vi"})
-    b = rows.select("k", "v", F.col("block").alias("y"), others).withColumnsRenamed({"o": "x", "k": "j", "v": "vj"})
-    return a.join(b, ["x", "y"]).where("i < j").select("i", "j", G.medoid_distance(F.col("vi"), F.col("vj")).alias("distance"))
+#: Rows that a block has in the mean: the products of two blocks are one step of a task.
+BLOCK_ROWS = 1024
+
+
+def _block_pairs(df: DataFrame, key: str, vector: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """(x, y, block, k, v, ...) with the rows of blocks x and y for each pair of blocks, x <= y, by hash of the key."""
+    blocks = max(1, -(-df.count() // BLOCK_ROWS))
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), *more)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    return rows.select("*", other).select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "k", "v", *more)
+
+
+def _halves(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(keys, rows, keys, rows, same) of the two blocks of a pair, in order of keys; same: a block with itself."""
+    same = t["x"][0].as_py() == t["y"][0].as_py()
+    t = t.sort_by("k")
+    out = []
+    for side in ("x", "y"):
+        part = t.filter(pc.equal(t["block"], t[side]))
+        flat = part["v"].combine_chunks()
+        out += [part["k"].to_numpy(), flat.flatten().to_numpy().reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))]
+    return *out, same
+
+
+def _normalised(x: np.ndarray) -> np.ndarray:
+    """Rows as by functions.medoid_normalise."""
+    if not x.size:
+        return x
+    x = np.where((x.sum(axis=1) == 0)[:, None], 1.0 / x.shape[1], x)
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(2.0))
+
+
+def pair_distances(df: DataFrame, key: str, vector: str, most: float | None = None) -> DataFrame:
+    """(i, j, distance), i < j, of all pairs, or of those within `most`: products of blocks, each pair of blocks once."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        ki, a, kj, b, same = _halves(t)
+        d = 0.5 - _normalised(a) @ _normalised(b).T if a.size and b.size else np.zeros((len(ki), len(kj)))
+        ok = np.ones(d.shape, bool) if most is None else d <= most
+        if same:
+            ok &= np.triu(np.ones(d.shape, bool), 1)
+        i, j = np.nonzero(ok)
+        return pa.table({"i": np.minimum(ki[i], kj[j]), "j": np.maximum(ki[i], kj[j]), "distance": d[i, j]})
 
+    return _block_pairs(df, key, vector).groupBy("x", "y").applyInArrow(kernel, "i long, j long, distance double")
 
-def top_neighbours(df: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
-    """(i, j, score, rank): the k largest dot products of each row, itself included; ties to the lower key.
 
-    Rows meet in pairs of blocks; each pair of blocks keeps its k best a row, and the best of those are the result.
+def label_cosines(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(same, pairs, mean): the mean cosine of pairs of equal and of unequal labels; sums leave the tasks, not pairs."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        x, y = (t.filter(pc.equal(t["block"], t[side]))[label].to_numpy(zero_copy_only=False) for side in ("x", "y"))
+        _, a, _, b, same = _halves(t)
+        c = 2 * _normalised(a) @ _normalised(b).T if a.size and b.size else np.zeros((len(x), len(y)))
+        once = np.triu(np.ones(c.shape, bool), 1) if same else np.ones(c.shape, bool)
+        equal = x[:, None] == y[None, :]
+        picks = [once & equal, once & ~equal]
+        return pa.table({"same": [True, False], "n": [int(p.sum()) for p in picks], "s": [float(c[p].sum()) for p in picks]})
+
+    sums = _block_pairs(df, key, vector, (label,)).groupBy("x", "y").applyInArrow(kernel, "same boolean, n long, s double")
+    return sums.groupBy("same").agg(F.sum("n").alias("pairs"), F.sum("s").alias("s")).where("pairs > 0").select("same", "pairs", (F.col("s") / F.col("pairs")).alias("mean"))
+
+
+def top_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(i, j, score, rank): the k largest dot products of each row, itself included; ties (of 6 digits) to the lower key.
+
+    Each pair of blocks keeps the k best a row and side, and the best of those are the result.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = rows.select(F.col("k").alias("i"), F.col("v").alias("vi"), F.col("block").alias("x"), others.alias("y"))
-    b = rows.select(F.col("k").alias("j"), F.col("v").alias("vj"), F.col("block").alias("y"), others.alias("x"))
-    scored = a.join(b, ["x", "y"]).select("i", "y", "j", G.dot(F.col("vi"), F.col("vj")).alias("score"))
-    best = [F.round("score", 6).desc(), "j"]
-    part = scored.withColumn("r", F.row_number().over(Window.partitionBy("i", "y").orderBy(*best))).where(F.col("r") <= k)
-    return part.select("i", "j", "score", F.row_number().over(Window.partitionBy("i").orderBy(*best)).alias("rank")).where(F.col("rank") <= k)
+
+    def best(ki: np.ndarray, kj: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+        if not score.size:
+            return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        order = np.lexsort((np.broadcast_to(kj, score.shape), -np.round(score, 6)), axis=1)[:, :k]
+        row = np.repeat(np.arange(len(ki)), order.shape[1])
+        return [ki[row], kj[order.ravel()], score[row, order.ravel()]]
+
+    def kernel(t: pa.Table) -> pa.Table:
+        ki, a, kj, b, same = _halves(t)
+        score = a @ b.T if a.size and b.size else np.zeros((0, 0))
+        found = [best(ki, kj, score)] + ([] if same else [best(kj, ki, score.T)])
+        return pa.table({n: np.concatenate([f[c] for f in found]) for c, n in enumerate(("i", "j", "score"))})
+
+    part = _block_pairs(df, key, vector).groupBy("x", "y").applyInArrow(kernel, "i long, j long, score double")
+    w = Window.partitionBy("i").orderBy(F.round("score", 6).desc(), "j")
+    return part.select("i", "j", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
 def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int) -> DataFrame:
     """(key, neighbours, core, bin): core points have `least` points in the radius, themselves included; bins are the
     components of core points, border points join the least one near; -1 is noise."""
-    near = pair_distances(df, key, vector).where(F.col("distance") <= radius).select("i", "j")
+    near = pair_distances(df, key, vector, radius).select("i", "j")
     both = near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j")))
     counts = df.select(F.col(key).alias("i")).join(both.groupBy("i").agg(F.count(F.lit(1)).alias("n")), "i", "left")
     counts = counts.select("i", (F.coalesce("n", F.lit(0)) + 1).alias("neighbours")).withColumn("core", F.col("neighbours") >= least)
@@ -85,60 +154,82 @@ def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int) -> D
     return out.select(F.col("i").alias(key), "neighbours", "core", F.coalesce("component", F.when(~F.col("core"), F.col("b")), F.lit(-1)).alias("bin"))
 
 
-def medoid_kernel(keys: np.ndarray, x: np.ndarray, radius: float = 0.05, default: float = 0.06, seed: int = 0, tries: int = 25) -> list[tuple]:
-    """Medoid clusters of normalised rows: wander to a denser medoid, cut at the valley after the first density peak."""
+def _valley(distances: np.ndarray, ratio: float, pdf: np.ndarray) -> float | None:
+    """The distance at which the density of a medoid's neighbours falls off, None if there is no such valley."""
+    counts = np.histogram(distances, 60, (0.0, 0.3))[0].astype(float)
+    counts[0] -= 1  # the medoid itself
+    if not counts[:10].any():
+        return 0.025
+    density = np.convolve(counts, pdf, "same")
+    falls = np.flatnonzero(density < 0.6 * np.maximum.accumulate(density))
+    if not len(falls) or int(density[: falls[0]].argmax()) * 0.005 > 0.1:
+        return None
+    peak, tail = density[: falls[0]].max(), density[falls[0] :]
+    rises = np.flatnonzero(tail > 1.5 * np.minimum.accumulate(tail))
+    tail = tail[: rises[0]] if len(rises) else tail
+    low = int(tail.argmin())
+    cut = (falls[0] + low) * 0.005
+    return float(cut) if tail[low] < ratio * peak and cut <= 0.2 + ratio else None
+
+
+def medoid_kernel(keys: np.ndarray, x: np.ndarray, radius: float = 0.05, default: float = 0.06, seed: int = 0, tries: int = 25, window: int = 200, least: int = 20) -> list[tuple]:
+    """Medoid clusters of normalised rows: wander to a medoid of lower mean distance, cut at the valley of the density.
+
+    A seed without a valley stays for later. If fewer than `least` of the last `window` seeds had one, the valley may be
+    shallower by 0.1 of the peak; once that ratio is over 0.55, a seed without one is cut at `default`.
+    """
     rng = np.random.default_rng(seed)
-    alive, order, out, cluster = np.ones(len(x), bool), rng.permutation(len(x)), [], 0
-    smooth = np.exp(-0.5 * (np.linspace(-0.075, 0.075, 31) / 0.01) ** 2)
-    smooth /= smooth.sum()
+    alive, waiting, out, cluster = np.ones(len(x), bool), deque(rng.permutation(len(x)).tolist()), [], 0
+    pdf = np.exp(-0.5 * (np.linspace(-0.075, 0.075, 31) / 0.01) ** 2)
+    pdf /= pdf.sum()
+    ratio, recent = 0.1, deque(maxlen=window)
 
     def distances(m: int) -> np.ndarray:
         d = 0.5 - x @ x[m]
         d[m] = 0.0
         return d
 
-    for start in order:
+    while waiting:
+        start = waiting.popleft()
         if not alive[start]:
             continue
-        medoid, d, futile = start, distances(start), 0
-        seen = {start}
+        medoid, d, futile, seen = start, distances(start), 0, {start}
         while futile < tries:
             inside = np.flatnonzero(alive & (d <= radius))
-            fresh = [i for i in inside if i not in seen]
+            fresh = [i for i in inside.tolist() if i not in seen]
             if not fresh:
                 break
-            other = int(rng.choice(fresh))
+            other = fresh[int(rng.integers(len(fresh)))]
             seen.add(other)
             e = distances(other)
-            near = alive & (e <= radius)
-            if near.sum() > len(inside) or (near.sum() == len(inside) and e[near].mean() < d[inside].mean()):
+            if e[alive & (e <= radius)].mean() < d[inside].mean():
                 medoid, d, futile = other, e, 0
             else:
                 futile += 1
-        counts = np.histogram(d[alive], 60, (0.0, 0.3))[0].astype(float)
-        counts[0] -= 1
-        density = np.convolve(counts, smooth, "same")
-        cut = default
-        if not counts[:10].any():
-            cut = 0.025
+        cut = _valley(d[alive], ratio, pdf)
+        if cut is None and ratio > 0.55:
+            cut = default
+        recent.append(cut is not None)
+        if cut is None:
+            waiting.append(start)
         else:
-            peak = int(density[:20].argmax())
-            below = np.flatnonzero(density[peak:] <= 0.6 * density[peak])
-            if len(below):
-                valley = peak + below[0] + int(density[peak + below[0] : peak + below[0] + 15].argmin())
-                if density[valley] <= 0.3 * density[peak] and valley * 0.005 <= 0.2:
-                    cut = max(0.005 * (valley + 1), 0.025)
-        members = np.flatnonzero(alive & (d <= cut))
-        alive[members] = False
-        alive[start] = False
-        members = np.union1d(members, [start])
-        out += [(keys[i], cluster, keys[medoid], float(cut)) for i in members]
-        cluster += 1
+            members = np.flatnonzero(alive & (d <= cut))
+            alive[members] = False
+            out += [(keys[i], cluster, keys[medoid], cut) for i in members]
+            cluster += 1
+            if alive[start]:
+                waiting.append(start)
+        if len(recent) == window and sum(recent) < least:
+            ratio += 0.1
+            recent.clear()
     return out
 
 
-def medoid_bins(df: DataFrame, key: str, vector: str, seed: int = 0) -> DataFrame:
-    """(key, bin, medoid, cut): iterative medoid clustering. It is sequential by nature and runs in one task."""
+def medoid_bins(df: DataFrame, key: str, vector: str, seed: int = 0, most: int = 1_000_000) -> DataFrame:
+    """(key, bin, medoid, cut): iterative medoid clustering. It is sequential by nature and runs in one task, which is
+    refused for more than `most` rows: cluster parts of the graph, or take k-means, beyond."""
+    if df.count() > most:
+        raise ValueError(f"medoid clustering runs in one task and is meant for {most} rows at most")
     rows = df.select(F.lit(0).alias("one"), F.col(key).cast("long").alias("k"), G.medoid_normalise(F.col(vector)).alias("v"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from binloom import functions as G
 
 
-def kmer_counts(seqs: DataFrame, key: str, seq: str, k: int = 4, canonical: bool = False) -> DataFrame:
-    """(key, kmer, n) of the k-mers present."""
-    kmer = F.explode(G.kmers(F.col(seq), k))
-    out = seqs.select(key, kmer.alias("kmer"))
+def kmer_counts(seqs: DataFrame, key: str, seq: str, k: int = 4, canonical: bool = False, step: int = 1 << 16) -> DataFrame:
+    """(key, kmer, n) of the k-mers present; a sequence of more than two steps is read in pieces."""
+    part = seqs.select(key, F.explode(G.pieces(F.col(seq), k, step)).alias("__piece"))
+    out = part.select(key, F.explode(G.kmers(F.col("__piece"), k)).alias("kmer"))
     if canonical:
         out = out.withColumn("kmer", G.canonical(F.col("kmer")))
     return out.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
@@ -22,9 +22,9 @@ def kmer_counts(seqs: DataFrame, key: str, seq: str, k: int = 4, canonical: bool
 def kmer_frequencies(seqs: DataFrame, key: str, seq: str, k: int = 4) -> DataFrame:
     """(key, kmer, freq): share of each of the 4^k k-mers less 4^-k, zeros included; sequences without any are left out."""
     letters = ["".join(x) for x in product("ACGT", repeat=k)]
-    counted = kmer_counts(seqs, key, seq, k).groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("kmer", "n"))).alias("m"))
-    every = F.explode(F.array(*[F.lit(x) for x in letters])).alias("kmer")
-    return counted.select(key, "total", "m", every).select(key, "kmer", (F.coalesce(F.col("m")[F.col("kmer")], F.lit(0)) / F.col("total") - F.lit(4.0**-k)).alias("freq"))
+    counted = kmer_counts(seqs, key, seq, k)
+    every = counted.groupBy(key).agg(F.sum("n").alias("total")).select(key, "total", F.explode(F.array(*[F.lit(x) for x in letters])).alias("kmer"))
+    return every.join(counted, [key, "kmer"], "left").select(key, "kmer", (F.coalesce("n", F.lit(0)) / F.col("total") - F.lit(4.0**-k)).alias("freq"))
 
 
 def normalise_rows(long: DataFrame, key: str, value: str, out: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom import functions as G
@@ -58,6 +58,29 @@ def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone, ["src", "dst"], "left_anti")
 
 
+def self_loops(nodes: DataFrame, node: str) -> DataFrame:
+    """A loop of weight 1 at each node, for runs without links."""
+    return nodes.select(F.col(node).alias("src"), F.col(node).alias("dst"), F.lit(1).alias("weight"))
+
+
+def reindexed(edges: DataFrame, positions: DataFrame) -> DataFrame:
+    """Edges by name as edges by position, (name, idx); an edge with an unknown end is dropped."""
+    a, b = positions.select(F.col("name").alias("src"), F.col("idx").alias("si")), positions.select(F.col("name").alias("dst"), F.col("idx").alias("di"))
+    return edges.join(a, "src").join(b, "dst").select(F.col("si").alias("src"), F.col("di").alias("dst"), "weight")
+
+
+def attention_layer(edges: DataFrame, nodes: DataFrame, node: str, heads: list[tuple[str, str, str]], average: bool = False) -> DataFrame:
+    """(src, out): attention-weighted sums of the neighbours, a value for each head (left score, right score, value) or,
+    averaged, one of all."""
+    out = None
+    for k, (left, right, value) in enumerate(heads):
+        x = nodes.select(F.col(node).alias("dst"), F.col(value).alias("__x"))
+        one = attention(edges, nodes, node, left, right).join(x, "dst").groupBy("src").agg(F.sum(F.col("alpha") * F.col("__x")).alias(f"__{k}"))
+        out = one if out is None else out.join(one, "src")
+    every = [F.col(f"__{k}") for k in range(len(heads))]
+    return out.select("src", (sum(every[1:], every[0]) / len(heads) if average else F.array(*every)).alias("out"))
+
+
 def connected_only(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return nodes.join(edges.select(F.col("src").alias(key)), key, "left_semi")
 
@@ -155,6 +178,34 @@ def negative_edges(edges: DataFrame, nodes: DataFrame, node: str, per_edge: int,
     return drawn.withColumn("rank", F.pmod(F.xxhash64("src", "old", "k", F.lit(seed)), F.col("width"))).join(ranked, "rank").select("src", "dst", "k")
 
 
+def _reached(rows: Column, point: Column) -> Column:
+    """The first of the rows (ascending in `to`) whose `to` is not below the point, the last if none is, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    ahead = lambda low, step: F.when((low + step < F.size(rows)) & (F.get(rows, low + step - 1)["to"] < point), low + step).otherwise(low)
+    return F.get(rows, F.aggregate(steps, F.lit(0), ahead))
+
+
+def weighted_negatives(edges: DataFrame, per_edge: int, seed: int, power: float = 0.75, groups: int = 1024) -> DataFrame:
+    """(src, dst, k): for each edge, `per_edge` ends drawn with the probability of in-degree ** power, by hash.
+
+    Each node has a stretch of [0, 1) as long as its probability, in the order of hash groups and names; a drawn point
+    meets the stretch it falls in by its group first, so no task sees all nodes."""
+    weight = edges.groupBy("dst").agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("w"))
+    weight = weight.withColumn("slot", F.pmod(F.xxhash64("dst", F.lit(seed)), F.lit(groups)).cast("int"))
+    sizes = weight.groupBy("slot").agg(F.sum("w").alias("w"))
+    total = sizes.agg(F.sum("w").alias("total"))
+    ends = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a group
+    spans = sizes.crossJoin(F.broadcast(total)).select("slot", (F.sum("w").over(ends) / F.col("total")).alias("to"))
+    packed = spans.agg(F.array_sort(F.collect_list(F.struct("to", "slot"))).alias("spans"))
+    inside = Window.partitionBy("slot").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lists = weight.withColumn("to", F.sum("w").over(inside)).groupBy("slot").agg(F.max("to").alias("all"), F.array_sort(F.collect_list(F.struct("to", "dst"))).alias("nodes"))
+    unit = lambda *of: (F.pmod(F.xxhash64(*of), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = edges.select("src", F.col("dst").alias("old"), F.explode(F.sequence(F.lit(1), F.lit(per_edge))).alias("k")).crossJoin(F.broadcast(packed))  # a single row
+    drawn = drawn.select("src", "old", "k", _reached(F.col("spans"), unit("src", "old", "k", F.lit(seed)))["slot"].alias("slot"))
+    point = unit("src", "old", "k", F.lit(seed + 1)) * F.col("all")
+    return drawn.join(lists, "slot").select("src", _reached(F.col("nodes"), point)["dst"].alias("dst"), "k")
+
+
 def sample_neighbours(edges: DataFrame, fan_out: int, seed: int) -> DataFrame:
     """At most fan_out edges of each src, drawn by weight (exponential keys from a hash)."""
     u = (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)

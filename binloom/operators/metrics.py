@@ -124,3 +124,40 @@ def bin_sizes(bins: DataFrame, lengths: DataFrame, contig: str, length: str, min
 
 def bin_composition(bins: DataFrame, label: str) -> DataFrame:
     return bins.groupBy("bin", label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def marker_contigs(genes: DataFrame, markers: DataFrame, gene: str, contig: str) -> DataFrame:
+    """(gene, contigs): the sorted contigs of each reference gene; a gene that none has keeps an empty list."""
+    have = markers.groupBy(gene).agg(F.array_sort(F.collect_set(contig)).alias("contigs"))
+    kind = have.schema["contigs"].dataType
+    return genes.select(gene).distinct().join(have, gene, "left").select(gene, F.coalesce("contigs", F.array().cast(kind)).alias("contigs"))
+
+
+def first_rows(gold: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key in file order."""
+    w = Window.partitionBy(key).orderBy(order)
+    return gold.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+def assigned_share(assigned: DataFrame, gold: DataFrame, key: str, length: str) -> DataFrame:
+    """One row: the share of the gold standard's base pairs and sequences that are in some bin."""
+    both = gold.join(assigned.select(key).distinct().withColumn("__in", F.lit(True)), key, "left")
+    share = lambda x: F.sum(F.when(F.col("__in"), x).otherwise(0)) / F.sum(x)
+    return both.agg(share(F.col(length)).alias("share_bp"), share(F.lit(1)).alias("share_seq"))
+
+
+def average_pr(df: DataFrame, bin_: str, label: str) -> DataFrame:
+    """One row: the mean share of each bin's majority label, and the mean share of each label in its best bin."""
+    c = df.groupBy(F.col(bin_).alias("b"), F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    share = lambda by, out: c.groupBy(by).agg((F.max("n") / F.sum("n")).alias("x")).agg(F.avg("x").alias(out))
+    return share("b", "avg_precision").crossJoin(F.broadcast(share("l", "avg_recall")))  # a single row each
+
+
+def reads_by_species(reads: DataFrame, contig: str, read: str) -> DataFrame:
+    """(contig, species, reads): what is before `_reads` in a read's name is its species."""
+    return reads.groupBy(contig, G.species_of_read(F.col(read)).alias("species")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+def marker_matrix(markers: DataFrame, contig: str, gene: str, genes: list) -> DataFrame:
+    """A row for each contig and a column of counts for each of the reference genes."""
+    return markers.groupBy(contig).pivot(gene, genes).agg(F.count(F.lit(1))).na.fill(0)

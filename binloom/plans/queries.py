@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from binloom import functions as G
 from binloom.operators import cluster, features, graph, metrics, models, stats
+from binloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,9 +81,9 @@ def amber_summary(t: Tables) -> DataFrame:
     return metrics.summary(*_scored(t)).select(*r6(*_SUMMARY))
 
 
-@query("with " + REC + ", j as (select pr.precision_bp, rc.recall_bp from pr left join rc on pr.genome=rc.genome and pr.bin=rc.bin), g as (select * from (values (0.02),(0.05)) a(min_comp), (values (0.8),(0.9)) b(max_cont)) select min_comp::double min_comp, max_cont::double max_cont, (select count(*) from j where recall_bp > min_comp and precision_bp > 1-max_cont) genomes from g")
+@query("with " + REC + ", j as (select pr.precision_bp, rc.recall_bp from pr left join rc on pr.genome=rc.genome and pr.bin=rc.bin), g as (select * from (values (0.9),(0.5)) a(min_comp), (values (0.05),(0.1)) b(max_cont)) select min_comp::double min_comp, max_cont::double max_cont, (select count(*) from j where recall_bp > min_comp and precision_bp > 1-max_cont) genomes from g")
 def recovered_grid(t: Tables) -> DataFrame:
-    return metrics.recovered_grid(*_scored(t), [0.02, 0.05], [0.8, 0.9])
+    return metrics.recovered_grid(*_scored(t), [0.9, 0.5], [0.05, 0.1])
 
 
 @query("""with c as (select c_nationkey b, c_mktsegment l, count(*) n from customer group by all), p as (select sum(m)/sum(t) x from (select max(n) m, sum(n) t from c group by b)), r as (select sum(m)/sum(t) x from (select max(n) m, sum(n) t from c group by l))
@@ -105,15 +106,15 @@ def majority_prf(t: Tables) -> DataFrame:
 
 
 # Markers: gene = brand's parts, sets = brands over types; bin = nation of the supplier, copies = line items.
-MARK = """m as (select l_suppkey contig, l_partkey gene, count(*) copies from lineitem where l_returnflag='R' and l_quantity>=40 group by all), b as (select s_suppkey contig, s_nationkey bin from supplier),
-t as (select bin, gene, sum(copies)::bigint copies from m join b using (contig) group by all), z as (select p_brand set_id, p_partkey gene, count(*) over (partition by p_brand) size from part where p_size <= 5),
+MARK = """m as (select l_suppkey contig, l_partkey gene, count(*) copies from lineitem group by all), b as (select s_suppkey contig, s_nationkey bin from supplier),
+t as (select bin, gene, sum(copies)::bigint copies from m join b using (contig) group by all), z as (select p_brand set_id, p_partkey gene, count(*) over (partition by p_brand) size from part),
 n as (select count(distinct set_id) n from z), sc as (select q.bin, 100*coalesce(f,0)/n.n comp, 100*coalesce(e,0)/n.n cont from (select distinct bin from t) q left join (select bin, sum(1/size) f, sum((copies-1)/size) e from t join z using (gene) group by bin) g using (bin), n)"""
 
 
 def _markers(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = t.lineitem.where("l_returnflag='R' and l_quantity>=40").groupBy(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("gene")).agg(F.count(F.lit(1)).alias("copies"))
+    m = t.lineitem.groupBy(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("gene")).agg(F.count(F.lit(1)).alias("copies"))
     bins = t.supplier.select(F.col("s_suppkey").alias("contig"), F.col("s_nationkey").alias("bin"))
-    return m, bins, t.part.where("p_size <= 5").select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("gene"))
+    return m, bins, t.part.select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("gene"))
 
 
 def _scores(t: Tables) -> DataFrame:
@@ -126,16 +127,16 @@ def marker_completeness(t: Tables) -> DataFrame:
     return _scores(t).select("bin", *r6("comp", "cont"))
 
 
-@query("with " + MARK + " select count(*) bins, count(*) filter (where comp>=2 and cont<1) hq, count(*) filter (where comp>=1 and cont<5) mq, round(avg(comp) filter (where comp>=2 and cont<1),6) hq_comp, round(avg(cont) filter (where comp>=2 and cont<1),6) hq_cont from sc")
+@query("with " + MARK + " select count(*) bins, count(*) filter (where comp>=70 and cont<60) hq, count(*) filter (where comp>=60 and cont<70) mq, round(avg(comp) filter (where comp>=70 and cont<60),6) hq_comp, round(avg(cont) filter (where comp>=70 and cont<60),6) hq_cont from sc")
 def hq_bins(t: Tables) -> DataFrame:
-    return metrics.quality_counts(_scores(t), (2, 1), (1, 5)).select("bins", "hq", "mq", *r6("hq_comp", "hq_cont"))
+    return metrics.quality_counts(_scores(t), (70, 60), (60, 70)).select("bins", "hq", "mq", *r6("hq_comp", "hq_cont"))
 
 
-@query("with " + MARK + """, lf as (select distinct contig from b where bin not in (select bin from sc where comp>=2 and cont<1)), pool as (select gene, sum(copies) copies from m join lf using (contig) group by gene)
+@query("with " + MARK + """, lf as (select distinct contig from b where bin not in (select bin from sc where comp>=70 and cont<60)), pool as (select gene, sum(copies) copies from m join lf using (contig) group by gene)
 select (select count(*) from lf) contigs, (select count(*) from lf where contig in (select contig from m)) with_markers, (select coalesce(floor(100*sum((copies-1)/size)/any_value(n.n)/100),0)::bigint from pool join z using (gene), n) genomes""")
 def unresolved_pool(t: Tables) -> DataFrame:
     m, bins, sets = _markers(t)
-    return metrics.unresolved(bins, m, _scores(t), sets, "contig", (2, 1))
+    return metrics.unresolved(bins, m, _scores(t), sets, "contig", (70, 60))
 
 
 @query("with " + MARK + " select round(avg(comp),6) avg_comp, round(avg(cont),6) avg_cont, round(coalesce(avg(cont) filter (where comp>50),0),6) cont_50, round(coalesce(avg(cont) filter (where comp>90),0),6) cont_90, round(coalesce(avg(comp) filter (where cont<5),0),6) comp_5 from sc")
@@ -151,11 +152,11 @@ def genome_count_estimate(t: Tables) -> DataFrame:
     return stats.genome_count_estimate(genes, copies, "gene", "n").select(*r6("p75"), "candidates", "k_min", "k_max")
 
 
-SUPP = "s as (select distinct l_suppkey c, l_partkey g from lineitem where l_returnflag='R' and l_quantity>=48)"
+SUPP = "s as (select distinct l_suppkey c, l_partkey g from lineitem)"
 
 
 def _supplier_parts(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_returnflag='R' and l_quantity>=48").select(F.col("l_suppkey").alias("c"), F.col("l_partkey").alias("g"))
+    return t.lineitem.select(F.col("l_suppkey").alias("c"), F.col("l_partkey").alias("g"))
 
 
 @query("with " + SUPP + " select distinct a.c i, b.c j from s a join s b on a.g=b.g and a.c<b.c")
@@ -177,21 +178,21 @@ def order_graph_edges(t: Tables) -> DataFrame:
     return _edges(t)
 
 
-@query("with " + EDGE + ", m as (select distinct l_partkey n, l_suppkey g from lineitem where l_returnflag='R') select e.src, e.dst, count(*) overlap from e join m x on e.src=x.n join m y on e.dst=y.n and x.g=y.g group by all")
+@query("with " + EDGE + ", m as (select distinct l_partkey n, l_suppkey g from lineitem) select e.src, e.dst, count(*) overlap from e join m x on e.src=x.n join m y on e.dst=y.n and x.g=y.g group by all")
 def same_marker_edges(t: Tables) -> DataFrame:
-    return graph.same_marker_edges(_edges(t), t.lineitem.where("l_returnflag='R'"), "l_partkey", "l_suppkey")
+    return graph.same_marker_edges(_edges(t), t.lineitem, "l_partkey", "l_suppkey")
 
 
-@query("with " + EDGE + ", m as (select distinct l_partkey n, l_suppkey g from lineitem where l_returnflag='R') select src, dst, weight from e where not exists (select 1 from m x join m y using (g) where x.n=e.src and y.n=e.dst)")
+@query("with " + EDGE + ", m as (select distinct l_partkey n, l_suppkey g from lineitem) select src, dst, weight from e where not exists (select 1 from m x join m y using (g) where x.n=e.src and y.n=e.dst)")
 def edges_cleaned(t: Tables) -> DataFrame:
     e = _edges(t)
-    return graph.remove_edges(e, graph.same_marker_edges(e, t.lineitem.where("l_returnflag='R'"), "l_partkey", "l_suppkey"))
+    return graph.remove_edges(e, graph.same_marker_edges(e, t.lineitem, "l_partkey", "l_suppkey"))
 
 
-@query("with s as (select distinct l_partkey contig, l_orderkey segment from lineitem), l as (select o_orderkey a, o_orderkey+1 b from orders where o_orderpriority='1-URGENT'), u as (select a,b from l union select b,a from l) select src, dst, count(*) n from (select x.contig src, y.contig dst from s x join s y on x.segment=y.segment and x.contig<>y.contig union all select x.contig, y.contig from s x join u on x.segment=u.a join s y on y.segment=u.b) group by all")
+@query("with s as (select distinct l_partkey contig, l_orderkey segment from lineitem), l as (select o_orderkey a, o_orderkey+1 b from orders), u as (select a,b from l union select b,a from l) select src, dst, count(*) n from (select x.contig src, y.contig dst from s x join s y on x.segment=y.segment and x.contig<>y.contig union all select x.contig, y.contig from s x join u on x.segment=u.a join s y on y.segment=u.b) group by all")
 def contig_segment_graph(t: Tables) -> DataFrame:
     s = t.lineitem.select(F.col("l_partkey").alias("contig"), F.col("l_orderkey").alias("segment"))
-    links = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
+    links = t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
     return graph.contig_segment_edges(s, links).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -320,16 +321,12 @@ def topk_neighbours(t: Tables) -> DataFrame:
 
 @query("with p as (select a.vec_id i, b.vec_id j, 0.5 - 0.5*list_cosine_similarity(a.embedding::double[], b.embedding::double[]) d from embeddings a, embeddings b where a.vec_id<b.vec_id) select i, j, round(d,6) distance from p where d <= 0.3")
 def cosine_distance_pairs(t: Tables) -> DataFrame:
-    return cluster.pair_distances(t.embeddings, "vec_id", "embedding").where("distance <= 0.3").select("i", "j", *r6("distance"))
+    return cluster.pair_distances(t.embeddings, "vec_id", "embedding", 0.3).select("i", "j", *r6("distance"))
 
 
 @query("with p as (select (a.label=b.label) same, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) c from embeddings a, embeddings b where a.vec_id<b.vec_id) select same, count(*) pairs, round(avg(c),6) mean from p group by same")
 def label_similarity(t: Tables) -> DataFrame:
-    d = cluster.pair_distances(t.embeddings, "vec_id", "embedding")
-    labels = t.embeddings.select("vec_id", "label")
-    both = d.join(labels.withColumnsRenamed({"vec_id": "i", "label": "x"}), "i").join(labels.withColumnsRenamed({"vec_id": "j", "label": "y"}), "j")
-    out = both.groupBy((F.col("x") == F.col("y")).alias("same")).agg(F.count(F.lit(1)).alias("pairs"), F.avg(1 - 2 * F.col("distance")).alias("mean"))
-    return out.select("same", "pairs", *r6("mean"))
+    return cluster.label_cosines(t.embeddings, "vec_id", "embedding", "label").select("same", "pairs", *r6("mean"))
 
 
 @query("with " + EDGE + " select least(weight,150) weight, count(*) n from e where src<dst and weight>=1 group by 1")
@@ -353,24 +350,29 @@ def name_normalise(t: Tables) -> DataFrame:
     return t.pages.select("page_id", G.contig_name(F.col("url")).alias("name"))
 
 
-@query("select s_nationkey, count(*) filter (where p_brand='Brand#11') b11, count(*) filter (where p_brand='Brand#22') b22, count(*) filter (where p_brand='Brand#33') b33 from lineitem join supplier on l_suppkey=s_suppkey join part on l_partkey=p_partkey where p_brand in ('Brand#11','Brand#22','Brand#33') group by 1")
+_BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+@query("select s_nationkey, " + ", ".join(f"count(*) filter (where p_brand='{b}') b{b[-2:]}" for b in _BRANDS) + " from lineitem join supplier on l_suppkey=s_suppkey join part on l_partkey=p_partkey group by 1")
 def marker_pivot(t: Tables) -> DataFrame:
     j = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    out = j.where(F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33")).groupBy("s_nationkey").pivot("p_brand", ["Brand#11", "Brand#22", "Brand#33"]).agg(F.count(F.lit(1))).na.fill(0)
-    return out.toDF("s_nationkey", "b11", "b22", "b33")
+    return metrics.marker_matrix(j, "s_nationkey", "p_brand", _BRANDS).toDF("s_nationkey", *[f"b{b[-2:]}" for b in _BRANDS])
 
 
-@query("with " + PARTS + ", s as (select bin, sum(len)::bigint bp, count(*) contigs from p group by bin) select bin, bp, contigs from s where bp >= (select avg(bp) from s)")
+@query("with " + PARTS + " select bin, sum(len)::bigint bp, count(*) contigs from p group by bin having sum(len) >= 2000000")
 def bin_sizes(t: Tables) -> DataFrame:
-    s = _parts(t).groupBy("bin").agg(F.sum("len").alias("bp"), F.count(F.lit(1)).alias("contigs"))
-    return s.crossJoin(F.broadcast(s.agg(F.avg("bp").alias("a")))).where("bp >= a").drop("a")  # a single row
+    p = _parts(t)
+    return metrics.bin_sizes(p.select("p_partkey", "bin"), p.select("p_partkey", "len"), "p_partkey", "len", 2_000_000)
+
+
+# Bins of size and brand, but for parts of over 40, which are in none.
+_LEFT = PARTS + ", c as (select p_partkey::varchar \"name\", len, bin, genome from p), b as (select \"name\", len, genome||'/'||bin bin from c where bin <= 40), k as (select bin from b group by bin having sum(len) >= 91000)"
 
 
-@query("with " + PARTS + ", s as (select bin, sum(len) bp from p where genome<>'Brand#11' group by bin having sum(len) >= 2000000) select p_partkey, bin, len from p where genome='Brand#11' and len > 100000 and bin not in (select bin from s)")
+@query("with " + _LEFT + " select \"name\", bin from b where bin in (select bin from k) union all select \"name\", (row_number() over (order by \"name\") + (select count(*) from k) - 1)::varchar from c where bin > 40 and len > 91000")
 def leftover_bins(t: Tables) -> DataFrame:
-    p = _parts(t)
-    big = p.where("genome <> 'Brand#11'").groupBy("bin").agg(F.sum("len").alias("bp")).where("bp >= 2000000")
-    return p.where("genome = 'Brand#11' and len > 100000").join(big, "bin", "left_anti").select("p_partkey", "bin", "len")
+    p = _parts(t).select(F.col("p_partkey").cast("string").alias("name"), F.col("len").alias("length"), "bin", "genome")
+    return sinks.bins_with_leftovers(p.where("bin <= 40").select("name", F.concat_ws("/", "genome", "bin").alias("bin")), p, 91_000)
 
 
 @query("with " + SUPP + ", q as (select s.c, s_nationkey bin from (select distinct c from s) s join supplier on s.c=s_suppkey) select distinct a.c i, b.c j from q a join q b on a.bin=b.bin and a.c<b.c")
@@ -427,16 +429,16 @@ def medoid_bins(t: Tables) -> DataFrame:
     return cluster.medoid_bins(t.embeddings, "vec_id", "embedding")
 
 
-@query("with n as (select a.vec_id i, count(*) c from embeddings a, embeddings b where a.vec_id=b.vec_id or 0.5-0.5*list_cosine_similarity(a.embedding::double[], b.embedding::double[]) <= 0.25 group by 1) select i vec_id, c neighbours, c>=4 core from n")
+@query("""with recursive near as (select a.vec_id i, b.vec_id j from embeddings a, embeddings b where a.vec_id=b.vec_id or 0.5-0.5*list_cosine_similarity(a.embedding::double[], b.embedding::double[]) <= 0.25),
+n as (select i, count(*) c from near group by i), links as (select near.i, near.j from near join n x on near.i=x.i join n y on near.j=y.i where x.c>=4 and y.c>=4),
+r as (select i, j from links union select r.i, links.j from r join links on r.j=links.i), k as (select i, min(j) bin from r group by i),
+e as (select near.i, min(k.bin) bin from near join k on near.j=k.i group by near.i) select n.i vec_id, c neighbours, c>=4 core, coalesce(k.bin, e.bin, -1) bin from n left join k using (i) left join e using (i)""")
 def dbscan_core(t: Tables) -> DataFrame:
-    return cluster.dbscan(t.embeddings, "vec_id", "embedding", 0.25, 4).select("vec_id", "neighbours", "core")
-
+    return cluster.dbscan(t.embeddings, "vec_id", "embedding", 0.25, 4)
 
 
-
-# Vectors of parts: size, price and a constant; the pairs that stand for drawn ones are fixed by a rule, so SQL can state them.
+# Vectors of parts: size, price and a constant.
 VEC = "v as (select p_partkey n, [p_size::double, p_retailprice/50, 10.0] v from part)"
-DRAWN = "ng as (select a.p_partkey src, b.p_partkey dst from part a join part b on b.p_partkey=(a.p_partkey*7)%100+1)"
 
 
 def _vectors(t: Tables) -> DataFrame:
@@ -444,10 +446,10 @@ def _vectors(t: Tables) -> DataFrame:
 
 
 def _marked(t: Tables) -> DataFrame:
-    return graph.same_marker_edges(_edges(t), t.lineitem.where("l_returnflag='R'"), "l_partkey", "l_suppkey")
+    return graph.same_marker_edges(_edges(t), t.lineitem, "l_partkey", "l_suppkey")
 
 
-SIM = EDGE + ", " + VEC + ", m as (select distinct l_partkey n, l_suppkey g from lineitem where l_returnflag='R'), sh as (select distinct e.src, e.dst from e join m x on e.src=x.n join m y on e.dst=y.n and x.g=y.g), si as (select e.src, e.dst, least(e.weight,2) weight, list_cosine_similarity(a.v,b.v) c, sh.src is not null shares from e join v a on e.src=a.n join v b on e.dst=b.n left join sh on sh.src=e.src and sh.dst=e.dst where e.src<e.dst and e.weight>0)"
+SIM = EDGE + ", " + VEC + ", m as (select distinct l_partkey n, l_suppkey g from lineitem), sh as (select distinct e.src, e.dst from e join m x on e.src=x.n join m y on e.dst=y.n and x.g=y.g), si as (select e.src, e.dst, least(e.weight,2) weight, list_cosine_similarity(a.v,b.v) c, sh.src is not null shares from e join v a on e.src=a.n join v b on e.dst=b.n left join sh on sh.src=e.src and sh.dst=e.dst where e.src<e.dst and e.weight>0)"
 
 
 def _similarity(t: Tables) -> DataFrame:
@@ -470,9 +472,9 @@ def nodes_removed(t: Tables) -> DataFrame:
     return graph.without_nodes(_edges(t), t.part.where("p_size <= 10"), "p_partkey")
 
 
-@query("with " + EDGE + " select p_partkey, p_brand from part where p_partkey in (select src from e) and p_partkey in (select l_partkey from lineitem where l_returnflag='R')")
+@query("with " + EDGE + " select p_partkey, p_brand from part where p_partkey in (select src from e) and p_partkey in (select l_partkey from lineitem)")
 def linked_and_marked(t: Tables) -> DataFrame:
-    marks = t.lineitem.where("l_returnflag='R'").select(F.col("l_partkey").alias("p_partkey"))
+    marks = t.lineitem.select(F.col("l_partkey").alias("p_partkey"))
     return graph.linked_and_marked(t.part, _edges(t), marks, "p_partkey").select("p_partkey", "p_brand")
 
 
@@ -482,9 +484,9 @@ def edges_replaced(t: Tables) -> DataFrame:
     return graph.replace_edges(_edges(t), new)
 
 
-@query("with l as (select l_partkey::varchar src, l_suppkey::varchar dst from lineitem where l_quantity>=45), k as (select p_partkey::varchar n from part where p_size>=5) select distinct least(src,dst) src, greatest(src,dst) dst from l where src in (select n from k) and dst in (select n from k) union all select 'root', n from k")
+@query("with l as (select l_partkey::varchar src, l_suppkey::varchar dst from lineitem), k as (select p_partkey::varchar n from part where p_size>=5) select distinct least(src,dst) src, greatest(src,dst) dst from l where src in (select n from k) and dst in (select n from k) union all select 'root', n from k")
 def rooted_graph(t: Tables) -> DataFrame:
-    links = t.lineitem.where("l_quantity >= 45").select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"))
+    links = t.lineitem.select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"))
     return graph.undirected_edges(links, t.part.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").alias("length")), 5, "root")
 
 
@@ -513,10 +515,11 @@ def learned_fraction(t: Tables) -> DataFrame:
     return out.select("src", *r6("value"))
 
 
-@query("with " + EDGE + ", " + VEC + ", " + DRAWN + ", p as (select src, dst, 1.0::double y from e union all select src, dst, 0.0::double from ng), c as (select y, list_cosine_similarity(a.v,b.v) c from p join v a on src=a.n join v b on dst=b.n) select round(avg(c) filter (where y=1),6) pos, round(avg(c) filter (where y=0),6) neg, round(avg(ln(1+exp(c))-y*c),6) loss from c")
+@query()
 def edge_loss(t: Tables) -> DataFrame:
-    a, b = t.part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 7 % 100 + 1).alias("dst")), t.part.select(F.col("p_partkey").alias("dst"))
-    return models.edge_loss(_edges(t), a.join(b, "dst"), _vectors(t), "n", "v").select(*r6("pos", "neg", "loss"))
+    """The loss with a negative for each edge, its end drawn evenly over all parts; draws by hash are beyond SQL."""
+    e = _edges(t)
+    return models.edge_loss(e, graph.negative_edges(e, t.part, "p_partkey", 1, 7).select("src", "dst"), _vectors(t), "n", "v").select(*r6("pos", "neg", "loss"))
 
 
 @query("with " + EDGE + ", " + VEC + ", c as (select list_cosine_similarity(a.v,b.v) c from e join v a on src=a.n join v b on dst=b.n where src<dst) select count(*) pairs, round((sum(ln(1+exp(c)))+ln(1+exp(1.0))-1)/(count(*)+1),6) loss from c")
@@ -534,9 +537,9 @@ def autoencoder_loss(t: Tables) -> DataFrame:
     return models.autoencoder_loss(rows, "x", "x_hat", "mu", "logvar", 2).select(*r6("abundance", "kmer", "kld", "loss"))
 
 
-@query("with c as (select label bin, i pos, avg(embedding[i]::double) m from embeddings, unnest(range(1,65)) u(i) group by all), d as (select vec_id, bin, sum((embedding[pos]::double-m)*(embedding[pos]::double-m)) d from embeddings, c where label<=4 group by all) select count(*) points, round(avg(d),6) loss from (select vec_id, min(d) d from d group by 1)")
+@query("with c as (select label bin, i pos, avg(embedding[i]::double) m from embeddings, unnest(range(1,65)) u(i) group by all), d as (select vec_id, bin, sum((embedding[pos]::double-m)*(embedding[pos]::double-m)) d from embeddings, c group by all) select count(*) points, round(avg(d),6) loss from (select vec_id, min(d) d from d group by 1)")
 def centroid_loss(t: Tables) -> DataFrame:
-    return models.centroid_loss(t.embeddings, "vec_id", "embedding", "label", t.embeddings.where("label <= 4")).select("points", *r6("loss"))
+    return models.centroid_loss(t.embeddings, "vec_id", "embedding", "label", t.embeddings).select("points", *r6("loss"))
 
 
 @query()
@@ -554,82 +557,84 @@ def bisecting_bins(t: Tables) -> DataFrame:
     return cluster.bisecting_kmeans(t.embeddings, "vec_id", "embedding", 8)
 
 
-# Over whole tables: the queries above that read a part of lineitem or part keep it, as their SQL states it; these read all rows.
-@query(ORACLE_SQL["must_differ_pairs"].replace(" where l_returnflag='R' and l_quantity>=48", ""))
-def must_differ_pairs_whole(t: Tables) -> DataFrame:
-    return graph.must_differ_pairs(t.lineitem, "l_suppkey", "l_partkey")
+# A gold standard with genomes that no bin holds: brand 13's parts are left unassigned.
+UNREC = PARTS.replace(" from part)", " from part), g as (select genome, sum(len)::bigint genome_bp, count(*) genome_seqs from p group by genome)") + ", c as (select bin, genome, sum(len)::bigint bp, count(*) seqs from p where genome <> 'Brand#13' group by all)"
 
 
-def _whole(name: str) -> str:
-    """The SQL of a query without its filters of lineitem and of the marker sets."""
-    sql = ORACLE_SQL[name]
-    for cut in (" where l_returnflag='R' and l_quantity>=40", " where p_size <= 5", " where l_returnflag='R'", " where l_quantity>=45"):
-        sql = sql.replace(cut, "")
-    return sql
+@query("with " + UNREC + " select genome, bin, round(coalesce(bp,0)/genome_bp,6) recall_bp, round(coalesce(seqs,0)/genome_seqs,6) recall_seq from g left join (select *, row_number() over (partition by genome order by bp desc, bin) k from c) using (genome) where coalesce(k,1)=1")
+def amber_unrecovered(t: Tables) -> DataFrame:
+    p = _parts(t)
+    c = metrics.confusion(p.where("genome <> 'Brand#13'"), "bin", "genome", "len")
+    return metrics.genome_recall(c, p, "genome", "len").select("genome", "bin", *r6("recall_bp", "recall_seq"))
 
 
-def _whole_markers(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = t.lineitem.groupBy(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("gene")).agg(F.count(F.lit(1)).alias("copies"))
-    bins = t.supplier.select(F.col("s_suppkey").alias("contig"), F.col("s_nationkey").alias("bin"))
-    return m, bins, t.part.select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("gene"))
+@query("with " + PARTS + " select round((sum(len) filter (where genome<>'Brand#13'))/sum(len),6) share_bp, round((count(*) filter (where genome<>'Brand#13'))/count(*),6) share_seq from p")
+def assigned_share(t: Tables) -> DataFrame:
+    p = _parts(t)
+    return metrics.assigned_share(p.where("genome <> 'Brand#13'"), p, "p_partkey", "len").select(*r6("share_bp", "share_seq"))
 
 
-def _whole_scores(t: Tables) -> DataFrame:
-    m, bins, sets = _whole_markers(t)
-    return metrics.marker_scores(metrics.gene_totals(m, bins, "contig"), sets)
+@query("with c as (select c_nationkey b, c_mktsegment l, count(*) n from customer group by all) select round(a.x,6) avg_precision, round(b.x,6) avg_recall from (select avg(m/t) x from (select max(n) m, sum(n) t from c group by b)) a, (select avg(m/t) x from (select max(n) m, sum(n) t from c group by l)) b")
+def average_pr(t: Tables) -> DataFrame:
+    return metrics.average_pr(t.customer, "c_nationkey", "c_mktsegment").select(*r6("avg_precision", "avg_recall"))
 
 
-@query(_whole("marker_completeness"))
-def marker_completeness_whole(t: Tables) -> DataFrame:
-    return _whole_scores(t).select("bin", *r6("comp", "cont"))
+@query("select c_nationkey bin, c_mktsegment, count(*) n from customer group by all")
+def bin_composition(t: Tables) -> DataFrame:
+    return metrics.bin_composition(t.customer.withColumnRenamed("c_nationkey", "bin"), "c_mktsegment")
 
 
-@query(_whole("hq_bins"))
-def hq_bins_whole(t: Tables) -> DataFrame:
-    return metrics.quality_counts(_whole_scores(t), (2, 1), (1, 5)).select("bins", "hq", "mq", *r6("hq_comp", "hq_cont"))
+@query("select p_partkey, coalesce(string_agg(distinct l_suppkey::varchar, ',' order by l_suppkey::varchar), '') contigs from part left join lineitem on l_partkey=p_partkey group by 1")
+def marker_contigs(t: Tables) -> DataFrame:
+    m = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").cast("string").alias("c"))
+    return metrics.marker_contigs(t.part, m, "p_partkey", "c").select("p_partkey", F.array_join("contigs", ",").alias("contigs"))
 
 
-@query(_whole("unresolved_pool"))
-def unresolved_pool_whole(t: Tables) -> DataFrame:
-    m, bins, sets = _whole_markers(t)
-    return metrics.unresolved(bins, m, _whole_scores(t), sets, "contig", (2, 1))
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id) k from events) where k=1")
+def gold_first_rows(t: Tables) -> DataFrame:
+    return metrics.first_rows(t.events, "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query(_whole("bin_extra_metrics"))
-def bin_extra_metrics_whole(t: Tables) -> DataFrame:
-    return metrics.extra_metrics(_whole_scores(t)).select(*r6("avg_comp", "avg_cont", "cont_50", "cont_90", "comp_5"))
+@query("select lang, source species, count(*) reads from documents group by all")
+def reads_by_species(t: Tables) -> DataFrame:
+    return metrics.reads_by_species(t.documents.select("lang", F.concat("source", F.lit("_reads/"), "doc_id").alias("read")), "lang", "read")
 
 
-def _whole_marked(t: Tables) -> DataFrame:
-    return graph.same_marker_edges(_edges(t), t.lineitem, "l_partkey", "l_suppkey")
+@query("select p_partkey src, p_partkey dst, 1 weight from part")
+def self_loops(t: Tables) -> DataFrame:
+    return graph.self_loops(t.part, "p_partkey")
 
 
-@query(_whole("same_marker_edges"))
-def same_marker_edges_whole(t: Tables) -> DataFrame:
-    return _whole_marked(t)
+@query("with " + EDGE + ", i as (select p_partkey, 2*p_partkey+1 idx from part where p_size<>7) select a.idx src, b.idx dst, weight from e join i a on e.src=a.p_partkey join i b on e.dst=b.p_partkey")
+def edges_reindexed(t: Tables) -> DataFrame:
+    return graph.reindexed(_edges(t), t.part.where("p_size <> 7").select(F.col("p_partkey").alias("name"), (2 * F.col("p_partkey") + 1).alias("idx")))
 
 
-@query(_whole("edges_cleaned"))
-def edges_cleaned_whole(t: Tables) -> DataFrame:
-    return graph.remove_edges(_edges(t), _whole_marked(t))
+_GAT = "f{k} as (select src, dst, case when weight*({l}-{r})>=0 then weight*({l}-{r}) else 0.2*weight*({l}-{r}) end x from e join part a on src=a.p_partkey join part b on dst=b.p_partkey), g{k} as (select *, exp(x - max(x) over (partition by src)) y from f{k}), h{k} as (select src, round(sum(y*p_size)/sum(y),6) v from g{k} join part on dst=p_partkey group by src)"
+_HEADS = [("a.p_size/50.0", "b.p_size/25.0"), ("a.p_retailprice/1000", "b.p_size/40.0")]
 
 
-@query(_whole("edge_similarity"))
-def edge_similarity_whole(t: Tables) -> DataFrame:
-    e = _edges(t)
-    out = graph.edge_similarity(e, models.pair_cosines(e.where("src < dst"), _vectors(t), "n", "v"), _whole_marked(t), 0, 2)
-    return out.select("src", "dst", "weight", *r6("cosine"), "shares")
+@query("with " + EDGE + ", " + ", ".join(_GAT.format(k=k, l=left, r=right) for k, (left, right) in enumerate(_HEADS)) + " select src, h0.v head_0, h1.v head_1 from h0 join h1 using (src)")
+def attention_layer(t: Tables) -> DataFrame:
+    n = t.part.select("p_partkey", (F.col("p_size") / 50.0).alias("l0"), (-F.col("p_size") / 25.0).alias("r0"), (F.col("p_retailprice") / 1000).alias("l1"), (-F.col("p_size") / 40.0).alias("r1"), F.col("p_size").cast("double").alias("x"))
+    out = graph.attention_layer(_edges(t), n, "p_partkey", [("l0", "r0", "x"), ("l1", "r1", "x")])
+    return out.select("src", *[F.round(F.col("out")[k], 6).alias(f"head_{k}") for k in (0, 1)])
 
 
-@query(_whole("rooted_graph"))
-def rooted_graph_whole(t: Tables) -> DataFrame:
-    links = t.lineitem.select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst"))
-    return graph.undirected_edges(links, t.part.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").alias("length")), 5, "root")
+@query("with s as (select i, avg(embedding[i]::double) m, stddev_pop(embedding[i]::double) d from embeddings, unnest(range(1,65)) u(i) group by i) select vec_id, (i-1)::int pos, round((embedding[i]::double-m)/d,6) x from embeddings, s")
+def standardised_embeddings(t: Tables) -> DataFrame:
+    z = features.standardise_vectors(t.embeddings, "vec_id", "embedding")
+    return z.select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", *r6("x"))
+
+
+@query("with f as (select vec_id, list_concat(embedding::double[], [p_size::double, p_retailprice]) v from embeddings join part on p_partkey=vec_id) select vec_id, (i-1)::int pos, round(v[i],6) x from f, unnest(range(1,67)) u(i)")
+def concatenated_features(t: Tables) -> DataFrame:
+    a = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    b = t.part.select(F.col("p_partkey").alias("vec_id"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("b"))
+    return features.concat_features(a, b, "vec_id", "a", "b", "v").select("vec_id", F.posexplode("v").alias("pos", "x")).select("vec_id", "pos", *r6("x"))
 
 
 @query()
-def edge_loss_whole(t: Tables) -> DataFrame:
-    """The loss with a negative for each edge, its end drawn evenly over all parts; draws by hash are beyond SQL."""
-    e = _edges(t)
-    drawn = graph.negative_edges(e, t.part, "p_partkey", 1, 7).select("src", "dst")
-    return models.edge_loss(e, drawn, _vectors(t), "n", "v").select(*r6("pos", "neg", "loss"))
+def weighted_negatives(t: Tables) -> DataFrame:
+    """Ends drawn by in-degree to the power of 3/4; draws by hash are beyond SQL."""
+    return graph.weighted_negatives(_edges(t), 1, 7)

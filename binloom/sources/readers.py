@@ -151,3 +151,11 @@ def read_depths_npz(spark: SparkSession, path: str, contigs: DataFrame) -> DataF
     matrix = np.load(path)["arr_0"]
     rows = [(i, j, float(x)) for i, row in enumerate(matrix) for j, x in enumerate(np.atleast_1d(row))]
     return contigs.select("idx", "name").join(spark.createDataFrame(rows, "idx long, sample int, depth double"), "idx").select("name", "sample", "depth")
+
+
+def paths_or_fallback(paths: DataFrame, info: DataFrame) -> DataFrame:
+    """(path, pos, segment) of the graph file's P lines; if it has none, of the paths in assembly_info."""
+    if not paths.isEmpty():
+        return paths.select("path", "pos", "segment")
+    steps = info.select(F.col("name").alias("path"), F.posexplode("path").alias("pos", "segment"))
+    return steps.where("segment <> '*' and segment <> ''")

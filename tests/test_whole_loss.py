@@ -19,4 +19,4 @@ def test_negatives_reach_all_parts(spark):
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
     p, n = ([cos(vector[a], vector[b]) for a, b in pairs] for pairs in (pos, neg))
     want = (sum(p) / len(p), sum(n) / len(n), (sum(math.log1p(math.exp(c)) - c for c in p) + sum(math.log1p(math.exp(c)) for c in n)) / (len(p) + len(n)))
-    assert tuple(plans.QUERIES["edge_loss_whole"](spark, SF).first()) == pytest.approx(want, abs=2e-6)
+    assert tuple(plans.QUERIES["edge_loss"](spark, SF).first()) == pytest.approx(want, abs=2e-6)

@@ -17,7 +17,7 @@ def test_scores_of_all_line_items(spark):
     copies = defaultdict(Counter)
     for s, p in read("lineitem", "l_suppkey", "l_partkey"):
         copies[nation[s]][p] += 1
-    got = {r["bin"]: (r["comp"], r["cont"]) for r in plans.QUERIES["marker_completeness_whole"](spark, SF).collect()}
+    got = {r["bin"]: (r["comp"], r["cont"]) for r in plans.QUERIES["marker_completeness"](spark, SF).collect()}
     assert set(got) == set(copies)
     for b, c in copies.items():
         want = [100 / len(size) * sum(f(n) / size[brand[p]] for p, n in c.items()) for f in (lambda n: 1, lambda n: n - 1)]
@@ -31,7 +31,7 @@ def test_links_of_all_line_items(spark):
         orders[o].add(p)
         suppliers[p].add(s)
     want = {(a, b): len(suppliers[a] & suppliers[b]) for ps in orders.values() for a in ps for b in ps if a != b and suppliers[a] & suppliers[b]}
-    got = {(r["src"], r["dst"]): r["overlap"] for r in plans.QUERIES["same_marker_edges_whole"](spark, SF).collect()}
+    got = {(r["src"], r["dst"]): r["overlap"] for r in plans.QUERIES["same_marker_edges"](spark, SF).collect()}
     assert got == want
-    cleaned = {(r["src"], r["dst"]) for r in plans.QUERIES["edges_cleaned_whole"](spark, SF).collect()}
+    cleaned = {(r["src"], r["dst"]) for r in plans.QUERIES["edges_cleaned"](spark, SF).collect()}
     assert cleaned == {(a, b) for ps in orders.values() for a in ps for b in ps if a != b} - set(want)
