@@ -38,9 +38,9 @@ from binloom.llm.common import Roller, buffers, durable_table, groups_of, mix64,
 
 WIDTH, GRAM, GRID = 200, 32, 24
 #: Bytes that one step of the anchor scan handles; a longer text is scanned in overlapping pieces.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Suffixes that a bucket has in the mean, and tasks that they are dealt to at most (a task may hold several buckets).
-BUCKET_ROWS, MAX_TASKS = 50_000, 20_000
+BUCKET_ROWS, MAX_TASKS = 40_000, 20_000
 _PLACE_BITS = 22
 
 
