@@ -11,7 +11,7 @@ from binloom.llm.common import durable, fold_of, utf8
 #: A classifier is fitted on about this many labelled documents at most, chosen by a hash of id and text.
 SAMPLE_ROWS = 20_000
 #: Labels that are sent to all tasks, at most, and rows that a step of the fit looks at.
-BROADCAST_ROWS, FIT_ROWS = 1 << 20, 8192
+BROADCAST_ROWS, FIT_ROWS = 1 << 18, 8192
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
