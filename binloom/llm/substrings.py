@@ -153,9 +153,12 @@ def open_suffixes(docs: DataFrame, width: int, gram: int, grid: int) -> DataFram
                 kinds = (("suffix", pa.binary()), ("left", pa.binary()), ("start", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("once", pa.bool_()))
                 return pa.RecordBatch.from_arrays([*(pa.array(out[k], t) for k, t in kinds), ids.take(pick), ties.take(pick)], [*out, "doc_id", "tie"])
 
-            for k, runs in enumerate(batch.column(3).to_pylist()):
-                base, stop = int(off[k]), int(off[k + 1])
-                for low, high, once in sorted((r["low"], r["high"], r["once"]) for r in runs):
+            lists = batch.column(3)
+            flat, cuts = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(int)
+            lows, highs, onces = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("low", "high", "once"))
+            for k in range(batch.num_rows):
+                base, stop, own = int(off[k]), int(off[k + 1]), slice(cuts[k], cuts[k + 1])
+                for low, high, once in sorted(zip(lows[own].tolist(), highs[own].tolist(), onces[own].tolist())):
                     part = data[base + low : base + high + width]
                     _, _, anchor, _ = runs_of(part, np.array([0, len(part)]), roll, width, gram)
                     m = low + int(anchor[0])  # all windows of a run have this anchor
