@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binloom.operators import cluster, features, graph, metrics
+from binloom import functions as G
+from binloom.operators import cluster, features, graph, metrics, training
 from binloom.sources import readers, sinks
 from binloom.sources.store import durable
 
@@ -30,6 +32,12 @@ class BinningConfig:
     layers: int = 0
     bins: int | None = None  # k-means with as many bins; medoid clustering if None
     seed: int = 0
+    epochs: int = 0  # of the autoencoder; clusters the vectors themselves if 0
+    hidden: int = 512
+    latent: int = 64
+    batch: int = 256
+    eval_every: int = 10
+    eval_skip: int = 0
 
 
 def contig_vectors(spark: SparkSession, contigs: DataFrame, config: BinningConfig) -> DataFrame:
@@ -58,24 +66,51 @@ def smooth(vectors: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
     return vectors
 
 
+def trained_vectors(vectors: DataFrame, edges: DataFrame | None, differ: DataFrame | None, config: BinningConfig, binned: Callable) -> DataFrame:
+    """(idx, emb): the vectors before their latent means, of the epoch with most high-quality bins where bins are scored."""
+    shape = training.Shape(config.samples if config.depths else 0, 4**config.kmer, config.hidden, config.latent)
+    links = None
+    if edges is not None:
+        drawn = graph.negative_edges(edges, vectors.select("idx"), "idx", 1, config.seed)
+        links = edges.select("src", "dst", F.lit(1.0).alias("y")).unionByName(drawn.select("src", "dst", F.lit(0.0).alias("y")))
+    encoded = lambda state: durable(training.encode(vectors, "idx", "emb", state, shape, concat=True))
+
+    def evaluate(_: int, state: training.State) -> float:
+        good = G.is_hq(F.col("comp"), F.col("cont"))
+        return float(binned(encoded(state))[1].agg(F.count_if(good)).first()[0])
+
+    scored = config.markers is not None and config.marker_sets is not None
+    state, _ = training.train(vectors, "idx", "emb", shape, config.epochs, config.batch, seed=config.seed, links=links, differ=differ, evaluate=evaluate if scored else None, every=config.eval_every, skip=config.eval_skip)
+    return encoded(state)
+
+
 def run_binning(spark: SparkSession, config: BinningConfig) -> tuple[DataFrame, DataFrame | None]:
     """(name, bin) of every contig of min_contig and more, and (bin, comp, cont) where markers and sets are given."""
     every = readers.read_fasta(spark, config.contigs)
     contigs = every.where(F.col("length") >= config.min_contig)
     markers = readers.read_marker_stats(spark, config.markers) if config.markers else None
     vectors = durable(contig_vectors(spark, contigs, config))  # clustering reads them many times
-    if config.graph and config.layers:
+    edges = differ = None
+    marked = markers.join(contigs.select("name", "idx"), "name") if markers is not None else None
+    if config.graph and (config.layers or config.epochs):
         links = readers.read_gfa_links(spark, config.graph).select("src", "dst", "weight")
         edges = graph.edges_over(graph.link_edges(links, contigs, config.min_contig), config.edge_threshold)
-        if markers is not None:
-            marked = markers.join(contigs.select("name", "idx"), "name")
+        if marked is not None:
             edges = graph.remove_edges(edges, graph.same_marker_edges(edges, marked, "idx", "gene"))
-        vectors = durable(smooth(vectors, edges, config.layers))
-    found = cluster.kmeans(vectors, "idx", "emb", config.bins, config.seed) if config.bins else cluster.medoid_bins(vectors, "idx", "emb", config.seed)
-    bins = durable(found.join(contigs.select("idx", "name"), "idx").select("name", F.col("bin").cast("string").alias("bin")))
-    scores = None
-    if markers is not None and config.marker_sets:
-        scores = metrics.marker_scores(metrics.gene_totals(markers, bins, "name"), readers.read_marker_sets(spark, config.marker_sets))
+    if marked is not None and config.epochs:
+        differ = graph.must_differ_pairs(marked, "idx", "gene").toDF("src", "dst")
+
+    def binned(emb: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        emb = durable(smooth(emb, edges, config.layers)) if edges is not None and config.layers else emb
+        found = cluster.kmeans(emb, "idx", "emb", config.bins, config.seed) if config.bins else cluster.medoid_bins(emb, "idx", "emb", config.seed)
+        bins = durable(found.join(contigs.select("idx", "name"), "idx").select("name", F.col("bin").cast("string").alias("bin")))
+        if markers is None or not config.marker_sets:
+            return bins, None
+        return bins, metrics.marker_scores(metrics.gene_totals(markers, bins, "name"), readers.read_marker_sets(spark, config.marker_sets))
+
+    if config.epochs:
+        vectors = trained_vectors(vectors, edges, differ, config, binned)
+    bins, scores = binned(vectors)
     if config.out:
         sinks.write_contig2bin(bins, f"{config.out}/contig2bin")
         sinks.write_bin_fasta(bins, contigs, f"{config.out}/bins", config.min_bin)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, graph, metrics, models, stats
+from binloom.operators import cluster, features, graph, metrics, models, stats, training
 from binloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -638,3 +638,12 @@ def concatenated_features(t: Tables) -> DataFrame:
 def weighted_negatives(t: Tables) -> DataFrame:
     """Ends drawn by in-degree to the power of 3/4; draws by hash are beyond SQL."""
     return graph.weighted_negatives(_edges(t), 1, 7)
+
+
+@query()
+def vae_embeddings(t: Tables) -> DataFrame:
+    """Latent means after two epochs on all embeddings; the fit is beyond SQL."""
+    shape = training.Shape(0, 64, hidden=64, latent=16)
+    state, _ = training.train(t.embeddings, "vec_id", "embedding", shape, epochs=2)
+    out = training.encode(t.embeddings, "vec_id", "embedding", state, shape)
+    return out.select("vec_id", F.transform("emb", lambda x: F.round(x, 6)).alias("emb"))

@@ -23,15 +23,15 @@ def files(tmp_path_factory):
     return d, kind
 
 
-@pytest.mark.parametrize("layers", [0, 1])
-def test_two_genomes_part(spark, files, layers):
+@pytest.mark.parametrize("layers, epochs", [(0, 0), (1, 0), (1, 2)])
+def test_two_genomes_part(spark, files, layers, epochs):
     d, kind = files
-    config = BinningConfig(f"{d}/a.fasta", f"{d}/a.gfa", f"{d}/d.txt", f"{d}/m.tsv", f"{d}/b.ms", f"{d}/out{layers}", samples=2, min_bin=1000, layers=layers, bins=2)
+    config = BinningConfig(f"{d}/a.fasta", f"{d}/a.gfa", f"{d}/d.txt", f"{d}/m.tsv", f"{d}/b.ms", f"{d}/out{layers}{epochs}", samples=2, min_bin=1000, layers=layers, bins=2, epochs=epochs, hidden=16, latent=4, eval_every=1)
     bins, scores = run_binning(spark, config)
     got = {r["name"]: r["bin"] for r in bins.collect()}
     assert set(got) == set(kind)  # the short contig is not binned
     assert len({(kind[n], b) for n, b in got.items()}) == 2
     assert sorted((r["comp"], r["cont"]) for r in scores.collect()) == [(pytest.approx(100), 0.0)] * 2
-    lines = spark.read.text(f"{d}/out{layers}/contig2bin").count()
+    lines = spark.read.text(f"{d}/out{layers}{epochs}/contig2bin").count()
     assert lines == 3 + len(kind)
-    assert len([p for p in (d / f"out{layers}" / "bins").iterdir() if p.is_dir()]) == 2
+    assert len([p for p in (d / f"out{layers}{epochs}" / "bins").iterdir() if p.is_dir()]) == 2
