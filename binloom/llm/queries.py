@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from binloom.llm.decontaminate import OP5_SQL, op5_suffix_array_decontamination
 from binloom.llm.html_mincut import op1_mincut_html
+from binloom.llm.infill import OP11_SQL, op11_infill_units
 from binloom.llm.merkle import op7_merkle_fingerprints
 from binloom.llm.mixing import op4_curriculum_mixing
 from binloom.llm.quality import op6_bradley_terry_quality
@@ -16,8 +17,9 @@ from binloom.llm.toxicity import op2_nb_ngram_toxicity
 _ALL = (
     op1_mincut_html, op2_nb_ngram_toxicity, op3_rendezvous_sharding, op4_curriculum_mixing, op5_suffix_array_decontamination,
     op6_bradley_terry_quality, op7_merkle_fingerprints, op8_longest_match_counts, op9_simhash_trie, op10_suffix_array_dedup,
+    op11_infill_units,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: The others use a hash, a fitted model or a search of bytes that SQL has no equal of; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op5_suffix_array_decontamination": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_suffix_array_decontamination": OP5_SQL, "op11_infill_units": OP11_SQL}
