@@ -42,14 +42,19 @@ def durable_table(df: DataFrame) -> DataFrame:
 
     The files go when the session's Python process ends.
     """
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As durable_table, with the path for `remove`, for a table that is not needed any more before the process ends."""
     spark = df.sparkSession
     path = f"{_shared_dir(spark)}/binloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None and spark.sparkContext._jsc is not None:  # a stopped session leaves its files to the folder's owner
         where = jvm.org.apache.hadoop.fs.Path(path)
