@@ -123,6 +123,12 @@ def weighted_adjacency(edges: DataFrame) -> DataFrame:
     return out.select("src", "dst", value.alias("value"))
 
 
+def with_loops(adjacency: DataFrame, nodes: DataFrame, node: str, value: str) -> DataFrame:
+    """The adjacency and a loop of value 1 at each node that has no edge in it."""
+    alone = nodes.select(F.col(node).alias("src")).join(adjacency.select("src"), "src", "left_anti")
+    return adjacency.select("src", "dst", value).unionByName(alone.select("src", F.col("src").alias("dst"), F.lit(1.0).alias(value)))
+
+
 def propagate(adjacency: DataFrame, features: DataFrame, value: str, columns: list[str], node: str) -> DataFrame:
     """(src, columns): sums of the neighbours' features by the adjacency's values, one graph convolution without weights."""
     x = features.select(F.col(node).alias("dst"), *[F.col(c).alias(f"__{c}") for c in columns])

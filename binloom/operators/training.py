@@ -166,7 +166,7 @@ def losses_and_gradients(s: State, x: np.ndarray, shape: Shape, rng: np.random.G
     return found, grads
 
 
-def _adam(s: State, grads: State, rate: float) -> None:
+def adam(s: State, grads: State, rate: float) -> None:
     s["@steps"] = s.get("@steps", np.zeros(())) + 1.0
     t = float(s["@steps"])
     for name, g in grads.items():
@@ -226,7 +226,7 @@ def epoch(state: State, dealt: DataFrame, tasks: int, shape: Shape, rates: Rates
                 pick = order[a : a + batch]
                 both = np.concatenate([x[pick], other[pick]]) if pairs else x[pick]
                 found, grads = losses_and_gradients(s, both, shape, rng, y[pick] if pairs else None, not markers, markers, rates.markers if markers else rates.links)
-                _adam(s, grads, rates.step)
+                adam(s, grads, rates.step)
                 for name, value in found.items():
                     total[name] = total.get(name, 0.0) + value * len(pick)
             return len(x)

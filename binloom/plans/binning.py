@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, graph, metrics, training
+from binloom.operators import cluster, features, gnn, graph, metrics, training
 from binloom.sources import readers, sinks
 from binloom.sources.store import durable
 
@@ -38,6 +38,21 @@ class BinningConfig:
     batch: int = 256
     eval_every: int = 10
     eval_skip: int = 0
+    binarise: bool = False  # of the links those from the 90th percentile of the weights, with weight 1
+    loops_only: bool = False  # no links at all
+    marked_only: bool = False  # bins of contigs with markers only
+    same_marker_edges: bool = False  # keep links between contigs that share a marker
+    model: str | None = None  # gcn, sage or gat: a graph network over the vectors
+    gnn_epochs: int = 100
+    gnn_hidden: int = 128
+    gnn_out: int = 64
+    gnn_layers: int = 3
+    gnn_heads: int = 1
+    gnn_dropout: float = 0.5
+    gnn_step: float = 1e-2
+    negatives: int = 1
+    graph_weight: float = 1.0
+    marker_weight: float = 1.0
 
 
 def contig_vectors(spark: SparkSession, contigs: DataFrame, config: BinningConfig) -> DataFrame:
@@ -84,6 +99,25 @@ def trained_vectors(vectors: DataFrame, edges: DataFrame | None, differ: DataFra
     return encoded(state)
 
 
+def networked_vectors(vectors: DataFrame, edges: DataFrame, differ: DataFrame | None, config: BinningConfig, binned: Callable) -> DataFrame:
+    """(idx, emb): the vectors before what a graph network makes of them, of the epoch with most high-quality bins."""
+    nodes = vectors.select(F.col("idx").alias("node"), F.col("emb").alias("x"))
+    value = graph.weighted_adjacency(edges) if not config.loops_only else graph.self_loops(nodes, "node").select("src", "dst", F.col("weight").cast("double").alias("value"))
+    adjacency = durable(graph.with_loops(value, nodes, "node", "value"))
+    first = nodes.select(F.size("x")).first()
+    net = gnn.Net(config.model, first[0] if first else 0, config.gnn_hidden, config.gnn_out, config.gnn_layers, config.gnn_heads, config.gnn_dropout)
+    encoded = lambda state: gnn.embed(net, state, nodes, adjacency).withColumnRenamed("node", "idx")
+
+    def evaluate(_: int, state: training.State) -> float:
+        return float(binned(encoded(state))[1].agg(F.count_if(G.is_hq(F.col("comp"), F.col("cont")))).first()[0])
+
+    scored = config.markers is not None and config.marker_sets is not None
+    losses = gnn.Losses(config.graph_weight, config.marker_weight, config.negatives, config.gnn_step)
+    links = edges.where("src <> dst").select("src", "dst")
+    state, _ = gnn.train(net, nodes, adjacency, links, config.gnn_epochs, losses, config.seed, differ, evaluate if scored else None, config.eval_every, config.eval_skip)
+    return encoded(state)
+
+
 def run_binning(spark: SparkSession, config: BinningConfig) -> tuple[DataFrame, DataFrame | None]:
     """(name, bin) of every contig of min_contig and more, and (bin, comp, cont) where markers and sets are given."""
     every = readers.read_fasta(spark, config.contigs)
@@ -92,16 +126,19 @@ def run_binning(spark: SparkSession, config: BinningConfig) -> tuple[DataFrame,
     vectors = durable(contig_vectors(spark, contigs, config))  # clustering reads them many times
     edges = differ = None
     marked = markers.join(contigs.select("name", "idx"), "name") if markers is not None else None
-    if config.graph and (config.layers or config.epochs):
+    if config.graph and (config.layers or config.epochs or config.model):
         links = readers.read_gfa_links(spark, config.graph).select("src", "dst", "weight")
         edges = graph.edges_over(graph.link_edges(links, contigs, config.min_contig), config.edge_threshold)
-        if marked is not None:
+        edges = graph.binarise(edges) if config.binarise else edges
+        if marked is not None and not config.same_marker_edges:
             edges = graph.remove_edges(edges, graph.same_marker_edges(edges, marked, "idx", "gene"))
-    if marked is not None and config.epochs:
+        edges = durable(edges)
+    if marked is not None and (config.epochs or config.model):
         differ = graph.must_differ_pairs(marked, "idx", "gene").toDF("src", "dst")
 
     def binned(emb: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         emb = durable(smooth(emb, edges, config.layers)) if edges is not None and config.layers else emb
+        emb = emb.join(marked.select("idx").distinct(), "idx", "left_semi") if config.marked_only and marked is not None else emb
         found = cluster.kmeans(emb, "idx", "emb", config.bins, config.seed) if config.bins else cluster.medoid_bins(emb, "idx", "emb", config.seed)
         bins = durable(found.join(contigs.select("idx", "name"), "idx").select("name", F.col("bin").cast("string").alias("bin")))
         if markers is None or not config.marker_sets:
@@ -110,6 +147,10 @@ def run_binning(spark: SparkSession, config: BinningConfig) -> tuple[DataFrame,
 
     if config.epochs:
         vectors = trained_vectors(vectors, edges, differ, config, binned)
+    if config.model:
+        if edges is None:
+            raise ValueError("a graph network needs a graph file")
+        vectors = networked_vectors(vectors, edges, differ, config, binned)
     bins, scores = binned(vectors)
     if config.out:
         sinks.write_contig2bin(bins, f"{config.out}/contig2bin")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, graph, metrics, models, stats, training
+from binloom.operators import cluster, features, gnn, graph, metrics, models, stats, training
 from binloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,3 +648,51 @@ def vae_embeddings(t: Tables) -> DataFrame:
     state, _ = training.train(t.embeddings, "vec_id", "embedding", shape, epochs=2)
     out = training.encode(t.embeddings, "vec_id", "embedding", state, shape)
     return out.select("vec_id", F.transform("emb", lambda x: F.round(x, 6)).alias("emb"))
+
+
+# Layers with weights over the graph of parts: two features, two values out; the dense step after the layer passes them on.
+_LAYER = {
+    "0.w": [[0.5, -0.3], [0.8, 0.4]], "0.v": [[-0.2, 0.6], [0.3, 0.1]], "0.l": [[0.7], [-0.4]], "0.r": [[0.3], [0.9]], "0.b": [0.1, -0.2], "0.d": [0.05, 0.15],
+    "0.c": [0.0, 0.0], "0.scale": [1.2, 0.9], "0.shift": [0.1, 0.2], "0.~mean": [0.0, 0.0], "0.~var": [1.0, 1.0], "out.w": [[1.0, 0.0], [0.0, 1.0]], "out.b": [0.0, 0.0],
+}
+_X = ", x as (select p_partkey n, p_retailprice/1000 x0, p_size/50.0 x1 from part)"
+_H = ", y as (select n, 0.5*x0+0.8*x1 y0, 0.4*x1-0.3*x0 y1, 0.3*x1-0.2*x0 v0, 0.6*x0+0.1*x1 v1 from x)"
+_OUT = ", u as (select n, (z0-avg(z0) over ())/sqrt(var_pop(z0) over ()+1e-5) u0, (z1-avg(z1) over ())/sqrt(var_pop(z1) over ()+1e-5) u1 from z) select n p_partkey, round(greatest(1.2*u0+0.1,0),5) out_0, round(greatest(0.9*u1+0.2,0),5) out_1 from u"
+_NEAR = ", s as (select src, sum(norm*(y0+0.1)) s0, sum(norm*(y1-0.2)) s1 from na join y on n=dst group by src)"
+_SOFT = ", f{k} as (select src, b.y{k} h, case when norm*({l}*a.y{k}+{r}*b.y{k})>=0 then 1 else 0.2 end*norm*({l}*a.y{k}+{r}*b.y{k}) e from na join y a on src=a.n join y b on dst=b.n), t{k} as (select src, sum(w*h)/sum(w) s{k} from (select *, exp(e-max(e) over (partition by src)) w from f{k}) group by src)"
+
+
+def _layer(t: Tables, kind: str) -> DataFrame:
+    net = gnn.Net(kind, 2, 1 if kind == "gat" else 2, 2, layers=1, heads=2)
+    nodes = t.part.select(F.col("p_partkey").alias("node"), F.array(F.col("p_retailprice") / 1000, F.col("p_size") / 50.0).alias("x"))
+    edges = graph.normalised_adjacency(_edges(t)).withColumnRenamed("norm", "value")
+    out = gnn.embed(net, {k: np.array(v) for k, v in _LAYER.items()}, nodes, edges, concat=False, own_statistics=True)
+    return out.select(F.col("node").alias("p_partkey"), *[F.round(F.col("emb")[k], 5).alias(f"out_{k}") for k in (0, 1)])
+
+
+@query("with " + NORM + _X + _H + _NEAR + ", z as (select n, coalesce(s0,0) z0, coalesce(s1,0) z1 from y left join s on src=n)" + _OUT)
+def gcn_layer(t: Tables) -> DataFrame:
+    """A convolution with weights, bias, normalisation over all nodes, and relu."""
+    return _layer(t, "gcn")
+
+
+@query("with " + NORM + _X + _H + _NEAR + ", z as (select n, v0+0.05+coalesce(s0,0) z0, v1+0.15+coalesce(s1,0) z1 from y left join s on src=n)" + _OUT)
+def sage_layer(t: Tables) -> DataFrame:
+    return _layer(t, "sage")
+
+
+@query("with " + NORM + _X + _H + _SOFT.format(k=0, l=0.7, r=0.3) + _SOFT.format(k=1, l=-0.4, r=0.9) + ", z as (select n, coalesce(s0,0) z0, coalesce(s1,0) z1 from y left join t0 on t0.src=n left join t1 on t1.src=n)" + _OUT)
+def gat_layer(t: Tables) -> DataFrame:
+    """Two heads of attention, each with its own weights."""
+    return _layer(t, "gat")
+
+
+@query()
+def gnn_embeddings(t: Tables) -> DataFrame:
+    """Two epochs of the adding layer on all embeddings, linked to the next one of their label; the fit is beyond SQL."""
+    nodes = t.embeddings.select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("x"))
+    links = graph.label_ring(t.embeddings, "vec_id", "label").where("src <> dst")
+    edges = graph.with_loops(graph.normalised_adjacency(graph.both_directions(links).withColumn("weight", F.lit(1.0))), nodes, "node", "norm").withColumnRenamed("norm", "value")
+    net = gnn.Net("sage", 64, 16, 8, 1)
+    state, _ = gnn.train(net, nodes, edges, links, epochs=2)
+    return gnn.embed(net, state, nodes, edges, concat=False).select(F.col("node").alias("vec_id"), F.transform("emb", lambda x: F.round(x, 6)).alias("emb"))

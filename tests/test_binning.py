@@ -35,3 +35,21 @@ def test_two_genomes_part(spark, files, layers, epochs):
     lines = spark.read.text(f"{d}/out{layers}{epochs}/contig2bin").count()
     assert lines == 3 + len(kind)
     assert len([p for p in (d / f"out{layers}{epochs}" / "bins").iterdir() if p.is_dir()]) == 2
+
+
+@pytest.mark.parametrize("model, more", [("sage", {}), ("gat", {"gnn_heads": 2, "binarise": True}), ("gcn", {"loops_only": True, "marked_only": True, "same_marker_edges": True})])
+def test_graph_networks_in_the_flow(spark, files, model, more):
+    """The vectors tell the genomes apart, and their network does not lose that; the best epoch's bins are kept."""
+    d, kind = files
+    config = BinningConfig(f"{d}/a.fasta", f"{d}/a.gfa", f"{d}/d.txt", f"{d}/m.tsv", f"{d}/b.ms", samples=2, bins=2, model=model, gnn_epochs=2, gnn_hidden=4, gnn_out=2, gnn_layers=1, gnn_dropout=0.0, eval_every=1, **more)
+    bins, scores = run_binning(spark, config)
+    got = {r["name"]: r["bin"] for r in bins.collect()}
+    assert set(got) == set(kind)
+    assert len({(kind[n], b) for n, b in got.items()}) == 2
+    assert [(r["comp"], r["cont"]) for r in scores.collect()] == [(pytest.approx(100), 0.0)] * 2
+
+
+def test_a_network_needs_a_graph(spark, files):
+    d, _ = files
+    with pytest.raises(ValueError):
+        run_binning(spark, BinningConfig(f"{d}/a.fasta", model="gcn", bins=2))
