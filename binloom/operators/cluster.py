@@ -6,14 +6,14 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom import functions as G
+from binloom.operators import similarity
 from binloom.operators.features import vector_stats
 from binloom.operators.graph import components
 
@@ -49,93 +49,46 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, label: str) -> DataFr
     return df.crossJoin(F.broadcast(packed)).select(key, best.alias("b")).select(key, "b.bin", "b.distance2")  # a single row
 
 
-#: Rows that a block has in the mean: the products of two blocks are one step of a task.
-BLOCK_ROWS = 1024
-
-
-def _block_pairs(df: DataFrame, key: str, vector: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """(x, y, block, k, v, ...) with the rows of blocks x and y for each pair of blocks, x <= y, by hash of the key."""
-    blocks = max(1, -(-df.count() // BLOCK_ROWS))
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), *more)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    return rows.select("*", other).select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "k", "v", *more)
-
-
-def _halves(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(keys, rows, keys, rows, same) of the two blocks of a pair, in order of keys; same: a block with itself."""
-    same = t["x"][0].as_py() == t["y"][0].as_py()
-    t = t.sort_by("k")
-    out = []
-    for side in ("x", "y"):
-        part = t.filter(pc.equal(t["block"], t[side]))
-        flat = part["v"].combine_chunks()
-        out += [part["k"].to_numpy(), flat.flatten().to_numpy().reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))]
-    return *out, same
-
-
-def _normalised(x: np.ndarray) -> np.ndarray:
-    """Rows as by functions.medoid_normalise."""
-    if not x.size:
-        return x
-    x = np.where((x.sum(axis=1) == 0)[:, None], 1.0 / x.shape[1], x)
-    return x / (np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(2.0))
-
-
 def pair_distances(df: DataFrame, key: str, vector: str, most: float | None = None) -> DataFrame:
-    """(i, j, distance), i < j, of all pairs, or of those within `most`: products of blocks, each pair of blocks once."""
-
-    def kernel(t: pa.Table) -> pa.Table:
-        ki, a, kj, b, same = _halves(t)
-        d = 0.5 - _normalised(a) @ _normalised(b).T if a.size and b.size else np.zeros((len(ki), len(kj)))
-        ok = np.ones(d.shape, bool) if most is None else d <= most
-        if same:
-            ok &= np.triu(np.ones(d.shape, bool), 1)
-        i, j = np.nonzero(ok)
-        return pa.table({"i": np.minimum(ki[i], kj[j]), "j": np.maximum(ki[i], kj[j]), "distance": d[i, j]})
+    """(i, j, distance), i < j, of all pairs, or of those within `most`."""
+    return similarity.near_pairs(df, key, vector, most)
 
-    return _block_pairs(df, key, vector).groupBy("x", "y").applyInArrow(kernel, "i long, j long, distance double")
 
-
-def label_cosines(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(same, pairs, mean): the mean cosine of pairs of equal and of unequal labels; sums leave the tasks, not pairs."""
-
-    def kernel(t: pa.Table) -> pa.Table:
-        t = t.sort_by("k")
-        x, y = (t.filter(pc.equal(t["block"], t[side]))[label].to_numpy(zero_copy_only=False) for side in ("x", "y"))
-        _, a, _, b, same = _halves(t)
-        c = 2 * _normalised(a) @ _normalised(b).T if a.size and b.size else np.zeros((len(x), len(y)))
-        once = np.triu(np.ones(c.shape, bool), 1) if same else np.ones(c.shape, bool)
-        equal = x[:, None] == y[None, :]
-        picks = [once & equal, once & ~equal]
-        return pa.table({"same": [True, False], "n": [int(p.sum()) for p in picks], "s": [float(c[p].sum()) for p in picks]})
-
-    sums = _block_pairs(df, key, vector, (label,)).groupBy("x", "y").applyInArrow(kernel, "same boolean, n long, s double")
-    return sums.groupBy("same").agg(F.sum("n").alias("pairs"), F.sum("s").alias("s")).where("pairs > 0").select("same", "pairs", (F.col("s") / F.col("pairs")).alias("mean"))
+def top_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(i, j, score, rank): the k largest dot products of each row, itself included; ties (of 6 digits) to the lower key."""
+    return similarity.top_products(df, key, vector, k)
 
 
-def top_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(i, j, score, rank): the k largest dot products of each row, itself included; ties (of 6 digits) to the lower key.
+def _unit_sums(df: DataFrame, vector: str, label: str | None = None) -> DataFrame:
+    """(label, n, length2): rows, and the squared length of the sum of their vectors of length 1."""
+    by = [label] if label else []
+    unit = F.transform(G.medoid_normalise(F.col(vector)), lambda x: x * F.sqrt(F.lit(2.0)))
+    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(array_to_vector(unit)).alias("__s"))
+    return sums.select(*by, "n", G.dot(vector_to_array("__s"), vector_to_array("__s")).alias("length2"))
 
-    Each pair of blocks keeps the k best a row and side, and the best of those are the result.
-    """
 
-    def best(ki: np.ndarray, kj: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
-        if not score.size:
-            return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        order = np.lexsort((np.broadcast_to(kj, score.shape), -np.round(score, 6)), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(ki)), order.shape[1])
-        return [ki[row], kj[order.ravel()], score[row, order.ravel()]]
-
-    def kernel(t: pa.Table) -> pa.Table:
-        ki, a, kj, b, same = _halves(t)
-        score = a @ b.T if a.size and b.size else np.zeros((0, 0))
-        found = [best(ki, kj, score)] + ([] if same else [best(kj, ki, score.T)])
-        return pa.table({n: np.concatenate([f[c] for f in found]) for c, n in enumerate(("i", "j", "score"))})
-
-    part = _block_pairs(df, key, vector).groupBy("x", "y").applyInArrow(kernel, "i long, j long, score double")
-    w = Window.partitionBy("i").orderBy(F.round("score", 6).desc(), "j")
-    return part.select("i", "j", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+def label_cosines(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(same, pairs, mean): the mean cosine of pairs of equal and of unequal labels.
+
+    The cosines of all pairs add up to (|S|^2 - n) / 2, S being the sum of the n vectors of length 1: no pair is formed."""
+    both = lambda t: t.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.sum((F.col("length2") - F.col("n")) / 2).alias("s"))
+    same, every = both(_unit_sums(df, vector, label)), both(_unit_sums(df, vector)).toDF("pairs2", "s2")
+    one = same.crossJoin(F.broadcast(every))  # single rows
+    halves = F.array(F.struct(F.lit(True).alias("same"), "pairs", "s"), F.struct(F.lit(False).alias("same"), (F.col("pairs2") - F.col("pairs")).alias("pairs"), (F.col("s2") - F.col("s")).alias("s")))
+    return one.select(F.explode(halves).alias("h")).select("h.*").where("pairs > 0").select("same", "pairs", (F.col("s") / F.col("pairs")).alias("mean"))
+
+
+def similarity_means(df: DataFrame, key: str, vector: str, label: str, edges: DataFrame) -> DataFrame:
+    """One row (label_mean, edge_mean, global_mean) of cosines: the mean over labels of two rows and more of the mean of all
+    their ordered pairs, each row with itself included; over the edges; over all other ordered pairs. Null is no label."""
+    labels = _unit_sums(df.where(F.col(label).isNotNull()), vector, label).where("n > 1").agg(F.avg(F.col("length2") / (F.col("n") * F.col("n"))).alias("label_mean"))
+    nodes = df.select(F.col(key).alias("node"), vector)
+    a, b = nodes.select(F.col("node").alias("src"), F.col(vector).alias("a")), nodes.select(F.col("node").alias("dst"), F.col(vector).alias("b"))
+    cosine = 2 * G.dot(G.medoid_normalise(F.col("a")), G.medoid_normalise(F.col("b")))
+    linked = edges.select("src", "dst").join(a, "src").join(b, "dst").agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum(cosine), F.lit(0.0)).alias("e"))
+    one = _unit_sums(df, vector).crossJoin(F.broadcast(linked)).crossJoin(F.broadcast(labels))  # single rows
+    n2 = F.col("n") * F.col("n")
+    return one.select("label_mean", (F.col("e") / F.nullif("m", F.lit(0))).alias("edge_mean"), ((F.col("length2") - F.col("e")) / F.nullif(n2 - F.col("m"), F.lit(0))).alias("global_mean"))
 
 
 def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int) -> DataFrame:

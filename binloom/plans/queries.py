@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, gnn, graph, metrics, models, stats, training
+from binloom.operators import cluster, features, gnn, graph, metrics, models, similarity, stats, training
 from binloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,3 +696,18 @@ def gnn_embeddings(t: Tables) -> DataFrame:
     net = gnn.Net("sage", 64, 16, 8, 1)
     state, _ = gnn.train(net, nodes, edges, links, epochs=2)
     return gnn.embed(net, state, nodes, edges, concat=False).select(F.col("node").alias("vec_id"), F.transform("emb", lambda x: F.round(x, 6)).alias("emb"))
+
+
+@query("select a.vec_id src, b.vec_id dst, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]),6) weight from embeddings a, embeddings b where a.vec_id=b.vec_id or list_cosine_similarity(a.embedding::double[], b.embedding::double[])>=0.4")
+def similar_edges(t: Tables) -> DataFrame:
+    """Edges for graph augmentation: all pairs of a cosine of 0.4 and more."""
+    return similarity.similar_edges(t.embeddings, "vec_id", "embedding", 0.4).select("src", "dst", *r6("weight"))
+
+
+RING = "r as (select vec_id src, coalesce(lead(vec_id) over w, first(vec_id) over w) dst from embeddings window w as (partition by label order by vec_id rows between unbounded preceding and unbounded following))"
+
+
+@query("with " + RING + ", p as (select a.vec_id i, b.vec_id j, a.label x, b.label y, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) c from embeddings a, embeddings b), l as (select x, avg(c) m from p where x=y group by x having count(*)>1), e as (select sum(c) s, count(*) m from r join p on src=i and dst=j) select round((select avg(m) from l),6) label_mean, round(any_value(e.s/e.m),6) edge_mean, round((sum(c)-any_value(e.s))/(count(*)-any_value(e.m)),6) global_mean from p, e")
+def similarity_means(t: Tables) -> DataFrame:
+    ring = graph.label_ring(t.embeddings, "vec_id", "label")
+    return cluster.similarity_means(t.embeddings, "vec_id", "embedding", "label", ring).select(*r6("label_mean", "edge_mean", "global_mean"))
