@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, gnn, graph, metrics, models, similarity, stats, training
+from binloom.operators import cluster, features, gnn, graph, metrics, models, partitions, similarity, stats, training
 from binloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,3 +711,25 @@ RING = "r as (select vec_id src, coalesce(lead(vec_id) over w, first(vec_id) ove
 def similarity_means(t: Tables) -> DataFrame:
     ring = graph.label_ring(t.embeddings, "vec_id", "label")
     return cluster.similarity_means(t.embeddings, "vec_id", "embedding", "label", ring).select(*r6("label_mean", "edge_mean", "global_mean"))
+
+
+@query()
+def spectral_bins(t: Tables) -> DataFrame:
+    return partitions.spectral(t.embeddings, "vec_id", "embedding", 8, most=12)
+
+
+@query()
+def birch_bins(t: Tables) -> DataFrame:
+    return partitions.birch(t.embeddings, "vec_id", "embedding", 10, 0.5)
+
+
+@query()
+def mini_batch_bins(t: Tables) -> DataFrame:
+    return partitions.mini_batch_kmeans(t.embeddings, "vec_id", "embedding", 10)
+
+
+@query()
+def bounded_bins(t: Tables) -> DataFrame:
+    """Ten clusters of a twentieth to an eighth of the rows each."""
+    n = t.embeddings.count()
+    return partitions.constrained_kmeans(t.embeddings, "vec_id", "embedding", 10, n // 20, -(-n // 8), iterations=3)
