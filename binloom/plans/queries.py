@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, gnn, graph, metrics, models, partitions, similarity, stats, training
+from binloom.operators import cluster, density_order, features, gnn, graph, metrics, models, partitions, similarity, stats, training
 from binloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -733,3 +733,11 @@ def bounded_bins(t: Tables) -> DataFrame:
     """Ten clusters of a twentieth to an eighth of the rows each."""
     n = t.embeddings.count()
     return partitions.constrained_kmeans(t.embeddings, "vec_id", "embedding", 10, n // 20, -(-n // 8), iterations=3)
+
+
+@query()
+def density_valleys(t: Tables) -> DataFrame:
+    """The density order of all embeddings with the valleys in it."""
+    order = density_order.density_order(t.embeddings, "vec_id", "embedding", 5, 0.3)
+    found = density_order.valleys(order, "vec_id", 5, 0.05)
+    return order.join(found, "vec_id").select("vec_id", "place", *r6("reachability", "core"), "size", "bin")
