@@ -70,6 +70,16 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def relu(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0))
+
+
+def draw(*parts: Column | str | int) -> Column:
+    """A number below 2^60 from the md5 of the parts as text, joined by colons: the same in every engine."""
+    text = [F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *text).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def leaky_relu(x: Column, slope: float = 0.2) -> Column:
     return F.when(x >= 0, x).otherwise(x * slope)
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from binloom import functions as G
 from binloom.operators import similarity
@@ -41,12 +44,23 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def nearest_centroid(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(key, bin, distance2): the centroid at the least squared distance; centroids are few, a row a label."""
-    centres = centroids(df, label, vector).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("c"))
-    packed = centres.agg(F.collect_list(F.struct(F.col(label).alias("bin"), "c")).alias("all"))
-    gap = lambda c: F.aggregate(F.zip_with(vector, c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    best = F.array_min(F.transform("all", lambda a: F.struct(gap(a["c"]).alias("distance2"), a["bin"].alias("bin"))))
-    return df.crossJoin(F.broadcast(packed)).select(key, best.alias("b")).select(key, "b.bin", "b.distance2")  # a single row
+    """(key, bin, distance2): the centroid at the least squared distance, ties to the lower label; centroids are few, a row
+    a label, and are compared with blocks of rows."""
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"])
+    found = centroids(df, label, vector).groupBy(label).agg(packed.alias("c")).orderBy(label).collect()  # a row a label
+    names, centres = [r[label] for r in found], np.array([r["c"] for r in found], np.float64)
+    kind, named = df.schema[label].dataType.simpleString(), df.schema[key].dataType.simpleString()
+    values = pa.array(names, to_arrow_type(df.schema[label].dataType))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            x = similarity.matrix(one.column(1))
+            for a in range(0, len(x), 256):
+                gap = ((x[a : a + 256, None, :] - centres[None]) ** 2).sum(axis=2)
+                best = gap.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([one.column(0).slice(a, 256), values.take(pa.array(best)), pa.array(gap[np.arange(len(best)), best])], [key, "bin", "distance2"])
+
+    return df.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(kernel, f"`{key}` {named}, bin {kind}, distance2 double")
 
 
 def pair_distances(df: DataFrame, key: str, vector: str, most: float | None = None) -> DataFrame:

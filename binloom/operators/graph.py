@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom import functions as G
+from binloom.operators.stats import exact_quantile
 
 
 def both_directions(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -87,8 +88,8 @@ def connected_only(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 def binarise(edges: DataFrame, share: float = 0.9) -> DataFrame:
     """Edges at or over a percentile (linear) of the weights, with weight 1."""
-    cut = edges.agg(F.percentile("weight", F.lit(share)).alias("cut"))
-    return edges.crossJoin(F.broadcast(cut)).where("weight >= cut").select("src", "dst", F.lit(1).alias("weight"))  # a single row
+    edges = _cut(edges)
+    return edges.where(F.col("weight") >= F.lit(exact_quantile(edges, "weight", share)).cast("double")).select("src", "dst", F.lit(1).alias("weight"))
 
 
 def homophily(edges: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
@@ -168,57 +169,93 @@ def _cut(df: DataFrame) -> DataFrame:
     return durable(df)
 
 
-def negative_edges(edges: DataFrame, nodes: DataFrame, node: str, per_edge: int, seed: int, groups: int = 1024) -> DataFrame:
-    """(src, dst, k): for each edge, `per_edge` ends drawn evenly among the nodes, by hash, so that reruns agree.
+def _in_slots(rows: DataFrame, node: str, size: Column, seed: int, groups: int) -> DataFrame:
+    """rows with `to`, the running sum of `size` in the order of (slot, node), and `all`, the sum of every row.
 
-    Nodes are numbered within hash groups, each after the groups before it: only the groups' sizes are sorted in one task.
-    """
-    hashed = nodes.select(F.col(node).alias("dst"), F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(groups)).cast("int").alias("slot"))
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = hashed.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("slot").orderBy("dst")) - 1
-    ranked = hashed.withColumn("inside", inside).join(F.broadcast(starts), "slot").select("dst", (F.col("start") + F.col("inside")).alias("rank"))  # a row a group
-    width = sizes.agg(F.sum("n").alias("width"))
-    drawn = edges.select("src", F.col("dst").alias("old"), F.explode(F.sequence(F.lit(1), F.lit(per_edge))).alias("k")).crossJoin(F.broadcast(width))  # a single row
-    return drawn.withColumn("rank", F.pmod(F.xxhash64("src", "old", "k", F.lit(seed)), F.col("width"))).join(ranked, "rank").select("src", "dst", "k")
+    A slot is drawn from the node; sums run inside a slot and start where the slots before it end, so that only the slots'
+    sums are sorted in one task."""
+    hashed = rows.withColumn("__size", size).withColumn("__slot", G.draw(node, seed) % groups)
+    sums = hashed.groupBy("__slot").agg(F.sum("__size").alias("__n"))
+    before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)  # a row a slot
+    whole = Window.partitionBy()
+    starts = sums.select("__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(whole).alias("all"))
+    inside = Window.partitionBy("__slot").orderBy(node).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = hashed.withColumn("__inside", F.sum("__size").over(inside)).join(F.broadcast(starts), "__slot")  # a row a slot
+    return out.withColumn("to", F.col("__start") + F.col("__inside")).drop("__slot", "__start", "__inside", "__size")
+
+
+def _drawn(edges: DataFrame, per_edge: int) -> DataFrame:
+    return edges.select("src", F.col("dst").alias("old"), F.explode(F.sequence(F.lit(1), F.lit(per_edge))).alias("k"))
 
 
-def _reached(rows: Column, point: Column) -> Column:
-    """The first of the rows (ascending in `to`) whose `to` is not below the point, the last if none is, by binary search."""
-    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
-    ahead = lambda low, step: F.when((low + step < F.size(rows)) & (F.get(rows, low + step - 1)["to"] < point), low + step).otherwise(low)
-    return F.get(rows, F.aggregate(steps, F.lit(0), ahead))
+def met_stretches(points: DataFrame, stretches: DataFrame, keys: list[str], share: int = 16) -> DataFrame:
+    """points (keys, point, ...) joined with the stretch (keys, from, to, ...) of their keys they fall in, from <= point < to.
+
+    Both meet by bucket: as many a key as it has stretches over `share`; a stretch is in each bucket it reaches into, so a
+    bucket has few, however many a key has, and a long one is in many."""
+    sizes = stretches.groupBy(*keys).agg(F.max("to").alias("__all"), F.ceil(F.count(F.lit(1)) / share).alias("__buckets"))
+    sizes = sizes.select(*keys, F.ceil(F.col("__all") / F.col("__buckets")).cast("long").alias("__width"))
+    if keys:
+        points, stretches = points.join(sizes, keys), stretches.join(sizes, keys)
+    else:
+        points, stretches = (df.crossJoin(F.broadcast(sizes)) for df in (points, stretches))  # a single row
+    bucket = lambda at: F.floor(at / F.col("__width")).cast("long")
+    spread = stretches.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("from")), bucket(F.col("to") - 1)))).drop("__width")
+    met = points.withColumn("__bucket", bucket(F.col("point"))).drop("__width").join(spread, [*keys, "__bucket"])
+    return met.where((F.col("from") <= F.col("point")) & (F.col("point") < F.col("to"))).drop("__bucket", "from", "to", "point")
+
+
+def negative_edges(edges: DataFrame, nodes: DataFrame, node: str, per_edge: int, seed: int, groups: int = 1024) -> DataFrame:
+    """(src, dst, k): for each edge, `per_edge` ends drawn evenly among the nodes, by md5, so that reruns agree."""
+    ranked = _in_slots(nodes.select(F.col(node).alias("dst")), "dst", F.lit(1).cast("long"), seed, groups)
+    width = nodes.agg(F.count(F.lit(1)).alias("width"))
+    drawn = _drawn(edges, per_edge).crossJoin(F.broadcast(width))  # a single row
+    drawn = drawn.withColumn("rank", G.draw("src", "old", "k", seed) % F.col("width"))
+    return drawn.join(ranked.select("dst", (F.col("to") - 1).alias("rank")), "rank").select("src", "dst", "k")
 
 
 def weighted_negatives(edges: DataFrame, per_edge: int, seed: int, power: float = 0.75, groups: int = 1024) -> DataFrame:
-    """(src, dst, k): for each edge, `per_edge` ends drawn with the probability of in-degree ** power, by hash.
-
-    Each node has a stretch of [0, 1) as long as its probability, in the order of hash groups and names; a drawn point
-    meets the stretch it falls in by its group first, so no task sees all nodes."""
-    weight = edges.groupBy("dst").agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("w"))
-    weight = weight.withColumn("slot", F.pmod(F.xxhash64("dst", F.lit(seed)), F.lit(groups)).cast("int"))
-    sizes = weight.groupBy("slot").agg(F.sum("w").alias("w"))
-    total = sizes.agg(F.sum("w").alias("total"))
-    ends = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a group
-    spans = sizes.crossJoin(F.broadcast(total)).select("slot", (F.sum("w").over(ends) / F.col("total")).alias("to"))
-    packed = spans.agg(F.array_sort(F.collect_list(F.struct("to", "slot"))).alias("spans"))
-    inside = Window.partitionBy("slot").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lists = weight.withColumn("to", F.sum("w").over(inside)).groupBy("slot").agg(F.max("to").alias("all"), F.array_sort(F.collect_list(F.struct("to", "dst"))).alias("nodes"))
-    unit = lambda *of: (F.pmod(F.xxhash64(*of), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = edges.select("src", F.col("dst").alias("old"), F.explode(F.sequence(F.lit(1), F.lit(per_edge))).alias("k")).crossJoin(F.broadcast(packed))  # a single row
-    drawn = drawn.select("src", "old", "k", _reached(F.col("spans"), unit("src", "old", "k", F.lit(seed)))["slot"].alias("slot"))
-    point = unit("src", "old", "k", F.lit(seed + 1)) * F.col("all")
-    return drawn.join(lists, "slot").select("src", _reached(F.col("nodes"), point)["dst"].alias("dst"), "k")
+    """(src, dst, k): for each edge, `per_edge` ends drawn with the probability of in-degree ** power (to a millionth), by md5.
+
+    Each node has a stretch as long as its weight, in the order of slots and names; a drawn point meets the one it is in."""
+    size = F.floor(F.pow(F.col("n").cast("double"), F.lit(power)) * 1_000_000).cast("long")
+    placed = _in_slots(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "dst", size, seed, groups)
+    total = placed.agg(F.max("all").alias("all"))
+    drawn = _drawn(edges, per_edge).crossJoin(F.broadcast(total))  # a single row
+    points = drawn.select("src", "k", (G.draw("src", "old", "k", seed) % F.col("all")).alias("point"))
+    return met_stretches(points, placed.select("dst", (F.col("to") - size).alias("from"), "to"), []).select("src", "dst", "k")
+
+
+def inverse_weight_negatives(edges: DataFrame, per_edge: int, seed: int) -> DataFrame:
+    """(src, dst, k): for each edge, `per_edge` ends drawn among the neighbours of its source, with the probability of one
+    over the weight (to a millionth): the ends that are linked least."""
+    size = F.greatest(F.floor(1_000_000 / F.col("weight")).cast("long"), F.lit(1).cast("long"))
+    to = F.sum(size).over(Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stretches = edges.where("src <> dst").select("src", "dst", (to - size).alias("from"), to.alias("to"))
+    totals = stretches.groupBy("src").agg(F.max("to").alias("all"))
+    points = _drawn(edges.where("src <> dst"), per_edge).join(totals, "src").select("src", "k", (G.draw("src", "old", "k", seed) % F.col("all")).alias("point"))
+    return met_stretches(points, stretches, ["src"]).select("src", "dst", "k")
 
 
 def sample_neighbours(edges: DataFrame, fan_out: int, seed: int) -> DataFrame:
-    """At most fan_out edges of each src, drawn by weight (exponential keys from a hash)."""
-    u = (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    """At most fan_out edges of each src, drawn by weight (exponential keys from md5)."""
+    u = (G.draw("src", "dst", seed) % (1 << 30) + 0.5) / float(1 << 30)
     w = Window.partitionBy("src").orderBy(-F.ln(u) / F.col("weight"), "dst")
     return edges.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= fan_out).drop("__k")
 
 
+def sample_levels(edges: DataFrame, seeds: DataFrame, node: str, fan_outs: list[int], seed: int) -> DataFrame:
+    """(level, src, dst, weight): layers of sampled edges. Level 0 draws fan_outs[0] neighbours of each seed; each next one
+    draws for all nodes so far, the seeds and what was drawn for them, anew."""
+    frontier, out = seeds.select(F.col(node).alias("src")).distinct(), None
+    for level, fan_out in enumerate(fan_outs):
+        drawn = sample_neighbours(edges.join(frontier, "src", "left_semi").select("src", "dst", "weight"), fan_out, seed + level)
+        drawn = _cut(drawn.select(F.lit(level).alias("level"), "src", "dst", "weight"))
+        frontier = frontier.unionByName(drawn.select(F.col("dst").alias("src"))).distinct()
+        out = drawn if out is None else out.unionByName(drawn)
+    return out
+
+
 def undirected_edges(links: DataFrame, contigs: DataFrame, min_length: int = 1000, root: str | None = None) -> DataFrame:
     """(src, dst) by name, each pair once, the lower name first; with a root, also (root, name) of every contig kept."""
     ok = contigs.where(F.col("length") >= min_length).select("name")
@@ -260,6 +297,16 @@ def edge_similarity(edges: DataFrame, cosines: DataFrame, shared: DataFrame, ove
     return e.join(cosines.select("src", "dst", "cosine"), ["src", "dst"]).join(flag, ["src", "dst"], "left").withColumn("shares", F.coalesce("shares", F.lit(False)))
 
 
+def similarity_histogram(similar: DataFrame, bins: int = 50) -> DataFrame:
+    """(bin, low, n) of the cosines of edges whose ends share no marker: `bins` equal parts from the least to the largest,
+    the last one closed; empty parts are left out."""
+    c = similar.where(~F.col("shares")).select("cosine")
+    ends = c.agg(F.min("cosine").alias("least"), F.max("cosine").alias("most"))
+    at = F.when(F.col("most") > F.col("least"), F.least(F.floor((F.col("cosine") - F.col("least")) / (F.col("most") - F.col("least")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    counted = c.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin"), "least", "most").agg(F.count(F.lit(1)).alias("n"))  # a single row
+    return counted.select("bin", (F.col("least") + (F.col("most") - F.col("least")) * F.col("bin") / bins).alias("low"), "n")
+
+
 def density(edges: DataFrame) -> DataFrame:
     """One row (nodes, edges, density) of the undirected graph without self loops; nodes are the ends of edges."""
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()

@@ -23,10 +23,12 @@ def marker_scores(totals: DataFrame, sets: DataFrame) -> DataFrame:
     return every.select("bin", (100 * F.coalesce("found", F.lit(0.0)) / F.col("n_sets")).alias("comp"), (100 * F.coalesce("extra", F.lit(0.0)) / F.col("n_sets")).alias("cont"))
 
 
-def quality_counts(scores: DataFrame, hq: tuple[float, float] = (90, 5), mq: tuple[float, float] = (50, 10)) -> DataFrame:
-    """One row: bins, HQ and MQ counts, mean completeness and contamination of the HQ ones."""
-    is_hq = (F.col("comp") >= hq[0]) & (F.col("cont") < hq[1])
-    is_mq = (F.col("comp") >= mq[0]) & (F.col("cont") < mq[1])
+def quality_counts(scores: DataFrame, hq: tuple[float, float] = (90, 5), mq: tuple[float, float] = (50, 10), strict: bool = False) -> DataFrame:
+    """One row: bins, HQ and MQ counts, mean completeness and contamination of the HQ ones; `strict`: above the completeness
+    that is asked for, not at it."""
+    enough = lambda least: F.col("comp") > least if strict else F.col("comp") >= least
+    is_hq = enough(hq[0]) & (F.col("cont") < hq[1])
+    is_mq = enough(mq[0]) & (F.col("cont") < mq[1])
     return scores.agg(F.count(F.lit(1)).alias("bins"), F.count_if(is_hq).alias("hq"), F.count_if(is_mq).alias("mq"), F.avg(F.when(is_hq, F.col("comp"))).alias("hq_comp"), F.avg(F.when(is_hq, F.col("cont"))).alias("hq_cont"))
 
 

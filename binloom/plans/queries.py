@@ -405,16 +405,35 @@ def json_markers(t: Tables) -> DataFrame:
     return m.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
-@query()
+def _draw_sql(*parts: str) -> str:
+    """functions.draw in SQL."""
+    return "('0x'||substr(md5(" + "||':'||".join(parts) + "),1,15))::bigint"
+
+
+NEG = EDGE + f", h as (select p_partkey dst, {_draw_sql('p_partkey', '7')}%1024 slot from part), ra as (select dst, row_number() over (order by slot, dst)-1 rank from h), dr as materialized (select src, {_draw_sql('src', 'dst', '1', '7')}%n rank from e, (select count(*) n from h)), neg as (select dr.src, ra.dst, 1 k from dr join ra using (rank))"
+
+
+@query("with " + NEG + " select * from neg")
 def negative_sample(t: Tables) -> DataFrame:
     return graph.negative_edges(_edges(t), t.part, "p_partkey", 1, 7)
 
 
-@query()
+def _sample_sql(edges: str, n: int, seed: int) -> str:
+    return f"(select src, dst, weight from (select *, row_number() over (partition by src order by -ln(({_draw_sql('src', 'dst', str(seed))}%1073741824+0.5)/1073741824)/weight, dst) k from {edges}) where k<={n})"
+
+
+@query("with " + EDGE + " select * from " + _sample_sql("e", 5, 7))
 def neighbour_sample(t: Tables) -> DataFrame:
     return graph.sample_neighbours(_edges(t), 5, 7)
 
 
+@query("with " + EDGE + f", s0 as (select p_partkey n from part where p_brand='Brand#13'), l0 as {_sample_sql('(select * from e where src in (select n from s0))', 10, 7)}, s1 as (select n from s0 union select dst from l0), l1 as {_sample_sql('(select * from e where src in (select n from s1))', 25, 8)} select 0 level, * from l0 union all select 1, * from l1")
+def neighbour_levels(t: Tables) -> DataFrame:
+    """Two layers of sampled edges for the parts of a brand: ten neighbours each, then 25 of each node so far."""
+    seeds = t.part.where("p_brand = 'Brand#13'").select("p_partkey")
+    return graph.sample_levels(_edges(t), seeds, "p_partkey", [10, 25], 7)
+
+
 @query()
 def kmeans_bins(t: Tables) -> DataFrame:
     return cluster.kmeans(t.embeddings, "vec_id", "embedding", 10)
@@ -516,9 +535,9 @@ def learned_fraction(t: Tables) -> DataFrame:
     return out.select("src", *r6("value"))
 
 
-@query()
+@query("with " + NEG + ", " + VEC + ", c as (select y, list_cosine_similarity(a.v,b.v) c from (select src, dst, 1.0 y from e union all select src, dst, 0.0 from neg) p join v a on src=a.n join v b on dst=b.n) select round(avg(c) filter (where y=1),6) pos, round(avg(c) filter (where y=0),6) neg, round(avg(ln(1+exp(c))-y*c),6) loss from c")
 def edge_loss(t: Tables) -> DataFrame:
-    """The loss with a negative for each edge, its end drawn evenly over all parts; draws by hash are beyond SQL."""
+    """The loss with a negative for each edge, its end drawn evenly over all parts."""
     e = _edges(t)
     return models.edge_loss(e, graph.negative_edges(e, t.part, "p_partkey", 1, 7).select("src", "dst"), _vectors(t), "n", "v").select(*r6("pos", "neg", "loss"))
 
@@ -635,9 +654,9 @@ def concatenated_features(t: Tables) -> DataFrame:
     return features.concat_features(a, b, "vec_id", "a", "b", "v").select("vec_id", F.posexplode("v").alias("pos", "x")).select("vec_id", "pos", *r6("x"))
 
 
-@query()
+@query("with " + EDGE + f", h as (select dst, floor(pow(count(*)::double,0.75)*1000000)::bigint w, {_draw_sql('dst', '7')}%1024 slot from e group by dst), st as (select dst, (sum(w) over (order by slot, dst))::bigint til, w from h), pt as (select src, {_draw_sql('src', 'dst', '1', '7')}%(select sum(w)::bigint from h) point from e) select pt.src, st.dst, 1 k from pt join st on point>=til-w and point<til")
 def weighted_negatives(t: Tables) -> DataFrame:
-    """Ends drawn by in-degree to the power of 3/4; draws by hash are beyond SQL."""
+    """Ends drawn by in-degree to the power of 3/4."""
     return graph.weighted_negatives(_edges(t), 1, 7)
 
 
@@ -741,3 +760,36 @@ def density_valleys(t: Tables) -> DataFrame:
     order = density_order.density_order(t.embeddings, "vec_id", "embedding", 5, 0.3)
     found = density_order.valleys(order, "vec_id", 5, 0.05)
     return order.join(found, "vec_id").select("vec_id", "place", *r6("reachability", "core"), "size", "bin")
+
+
+@query("with " + EDGE + f", st as (select src, dst, greatest(floor(1000000/weight)::bigint,1) w, (sum(greatest(floor(1000000/weight)::bigint,1)) over (partition by src order by dst))::bigint til from e), pt as (select src, {_draw_sql('src', 'dst', '1', '7')}%(sum(greatest(floor(1000000/weight)::bigint,1)) over (partition by src))::bigint point from e) select pt.src, st.dst, 1 k from pt join st on pt.src=st.src and point>=til-w and point<til")
+def inverse_weight_negatives(t: Tables) -> DataFrame:
+    """Ends drawn among a part's neighbours by one over the weight."""
+    return graph.inverse_weight_negatives(_edges(t), 1, 7)
+
+
+@query("with " + MARK + ", k as (select max(comp) c from sc) select count(*) bins, count(*) filter (where comp>c and cont<1000) hq, count(*) filter (where comp>60 and cont<70) mq, round(avg(comp) filter (where comp>c and cont<1000),6) hq_comp, round(avg(cont) filter (where comp>c and cont<1000),6) hq_cont from sc, k")
+def strict_bins(t: Tables) -> DataFrame:
+    """Counts above the bounds: no bin is above the largest completeness of all."""
+    scores = _scores(t)
+    return metrics.quality_counts(scores, (scores.agg(F.max("comp")).first()[0], 1000), (60, 70), strict=True).select("bins", "hq", "mq", *r6("hq_comp", "hq_cont"))
+
+
+@query("with " + SIM + ", n as (select round(c,6) c from si where not shares), l as (select min(c) a, max(c) b from n), h as (select case when b>a then least(floor((c-a)/(b-a)*50),49) else 0 end::int bin, a, b from n, l) select bin, round(a+(b-a)*bin/50,6) low, count(*) n from h group by bin, a, b")
+def similarity_histogram(t: Tables) -> DataFrame:
+    similar = _similarity(t).withColumn("cosine", F.round("cosine", 6))
+    return graph.similarity_histogram(similar).select("bin", *r6("low"), "n")
+
+
+@query("with d as (select n_chars len, sum(n_chars) over (order by n_chars desc, doc_id) run, sum(n_chars) over () al from documents), " + EDGE + " select count(*) contigs, sum(len)::bigint total, round(avg(len),6) mean, max(len) longest, min(len) shortest, max(len) filter (where run*2>=al) n50, (select count(distinct l_returnflag) from lineitem) samples, (select count(*) from e) edges, (select count(distinct l_orderkey) from lineitem) paths from d")
+def assembly_summary(t: Tables) -> DataFrame:
+    depths, paths = t.lineitem.select(F.col("l_returnflag").alias("sample")), t.lineitem.select(F.col("l_orderkey").alias("path"))
+    out = stats.assembly_summary(t.documents.select(F.col("n_chars").alias("length")), depths, _edges(t), paths)
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query("select round(quantile_cont(l_extendedprice,0.9),6) p90, round(quantile_cont(l_extendedprice,0.123),6) p12 from lineitem")
+def price_quantiles(t: Tables) -> DataFrame:
+    """Exact quantiles by counted buckets, refined."""
+    p90, p12 = (stats.exact_quantile(t.lineitem, "l_extendedprice", share) for share in (0.9, 0.123))
+    return t.spark.range(1).select(F.round(F.lit(p90), 6).alias("p90"), F.round(F.lit(p12), 6).alias("p12"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from binloom.functions import contig_name
+from binloom.sources.arrays import read_matrix, read_pickled_vectors
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -128,9 +129,13 @@ def read_gtdb_markers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def read_embeddings(spark: SparkSession, path: str, contigs: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """(name, emb): missing contigs get values in [1e-4, 1) from a hash of name, place and seed."""
+    """(name, emb) of text rows or of a pickled dict (.pickle, .pkl); missing contigs get values in [1e-4, 1) from a hash of
+    name, place and seed."""
     c = F.split(F.trim("value"), r"\s+")
-    rows = _lines(spark, path).select(c[0].alias("name"), F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x: x.cast("double")).alias("emb"))
+    if path.endswith((".pickle", ".pkl")):
+        rows = read_pickled_vectors(spark, path)
+    else:
+        rows = _lines(spark, path).select(c[0].alias("name"), F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x: x.cast("double")).alias("emb"))
     if contigs is None:
         return rows
     width = rows.agg(F.max(F.size("emb")).alias("w"))
@@ -145,12 +150,9 @@ def read_bins(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_depths_npz(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
-    """(name, sample, depth) of a matrix whose rows follow the contigs' order; the file is read on the driver."""
-    import numpy as np
-
-    matrix = np.load(path)["arr_0"]
-    rows = [(i, j, float(x)) for i, row in enumerate(matrix) for j, x in enumerate(np.atleast_1d(row))]
-    return contigs.select("idx", "name").join(spark.createDataFrame(rows, "idx long, sample int, depth double"), "idx").select("name", "sample", "depth")
+    """(name, sample, depth) of a matrix whose rows follow the contigs' order, read by ranges of rows."""
+    long = read_matrix(spark, path).select("idx", F.posexplode("row").alias("sample", "depth"))
+    return contigs.select("idx", "name").join(long, "idx").select("name", "sample", "depth")
 
 
 def paths_or_fallback(paths: DataFrame, info: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binloom.operators.stats import ranked
+
 
 def write_contig2bin(bins: DataFrame, path: str, sample: str = "SAMPLEID", extra_comment: bool = False) -> None:
     """One text file: the header lines, then name and bin; sorted, so the file is the same on reruns."""
@@ -23,7 +25,7 @@ def bins_with_leftovers(bins: DataFrame, contigs: DataFrame, min_bp: int) -> Dat
     kept = sized.join(big, "bin", "left_semi").select("name", F.col("bin").cast("string").alias("bin"))
     n = big.count()
     left = contigs.where(F.col("length") > min_bp).join(bins, "name", "left_anti")
-    alone = left.select("name", (F.row_number().over(Window.orderBy("name")) + n - 1).cast("string").alias("bin"))
+    alone = ranked(left.select("name"), "name", "place").select("name", (F.col("place") + n).cast("string").alias("bin"))
     return kept.unionByName(alone)
 
 
@@ -41,10 +43,11 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.select("src", "dst", "weight").write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def write_components(components: DataFrame, path: str, least: int = 2) -> None:
-    """node and component of components of `least` nodes and more."""
+def write_components(components: DataFrame, path: str, least: int = 2, containing: str = "") -> None:
+    """node and component of components of `least` nodes and more; of these the nodes whose names contain a text."""
     big = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    components.join(big, "component", "left_semi").select("node", "component").write.mode("overwrite").option("sep", "\t").csv(path)
+    named = components.where(F.contains(F.col("node").cast("string"), F.lit(containing)))
+    named.join(big, "component", "left_semi").select("node", "component").write.mode("overwrite").option("sep", "\t").csv(path)
 
 
 def append_scores(scores: DataFrame, path: str) -> None:

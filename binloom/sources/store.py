@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,5 +61,19 @@ def save_dataset(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
 
 
+def has_tables(spark: SparkSession, path: str, names: list[str]) -> bool:
+    """Whether all tables of a dataset are there, each written to its end."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marks = [jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parquet/_SUCCESS") for name in names]
+    return all(mark.getFileSystem(conf).exists(mark) for mark in marks)
+
+
+def cached_dataset(spark: SparkSession, path: str, make: Callable[[], dict[str, DataFrame]], names: list[str]) -> dict[str, DataFrame]:
+    """The tables of a dataset, made and saved if they are not all there yet."""
+    if not has_tables(spark, path, names):
+        save_dataset({name: df for name, df in make().items() if name in names}, path)
+    return {name: load_table(spark, path, name) for name in names}
+
+
 def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")

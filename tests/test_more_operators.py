@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, graph
+from binloom.operators import cluster, features, graph, similarity
 from binloom.plans import queries as plans
 from binloom.sources import readers, store
 
@@ -27,7 +27,7 @@ def test_kmers_of_a_long_sequence_in_pieces(spark):
 
 @pytest.mark.parametrize("block", [1024, 7])
 def test_block_products_are_those_of_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(cluster, "BLOCK_ROWS", block)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
     r = np.random.default_rng(1)
     x = np.round(r.normal(size=(40, 5)), 1)
     x[3], x[7] = 0.0, x[8]
