@@ -10,6 +10,11 @@ labels all blocks of a page at once.
 A name (class, id) is evidence, not a verdict. It counts less the more of the page's text its element holds around an
 article or another well-named element, and for half if it holds a word for content, too.
 
+An article element is the main one only by what it holds: those inside boilerplate (reader comments) and those of little
+text beside the largest (teaser cards) are none, and without half of the text that could be content in the others, articles
+do not decide for the page. What stands under a heading of reader comments, to its container's end, gains nothing by the
+article, or the largest container, that it is in.
+
 The cut is exact. Blocks whose own cost outweighs all their edges are settled first and passed on to their neighbours,
 and parts of the graph in which all blocks lean one way are labelled that way (neither changes a minimum); Dinic's
 algorithm finds the flow through the rest.
@@ -56,6 +61,10 @@ CUES = re.compile(r"(?:\d+\s+)?(?:comments?|replies|responses|kommentare?|commen
 #: `sparse`: of a page without article, the share of a block's container in the text of the largest one, and what it needs.
 WEIGHTS = {"bias": -0.5, "in_article": 2.0, "outside": -3.0, "good_name": 1.0, "bad": -6.0, "header": -6.0, "link_share": -4.0, "paragraph": 1.0, "heading": 0.6, "title": 1.2, "item": -0.3, "length": 0.4, "sentence": 0.6, "cue": -3.0, "dense": 3.0, "sparse": -2.2}
 NEXT, SIBLING, BORDER, UNIT = 1.5, 1.0, 0.3, 1000
+#: Evidence for boilerplate from which on an element's text is none of the page's own; the text of an article by that of the
+#: largest one, and of all such articles by all text of the page's own, that they need at least.
+FOREIGN, LESSER, MAJOR = 0.5, 0.25, 0.5
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -64,9 +73,10 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 class Element:
     """An open or closed element: `bad` and `good` are what its tag, names and role say, `size` its text, `main` whether
-    it is or holds an article or a well-named element."""
+    it is or holds an article or a well-named element, `plain` its text outside links, `inside` whether it is or is in a
+    main article; `at` and `end` are its own and its last descendant's place in page order."""
 
-    __slots__ = ("tag", "parent", "depth", "block", "article", "header", "bad", "good", "hidden", "size", "direct", "main")
+    __slots__ = ("tag", "parent", "depth", "block", "article", "header", "bad", "good", "hidden", "size", "direct", "main", "plain", "inside", "at", "end")
 
     def __init__(self, tag: str, parent: "Element | None", attributes: str = ""):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
@@ -75,7 +85,8 @@ class Element:
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         # 1: in the header of an article, 2: in another one
         self.header = (1 if self.article else 2) if tag == "header" else parent.header if parent else 0
-        self.size = self.direct = 0
+        self.size = self.direct = self.plain = self.at = self.end = 0
+        self.inside = False
         self.main = self.good or tag in ("article", "main")
 
 
@@ -215,11 +226,14 @@ def costs_of(blocks: list[Block], elements: list[Element]) -> list[float]:
     w, root = WEIGHTS, elements[0]
     for b in blocks:
         b.at.size += len(b.text)
+        b.at.plain += len(b.text) - b.linked
         _home(b.at).direct += len(b.text) - b.linked
-    articles = False
+    for i, e in enumerate(elements):
+        e.at = e.end = i
     for e in reversed(elements[1:]):
-        articles |= e.size > 0 and e.tag in ("article", "main")
         e.parent.size += e.size
+        e.parent.plain += e.plain
+        e.parent.end = max(e.parent.end, e.end)
         e.parent.main |= e.main and e.size > 0
     outer = root.main  # some element, anywhere, that may be the main one
     largest = max((e.direct for e in elements), default=0) or 1
@@ -231,22 +245,50 @@ def costs_of(blocks: list[Block], elements: list[Element]) -> list[float]:
             elif not outer:
                 e.bad *= max(0.1, 1 - 1.2 * share)
         e.bad, e.good = max(e.bad, e.parent.bad), e.good or e.parent.good
+    articles = _main_articles(blocks, elements)
+    under = _under_cues(blocks)
     out = []
-    for b in blocks:
+    for b, below in zip(blocks, under):
         e, tag, size = b.at, b.at.block.tag, len(b.text)
         cost = w["bias"] + w["bad"] * e.bad + w["good_name"] * (e.good and not e.article)
         if articles:
-            cost += w["in_article"] if e.article else w["outside"]
+            cost += w["in_article"] if e.inside and not below else w["outside"]
         else:
-            cost += w["sparse"] + w["dense"] * _home(e).direct / largest
+            share = _home(e).direct / largest
+            cost += w["sparse"] + w["dense"] * (0.0 if below and share == 1.0 else share)
         if e.header and not (e.header == 1 and tag in ("h1", "h2", "h3")):
             cost += w["header"]
         cost += w["link_share"] * min(1.0, b.linked / size) + w["cue"] * bool(CUES.match(b.text))
-        cost += w["paragraph"] * (tag in ("p", "pre", "blockquote")) + w["heading"] * (tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + w["title"] * (tag == "h1") + w["item"] * (tag == "li")
+        cost += w["paragraph"] * (tag in ("p", "pre", "blockquote")) + w["heading"] * (tag in HEADINGS) + w["title"] * (tag == "h1") + w["item"] * (tag == "li")
         out.append(cost + w["length"] * min(4.0, math.log2(1 + size / 40)) + w["sentence"] * (b.text[-1] in ".!?:”\"'…"))
     return out
 
 
+def _main_articles(blocks: list[Block], elements: list[Element]) -> bool:
+    """Whether articles decide for the page; marks what is inside the main ones."""
+    tops = [e for e in elements[1:] if e.tag in ("article", "main") and not e.parent.article and e.plain and e.bad < FOREIGN]
+    most = max((e.plain for e in tops), default=0)
+    for e in tops:
+        e.inside = e.plain >= LESSER * most
+    for e in elements[1:]:
+        e.inside |= e.parent.inside
+    own = [(len(b.text) - b.linked, b.at.inside) for b in blocks if b.at.bad < FOREIGN and b.at.header != 2]
+    return bool(tops) and sum(n for n, inside in own if inside) >= MAJOR * sum(n for n, _ in own)
+
+
+def _under_cues(blocks: list[Block]) -> list[bool]:
+    """Whether a block is a heading of reader comments, or follows one in its container before a heading as high of another kind."""
+    out, top, level = [], None, ""
+    for b in blocks:
+        tag = b.at.block.tag
+        if top is not None and (not top.at <= b.at.at <= top.end or (tag in HEADINGS and tag <= level and not CUES.match(b.text))):
+            top = None
+        if tag in HEADINGS and top is None and CUES.match(b.text):
+            top, level = _home(b.at), tag
+        out.append(top is not None)
+    return out
+
+
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: next in page order, weaker with the DOM steps between; next among one container's blocks."""
     out, last_in = [], {}

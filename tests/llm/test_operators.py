@@ -730,3 +730,27 @@ def test_a_text_of_many_steps(spark):
     got = {x["doc_id"]: x for x in substrings.remove_repeats(spark.createDataFrame([(k, bytearray(t)) for k, t in rows], "doc_id long, text binary")).collect()}
     assert [(s["from_byte"], s["to_byte"]) for s in got[0]["spans"]] == [(p, min(len(long), p + 250 + 20 * k)) for k, p in enumerate(places)]
     assert all([(s["from_byte"], s["to_byte"]) for s in got[k + 1]["spans"]] == [(3, 253 + 20 * k)] for k in range(4))
+
+
+LONG_STORY = [f"Paragraph number {i} of the story goes on for a while, with enough words to be one, and then it ends." for i in range(12)]
+BODY = "".join(f"<p>{x}</p>" for x in LONG_STORY)
+REMARK = "<p>I liked this one a lot, thank you for it and so on, it is great.</p>"
+
+
+@pytest.mark.parametrize("layout", [
+    f"<div class='post-content'>{BODY}</div><article class='comment'>{REMARK}</article>",
+    f"<div class='post-content'>{BODY}</div><section class='comments'>{f'<article>{REMARK}</article>' * 6}</section>",
+    f"<div class='story'>{BODY}</div><article class='card'>A teaser.</article>",
+    f"<div class='x1'>{BODY}</div><article class='card'><h3>Other</h3><p>A teaser.</p></article><article class='x2'><p>Another teaser text.</p></article>",
+    f"<article>{BODY}</article><article class='card'><h3>Other story</h3><p>A teaser for the other story.</p></article>",
+    f"<main><div class='body'>{BODY}</div><article class='comment'>{REMARK}</article></main>",
+    f"<article>{BODY}<h3>2 Comments</h3>{REMARK}{REMARK}</article>",
+    f"<div class='q'>{BODY}<h3>2 Comments</h3><ul><li>I liked this one a lot.</li><li>So did I, it was really good.</li></ul></div>",
+])
+def test_articles_that_are_comments_or_cards_do_not_decide(layout):
+    assert html_mincut.extract(f"<body><nav>{MENU}</nav>{layout}<footer>us</footer></body>") == "\n\n".join(LONG_STORY)
+
+
+def test_a_heading_of_comments_ends_at_the_next_heading():
+    page = f"<body><article>{BODY}<h3>2 Comments</h3>{REMARK}<h3>What came next</h3>{BODY}</article></body>"
+    assert html_mincut.extract(page) == "\n\n".join([*LONG_STORY, "What came next", *LONG_STORY])
