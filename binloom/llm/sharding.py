@@ -36,10 +36,13 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*costs) if len(costs) > 1 else costs[0])["shard"]
 
 
-def number_slots(df: DataFrame, shard: str, order: Sequence[Column], cell: Column, slot: str, cells: int, n: Column | None = None) -> DataFrame:
-    """Add `slot`: 0, 1, 2 ... within each shard, by cell and then by `order`; a row that stands for n takes n of them."""
+def number_slots(df: DataFrame, shard: str, order: Sequence[Column], cell: Column, slot: str, cells: int, n: Column | None = None, ranged: bool = False) -> DataFrame:
+    """Add `slot`: 0, 1, 2 ... within each shard, by cell and then by `order`; a row that stands for n takes n of them.
+
+    Cells are drawn by hash of `cell` or, `ranged`, parts of its range from 0 to 1, so that slots rise with it."""
     n = F.lit(1) if n is None else n
-    celled = df.withColumn("__cell", F.pmod(F.xxhash64(cell, F.lit("cell")), F.lit(cells)))
+    part = F.least(F.floor(cell * cells), F.lit(cells - 1)) if ranged else F.pmod(F.xxhash64(cell, F.lit("cell")), F.lit(cells))
+    celled = df.withColumn("__cell", part.cast("long"))
     before = Window.partitionBy(shard).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a cell
     starts = celled.groupBy(shard, "__cell").agg(F.sum(n).alias("__n")).select(F.col(shard).alias("__shard"), F.col("__cell").alias("__cell2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = F.coalesce(F.sum(n).over(Window.partitionBy(shard, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -69,11 +72,22 @@ def shard_records(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_
     return each_copy(out, "n", "copy").withColumn("slot", F.col("first_slot") + F.col("copy")).select(id_col, "size", "text_crc32", "shard", "grown_shard", "slot")
 
 
-def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
-    """All columns of docs with `shard` and `slot`."""
+def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, position: str | None = None) -> DataFrame:
+    """All columns of docs with `shard` and `slot`.
+
+    Slots follow a column of positions from 0 to 1, if one is named. Else they are drawn by hash, and rows that repeat an id
+    with its text, such as the passes of a mix, are spread evenly over their shard: of n, one in each n-th of it.
+    """
     row = F.struct(*pick(without(docs.columns, "shard", "slot")))  # packed, so that no name meets those used here
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), rendezvous(F.col(id_col), weights).cast("int").alias("shard"), row.alias("row"))
-    out = number_slots(out, "shard", [F.col("id").asc_nulls_first(), F.col("hash")], F.struct("id", "hash"), "slot", cells or cells_for(docs.count()))
+    if position is None:
+        same, scale = Window.partitionBy("id", "hash"), float(1 << 30)
+        drawn = F.pmod(F.xxhash64("id", "hash", F.lit("slot")), F.lit(1 << 30)) / scale
+        at = (F.row_number().over(same.orderBy("hash")) - 1 + drawn) / F.count(F.lit(1)).over(same)
+    else:
+        at = F.coalesce(F.col("row")[position].cast("double"), F.lit(0.0))
+    order = [F.col("at"), F.col("hash"), F.col("id").asc_nulls_first()]
+    out = number_slots(out.select("*", at.alias("at")), "shard", order, F.col("at"), "slot", cells or cells_for(docs.count()), ranged=True)
     return out.select("row.*", "shard", "slot")
 
 

@@ -10,7 +10,8 @@ document is scored whole, a very long one in pieces.
 
 Defined results: null and empty texts have no n-grams and get the score of the bias; a text shorter than the shortest
 n-gram likewise; equal texts have equal scores; repeated ids are scored each for itself; without any labels of a class
-the score is 0.5 for all; an empty table gives an empty result.
+the score is the share of toxic labels, smoothed towards clean (a quarter without any label), so the class that is there is
+predicted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     index = np.full(1 << BUCKET_BITS, -1, np.int32)
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return ToxicityModel(orders, index, np.zeros(0), 0.0)
+        return ToxicityModel(orders, index, np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 1.5))))
     c, t = F.col("clean").cast("double"), F.col("toxic").cast("double")
     total = float(n1 + n0)
     spread = t * F.lit(float(n0)) - c * F.lit(float(n1))

@@ -754,3 +754,26 @@ def test_articles_that_are_comments_or_cards_do_not_decide(layout):
 def test_a_heading_of_comments_ends_at_the_next_heading():
     page = f"<body><article>{BODY}<h3>2 Comments</h3>{REMARK}<h3>What came next</h3>{BODY}</article></body>"
     assert html_mincut.extract(page) == "\n\n".join([*LONG_STORY, "What came next", *LONG_STORY])
+
+
+@pytest.mark.parametrize("kinds, verdict", [([0], 0), ([1], 1), ([], 0), ([None], 0)])
+def test_labels_of_one_class_predict_that_class(spark, docs, odd, kinds, verdict):
+    labels = spark.createDataFrame([(i, k) for i in range(60) for k in kinds], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    for table in (docs, odd):
+        scores = [r["score"] for r in toxicity.score_toxicity(table, model).collect()]
+        assert len(scores) == table.count() and all((s >= 0.5) == bool(verdict) for s in scores)
+
+
+def test_repeated_rows_are_spread_over_their_shard(spark, docs):
+    """Whole passes of a table: no two rows of a document are neighbours, and with positions slots follow those."""
+    some = docs.select("doc_id", "text", "source")
+    out = sharding.shard_documents(some.unionByName(some).unionByName(some.where("doc_id % 2 = 0")), [1.0] * 3).select("doc_id", "shard", "slot").toPandas()
+    for _, shard in out.sort_values("slot").groupby("shard"):
+        ids = shard.doc_id.tolist()
+        assert shard.slot.tolist() == list(range(len(ids))) and not any(a == b for a, b in zip(ids, ids[1:]))
+    mixed = mixing.mixed_corpus(some, position="at")
+    assert mixed.columns == [*some.columns, "at"]
+    placed = sharding.shard_documents(mixed, [1.0] * 5, position="at").toPandas()
+    for _, shard in placed.sort_values("slot").groupby("shard"):
+        assert shard["at"].is_monotonic_increasing and shard.slot.tolist() == list(range(len(shard)))
