@@ -59,7 +59,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard, by the id alone, and their slot in it.
 
-    Rows of one id, or of none, are in one shard and have slots of their own, by the text's hash; null texts count as others.
+    Slots are drawn by hash; rows that repeat an id with its text, as the passes of the mix do, are spread evenly over their
+    shard. Rows of one id, or of none, are in one shard and have slots of their own; null texts count as others.
     """
     return shard_documents(docs, [1.0] * SHARDS)
 
