@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,22 +108,25 @@ def label_ring(nodes: DataFrame, node: str, label: str) -> DataFrame:
     return nodes.select(F.col(node).alias("src"), F.coalesce(F.lead(node).over(w), F.first(node).over(w)).alias("dst"))
 
 
+def _normalised(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight, norm): equal edges added up, a loop of weight 1 at each node in place of its own ones."""
+    plain = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
+    loops = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"))
+    a = plain.unionByName(loops)
+    d = a.groupBy("src").agg(F.sum("weight").alias("d"))
+    return a.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select("src", "dst", "weight", (F.col("weight") / F.sqrt(F.col("d") * F.col("d2"))).alias("norm"))
+
+
 def normalised_adjacency(edges: DataFrame) -> DataFrame:
     """D^-1/2 A D^-1/2 with the diagonal set to 1; equal edges are added up first."""
-    plain = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w"))
-    loops = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
-    a = plain.unionByName(loops)
-    d = a.groupBy("src").agg(F.sum("w").alias("d"))
-    return a.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("d2"))).alias("norm"))
+    return _normalised(edges).select("src", "dst", "norm")
 
 
 def weighted_adjacency(edges: DataFrame) -> DataFrame:
     """The normalised adjacency times weight over largest weight; 1 on the diagonal."""
-    merged = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    top = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).agg(F.max("w").alias("top"))
-    out = normalised_adjacency(edges).join(merged, ["src", "dst"], "left").crossJoin(F.broadcast(top))  # a single row
-    value = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.coalesce(F.col("norm") * F.col("weight") / F.col("top"), F.col("norm")))
-    return out.select("src", "dst", value.alias("value"))
+    top = edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w")).agg(F.max("w").alias("top"))
+    value = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("norm") * F.col("weight") / F.col("top"))
+    return _normalised(edges).crossJoin(F.broadcast(top)).select("src", "dst", value.alias("value"))  # a single row
 
 
 def with_loops(adjacency: DataFrame, nodes: DataFrame, node: str, value: str) -> DataFrame:
@@ -145,22 +150,34 @@ def attention(edges: DataFrame, scores: DataFrame, node: str, left: str, right:
     return e.select("src", "dst", (F.col("x") / F.sum("x").over(w)).alias("alpha"))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the least node reachable, by label passing with a jump to the label's label in each round.
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component): the least node reachable. Nodes are of any type that orders. With `rounds` it raises where more are needed.
 
-    Nodes are of any type that orders. Stops when no label changes; raises if that takes more than `rounds`.
+    By star rounds: in the first half of a round every node passes its larger neighbours to the least one, in the second it
+    passes itself and its smaller ones there, until all of a component point to its least node. A node's minimum is
+    aggregated in each task first, and both sides of its join are written, so Spark splits a hub's rows among tasks.
     """
-    both = both_directions(edges.select("src", "dst")).distinct()
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnsRenamed({"node": "dst"}), "dst").groupBy("src").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("src", "node"), "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        done = _cut(step.join(jump, "component").select("node", F.col("next").alias("component"), (F.col("next") != F.col("old")).alias("changed")))
-        labels = done.select("node", "component")
-        if done.where("changed").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+    from binloom.sources.store import Scratch
+
+    scratch = Scratch(edges.sparkSession)
+    nodes = scratch.keep(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    pairs = scratch.keep(edges.where("src <> dst").select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")).distinct())
+    for done in itertools.count(1):
+        near = pairs.select(F.col("high").alias("a"), F.col("low").alias("b")).unionByName(pairs.select(F.col("low").alias("a"), F.col("high").alias("b")))
+        least = scratch.keep(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = scratch.keep(near.where("b > a").join(least, "a").select(F.col("b").alias("high"), F.col("m").alias("low")).distinct())
+        root = scratch.keep(large.groupBy("high").agg(F.min("low").alias("m")))
+        small = large.join(root, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low")).unionByName(root.select("high", F.col("m").alias("low")))
+        small = scratch.keep(small.distinct())
+        if small.count() == pairs.count() and small.join(pairs, ["high", "low"], "left_anti").isEmpty():
+            break
+        if done == rounds:
+            scratch.clear()
+            raise RuntimeError(f"components still change after {rounds} rounds")
+        pairs = small
+    out = scratch.keep(nodes.join(small, nodes["node"] == small["high"], "left").select("node", F.coalesce("low", "node").alias("component")), last=True)
+    scratch.clear()
+    return out
 
 
 def _cut(df: DataFrame) -> DataFrame:

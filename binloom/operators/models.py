@@ -91,6 +91,23 @@ def learned_fraction(adjacency: DataFrame, features: DataFrame, value: str, colu
     return sums.select("src", ((t[0] + t[1]) * below / (below * below + LAF_GUARD)).alias("value"))
 
 
+def learned_fractions(adjacency: DataFrame, features: DataFrame, value: str, columns: list[str], node: str, units: list[tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]]) -> DataFrame:
+    """(src, out): of each column, as a list, the value of each unit (inner, outer, scale) of the learned aggregator; one
+    join with the neighbours gives the sums of all."""
+    s = [G.clip(G.sigmoid(F.col(c).cast("double")), LAF_EPS, 1 - LAF_EPS).alias(f"s{i}") for i, c in enumerate(columns)]
+    met = adjacency.join(features.select(F.col(node).alias("dst"), *s), "dst")
+    side = lambda i, k: F.col(f"s{i}") if k % 2 == 0 else 1 - F.col(f"s{i}")
+    sums = {(i, j, k): F.sum(F.col(value) * F.pow(side(i, k), F.lit(max(inner[k], 0.0)))).alias(f"t{i}_{j}_{k}") for i in range(len(columns)) for j, (inner, _, _) in enumerate(units) for k in range(4)}
+
+    def fraction(i: int, j: int) -> Column:
+        _, outer, scale = units[j]
+        t = [F.pow(F.col(f"t{i}_{j}_{k}") + LAF_EPS, F.lit(max(outer[k], 0.0))) * scale[k] for k in range(4)]
+        return (t[0] + t[1]) * (t[2] + t[3]) / ((t[2] + t[3]) * (t[2] + t[3]) + LAF_GUARD)
+
+    out = F.array(*[F.array(*[fraction(i, j) for j in range(len(units))]) for i in range(len(columns))])
+    return met.groupBy("src").agg(*sums.values()).select("src", out.alias("out"))
+
+
 def principal_components(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
     """(key, projected): coordinates on the first k principal components."""
     data = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))

@@ -714,7 +714,7 @@ def gnn_embeddings(t: Tables) -> DataFrame:
     edges = graph.with_loops(graph.normalised_adjacency(graph.both_directions(links).withColumn("weight", F.lit(1.0))), nodes, "node", "norm").withColumnRenamed("norm", "value")
     net = gnn.Net("sage", 64, 16, 8, 1)
     state, _ = gnn.train(net, nodes, edges, links, epochs=2)
-    return gnn.embed(net, state, nodes, edges, concat=False).select(F.col("node").alias("vec_id"), F.transform("emb", lambda x: F.round(x, 6)).alias("emb"))
+    return gnn.embed(net, state, nodes, edges, concat=False).select(F.col("node").alias("vec_id"), F.transform("emb", lambda x: F.round(x, 4)).alias("emb"))
 
 
 @query("select a.vec_id src, b.vec_id dst, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]),6) weight from embeddings a, embeddings b where a.vec_id=b.vec_id or list_cosine_similarity(a.embedding::double[], b.embedding::double[])>=0.4")
@@ -732,6 +732,15 @@ def similarity_means(t: Tables) -> DataFrame:
     return cluster.similarity_means(t.embeddings, "vec_id", "embedding", "label", ring).select(*r6("label_mean", "edge_mean", "global_mean"))
 
 
+@query("with " + NORM + ", x as (select p_partkey n, 1/(1+exp(-(p_size/25.0-1))) s, 1/(1+exp(-(p_retailprice/1000-1))) z from part), u as (select na.src, sum(norm*pow(s,1.0))+1e-6 a, sum(norm*pow(1-s,0.5))+1e-6 b, sum(norm*pow(s,2.0))+1e-6 c, sum(norm)+1e-6 d, sum(norm*pow(z,0.3))+1e-6 a2, sum(norm*pow(1-z,1.5))+1e-6 b2, sum(norm*z)+1e-6 c2, sum(norm*pow(1-z,2.0))+1e-6 d2 from na join x on n=dst group by na.src), w as (select src, pow(a,1.0)*0.7+pow(b,2.0)*-0.2 up, pow(c,0.5)*0.4+pow(d,1.0)*0.3 below, pow(a2,2.0)*0.1+pow(b2,0.5)*0.9 up2, pow(c2,1.0)*0.5+pow(d2,1.0)*-0.6 below2 from u) select src, round(up*below/(below*below+1e-3),6) size_0, round(up2*below2/(below2*below2+1e-3),6) price_1 from w")
+def learned_fractions(t: Tables) -> DataFrame:
+    """Two units over two features; of the size the first unit's value, of the price the second one's."""
+    x = t.part.select("p_partkey", (F.col("p_size") / 25.0 - 1).alias("x"), (F.col("p_retailprice") / 1000 - 1).alias("y"))
+    units = [((1.0, 0.5, 2.0, -1.0), (1.0, 2.0, 0.5, 1.0), (0.7, -0.2, 0.4, 0.3)), ((0.3, 1.5, 1.0, 2.0), (2.0, 0.5, 1.0, 1.0), (0.1, 0.9, 0.5, -0.6))]
+    out = models.learned_fractions(graph.normalised_adjacency(_edges(t)), x, "norm", ["x", "y"], "p_partkey", units)
+    return out.select("src", F.round(F.col("out")[0][0], 6).alias("size_0"), F.round(F.col("out")[1][1], 6).alias("price_1"))
+
+
 @query()
 def spectral_bins(t: Tables) -> DataFrame:
     return partitions.spectral(t.embeddings, "vec_id", "embedding", 8, most=12)
