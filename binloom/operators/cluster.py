@@ -121,10 +121,22 @@ def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int) -> D
     return out.select(F.col("i").alias(key), "neighbours", "core", F.coalesce("component", F.when(~F.col("core"), F.col("b")), F.lit(-1)).alias("bin"))
 
 
+def _smoothing() -> np.ndarray:
+    pdf = np.exp(-0.5 * (np.linspace(-0.075, 0.075, 31) / 0.01) ** 2)
+    return pdf / pdf.sum()
+
+
 def _valley(distances: np.ndarray, ratio: float, pdf: np.ndarray) -> float | None:
-    """The distance at which the density of a medoid's neighbours falls off, None if there is no such valley."""
+    """As valley_of_counts, of a medoid's distances, its own included."""
     counts = np.histogram(distances, 60, (0.0, 0.3))[0].astype(float)
     counts[0] -= 1  # the medoid itself
+    return valley_of_counts(counts, ratio, pdf)
+
+
+def valley_of_counts(counts: np.ndarray, ratio: float, pdf: np.ndarray | None = None) -> float | None:
+    """The distance at which the density of a medoid's neighbours, counted in 60 parts up to 0.3, falls off, None if there is
+    no such valley."""
+    pdf = _smoothing() if pdf is None else pdf
     if not counts[:10].any():
         return 0.025
     density = np.convolve(counts, pdf, "same")
@@ -147,8 +159,7 @@ def medoid_kernel(keys: np.ndarray, x: np.ndarray, radius: float = 0.05, default
     """
     rng = np.random.default_rng(seed)
     alive, waiting, out, cluster = np.ones(len(x), bool), deque(rng.permutation(len(x)).tolist()), [], 0
-    pdf = np.exp(-0.5 * (np.linspace(-0.075, 0.075, 31) / 0.01) ** 2)
-    pdf /= pdf.sum()
+    pdf = _smoothing()
     ratio, recent = 0.1, deque(maxlen=window)
 
     def distances(m: int) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, features, gnn, graph, metrics, training
+from binloom.operators import cluster, features, gnn, graph, medoids, metrics, training
 from binloom.sources import readers, sinks
 from binloom.sources.store import durable
 
@@ -30,7 +30,7 @@ class BinningConfig:
     min_bin: int = 200_000
     edge_threshold: float = 0.0
     layers: int = 0
-    bins: int | None = None  # k-means with as many bins; medoid clustering if None
+    bins: int | None = None  # k-means with as many bins; medoid clustering, in rounds, if None
     seed: int = 0
     epochs: int = 0  # of the autoencoder; clusters the vectors themselves if 0
     hidden: int = 512
@@ -74,10 +74,8 @@ def smooth(vectors: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
     """(idx, emb) after that many steps of the normalised adjacency; a contig without edges keeps its vector."""
     adjacency = graph.normalised_adjacency(edges)
     for _ in range(layers):
-        long = vectors.select(F.col("idx").alias("dst"), F.posexplode("emb").alias("pos", "x"))
-        summed = adjacency.join(long, "dst").groupBy("src", "pos").agg(F.sum(F.col("norm") * F.col("x")).alias("x"))
-        packed = summed.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("new"))
-        vectors = vectors.join(packed.withColumnRenamed("src", "idx"), "idx", "left").select("idx", F.coalesce("new", "emb").alias("emb"))
+        near = gnn.spread_along(adjacency, vectors.withColumnRenamed("idx", "node"), "emb", "norm").withColumnRenamed("node", "idx")
+        vectors = vectors.join(near, "idx", "left").select("idx", F.coalesce("near", "emb").alias("emb"))
     return vectors
 
 
@@ -139,7 +137,7 @@ def run_binning(spark: SparkSession, config: BinningConfig) -> tuple[DataFrame,
     def binned(emb: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         emb = durable(smooth(emb, edges, config.layers)) if edges is not None and config.layers else emb
         emb = emb.join(marked.select("idx").distinct(), "idx", "left_semi") if config.marked_only and marked is not None else emb
-        found = cluster.kmeans(emb, "idx", "emb", config.bins, config.seed) if config.bins else cluster.medoid_bins(emb, "idx", "emb", config.seed)
+        found = cluster.kmeans(emb, "idx", "emb", config.bins, config.seed) if config.bins else medoids.medoid_rounds(emb, "idx", "emb")
         bins = durable(found.join(contigs.select("idx", "name"), "idx").select("name", F.col("bin").cast("string").alias("bin")))
         if markers is None or not config.marker_sets:
             return bins, None

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import functions as G
-from binloom.operators import cluster, density_order, features, gnn, graph, metrics, models, partitions, similarity, stats, training
+from binloom.operators import cluster, density_order, features, gnn, graph, medoids, metrics, models, partitions, similarity, stats, training
 from binloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -802,3 +802,9 @@ def price_quantiles(t: Tables) -> DataFrame:
     """Exact quantiles by counted buckets, refined."""
     p90, p12 = (stats.exact_quantile(t.lineitem, "l_extendedprice", share) for share in (0.9, 0.123))
     return t.spark.range(1).select(F.round(F.lit(p90), 6).alias("p90"), F.round(F.lit(p12), 6).alias("p12"))
+
+
+@query()
+def medoid_round_bins(t: Tables) -> DataFrame:
+    """Medoid clustering in rounds of joins, of any number of rows."""
+    return medoids.medoid_rounds(t.embeddings, "vec_id", "embedding")
