@@ -21,10 +21,11 @@ def kmer_counts(seqs: DataFrame, key: str, seq: str, k: int = 4, canonical: bool
 
 def kmer_frequencies(seqs: DataFrame, key: str, seq: str, k: int = 4) -> DataFrame:
     """(key, kmer, freq): share of each of the 4^k k-mers less 4^-k, zeros included; sequences without any are left out."""
-    letters = ["".join(x) for x in product("ACGT", repeat=k)]
-    counted = kmer_counts(seqs, key, seq, k)
-    every = counted.groupBy(key).agg(F.sum("n").alias("total")).select(key, "total", F.explode(F.array(*[F.lit(x) for x in letters])).alias("kmer"))
-    return every.join(counted, [key, "kmer"], "left").select(key, "kmer", (F.coalesce("n", F.lit(0)) / F.col("total") - F.lit(4.0**-k)).alias("freq"))
+    letters = F.array(*[F.lit("".join(x)) for x in product("ACGT", repeat=k)])
+    packed = kmer_counts(seqs, key, seq, k).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("kmer", "n"))).alias("m"), F.sum("n").alias("total"))  # 4^k entries at most
+    share = lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0)) / F.col("total") - F.lit(4.0**-k)
+    rows = packed.select(key, F.explode(F.transform(letters, lambda x: F.struct(x.alias("kmer"), share(x).alias("freq")))).alias("row"))
+    return rows.select(key, "row.kmer", "row.freq")
 
 
 def normalise_rows(long: DataFrame, key: str, value: str, out: str) -> DataFrame:
