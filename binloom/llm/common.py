@@ -92,6 +92,20 @@ def row_identity(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(F.concat(tag, F.lit(":")).cast("binary"), utf8(text_col))))
 
 
+def tagged(col: str) -> Column:
+    """A column as text in which null differs from every value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("null"))
+
+
+#: Values of functions.draw, of which `ranged` tells cells.
+DRAWS = 2.0**60
+
+
+def ranged(part: Column, cells: int) -> Column:
+    """Which of `cells` equal ranges a number from 0 to 1 is in, so that cells rise with it."""
+    return F.least(F.floor(part * cells), F.lit(cells - 1)).cast("long")
+
+
 def cells_for(rows: int, least: int = 1024, mean: int = 1 << 16) -> int:
     """A power of two: how many cells rows are dealt to, so that one has about `mean` rows at most."""
     return max(least, 1 << (rows // mean).bit_length())

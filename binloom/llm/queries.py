@@ -6,10 +6,10 @@ from binloom.llm.decontaminate import OP5_SQL, op5_suffix_array_decontamination
 from binloom.llm.html_mincut import op1_mincut_html
 from binloom.llm.infill import OP11_SQL, op11_infill_units
 from binloom.llm.merkle import op7_merkle_fingerprints
-from binloom.llm.mixing import op4_curriculum_mixing
+from binloom.llm.mixing import OP4_SQL, op4_curriculum_mixing
 from binloom.llm.quality import op6_bradley_terry_quality
 from binloom.llm.retrieval import OP13_SQL, op13_impact_ordered_search
-from binloom.llm.sharding import op3_rendezvous_sharding
+from binloom.llm.sharding import OP3_SQL, op3_rendezvous_sharding
 from binloom.llm.simhash import op9_simhash_trie
 from binloom.llm.substrings import op10_suffix_array_dedup
 from binloom.llm.token_counts import op8_longest_match_counts
@@ -24,4 +24,7 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: The others use a hash, a fitted model or a search of bytes that SQL has no equal of; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op5_suffix_array_decontamination": OP5_SQL, "op11_infill_units": OP11_SQL, "op13_impact_ordered_search": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_rendezvous_sharding": OP3_SQL, "op4_curriculum_mixing": OP4_SQL, "op5_suffix_array_decontamination": OP5_SQL,
+    "op11_infill_units": OP11_SQL, "op13_impact_ordered_search": OP13_SQL,
+}

@@ -5,16 +5,17 @@ import itertools
 import math
 import random
 import re
-import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import oracle
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from binloom.llm import decontaminate, html_mincut, merkle, mixing, near_copies, quality, sharding, simhash, substrings, token_counts, toxicity
+from binloom.llm import decontaminate, html_mincut, merkle, mixing, near_copies, quality, queries, sharding, simhash, substrings, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -280,14 +281,18 @@ def test_classifiers(spark, odd, empty, fit, score, label):
 # 3
 
 
-def plain_shard(key, shards):
-    """The shard of the least -ln(u), from XXH64 one key and shard at a time."""
+def plain_draw(*parts):
+    """A number below 2^60 from MD5, nulls told apart from texts."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def tag(value):
+    return "null" if value is None else f"={value}"
 
-    def cost(shard):
-        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
-        return -math.log(((xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 11) + 0.5) * 2.0**-53)
 
-    return min(range(shards), key=cost)
+def plain_shard(key, shards):
+    """The shard of the least -ln(u), one key and shard at a time."""
+    return min(range(shards), key=lambda shard: -math.log((plain_draw(tag(key), shard) + 0.5) / 2.0**60))
 
 
 def test_sharding_against_a_plain_version(docs, odd):
@@ -295,6 +300,25 @@ def test_sharding_against_a_plain_version(docs, odd):
         got = sharding.shard_records(df, [1.0] * 24, grown=[1.0] * 25).collect()
         want = sorted(((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode()), plain_shard(r["doc_id"], 24), plain_shard(r["doc_id"], 25)) for r in df.select("doc_id", "text").collect()), key=repr)
         assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got), key=repr) == want
+        order = sorted(got, key=lambda r: (r["shard"], plain_draw(tag(r["doc_id"]), r["text_crc32"], r["size"])))
+        for shard in {r["shard"] for r in got}:
+            assert [r["slot"] for r in order if r["shard"] == shard] == list(range(sum(r["shard"] == shard for r in got)))
+
+
+@pytest.mark.parametrize("table", ["driver", "odd"])
+@pytest.mark.parametrize("name", ["op3_rendezvous_sharding", "op4_curriculum_mixing"])
+def test_shards_and_mix_match_sql(spark, odd, tmp_path, table, name):
+    """Row for row, on the driver's table and on odd rows, some of them repeated."""
+    sf = SF
+    if table == "odd":
+        sf = str(tmp_path)
+        twice = odd.select("doc_id", "text", "lang", "source")
+        twice.unionByName(twice.where("doc_id is null or doc_id % 2 = 0")).coalesce(1).write.parquet(f"{sf}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet/*.parquet')")
+    else:
+        con = oracle.connect(sf)
+    assert oracle.compare(queries.QUERIES[name](spark, sf), con, queries.ORACLE_SQL[name]) == ""
 
 
 def test_copies_by_many_tasks(spark):
@@ -317,7 +341,7 @@ def test_sharding(odd, empty):
 
 
 def test_shards_follow_weights(spark):
-    got = spark.range(20_000).select(sharding.rendezvous(F.col("id"), [1.0, 0.0, 3.0]).alias("s")).groupBy("s").count().collect()
+    got = spark.range(20_000).select(sharding.rendezvous("id", [1.0, 0.0, 3.0]).alias("s")).groupBy("s").count().collect()
     share = {r["s"]: r["count"] / 20_000 for r in got}
     assert set(share) == {0, 2} and abs(share[2] - 0.75) < 0.02
 
@@ -356,15 +380,6 @@ def test_mixing(docs, odd, empty):
     assert mixing.mixed_corpus(docs).columns == docs.columns
 
 
-def spark_hash(*values):
-    """XXH64 over columns as a chain of seeds, nulls left out."""
-    h = 42
-    for v in values:
-        if v is not None:
-            h = xxhash.xxh64_intdigest(struct.pack("<q", v) if isinstance(v, int) else v.encode(), h)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def test_mix_against_a_plain_version(spark, docs, odd):
     """Which words of which document are taken, and when, by walking the order of each source word by word."""
     for df in (docs, odd, spark.createDataFrame([(1, "a b c", "x")] * 5 + [(None, "d e", "x"), (2, "f", None)], "doc_id long, text string, source string")):
@@ -375,8 +390,7 @@ def test_mix_against_a_plain_version(spark, docs, odd):
         goal = water(totals, {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}, 1.5 * sum(totals.values()), 2)
         want = []
         for k, s in enumerate(sources):
-            rank = lambda r: (spark_hash(r[0], spark_hash(r[0], r[1]), "mix") % 1024, r[0] is not None, r[0] or 0, size(r[1]), spark_hash(r[0], r[1]))
-            order = sorted((r for r in data if r[2] == s), key=rank)
+            order = sorted((r for r in data if r[2] == s), key=lambda r: plain_draw(tag(r[0]), r[1] or ""))
             taken, first, at = [0] * len(order), [None] * len(order), 0
             knots = mixing.SCHEDULES[k % 3]
             grid = np.linspace(0, 1, 100_001)
