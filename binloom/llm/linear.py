@@ -10,8 +10,8 @@ from binloom.llm.common import durable, fold_of, utf8
 
 #: A classifier is fitted on about this many labelled documents at most, chosen by a hash of id and text.
 SAMPLE_ROWS = 20_000
-#: Labels that are sent to all tasks, at most, and rows that a step of the fit looks at.
-BROADCAST_ROWS, FIT_ROWS = 1 << 18, 8192
+#: Labels that are sent to all tasks, at most, and rows, or entries of a sparse table, that a step of a fit looks at.
+BROADCAST_ROWS, FIT_ROWS, FIT_ENTRIES = 1 << 18, 8192, 1 << 22
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
@@ -62,3 +62,58 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, weight: np.ndarray | N
         if biggest < 1e-4:
             break
     return w
+
+
+def fit_sparse_logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, l2: float, steps: int = 40) -> np.ndarray:
+    """L2-penalised logistic loss over a sparse table of (row, feature, value): Newton steps, each solved by conjugate gradients.
+
+    The last of width + 1 weights is the bias (not penalised). No table of features by features is made."""
+    n, pull = len(y), np.full(width + 1, l2)
+    pull[-1] = 1e-6
+    cuts = [slice(at, at + FIT_ENTRIES) for at in range(0, len(row), FIT_ENTRIES)]
+    row, feature = row.astype(np.intp), feature.astype(np.intp)
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(row[c], value[c] * w[feature[c]], minlength=n) for c in cuts), np.full(n, w[-1]))
+
+    def back(r: np.ndarray, power: int = 1) -> np.ndarray:
+        return np.append(sum((np.bincount(feature[c], value[c] ** power * r[row[c]], minlength=width) for c in cuts), np.zeros(width)), r.sum())
+
+    def loss(w: np.ndarray, z: np.ndarray) -> float:
+        return float((np.logaddexp(0.0, z) - y * z).sum() + (pull * w * w).sum() / 2)
+
+    w = np.zeros(width + 1)
+    z = forward(w)
+    now, first = loss(w, z), None
+    for _ in range(steps):
+        p = sigmoid(z)
+        gradient = pull * w + back(p - y)
+        size = float(np.abs(gradient).max())
+        first = first or size
+        if size <= 1e-4 * first:
+            break
+        curve = np.maximum(p * (1 - p), 1e-6)
+        scale = pull + back(curve, 2)
+        step, left = np.zeros(width + 1), gradient.copy()
+        along = near = left / scale
+        goal = (left @ near) * 0.25**2
+        for _ in range(100):
+            bent = pull * along + back(curve * forward(along))
+            share = (left @ near) / (along @ bent)
+            before = left @ near
+            step, left = step + share * along, left - share * bent
+            near = left / scale
+            if left @ near <= goal:
+                break
+            along = near + (left @ near) / before * along
+        for half in range(30):  # a full step, halved until the loss falls
+            z2 = forward(w - step / 2**half)
+            after = loss(w - step / 2**half, z2)
+            if after < now:
+                break
+        else:
+            break
+        fell, w, z, now = now - after, w - step / 2**half, z2, after
+        if fell <= 1e-4 * now:
+            break
+    return w

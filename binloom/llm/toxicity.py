@@ -1,12 +1,13 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 N-grams of the lower-cased text's characters are hashed to 2^20 buckets. Over the training rows each bucket's log-count
-ratio r = ln((df in toxic + a) / (toxic rows + 2a)) - the same for clean is counted; the buckets whose ratio stands out
-most (by the chi-square of their counts) are the features, with value r * (1 + ln tf), and a logistic fit gives their
-weights. A score needs one pass over a text's characters, with a table of 2^20 entries.
+ratio r = ln((df in toxic + a) / (toxic rows + 2a)) - the same for clean is counted; every bucket whose ratio stands out
+(in at least LEAST rows, the chi-square of its counts LEVEL or more) is a feature, with value r * (1 + ln tf), and a
+logistic fit over the sparse table of these gives their weights. A score needs one pass over a text's characters, with a
+table of 2^20 entries.
 
-The model is fitted on a bounded sample of the labelled documents (linear.SAMPLE_ROWS) and has FEATURES features; every
-document is scored whole, a very long one in pieces.
+The model is fitted on a bounded sample of the labelled documents (linear.SAMPLE_ROWS); how many features there are follows
+from the counts alone. Every document is scored whole, a very long one in pieces.
 
 Defined results: null and empty texts have no n-grams and get the score of the bias; a text shorter than the shortest
 n-gram likewise; equal texts have equal scores; repeated ids are scored each for itself; without any labels of a class
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.llm.common import Roller, durable_table, fold_of, mix64, table, utf8
-from binloom.llm.linear import SAMPLE_ROWS, fit_logistic, labelled_documents, sampled, sigmoid
+from binloom.llm.linear import SAMPLE_ROWS, fit_sparse_logistic, labelled_documents, sampled, sigmoid
 
-ORDERS, BUCKET_BITS, FEATURES, SMOOTH, L2 = (3, 4, 5, 6), 20, 768, 1.0, 1.0
+ORDERS, BUCKET_BITS, SMOOTH, L2 = (3, 4, 5, 6), 20, 1.0, 1.0
+#: Rows that a feature is in, and the chi-square (one degree of freedom) that chance reaches in any of 2^20 buckets at 5 %.
+LEAST, LEVEL = 3, 29.7
 #: Tasks that count n-grams of the (bounded) sample, and characters that one step handles.
 TRAIN_TASKS, STEP_CHARS = 8, 1 << 19
 
@@ -115,7 +118,7 @@ class ToxicityModel:
         self.orders, self.index, self.weights, self.bias = orders, index, weights, bias
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, orders: tuple[int, ...] = ORDERS, features: int = FEATURES, rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, orders: tuple[int, ...] = ORDERS, level: float = LEVEL, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on labelled rows outside the held fold (at most about `rows` of them)."""
     train = durable_table(sampled(labelled_documents(docs, labels, label, folds, held), rows).select("text", "y").repartition(TRAIN_TASKS))
     sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -127,9 +130,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     total = float(n1 + n0)
     spread = t * F.lit(float(n0)) - c * F.lit(float(n1))
     chi = total * spread * spread / (F.lit(float(n0)) * F.lit(float(n1)) * (c + t) * (F.lit(total) - c - t + 1.0))
-    best = _count_grams(train, orders).where("clean + toxic >= 3").withColumn("chi", chi).orderBy(F.desc("chi"), "bucket").limit(features).collect()
-    index[[r["bucket"] for r in best]] = np.arange(len(best))
-    ratio = np.array([np.log((r["toxic"] + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((r["clean"] + SMOOTH) / (n0 + 2 * SMOOTH)) for r in best])
+    best = _count_grams(train, orders).where((c + t >= LEAST) & (chi >= level)).orderBy("bucket").collect()  # 2^20 at most
+    bucket, toxic, clean = (np.array([r[k] for r in best], np.int64) for k in ("bucket", "toxic", "clean"))
+    index[bucket] = np.arange(len(best))
+    ratio = np.log((toxic + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((clean + SMOOTH) / (n0 + 2 * SMOOTH))
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +146,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
 
     got = train.mapInArrow(kernel, "y int, order long, f array<int>, tf array<int>").toArrow().combine_chunks()  # bounded by `rows`
     got = got.sort_by([("y", "ascending"), ("order", "ascending")])  # the fit does not depend on the order of arrival
-    x, y = np.zeros((got.num_rows, len(best)), np.float32), got["y"].to_numpy().astype(float)
-    row = np.repeat(np.arange(got.num_rows), pc.list_value_length(got["f"]).to_numpy())
+    row = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(got["f"]).to_numpy())
     feature, tf = (pc.list_flatten(got[c]).to_numpy() for c in ("f", "tf"))
-    x[row, feature] = ratio[feature] * (1 + np.log(tf))
-    del got, row, feature, tf
-    w = fit_logistic(x, y, L2)
+    value = (ratio[feature] * (1 + np.log(tf))).astype(np.float32)
+    w = fit_sparse_logistic(row, feature, value, got["y"].to_numpy().astype(float), len(best), L2)
     return ToxicityModel(orders, index, w[:-1] * ratio, float(w[-1]))
 
 

@@ -196,13 +196,25 @@ def test_toxicity_against_a_plain_version(spark, docs, labels):
         c, t = df[0][b], df[1][b]
         return (n[0] + n[1]) * (t * n[0] - c * n[1]) ** 2 / (n[0] * n[1] * (c + t) * (n[0] + n[1] - c - t + 1))
 
-    able = [b for b in got if sum(got[b]) >= 3]
-    assert sorted(chosen) == sorted(sorted(able, key=lambda b: (-chi(b), b))[: toxicity.FEATURES])
+    assert sorted(chosen) == sorted(b for b in got if sum(got[b]) >= 3 and chi(b) >= toxicity.LEVEL)
     for r in toxicity.score_toxicity(docs.where("doc_id < 30"), model).collect():
         total = model.bias + sum(model.weights[chosen[b]] * (1 + math.log(tf)) for b, tf in plain_grams(texts[r["doc_id"]]).items() if b in chosen)
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
 
 
+def test_sparse_fit_is_the_dense_one(monkeypatch):
+    from binloom.llm import linear
+
+    monkeypatch.setattr(linear, "FIT_ENTRIES", 100)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 12)).astype(np.float32) * (r.random((300, 12)) < 0.3)
+    y = (r.random(300) < 1 / (1 + np.exp(-(x @ r.normal(size=12) + 0.5)))).astype(float)
+    row, feature = np.nonzero(x)
+    got = linear.fit_sparse_logistic(row, feature, x[row, feature], y, 12, 1.0)
+    assert np.allclose(got, linear.fit_logistic(x, y, 1.0), atol=1e-3)
+    assert linear.fit_sparse_logistic(row[:0], feature[:0], x[row, feature][:0], y, 0, 1.0) == pytest.approx([math.log(y.mean() / (1 - y.mean()))], abs=1e-3)
+
+
 def test_a_text_in_pieces_has_the_grams_of_the_whole():
     r = random.Random(3)
     text = "".join(r.choice("abcdeÉß ") for _ in range(5000))
