@@ -19,6 +19,7 @@ from binloom import functions as G
 from binloom.operators import similarity
 from binloom.operators.features import vector_stats
 from binloom.operators.graph import components
+from binloom.sources.store import Scratch
 
 
 def _with_mllib(estimator, df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -108,7 +109,7 @@ def similarity_means(df: DataFrame, key: str, vector: str, label: str, edges: Da
 def dbscan(df: DataFrame, key: str, vector: str, radius: float, least: int) -> DataFrame:
     """(key, neighbours, core, bin): core points have `least` points in the radius, themselves included; bins are the
     components of core points, border points join the least one near; -1 is noise."""
-    near = pair_distances(df, key, vector, radius).select("i", "j")
+    near = Scratch(df.sparkSession).keep(pair_distances(df, key, vector, radius).select("i", "j"), last=True)
     both = near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j")))
     counts = df.select(F.col(key).alias("i")).join(both.groupBy("i").agg(F.count(F.lit(1)).alias("n")), "i", "left")
     counts = counts.select("i", (F.coalesce("n", F.lit(0)) + 1).alias("neighbours")).withColumn("core", F.col("neighbours") >= least)

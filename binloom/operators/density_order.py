@@ -23,9 +23,9 @@ from binloom.operators.similarity import near_pairs
 from binloom.sources.store import Scratch
 
 
-def mutual_reachability(df: DataFrame, key: str, vector: str, least: int, radius: float) -> tuple[DataFrame, DataFrame]:
+def mutual_reachability(df: DataFrame, key: str, vector: str, least: int, radius: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """((node, core), (i, j, w)): core distances, null without `least` rows in the radius, and the pairs of rows with one."""
-    near = near_pairs(df, key, vector, radius)
+    near = scratch.keep(near_pairs(df, key, vector, radius))
     ends = near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance")).select(F.col("i").alias("node"), "distance")
     ends = ends.unionByName(df.select(F.col(key).cast("long").alias("node"), F.lit(0.0).alias("distance")))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("distance"))
@@ -122,7 +122,7 @@ def density_order(df: DataFrame, key: str, vector: str, least: int = 5, radius:
     """(key, place, reachability, core, size, block): the order from 0; reachability is infinite where a part begins, core
     null without `least` rows in the radius; size rows from place on form the row's block, inside the block of `block`."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    core, edges = mutual_reachability(df, key, vector, least, radius)
+    core, edges = mutual_reachability(df, key, vector, least, radius, scratch)
     core = scratch.keep(core)
     nodes = core.select("node")
     lowest = nodes.agg(F.min("node")).first()[0]

@@ -1,13 +1,15 @@
 """Exact similarity joins pruned by pivots: angles obey the triangle inequality, so cells far apart share no near pair.
 
 Some rows, the first by hash, are pivots; a row's home is the cell of the nearest one. For pairs within an angle, a row
-also visits the cells whose pivot is no further from it than its own by more than twice the angle: whoever is near it
-lives in one of them. For the k largest products, a row first meets its own cell, and its k-th score there is a bound: it
-visits the cells whose members could reach it, by the cell's radius and longest vector. Cells of any size are dealt to
-blocks of about BLOCK_ROWS rows, and a task multiplies two blocks, so no task sees a whole cell.
+is also a guest of the later cells whose pivot is no further from it than its own by more than twice the angle: whoever is
+near it lives in one of them. For the k largest products, a row first meets its own cell, and its k-th score there is a
+bound: it visits the cells whose members could reach it, by the cell's radius and longest vector. Guests meet members,
+never each other. Members and guests of a cell are dealt to blocks of about BLOCK_ROWS rows, and a task multiplies two
+blocks, a few rows at a time, so no task sees a whole cell.
 
 At most MOST_PIVOTS pivots go to all tasks. Where nothing is near anything, rows visit all cells and the work is that of
-all pairs; on data that cluster it is that of the cells.
+all pairs: it grows with the square of the rows, and what is shuffled is each row once for every BLOCK_ROWS others (floats
+stay floats on the way). On data that cluster it is that of the cells.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 from binloom.sources.store import durable
 
 #: Rows that a block has in the mean, and pivots at most: each has about BLOCK_ROWS rows while there are fewer.
-BLOCK_ROWS, MOST_PIVOTS = 1024, 1024
+BLOCK_ROWS, MOST_PIVOTS = 8192, 1024
+#: Rows that are multiplied at once, and that leave a task in one batch.
+STRIPE_ROWS, BATCH_ROWS = 256, 4096
 #: Room for rounding in comparisons of angles and of scores (which count to six digits).
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 2e-6
+#: Room for single precision in a cosine of unit rows: their rounding and that of sums of any usual length.
+SCREEN_SLACK = 1e-4
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -36,6 +42,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; a row whose sum is zero counts as 1/d everywhere, as in functions.medoid_normalise."""
     if not x.size:
         return x
+    x = x.astype(np.float64)
     x = np.where((x.sum(axis=1) == 0)[:, None], 1.0 / x.shape[1], x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -45,7 +52,26 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _rows(df: DataFrame, key: str, vector: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    """(k, v): the rows, floats as floats, anything else as doubles."""
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    return df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast(kind).alias("v"))
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["v"].dataType.simpleString()
+
+
+def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for one in batches:
+        for at in range(0, one.num_rows, BATCH_ROWS):
+            yield one.slice(at, BATCH_ROWS)
+
+
+def _visitors(one: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, homes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(cell, *homes, k, v): the rows in the cells they visit, BATCH_ROWS at a time."""
+    for at in range(0, len(row), BATCH_ROWS):
+        some, rows = slice(at, at + BATCH_ROWS), pa.array(row[at : at + BATCH_ROWS])
+        yield pa.RecordBatch.from_arrays([pa.array(cell[some].astype(np.int32)), *(pa.array(h[some]) for h in homes), one.column(0).take(rows), one.column(1).take(rows)], ["cell", *["home"] * len(homes), "k", "v"])
 
 
 def pivots_of(rows: DataFrame, pivots: int | None) -> np.ndarray:
@@ -55,24 +81,40 @@ def pivots_of(rows: DataFrame, pivots: int | None) -> np.ndarray:
     return unit(np.array([r["v"] for r in chosen], np.float64)) if chosen else np.zeros((0, 0))
 
 
+def _visits(x: np.ndarray, pivots: np.ndarray, reach: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home): each row in its home cell, and with a reach also in the later cells that it must visit."""
+    angle = _angles(x, pivots)
+    home = angle.argmin(axis=1)
+    own = angle[np.arange(len(home)), home]
+    later = np.arange(len(pivots))[None, :] > home[:, None]
+    visit = (angle <= (own + 2 * reach + ANGLE_SLACK)[:, None]) & later if reach is not None else np.zeros(angle.shape, bool)
+    visit[np.arange(len(home)), home] = True
+    row, cell = np.nonzero(visit)
+    return row, cell, cell == home[row]
+
+
 def homes(rows: DataFrame, pivots: np.ndarray, reach: float | None = None) -> DataFrame:
     """(cell, home, k, v): each row in its home cell, home true, and with a reach also in the later cells that it must visit."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            if not one.num_rows:
-                continue
-            angle = _angles(matrix(one.column(1)), pivots)
-            home = angle.argmin(axis=1)
-            own = angle[np.arange(len(home)), home]
-            later = np.arange(len(pivots))[None, :] > home[:, None]
-            visit = (angle <= (own + 2 * reach + ANGLE_SLACK)[:, None]) & later if reach is not None else np.zeros(angle.shape, bool)
-            visit[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(visit)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), one.column(0).take(at), one.column(1).take(at)], ["cell", "home", "k", "v"])
+        for one in _stripes(batches):
+            row, cell, home = _visits(matrix(one.column(1)), pivots, reach)
+            yield from _visitors(one, row, cell, [home])
 
-    return rows.mapInArrow(kernel, "cell int, home boolean, k long, v array<double>")
+    return rows.mapInArrow(kernel, f"cell int, home boolean, k long, v {_kind(rows)}")
+
+
+def _counts(rows: DataFrame, pivots: np.ndarray, reach: float | None) -> DataFrame:
+    """(cell, members, guests): rows that live in a cell and that visit it, without sending them there."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(pivots)), np.int64)
+        for one in _stripes(batches):
+            _, cell, home = _visits(matrix(one.column(1)), pivots, reach)
+            total += [np.bincount(cell[at], minlength=len(pivots)) for at in (home, ~home)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots), dtype=np.int32)), *map(pa.array, total)], ["cell", "n", "m"])
+
+    return rows.mapInArrow(kernel, "cell int, n long, m long").groupBy("cell").agg(F.sum("n").alias("members"), F.sum("m").alias("guests")).where("members > 0")
 
 
 def _dealt(rows: DataFrame, by: str, out: str) -> DataFrame:
@@ -83,23 +125,52 @@ def _dealt(rows: DataFrame, by: str, out: str) -> DataFrame:
     return rows.withColumn("blocks", blocks).withColumn(out, F.pmod(F.xxhash64("k", F.lit("block")), F.col("blocks")).cast("int")).drop("__n", "__c")
 
 
-def _tiles(celled: DataFrame) -> DataFrame:
-    """(cell, x, y, block, home, k, v): each row once for each block of its cell that its own one meets, x <= y."""
-    rows = _dealt(celled, "cell", "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "home", "k", "v")
+def _tiles(celled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cell, x, y, block, k, v): each row once for each block of its cell that its own one meets, x <= y.
 
+    Members' blocks come first and meet all blocks, guests' blocks come after them and meet only members'."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    sizes = sizes.select(F.col("cell").alias("__c"), blocks("members").alias("m"), blocks("guests").alias("g"))
+    draw = lambda n: F.pmod(F.xxhash64("k", F.lit("block")), F.col(n)).cast("int")
+    rows = celled.join(F.broadcast(sizes), F.col("cell") == F.col("__c"))  # a row a pivot
+    rows = rows.withColumn("block", F.when(F.col("home"), draw("m")).otherwise(F.col("m") + draw("g")))
+    others = F.when(F.col("home"), F.col("m") + F.col("g")).otherwise(F.col("m"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return rows.select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "k", "v")
 
-def _halves(t: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray], bool]:
-    """(keys, vectors, home) of the two blocks of a tile, in order of keys; whether both are the same block."""
+
+def _halves(t: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], bool]:
+    """(keys, vectors) of the two blocks of a tile, in order of keys; whether both are the same block."""
     same = t["x"][0].as_py() == t["y"][0].as_py()
     t = t.sort_by("k")
     out = []
     for side in ("x", "y"):
         part = t.filter(pc.equal(t["block"], t[side])).combine_chunks()
-        out.append((part["k"].to_numpy(), matrix(part["v"].combine_chunks()), part["home"].to_numpy(zero_copy_only=False)))
+        out.append((part["k"].to_numpy(), matrix(part["v"].combine_chunks())))
     return *out, same
 
 
+def _within(a: np.ndarray, b: np.ndarray, most: float | None, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of unit rows within `most`, of one block with itself each pair once: single precision shows the
+    candidates, double precision decides."""
+    small, other = a.astype(np.float32), b.astype(np.float32).T
+    for at in range(0, len(a), STRIPE_ROWS):
+        stripe = slice(at, at + STRIPE_ROWS)
+        few = None
+        if most is not None:
+            i, j = np.nonzero(small[stripe] @ other >= np.float32(1.0 - 2.0 * most - SCREEN_SLACK))
+            few = len(i) <= len(small[stripe]) * len(b) // 16
+        if few:
+            d = 0.5 - 0.5 * np.einsum("nd,nd->n", a[i + at], b[j])
+        else:
+            whole = 0.5 - 0.5 * a[stripe] @ b.T
+            i, j = np.nonzero(np.ones(whole.shape, bool) if most is None else whole <= most)
+            d = whole[i, j]
+        i = i + at
+        ok = (np.ones(len(d), bool) if most is None else d <= most) & ((j > i) if same else True)
+        yield i[ok], j[ok], d[ok]
+
+
 def near_pairs(df: DataFrame, key: str, vector: str, most: float | None = None, pivots: int | None = None) -> DataFrame:
     """(i, j, distance), i < j, of all pairs, or of those within `most`; distance is half of one minus the cosine."""
     rows = _rows(df, key, vector)
@@ -107,23 +178,20 @@ def near_pairs(df: DataFrame, key: str, vector: str, most: float | None = None,
     reach = None if most is None else float(np.arccos(np.clip(1.0 - 2.0 * most, -1.0, 1.0)))
 
     def kernel(t: pa.Table) -> pa.Table:
-        (ki, a, hi), (kj, b, hj), same = _halves(t)
-        d = 0.5 - 0.5 * unit(a) @ unit(b).T if a.size and b.size else np.zeros((len(ki), len(kj)))
-        ok = (hi[:, None] | hj[None, :]) & (np.ones(d.shape, bool) if most is None else d <= most)
-        if same:
-            ok &= np.triu(np.ones(d.shape, bool), 1)
-        i, j = np.nonzero(ok)
-        return pa.table({"i": np.minimum(ki[i], kj[j]), "j": np.maximum(ki[i], kj[j]), "distance": d[i, j]})
+        (ki, a), (kj, b), same = _halves(t)
+        found = list(_within(unit(a), unit(b), most, same)) if a.size and b.size else []
+        i, j, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"i": np.minimum(ki[i], kj[j]), "j": np.maximum(ki[i], kj[j]), "distance": d})
 
-    return _tiles(homes(rows, centres, reach)).groupBy("cell", "x", "y").applyInArrow(kernel, "i long, j long, distance double")
+    return _tiles(homes(rows, centres, reach), _counts(rows, centres, reach)).groupBy("cell", "x", "y").applyInArrow(kernel, "i long, j long, distance double")
 
 
 def candidate_pairs(df: DataFrame, key: str, vector: str, most: float, pivots: int | None = None) -> int:
-    """How many pairs near_pairs compares, those of two visitors not counted."""
+    """How many pairs near_pairs compares."""
     rows = _rows(df, key, vector)
     reach = float(np.arccos(np.clip(1.0 - 2.0 * most, -1.0, 1.0)))
-    sizes = homes(rows, pivots_of(rows, pivots), reach).groupBy("cell").agg(F.count_if("home").alias("n"), F.count_if(~F.col("home")).alias("m"))
-    return sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.col("m")), F.lit(0.0)).cast("long")).first()[0]
+    n, m = F.col("members"), F.col("guests")
+    return _counts(rows, pivots_of(rows, pivots), reach).agg(F.coalesce(F.sum(n * (n - 1) / 2 + n * m), F.lit(0.0)).cast("long")).first()[0]
 
 
 def similar_edges(df: DataFrame, key: str, vector: str, least: float, pivots: int | None = None) -> DataFrame:
@@ -134,13 +202,20 @@ def similar_edges(df: DataFrame, key: str, vector: str, least: float, pivots: in
     return near.unionByName(back).unionByName(loops).toDF("src", "dst", "weight")
 
 
-def _best(ki: np.ndarray, kj: np.ndarray, score: np.ndarray, k: int) -> pa.Table:
-    """The k best of each row of score, ties (of 6 digits) to the lower key."""
-    if not score.size:
-        return pa.table({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "score": np.zeros(0)})
-    order = np.lexsort((np.broadcast_to(kj, score.shape), -np.round(score, 6)), axis=1)[:, :k]
-    row = np.repeat(np.arange(len(ki)), order.shape[1])
-    return pa.table({"i": ki[row], "j": kj[order.ravel()], "score": score[row, order.ravel()]})
+def _best(ki: np.ndarray, kj: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> pa.Table:
+    """The k largest products with b of each row of a, ties (of 6 digits) to the lower key."""
+    found = []
+    for at in range(0, len(a) if len(b) else 0, STRIPE_ROWS):
+        score = a[at : at + STRIPE_ROWS] @ b.T
+        rough = np.round(score, 6)
+        least = -np.partition(-rough, k - 1, axis=1)[:, k - 1 : k] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+        i, j = np.nonzero(rough >= least)
+        order = np.lexsort((kj[j], -rough[i, j], i))
+        i, j = i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((ki[at + i[first]], kj[j[first]], score[i[first], j[first]]))
+    i, j, score = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"i": i, "j": j, "score": score})
 
 
 _SCORES = "i long, j long, score double"
@@ -155,12 +230,12 @@ def top_products(df: DataFrame, key: str, vector: str, k: int, pivots: int | Non
     celled = homes(rows, centres)
 
     def at_home(t: pa.Table) -> pa.Table:
-        (ki, a, _), (kj, b, _), same = _halves(t)
-        score = a @ b.T if a.size and b.size else np.zeros((0, 0))
-        found = _best(ki, kj, score, k)
-        return found if same else pa.concat_tables([found, _best(kj, ki, score.T, k)])
+        (ki, a), (kj, b), same = _halves(t)
+        a, b = a.astype(np.float64), b.astype(np.float64)
+        found = _best(ki, kj, a, b, k)
+        return found if same else pa.concat_tables([found, _best(kj, ki, b, a, k)])
 
-    own = ranked(_tiles(celled).groupBy("cell", "x", "y").applyInArrow(at_home, _SCORES))
+    own = ranked(_tiles(celled, _counts(rows, centres, None)).groupBy("cell", "x", "y").applyInArrow(at_home, _SCORES))
     if len(centres) < 2:
         return own.select("i", "j", "score", "rank")
     own = durable(own)
@@ -169,7 +244,7 @@ def top_products(df: DataFrame, key: str, vector: str, k: int, pivots: int | Non
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
             if one.num_rows:
-                x, cell = matrix(one.column(2)), one.column(0).to_numpy()
+                x, cell = matrix(one.column(2)).astype(np.float64), one.column(0).to_numpy()
                 angle, norm = _angles(x, centres)[np.arange(len(x)), cell], np.linalg.norm(x, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(angle), pa.array(norm)], ["cell", "angle", "norm"])
 
@@ -180,22 +255,18 @@ def top_products(df: DataFrame, key: str, vector: str, k: int, pivots: int | Non
     bound = own.groupBy("i").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).select(F.col("i").alias("k"), F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float("-inf"))).alias("kth"))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            if not one.num_rows:
-                continue
-            x, home, kth = matrix(one.column(1)), one.column(2).to_numpy(), one.column(3).to_numpy()
+        for one in _stripes(batches):
+            x, home, kth = matrix(one.column(1)).astype(np.float64), one.column(2).to_numpy(), one.column(3).to_numpy()
             cosine = np.cos(np.maximum(_angles(x, centres) - radius[None, :] - ANGLE_SLACK, 0.0))
             plain = x.sum(axis=1) != 0  # what unit() replaces has no angle of its own
             reached = np.linalg.norm(x, axis=1)[:, None] * np.where(cosine > 0, cosine * longest, cosine * shortest)
             visit = ((reached >= kth[:, None] - SCORE_SLACK) | ~plain[:, None] | odd[None, :]) & (radius >= 0)[None, :]
             visit[np.arange(len(x)), home] = False
-            row, cell = np.nonzero(visit)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), one.column(0).take(at), one.column(1).take(at)], ["cell", "k", "v"])
+            yield from _visitors(one, *np.nonzero(visit), [])
 
-    zero = celled.where(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) == 0).select("cell").distinct().collect()  # cells, a row a pivot
+    zero = celled.where(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")) == 0).select("cell").distinct().collect()  # cells, a row a pivot
     odd = np.isin(np.arange(len(centres)), [r[0] for r in zero])
-    guests = rows.join(celled.select("k", F.col("cell").alias("home")), "k").join(bound, "k").select("k", "v", "home", "kth").mapInArrow(visits, "cell int, k long, v array<double>")
+    guests = rows.join(celled.select("k", F.col("cell").alias("home")), "k").join(bound, "k").select("k", "v", "home", "kth").mapInArrow(visits, f"cell int, k long, v {_kind(rows)}")
     guests = _dealt(guests, "cell", "x").withColumnRenamed("blocks", "guests")
     members = _dealt(celled.select("cell", "k", "v"), "cell", "y").withColumnRenamed("blocks", "members")
     # A tile is a block of guests and one of members of a cell: each goes to all blocks of the other kind.
@@ -206,8 +277,8 @@ def top_products(df: DataFrame, key: str, vector: str, k: int, pivots: int | Non
 
     def abroad(t: pa.Table) -> pa.Table:
         a, b = (t.filter(t["guest"] if guest else pc.invert(t["guest"])).sort_by("k").combine_chunks() for guest in (True, False))
-        x, y = matrix(a["v"].combine_chunks()), matrix(b["v"].combine_chunks())
-        return _best(a["k"].to_numpy(), b["k"].to_numpy(), x @ y.T if x.size and y.size else np.zeros((0, 0)), k)
+        x, y = (matrix(side["v"].combine_chunks()).astype(np.float64) for side in (a, b))
+        return _best(a["k"].to_numpy(), b["k"].to_numpy(), x, y, k)
 
     found = guests.unionByName(members).groupBy("cell", "x", "y").applyInArrow(abroad, _SCORES)
     return ranked(own.select("i", "j", "score").unionByName(found)).select("i", "j", "score", "rank")

@@ -74,3 +74,24 @@ def test_means_without_pairs(data, spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "k long, v array<double>")
     assert similarity.near_pairs(none, "k", "v", 0.1).isEmpty() and similarity.top_products(none, "k", "v", 3).isEmpty()
+
+
+def test_rows_near_nothing_are_sent_once_a_block(spark):
+    """Guests meet members alone: without structure a row goes to half of the cells, and there to few blocks."""
+    x = np.random.default_rng(3).normal(size=(512, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>").repartition(3)
+    rows = similarity._rows(df, "k", "v")
+    centres, reach = similarity.pivots_of(rows, 32), float(np.arccos(0.4))
+    sent = similarity._tiles(similarity.homes(rows, centres, reach), similarity._counts(rows, centres, reach))
+    assert sent.count() < 512 * 16 * 4  # 17 blocks of guests would meet each other
+    assert sent.schema["v"].dataType.simpleString() == "array<float>"
+    assert {r["i"] * 512 + r["j"] for r in similarity.near_pairs(df, "k", "v", 0.3, 32).collect()} == {i * 512 + j for i in range(512) for j in range(i + 1, 512) if similarity.unit(x[[i, j]])[0] @ similarity.unit(x[[i, j]])[1] >= 0.4}
+
+
+def test_visitors_leave_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "BATCH_ROWS", 10)
+    one = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([[1.0, 2.0]] * 7)], ["k", "v"])
+    got = list(similarity._visitors(one, np.repeat(np.arange(7), 9), np.tile(np.arange(9), 7), []))
+    assert max(b.num_rows for b in got) == 10 and sum(b.num_rows for b in got) == 63
