@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from binloom import functions as G
 from binloom.operators.stats import exact_quantile
 
 
+#: Rows of a table that a task takes where a join multiplies them.
+TASK_ROWS = 250_000
+#: Markers of a node that go about in one list.
+LIST_MARKERS = 1024
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for a table's rows, so that a task's share does not grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
+def mirrored(half: DataFrame) -> DataFrame:
+    """Edges that are there once, and their reverses, from one pass; no self loops."""
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("__e")
+    return half.select(ends, *[c for c in half.columns if c not in ("src", "dst")]).select("__e.*", *[c for c in half.columns if c not in ("src", "dst")])
+
+
 def both_directions(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges and their reverses; a self loop stays single."""
     back = edges.where(F.col(src) != F.col(dst)).withColumnsRenamed({src: "__s", dst: src}).withColumnRenamed("__s", dst)
@@ -24,11 +43,55 @@ def link_edges(links: DataFrame, contigs: DataFrame, min_length: int) -> DataFra
     return both_directions(links.join(a, "src").join(b, "dst").select(F.col("si").alias("src"), F.col("di").alias("dst"), "weight"))
 
 
-def shared_member_edges(pairs: DataFrame, node: str, group: str) -> DataFrame:
-    """(src, dst, weight): nodes in the same group, weight the number of groups; both directions."""
-    p = pairs.select(node, group).distinct()
-    a, b = p.select(F.col(node).alias("src"), group), p.select(F.col(node).alias("dst"), group)
-    return a.join(b, group).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+def shared_member_edges(pairs: DataFrame, node: str, group: str, once: bool = False, nodes: DataFrame | None = None, between: dict[str, Callable[[Callable, Callable], Column]] | None = None) -> DataFrame:
+    """(src, dst, weight): nodes in the same group, weight the number of groups; both directions, or `once`, src < dst.
+
+    With nodes (node, ...) each end brings its columns along to where the pair is made, and `between` names further columns of
+    an edge as made of both: f(a, b), a("x") being x of src. A pair's own value must be the same in every group."""
+    between, n = between or {}, tasks_for(pairs)
+    p = pairs.select(F.col(node).alias("src"), F.col(group).alias("__g"))
+    held = []
+    if nodes is not None:
+        held = [c for c in nodes.columns if c != node]
+        p = p.repartition(n, "src").distinct().join(nodes.withColumnRenamed(node, "src"), "src", "left").repartition(n, "__g")
+    else:
+        p = p.repartition(n, "__g").distinct()
+    x, y = p.select("__g", "src", *[F.col(c).alias(f"__a_{c}") for c in held]), p.select("__g", F.col("src").alias("dst"), *[F.col(c).alias(f"__b_{c}") for c in held])
+    made = [f(lambda c: F.col(f"__a_{c}"), lambda c: F.col(f"__b_{c}")).alias(name) for name, f in between.items()]
+    met = x.join(y, "__g").where("src < dst").select("src", "dst", *made).repartition(n, "src", "dst")
+    half = met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), *[F.max(name).alias(name) for name in between])
+    return half if once else mirrored(half)
+
+
+def marker_lists(markers: DataFrame, contig: str, gene: str) -> DataFrame | None:
+    """(contig, markers): each node's different markers as one list; None where one has too many for that."""
+    known = markers.select(F.col(contig).alias("__c"), F.col(gene).alias("__g")).where("__c is not null and __g is not null")
+    whole = isinstance(markers.schema[gene].dataType, LongType)
+    ends = [F.min("low"), F.max("high")] if whole else [F.lit(None), F.lit(None)]
+    most, low, high = known.groupBy("__c").agg(F.count(F.lit(1)).alias("n"), F.min("__g").alias("low"), F.max("__g").alias("high")).agg(F.max("n"), *ends).first()
+    if (most or 0) > LIST_MARKERS:
+        return None
+    small = whole and low is not None and -(1 << 31) <= low and high < 1 << 31
+    return known.groupBy(F.col("__c").alias(contig)).agg(F.collect_set(F.col("__g").cast("int") if small else F.col("__g")).alias("markers"))
+
+
+def shared_markers(a: Callable, b: Callable) -> Column:
+    """How many markers both ends' lists have."""
+    return F.coalesce(F.when(a("markers").isNotNull() & b("markers").isNotNull(), F.size(F.array_intersect(a("markers"), b("markers")))), F.lit(0)).cast("long")
+
+
+def marked_member_edges(pairs: DataFrame, node: str, group: str, markers: DataFrame, contig: str, gene: str, nodes: DataFrame | None = None, between: dict | None = None) -> DataFrame:
+    """(src, dst, weight, overlap, ...): the edges of shared_member_edges, once, and how many markers their ends share.
+
+    The lists of markers meet where the pair is made, so they travel once a member and not once an edge and marker."""
+    lists = marker_lists(markers, contig, gene)
+    if lists is None:
+        edges = shared_member_edges(pairs, node, group, True, nodes, between)
+        shared = same_marker_edges(edges, markers, contig, gene)
+        return edges.join(shared, ["src", "dst"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
+    lists = lists.withColumnRenamed(contig, node)
+    both = lists if nodes is None else nodes.join(lists, node, "full")
+    return shared_member_edges(pairs, node, group, True, both, {"overlap": shared_markers, **(between or {})})
 
 
 def contig_segment_edges(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -51,10 +114,18 @@ def must_differ_pairs(markers: DataFrame, contig: str, gene: str) -> DataFrame:
 
 
 def same_marker_edges(edges: DataFrame, markers: DataFrame, contig: str, gene: str) -> DataFrame:
-    """(src, dst, overlap): edges, self loops excluded, whose ends share markers."""
+    """(src, dst, overlap): edges, self loops excluded, whose ends share markers.
+
+    A node's markers go about as one list; where a node has more than LIST_MARKERS, a row a marker."""
+    plain, lists = edges.where("src <> dst").select("src", "dst"), marker_lists(markers, contig, gene)
+    if lists is not None:
+        a, b = lists.toDF("src", "__a_markers"), lists.toDF("dst", "__b_markers")
+        n = shared_markers(lambda c: F.col(f"__a_{c}"), lambda c: F.col(f"__b_{c}"))
+        met = plain.join(a, "src").join(b, "dst").select("src", "dst", n.alias("n")).where("n > 0")
+        return met.groupBy("src", "dst").agg(F.sum("n").alias("overlap"))
     m = markers.select(contig, gene).distinct()
     a, b = m.withColumnsRenamed({contig: "src", gene: "g"}), m.withColumnsRenamed({contig: "dst", gene: "g"})
-    return edges.where("src <> dst").select("src", "dst").join(a, "src").join(b, ["dst", "g"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("overlap"))
+    return plain.join(a, "src").join(b, ["dst", "g"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("overlap"))
 
 
 def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
@@ -304,14 +375,13 @@ def replace_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.join(new.select("src"), "src", "left_anti").select(*edges.columns).unionByName(new.select(*edges.columns))
 
 
-def edge_similarity(edges: DataFrame, cosines: DataFrame, shared: DataFrame, over: float = 2, cap: int = 150) -> DataFrame:
+def edge_similarity(edges: DataFrame, over: float = 2, cap: int = 150) -> DataFrame:
     """(src, dst, weight, cosine, shares): a row for each undirected edge of weight above `over`, weights up to the cap.
 
-    cosines holds (src, dst, cosine), shared the edges whose ends share a marker.
+    edges holds (src, dst, weight, cosine, overlap), overlap the number of markers that both ends have.
     """
-    e = edges.where((F.col("src") < F.col("dst")) & (F.col("weight") > over)).select("src", "dst", F.least(F.col("weight"), F.lit(cap)).alias("weight"))
-    flag = shared.select("src", "dst").distinct().withColumn("shares", F.lit(True))
-    return e.join(cosines.select("src", "dst", "cosine"), ["src", "dst"]).join(flag, ["src", "dst"], "left").withColumn("shares", F.coalesce("shares", F.lit(False)))
+    e = edges.where((F.col("src") < F.col("dst")) & (F.col("weight") > over))
+    return e.select("src", "dst", F.least(F.col("weight"), F.lit(cap)).alias("weight"), "cosine", (F.col("overlap") > 0).alias("shares"))
 
 
 def similarity_histogram(similar: DataFrame, bins: int = 50) -> DataFrame:

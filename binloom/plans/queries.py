@@ -170,8 +170,14 @@ EDGE = "o as (select distinct l_orderkey k, l_partkey n from lineitem), e as (se
 NORM = EDGE + ", a as (select src, dst, weight::double w from e union all select distinct src, src, 1.0 from e), d as (select src, sum(w) d from a group by src), na as (select a.src, a.dst, a.w/sqrt(x.d*y.d) norm from a join d x on a.src=x.src join d y on a.dst=y.src)"
 
 
-def _edges(t: Tables) -> DataFrame:
-    return graph.shared_member_edges(t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), "n", "k")
+def _edges(t: Tables, once: bool = False) -> DataFrame:
+    return graph.shared_member_edges(t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), "n", "k", once)
+
+
+def _marked(t: Tables, **more) -> DataFrame:
+    """Each edge once with the number of suppliers that both parts have."""
+    pairs, marks = t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_suppkey").alias("g"))
+    return graph.marked_member_edges(pairs, "n", "k", marks, "n", "g", **more)
 
 
 @query("with " + EDGE + " select * from e")
@@ -181,13 +187,12 @@ def order_graph_edges(t: Tables) -> DataFrame:
 
 @query("with " + EDGE + ", m as (select distinct l_partkey n, l_suppkey g from lineitem) select e.src, e.dst, count(*) overlap from e join m x on e.src=x.n join m y on e.dst=y.n and x.g=y.g group by all")
 def same_marker_edges(t: Tables) -> DataFrame:
-    return graph.same_marker_edges(_edges(t), t.lineitem, "l_partkey", "l_suppkey")
+    return graph.mirrored(_marked(t).where("overlap > 0").select("src", "dst", "overlap"))
 
 
 @query("with " + EDGE + ", m as (select distinct l_partkey n, l_suppkey g from lineitem) select src, dst, weight from e where not exists (select 1 from m x join m y using (g) where x.n=e.src and y.n=e.dst)")
 def edges_cleaned(t: Tables) -> DataFrame:
-    e = _edges(t)
-    return graph.remove_edges(e, graph.same_marker_edges(e, t.lineitem, "l_partkey", "l_suppkey"))
+    return graph.mirrored(_marked(t).where("overlap = 0").select("src", "dst", "weight"))
 
 
 @query("with s as (select distinct l_partkey contig, l_orderkey segment from lineitem), l as (select o_orderkey a, o_orderkey+1 b from orders), u as (select a,b from l union select b,a from l) select src, dst, count(*) n from (select x.contig src, y.contig dst from s x join s y on x.segment=y.segment and x.contig<>y.contig union all select x.contig, y.contig from s x join u on x.segment=u.a join s y on y.segment=u.b) group by all")
@@ -332,7 +337,7 @@ def label_similarity(t: Tables) -> DataFrame:
 
 @query("with " + EDGE + " select least(weight,150) weight, count(*) n from e where src<dst and weight>=1 group by 1")
 def edge_similarity_hist(t: Tables) -> DataFrame:
-    e = _edges(t).where("src < dst and weight >= 1")
+    e = _edges(t, once=True).where("weight >= 1")
     return e.groupBy(F.least(F.col("weight"), F.lit(150)).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -465,16 +470,12 @@ def _vectors(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("n"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 50, F.lit(10.0)).alias("v"))
 
 
-def _marked(t: Tables) -> DataFrame:
-    return graph.same_marker_edges(_edges(t), t.lineitem, "l_partkey", "l_suppkey")
-
-
 SIM = EDGE + ", " + VEC + ", m as (select distinct l_partkey n, l_suppkey g from lineitem), sh as (select distinct e.src, e.dst from e join m x on e.src=x.n join m y on e.dst=y.n and x.g=y.g), si as (select e.src, e.dst, least(e.weight,2) weight, list_cosine_similarity(a.v,b.v) c, sh.src is not null shares from e join v a on e.src=a.n join v b on e.dst=b.n left join sh on sh.src=e.src and sh.dst=e.dst where e.src<e.dst and e.weight>0)"
 
 
 def _similarity(t: Tables) -> DataFrame:
-    e = _edges(t)
-    return graph.edge_similarity(e, models.pair_cosines(e.where("src < dst"), _vectors(t), "n", "v"), _marked(t), 0, 2)
+    cosine = lambda a, b: F.when(a("v").isNotNull() & b("v").isNotNull(), F.coalesce(G.cosine(a("v"), b("v")), F.lit(0.0)))
+    return graph.edge_similarity(_marked(t, nodes=_vectors(t), between={"cosine": cosine}).where("cosine is not null"), 0, 2)
 
 
 @query("with " + SIM + " select src, dst, weight, round(c,6) cosine, shares from si")
