@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from binloom import functions as G
 from binloom.operators.stats import best_by
 
+#: Contigs of a bin that meet the rest of it in one task.
+PAIR_BLOCK = 256
+
 
 def gene_totals(markers: DataFrame, bins: DataFrame, contig: str) -> DataFrame:
     """(bin, gene, copies): markers (contig, gene, copies) summed over the contigs of each bin."""
@@ -111,13 +114,23 @@ def majority_prf(df: DataFrame, bin_: str, label: str, length: str) -> DataFrame
 
 
 def positive_pairs(bins: DataFrame, contig: str, per_bin: int | None = None, seed: int = 0) -> DataFrame:
-    """(i, j), i < j, of one bin; with per_bin, that many of each by hash."""
-    a, b = bins.select("bin", F.col(contig).alias("i")), bins.select("bin", F.col(contig).alias("j"))
-    out = a.join(b, "bin").where("i < j")
+    """(i, j), i < j, of one bin; with per_bin, that many of each by hash.
+
+    A pair is made in the least bin that both ends are in, so none needs to be removed later; a bin's contigs are dealt to
+    blocks of about PAIR_BLOCK, each of which meets the whole bin in a task of its own."""
     if per_bin is not None:
+        a, b = bins.select("bin", F.col(contig).alias("i")), bins.select("bin", F.col(contig).alias("j"))
         w = Window.partitionBy("bin").orderBy(F.xxhash64("i", "j", F.lit(seed)))
-        out = out.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_bin)
-    return out.select("i", "j").distinct()
+        out = a.join(b, "bin").where("i < j").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_bin)
+        return out.select("i", "j").distinct()
+    held = bins.select(F.col(contig).alias("i"), "bin").where("i is not null and bin is not null").distinct()
+    sizes = held.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
+    every = held.groupBy("i").agg(F.collect_set("bin").alias("bins"))
+    rows = held.join(every, "i").join(sizes, "bin")
+    a = rows.select("bin", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int").alias("block"), "i", F.col("bins").alias("x"))
+    b = rows.select("bin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("i").alias("j"), F.col("bins").alias("y"))
+    least = (F.size("x") == 1) | (F.size("y") == 1) | (F.array_min(F.array_intersect("x", "y")) == F.col("bin"))
+    return a.join(b, ["bin", "block"]).where(F.col("i") < F.col("j")).where(least).select("i", "j")
 
 
 def bin_sizes(bins: DataFrame, lengths: DataFrame, contig: str, length: str, min_bp: int) -> DataFrame:
