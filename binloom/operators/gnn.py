@@ -142,17 +142,25 @@ def totals(df: DataFrame, inputs: list[str], step: Callable[..., State]) -> Stat
     return pickle.loads(added(rows)["sums"][0]) if len(rows) else {}
 
 
-def summed(df: DataFrame, key: str, vector: str | Column, out: str) -> DataFrame:
-    """(key, out): vectors added up by key, in each task first."""
+#: Values of a vector that are added up as columns of their own.
+COLUMNS = 64
+
+
+def summed(df: DataFrame, key: str, vector: str | Column, out: str, width: int | None = None) -> DataFrame:
+    """(key, out): vectors added up by key, in each task first; those of a known small width by plain sums, which need no
+    sorting where a task has many keys."""
     vector = F.col(vector) if isinstance(vector, str) else vector
+    if width is not None and width <= COLUMNS:
+        sums = df.select(key, vector.alias("__v")).groupBy(key).agg(*[F.sum(F.col("__v")[i]).alias(f"__{i}") for i in range(width)])
+        return sums.select(key, F.array(*[f"__{i}" for i in range(width)]).alias(out))
     return df.groupBy(key).agg(Summarizer.sum(array_to_vector(vector)).alias("__sum")).select(key, vector_to_array("__sum").alias(out))
 
 
-def spread_along(edges: DataFrame, nodes: DataFrame, vector: str, value: str = "value", out: str = "near") -> DataFrame:
+def spread_along(edges: DataFrame, nodes: DataFrame, vector: str, value: str = "value", out: str = "near", width: int | None = None) -> DataFrame:
     """(node, out): of each edge's near end (src) the far ends' vectors times the edge's value, added up."""
     far = nodes.select(F.col("node").alias("dst"), F.col(vector).alias("__x"))
     met = edges.select("src", "dst", F.col(value).alias("__v")).join(far, "dst")
-    return summed(met, "src", F.transform("__x", lambda x: x * F.col("__v")), out).withColumnRenamed("src", "node")
+    return summed(met, "src", F.transform("__x", lambda x: x * F.col("__v")), out, width).withColumnRenamed("src", "node")
 
 
 def reversed_(edges: DataFrame) -> DataFrame:
@@ -221,10 +229,10 @@ class Pass:
             left, right = s[f"{i}.l"], s[f"{i}.r"]
             scored = self.scratch.keep(by_rows(self.tape, ["node"], self._inputs(i), ["h", "left", "right"], lambda *x: _scores(at(*x) @ w, left, right)))
             self.attention.append(self.scratch.keep(attention_weights(self.edges, scored, net.heads)))
-            near = summed(weighted_messages(self.attention[i], scored, net.heads, net.hidden), "src", "message", "near").withColumnRenamed("src", "node")
+            near = summed(weighted_messages(self.attention[i], scored, net.heads, net.hidden), "src", "message", "near", width).withColumnRenamed("src", "node")
         else:
             b = s.get(f"{i}.b", 0.0)
-            near = spread_along(self.edges, by_rows(self.tape, ["node"], self._inputs(i), ["y"], lambda *x: (at(*x) @ w + b,)), "y")
+            near = spread_along(self.edges, by_rows(self.tape, ["node"], self._inputs(i), ["y"], lambda *x: (at(*x) @ w + b,)), "y", width=width)
         z = self.tape.join(near, "node", "left").withColumn("near", _or_zeros("near", width))
         if net.kind == "sage":
             v, d = s[f"{i}.v"], s.get(f"{i}.d", 0.0)

@@ -107,10 +107,28 @@ def contig_segment_edges(members: DataFrame, links: DataFrame) -> DataFrame:
     return shared.unionByName(linked)
 
 
+def narrow(df: DataFrame, column: str) -> Column:
+    """The column as an int where all its longs are such, else as it is."""
+    if isinstance(df.schema[column].dataType, LongType):
+        low, high = df.agg(F.min(column), F.max(column)).first()
+        if low is not None and -(1 << 31) <= low and high < 1 << 31:
+            return F.col(column).cast("int")
+    return F.col(column)
+
+
 def must_differ_pairs(markers: DataFrame, contig: str, gene: str) -> DataFrame:
-    """(i, j), i < j: contigs that share a marker."""
-    m = markers.select(contig, gene).distinct()
-    return m.select(F.col(contig).alias("i"), gene).join(m.select(F.col(contig).alias("j"), gene), gene).where("i < j").select("i", "j").distinct()
+    """(i, j), i < j: contigs that share a marker.
+
+    A gene's contigs are lists of LIST_MARKERS or so; each of its contigs takes them to where all its lists meet, and only
+    there they become pairs, so that what travels is a list a member and not a row a pair and gene."""
+    kind, n = markers.schema[contig].dataType.simpleString(), tasks_for(markers)
+    known = markers.select(narrow(markers, contig).alias("i"), F.col(gene).alias("g"))
+    m = known.where("i is not null and g is not null").repartition(n, "g").distinct()
+    sizes = m.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / LIST_MARKERS).cast("int").alias("blocks"))
+    lists = m.join(sizes, "g").groupBy("g", F.pmod(F.xxhash64("i"), F.col("blocks")).alias("block")).agg(F.collect_list("i").alias("js"))
+    met = m.join(lists, "g").select("i", F.filter("js", lambda j: j > F.col("i")).alias("js")).where(F.size("js") > 0)
+    pairs = met.repartition(n, "i").select("i", F.explode("js").alias("j")).distinct()
+    return pairs.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"))
 
 
 def same_marker_edges(edges: DataFrame, markers: DataFrame, contig: str, gene: str) -> DataFrame:
@@ -188,16 +206,42 @@ def _normalised(edges: DataFrame) -> DataFrame:
     return a.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select("src", "dst", "weight", (F.col("weight") / F.sqrt(F.col("d") * F.col("d2"))).alias("norm"))
 
 
-def normalised_adjacency(edges: DataFrame) -> DataFrame:
-    """D^-1/2 A D^-1/2 with the diagonal set to 1; equal edges are added up first."""
-    return _normalised(edges).select("src", "dst", "norm")
+def _normalised_once(half: DataFrame) -> DataFrame:
+    """The same of edges that are there once, src < dst, and mean both directions: degrees meet an edge once, in tasks by
+    the rows. half is read several times."""
+    n = tasks_for(half)
+    half = half.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    d = half.select(F.explode(F.array("src", "dst")).alias("src"), "weight").groupBy("src").agg((F.sum("weight") + 1.0).alias("d"))
+    met = half.repartition(n, "src").join(d, "src").repartition(n, "dst").join(d.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst")
+    met = met.select("src", "dst", "weight", (F.col("weight") / F.sqrt(F.col("d") * F.col("d2"))).alias("norm"))
+    loops = d.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"), (1.0 / F.sqrt(F.col("d") * F.col("d"))).alias("norm"))
+    return mirrored(met).unionByName(loops)
+
+
+def _kept(edges: DataFrame) -> DataFrame:
+    from binloom.sources.store import Scratch
+
+    return Scratch(edges.sparkSession).keep(edges, last=True)
+
+
+def normalised_adjacency(edges: DataFrame, once: bool = False, dealt: bool = False) -> DataFrame:
+    """D^-1/2 A D^-1/2 with the diagonal set to 1; equal edges are added up first. With `once` each edge is there once,
+    src < dst, and means both directions; `dealt` has the rows by dst in tasks by their number, for a join on dst."""
+    if not once:
+        return _normalised(edges).select("src", "dst", "norm")
+    half = _kept(edges)
+    out = _normalised_once(half).select("src", "dst", "norm")
+    return out.repartition(2 * tasks_for(half), "dst") if dealt else out
 
 
-def weighted_adjacency(edges: DataFrame) -> DataFrame:
-    """The normalised adjacency times weight over largest weight; 1 on the diagonal."""
-    top = edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w")).agg(F.max("w").alias("top"))
+def weighted_adjacency(edges: DataFrame, once: bool = False) -> DataFrame:
+    """The normalised adjacency times weight over largest weight; 1 on the diagonal. `once` as above."""
+    edges = _kept(edges) if once else edges
+    summed = edges if once else edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    top = summed.agg(F.max(F.col("weight").cast("double")).alias("top"))
     value = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("norm") * F.col("weight") / F.col("top"))
-    return _normalised(edges).crossJoin(F.broadcast(top)).select("src", "dst", value.alias("value"))  # a single row
+    rows = _normalised_once(edges) if once else _normalised(edges)
+    return rows.crossJoin(F.broadcast(top)).select("src", "dst", value.alias("value"))  # a single row
 
 
 def with_loops(adjacency: DataFrame, nodes: DataFrame, node: str, value: str) -> DataFrame:

@@ -214,18 +214,18 @@ def graph_homophily(t: Tables) -> DataFrame:
 
 @query("with " + NORM + " select src, dst, round(norm,6) norm from na")
 def adjacency_norm(t: Tables) -> DataFrame:
-    return graph.normalised_adjacency(_edges(t)).select("src", "dst", *r6("norm"))
+    return graph.normalised_adjacency(_edges(t, once=True), once=True).select("src", "dst", *r6("norm"))
 
 
 @query("with " + NORM + ", tp as (select max(weight) m from e) select na.src, na.dst, round(case when na.src=na.dst then 1.0 else coalesce(norm*weight/m, norm) end,6) \"value\" from na left join e on na.src=e.src and na.dst=e.dst, tp")
 def adjacency_weighted(t: Tables) -> DataFrame:
-    return graph.weighted_adjacency(_edges(t)).select("src", "dst", *r6("value"))
+    return graph.weighted_adjacency(_edges(t, once=True), once=True).select("src", "dst", *r6("value"))
 
 
 @query("with " + NORM + " select na.src, round(sum(norm*p_retailprice),4) price, round(sum(norm*p_size),4) size from na join part on p_partkey=dst group by na.src")
 def gcn_propagate(t: Tables) -> DataFrame:
     x = t.part.select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
-    out = graph.propagate(graph.normalised_adjacency(_edges(t)), x, "norm", ["price", "size"], "p_partkey")
+    out = graph.propagate(graph.normalised_adjacency(_edges(t, once=True), once=True, dealt=True), x, "norm", ["price", "size"], "p_partkey")
     return out.select("src", F.round("price", 4).alias("price"), F.round("size", 4).alias("size"))
 
 
@@ -525,14 +525,14 @@ def component_labels(t: Tables) -> DataFrame:
 @query("with " + NORM + ", s as (select na.src, sum(norm*p_retailprice) price, sum(norm*p_size) size from na join part on p_partkey=dst group by na.src) select p_partkey, p_retailprice price, p_size size, round(coalesce(s.price,0),4) near_price, round(coalesce(s.size,0),4) near_size from part left join s on src=p_partkey")
 def sage_propagate(t: Tables) -> DataFrame:
     x = t.part.select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
-    out = models.sage(graph.normalised_adjacency(_edges(t)), x, "norm", ["price", "size"], "p_partkey")
+    out = models.sage(graph.normalised_adjacency(_edges(t, once=True), once=True, dealt=True), x, "norm", ["price", "size"], "p_partkey")
     return out.select("p_partkey", "price", "size", *[F.round(c, 4).alias(c) for c in ("near_price", "near_size")])
 
 
 @query("with " + NORM + ", x as (select p_partkey n, 1/(1+exp(-(p_size/25.0-1))) s from part), u as (select na.src, sum(norm*pow(s,1.0))+1e-6 a, sum(norm*pow(1-s,0.5))+1e-6 b, sum(norm*pow(s,2.0))+1e-6 c, sum(norm*pow(1-s,0.0))+1e-6 d from na join x on n=dst group by na.src), w as (select src, pow(a,1.0)*0.7+pow(b,2.0)*-0.2 up, pow(c,0.5)*0.4+pow(d,1.0)*0.3 below from u) select src, round(up*below/(below*below+1e-3),6) \"value\" from w")
 def learned_fraction(t: Tables) -> DataFrame:
     x = t.part.select("p_partkey", (F.col("p_size") / 25.0 - 1).alias("x"))
-    out = models.learned_fraction(graph.normalised_adjacency(_edges(t)), x, "norm", "x", "p_partkey", (1.0, 0.5, 2.0, -1.0), (1.0, 2.0, 0.5, 1.0), (0.7, -0.2, 0.4, 0.3))
+    out = models.learned_fraction(graph.normalised_adjacency(_edges(t, once=True), once=True, dealt=True), x, "norm", "x", "p_partkey", (1.0, 0.5, 2.0, -1.0), (1.0, 2.0, 0.5, 1.0), (0.7, -0.2, 0.4, 0.3))
     return out.select("src", *r6("value"))
 
 
@@ -685,7 +685,7 @@ _SOFT = ", f{k} as (select src, b.y{k} h, case when norm*({l}*a.y{k}+{r}*b.y{k})
 def _layer(t: Tables, kind: str) -> DataFrame:
     net = gnn.Net(kind, 2, 1 if kind == "gat" else 2, 2, layers=1, heads=2)
     nodes = t.part.select(F.col("p_partkey").alias("node"), F.array(F.col("p_retailprice") / 1000, F.col("p_size") / 50.0).alias("x"))
-    edges = graph.normalised_adjacency(_edges(t)).withColumnRenamed("norm", "value")
+    edges = graph.normalised_adjacency(_edges(t, once=True), once=True, dealt=True).withColumnRenamed("norm", "value")
     out = gnn.embed(net, {k: np.array(v) for k, v in _LAYER.items()}, nodes, edges, concat=False, own_statistics=True)
     return out.select(F.col("node").alias("p_partkey"), *[F.round(F.col("emb")[k], 5).alias(f"out_{k}") for k in (0, 1)])
 
@@ -738,7 +738,7 @@ def learned_fractions(t: Tables) -> DataFrame:
     """Two units over two features; of the size the first unit's value, of the price the second one's."""
     x = t.part.select("p_partkey", (F.col("p_size") / 25.0 - 1).alias("x"), (F.col("p_retailprice") / 1000 - 1).alias("y"))
     units = [((1.0, 0.5, 2.0, -1.0), (1.0, 2.0, 0.5, 1.0), (0.7, -0.2, 0.4, 0.3)), ((0.3, 1.5, 1.0, 2.0), (2.0, 0.5, 1.0, 1.0), (0.1, 0.9, 0.5, -0.6))]
-    out = models.learned_fractions(graph.normalised_adjacency(_edges(t)), x, "norm", ["x", "y"], "p_partkey", units)
+    out = models.learned_fractions(graph.normalised_adjacency(_edges(t, once=True), once=True, dealt=True), x, "norm", ["x", "y"], "p_partkey", units)
     return out.select("src", F.round(F.col("out")[0][0], 6).alias("size_0"), F.round(F.col("out")[1][1], 6).alias("price_1"))
 
 
