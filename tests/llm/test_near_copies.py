@@ -126,3 +126,23 @@ def test_edges_of_similarity_and_odd_rows(spark):
     assert got == sorted(min(g)[:2] for g in groups)
     assert (True, 0) in got and got.count((False, 10)) == 2
     assert near_copies.distinct_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("meet", [1024, 4])
+def test_links_that_no_view_shows_are_found(spark, monkeypatch, meet):
+    """Without any candidate of the views the components are still those of all pairs."""
+    monkeypatch.setattr(near_copies, "candidates", lambda *_: spark.createDataFrame([], "a long, b long, distance long"))
+    monkeypatch.setattr(near_copies.left_between, "__defaults__", (near_copies.SIMILARITY, meet))
+    r = random.Random(5)
+    rows = []
+    for words in (8, 9, 12, 30, 120, 400):
+        base = [f"w{r.randrange(3000)}" for _ in range(words)]
+        for _ in range(12):
+            v = base.copy()
+            for _ in range(r.randrange(1 + max(2, words // 25))):
+                v[r.choice([0, -1]) if words < 20 else r.randrange(len(v))] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    want, pairs, _ = brute(rows)
+    assert pairs
+    got = {x["doc_id"]: x["component"] for x in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert same_groups([got[d] for d, _ in rows], want)
