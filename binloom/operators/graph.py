@@ -107,6 +107,24 @@ def contig_segment_edges(members: DataFrame, links: DataFrame) -> DataFrame:
     return shared.unionByName(linked)
 
 
+def contig_segment_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst, n): how often each edge is among contig_segment_edges.
+
+    Segments and links are met once, each pair of contigs as src <= dst, in tasks by the rows, and mirrored last. A contig on
+    both sides of a link of two segments has its loop from either side. A null contig counts as the least."""
+    n = tasks_for(members)
+    m = members.select("contig", "segment").repartition(n, "segment").distinct()
+    x, y = m.select(F.col("contig").alias("src"), "segment"), m.select(F.col("contig").alias("dst"), "segment")
+    shared = x.join(y, "segment").where("src < dst").select("src", "dst", F.lit(1).alias("w"))
+    once = links.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ahead = x.withColumnRenamed("segment", "a").join(once.repartition(n, "a"), "a").repartition(n, "b")
+    met = ahead.join(y.withColumnRenamed("segment", "b"), "b").where("a <> b or src is null or src <= dst")
+    loop, there, back = F.col("src").eqNullSafe(F.col("dst")), F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    linked = met.select(F.when(F.col("dst").isNull() | (F.col("src") > F.col("dst")), back).otherwise(there).alias("e"), F.when(loop & (F.col("a") != F.col("b")), 2).otherwise(1).alias("w")).select("e.*", "w")
+    half = shared.unionByName(linked).repartition(3 * n, "src", "dst").groupBy("src", "dst").agg(F.sum("w").alias("n"))
+    return half.select(F.explode(F.when(loop, F.array(there)).otherwise(F.array(there, back))).alias("e"), "n").select("e.*", "n")
+
+
 def narrow(df: DataFrame, column: str) -> Column:
     """The column as an int where all its longs are such, else as it is."""
     if isinstance(df.schema[column].dataType, LongType):

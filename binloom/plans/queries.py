@@ -199,7 +199,7 @@ def edges_cleaned(t: Tables) -> DataFrame:
 def contig_segment_graph(t: Tables) -> DataFrame:
     s = t.lineitem.select(F.col("l_partkey").alias("contig"), F.col("l_orderkey").alias("segment"))
     links = t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
-    return graph.contig_segment_edges(s, links).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return graph.contig_segment_counts(s, links)
 
 
 @query("select p_partkey src, coalesce(lead(p_partkey) over w, first_value(p_partkey) over w) dst from part window w as (partition by p_brand order by p_partkey)")

@@ -1,6 +1,7 @@
 """Joins that multiply rows run in tasks by the rows, and give what plain loops give."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -60,3 +61,16 @@ def test_small_vectors_are_added_up_as_columns(spark):
     plain, wide = (sorted(map(tuple, gnn.summed(df, "k", "v", "s", width).collect())) for width in (2, None))
     assert plain == wide
     assert "ObjectHashAggregate" not in gnn.summed(df, "k", "v", "s", 2)._jdf.queryExecution().toString()
+
+
+def test_segment_edges_are_counted_in_tasks_by_rows(spark, members, monkeypatch):
+    rows, df = members
+    links = [(k, k + 1) for k in range(24)] + [(5, 4), (6, 6), (2, 9), (None, 3)]
+    m = df.withColumnsRenamed({"n": "contig", "k": "segment"})
+    edges = spark.createDataFrame(links, "a long, b long")
+    want = Counter(map(tuple, graph.contig_segment_edges(m, edges).collect()))
+    monkeypatch.setattr(graph, "TASK_ROWS", 16)
+    counted = graph.contig_segment_counts(m, edges)
+    assert counted.rdd.getNumPartitions() == 3 * -(-len(rows) // 16)
+    assert {(x[0], x[1]): x[2] for x in counted.collect()} == want and counted.count() == len(want)
+    assert any(a == b for a, b in want)
