@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -43,9 +46,11 @@ def link_edges(links: DataFrame, contigs: DataFrame, min_length: int) -> DataFra
     return both_directions(links.join(a, "src").join(b, "dst").select(F.col("si").alias("src"), F.col("di").alias("dst"), "weight"))
 
 
-def shared_member_edges(pairs: DataFrame, node: str, group: str, once: bool = False, nodes: DataFrame | None = None, between: dict[str, Callable[[Callable, Callable], Column]] | None = None) -> DataFrame:
+def shared_member_edges(pairs: DataFrame, node: str, group: str, once: bool = False, nodes: DataFrame | None = None, between: dict[str, Callable[[Callable, Callable], Column]] | None = None, by_source: bool = False) -> DataFrame:
     """(src, dst, weight): nodes in the same group, weight the number of groups; both directions, or `once`, src < dst.
 
+    With `by_source` there are both directions, and all edges of a source are in one task, so that it needs no other shuffle.
+
     With nodes (node, ...) each end brings its columns along to where the pair is made, and `between` names further columns of
     an edge as made of both: f(a, b), a("x") being x of src. A pair's own value must be the same in every group."""
     between, n = between or {}, tasks_for(pairs)
@@ -58,7 +63,10 @@ def shared_member_edges(pairs: DataFrame, node: str, group: str, once: bool = Fa
         p = p.repartition(n, "__g").distinct()
     x, y = p.select("__g", "src", *[F.col(c).alias(f"__a_{c}") for c in held]), p.select("__g", F.col("src").alias("dst"), *[F.col(c).alias(f"__b_{c}") for c in held])
     made = [f(lambda c: F.col(f"__a_{c}"), lambda c: F.col(f"__b_{c}")).alias(name) for name, f in between.items()]
-    met = x.join(y, "__g").where("src < dst").select("src", "dst", *made).repartition(n, "src", "dst")
+    met = x.join(y, "__g").where("src < dst").select("src", "dst", *made)
+    if by_source:
+        return mirrored(met).repartition(2 * n, "src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), *[F.max(name).alias(name) for name in between])
+    met = met.repartition(n, "src", "dst")
     half = met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), *[F.max(name).alias(name) for name in between])
     return half if once else mirrored(half)
 
@@ -364,27 +372,57 @@ def negative_edges(edges: DataFrame, nodes: DataFrame, node: str, per_edge: int,
     return drawn.join(ranked.select("dst", (F.col("to") - 1).alias("rank")), "rank").select("src", "dst", "k")
 
 
-def weighted_negatives(edges: DataFrame, per_edge: int, seed: int, power: float = 0.75, groups: int = 1024) -> DataFrame:
+def weighted_negatives(edges: DataFrame, per_edge: int, seed: int, power: float = 0.75, groups: int = 1024, once: bool = False) -> DataFrame:
     """(src, dst, k): for each edge, `per_edge` ends drawn with the probability of in-degree ** power (to a millionth), by md5.
 
-    Each node has a stretch as long as its weight, in the order of slots and names; a drawn point meets the one it is in."""
+    Each node has a stretch as long as its weight, in the order of slots and names; a drawn point meets the one it is in.
+    With `once` each edge is there once, src < dst, and means both directions."""
+    edges = _kept(edges.select("src", "dst"))  # else they are made for each of the steps below
+    ends = F.explode(F.array("src", "dst")).alias("dst") if once else F.col("dst")
     size = F.floor(F.pow(F.col("n").cast("double"), F.lit(power)) * 1_000_000).cast("long")
-    placed = _in_slots(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "dst", size, seed, groups)
+    placed = _kept(_in_slots(edges.select(ends).groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "dst", size, seed, groups))
     total = placed.agg(F.max("all").alias("all"))
-    drawn = _drawn(edges, per_edge).crossJoin(F.broadcast(total))  # a single row
+    drawn = _drawn(mirrored(edges) if once else edges, per_edge).crossJoin(F.broadcast(total))  # a single row
     points = drawn.select("src", "k", (G.draw("src", "old", "k", seed) % F.col("all")).alias("point"))
     return met_stretches(points, placed.select("dst", (F.col("to") - size).alias("from"), "to"), []).select("src", "dst", "k")
 
 
-def inverse_weight_negatives(edges: DataFrame, per_edge: int, seed: int) -> DataFrame:
+def inverse_weight_negatives(edges: DataFrame, per_edge: int, seed: int, by_source: bool = False) -> DataFrame:
     """(src, dst, k): for each edge, `per_edge` ends drawn among the neighbours of its source, with the probability of one
-    over the weight (to a millionth): the ends that are linked least."""
+    over the weight (to a millionth): the ends that are linked least.
+
+    A source's edges stand in one task in the order of dst, as they already do with `by_source` (but for the order); points
+    are looked up in the running sums of whole runs of sources. Memory of a task is that of a batch or of a source's edges."""
     size = F.greatest(F.floor(1_000_000 / F.col("weight")).cast("long"), F.lit(1).cast("long"))
-    to = F.sum(size).over(Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stretches = edges.where("src <> dst").select("src", "dst", (to - size).alias("from"), to.alias("to"))
-    totals = stretches.groupBy("src").agg(F.max("to").alias("all"))
-    points = _drawn(edges.where("src <> dst"), per_edge).join(totals, "src").select("src", "k", (G.draw("src", "old", "k", seed) % F.col("all")).alias("point"))
-    return met_stretches(points, stretches, ["src"]).select("src", "dst", "k")
+    kept = edges.where("src <> dst").select("src", "dst", size.alias("size"), *[G.draw("src", "dst", F.lit(k), seed).alias(f"draw_{k}") for k in range(1, per_edge + 1)])
+    kept = (kept if by_source else kept.repartition(2 * tasks_for(edges), "src")).sortWithinPartitions("src", "dst")
+
+    def drawn(runs: pa.Table) -> Iterator[pa.RecordBatch]:
+        src, dst = (runs.column(c).combine_chunks() for c in (0, 1))
+        starts = np.concatenate([[0], np.flatnonzero(pc.not_equal(src[1:], src[:-1]).to_numpy(zero_copy_only=False)) + 1])
+        to = np.cumsum(runs.column(2).to_numpy())
+        before = np.concatenate([[0], to])[starts]
+        each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(to))))
+        all_ = np.append(before[1:], to[-1]) - before
+        for k in range(1, per_edge + 1):
+            point = before[each] + runs.column(2 + k).to_numpy() % all_[each]
+            met = pa.Table.from_arrays([src, dst.take(pa.array(np.searchsorted(to, point, side="right"))), pa.array(np.full(len(to), k, np.int32))], ["src", "dst", "k"])
+            yield from met.to_batches(max_chunksize=1 << 16)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the sources before the last one all edges are there
+        for one in batches:
+            if not one.num_rows:
+                continue
+            last = int(pc.index(one.column(0), one.column(0)[-1]).as_py())
+            if last or (held and held[-1].column(0)[-1] != one.column(0)[0]):
+                yield from drawn(pa.Table.from_batches([*held, one.slice(0, last)]))
+                held = []
+            held.append(one.slice(last))
+        if held:
+            yield from drawn(pa.Table.from_batches(held))
+
+    return kept.mapInArrow(kernel, f"src {edges.schema['src'].dataType.simpleString()}, dst {edges.schema['dst'].dataType.simpleString()}, k int")
 
 
 def sample_neighbours(edges: DataFrame, fan_out: int, seed: int) -> DataFrame:

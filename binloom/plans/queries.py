@@ -170,8 +170,8 @@ EDGE = "o as (select distinct l_orderkey k, l_partkey n from lineitem), e as (se
 NORM = EDGE + ", a as (select src, dst, weight::double w from e union all select distinct src, src, 1.0 from e), d as (select src, sum(w) d from a group by src), na as (select a.src, a.dst, a.w/sqrt(x.d*y.d) norm from a join d x on a.src=x.src join d y on a.dst=y.src)"
 
 
-def _edges(t: Tables, once: bool = False) -> DataFrame:
-    return graph.shared_member_edges(t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), "n", "k", once)
+def _edges(t: Tables, once: bool = False, by_source: bool = False) -> DataFrame:
+    return graph.shared_member_edges(t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), "n", "k", once, by_source=by_source)
 
 
 def _marked(t: Tables, **more) -> DataFrame:
@@ -658,7 +658,7 @@ def concatenated_features(t: Tables) -> DataFrame:
 @query("with " + EDGE + f", h as (select dst, floor(pow(count(*)::double,0.75)*1000000)::bigint w, {_draw_sql('dst', '7')}%1024 slot from e group by dst), st as (select dst, (sum(w) over (order by slot, dst))::bigint til, w from h), pt as (select src, {_draw_sql('src', 'dst', '1', '7')}%(select sum(w)::bigint from h) point from e) select pt.src, st.dst, 1 k from pt join st on point>=til-w and point<til")
 def weighted_negatives(t: Tables) -> DataFrame:
     """Ends drawn by in-degree to the power of 3/4."""
-    return graph.weighted_negatives(_edges(t), 1, 7)
+    return graph.weighted_negatives(_edges(t, once=True), 1, 7, once=True)
 
 
 @query()
@@ -775,7 +775,7 @@ def density_valleys(t: Tables) -> DataFrame:
 @query("with " + EDGE + f", st as (select src, dst, greatest(floor(1000000/weight)::bigint,1) w, (sum(greatest(floor(1000000/weight)::bigint,1)) over (partition by src order by dst))::bigint til from e), pt as (select src, {_draw_sql('src', 'dst', '1', '7')}%(sum(greatest(floor(1000000/weight)::bigint,1)) over (partition by src))::bigint point from e) select pt.src, st.dst, 1 k from pt join st on pt.src=st.src and point>=til-w and point<til")
 def inverse_weight_negatives(t: Tables) -> DataFrame:
     """Ends drawn among a part's neighbours by one over the weight."""
-    return graph.inverse_weight_negatives(_edges(t), 1, 7)
+    return graph.inverse_weight_negatives(_edges(t, by_source=True), 1, 7, by_source=True)
 
 
 @query("with " + MARK + ", k as (select max(comp) c from sc) select count(*) bins, count(*) filter (where comp>c and cont<1000) hq, count(*) filter (where comp>60 and cont<70) mq, round(avg(comp) filter (where comp>c and cont<1000),6) hq_comp, round(avg(cont) filter (where comp>c and cont<1000),6) hq_cont from sc, k")

@@ -74,3 +74,21 @@ def test_segment_edges_are_counted_in_tasks_by_rows(spark, members, monkeypatch)
     assert counted.rdd.getNumPartitions() == 3 * -(-len(rows) // 16)
     assert {(x[0], x[1]): x[2] for x in counted.collect()} == want and counted.count() == len(want)
     assert any(a == b for a, b in want)
+
+
+def test_negatives_of_edges_by_source_and_once(spark, members, monkeypatch):
+    _, df = members
+    monkeypatch.setattr(graph, "TASK_ROWS", 64)
+    by_source = graph.shared_member_edges(df, "n", "k", by_source=True)
+    both, half = graph.shared_member_edges(df, "n", "k"), graph.shared_member_edges(df, "n", "k", once=True)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(by_source.select("src", "dst", "weight")) == rows(both)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a source's edges go over batches
+    try:
+        near = graph.inverse_weight_negatives(by_source, 2, 7, by_source=True)
+        assert near._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 3  # members twice, edges once
+        assert rows(near) == rows(graph.inverse_weight_negatives(both, 2, 7))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert near.count() == 2 * both.count() and near.join(both, ["src", "dst"], "left_anti").isEmpty()
+    assert rows(graph.weighted_negatives(half, 2, 7, once=True)) == rows(graph.weighted_negatives(both, 2, 7))
