@@ -62,7 +62,8 @@ def medoid_rounds(df: DataFrame, key: str, vector: str) -> DataFrame:
     spark, kept = df.sparkSession, Scratch(df.sparkSession)
     near = near_pairs(df, key, vector, REACH)
     loops = df.select(F.col(key).cast("long").alias("i"), F.col(key).cast("long").alias("j"), F.lit(0.0).alias("d"))
-    pairs = near.select("i", "j", F.col("distance").alias("d")).unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("distance").alias("d"))).unionByName(loops)
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e")
+    pairs = near.select(both, F.col("distance").alias("d")).select("e.i", "e.j", "d").unionByName(loops)
     scratch = Scratch(spark)
     pairs, ratio, done = scratch.keep(pairs), FIRST_RATIO, []
     while not pairs.isEmpty():

@@ -8,8 +8,9 @@ never each other. Members and guests of a cell are dealt to blocks of about BLOC
 blocks, a few rows at a time, so no task sees a whole cell.
 
 At most MOST_PIVOTS pivots go to all tasks. Where nothing is near anything, rows visit all cells and the work is that of
-all pairs: it grows with the square of the rows, and what is shuffled is each row once for every BLOCK_ROWS others (floats
-stay floats on the way). On data that cluster it is that of the cells.
+all pairs: it grows with the square of the rows. Pairs within an angle then meet without cells in WHOLE blocks, so a row is
+shuffled that often (floats stay floats on the way), more only over WHOLE times LARGE_ROWS rows; the k largest products
+shuffle each row once for every BLOCK_ROWS others. On data that cluster the work is that of the cells.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from binloom.sources.store import durable
 
 #: Rows that a block has in the mean, and pivots at most: each has about BLOCK_ROWS rows while there are fewer.
 BLOCK_ROWS, MOST_PIVOTS = 8192, 1024
+#: Blocks without cells where these would send rows about more often, and rows that such a block has at most.
+WHOLE, LARGE_ROWS = 8, 1 << 17
 #: Rows that are multiplied at once, and that leave a task in one batch.
 STRIPE_ROWS, BATCH_ROWS = 256, 4096
 #: Room for rounding in comparisons of angles and of scores (which count to six digits).
@@ -125,11 +128,18 @@ def _dealt(rows: DataFrame, by: str, out: str) -> DataFrame:
     return rows.withColumn("blocks", blocks).withColumn(out, F.pmod(F.xxhash64("k", F.lit("block")), F.col("blocks")).cast("int")).drop("__n", "__c")
 
 
-def _tiles(celled: DataFrame, sizes: DataFrame) -> DataFrame:
+def _sent(sizes: DataFrame) -> tuple[int, int]:
+    """Rows, and how many rows _tiles makes of them."""
+    m, g = (F.ceil(F.col(c) / BLOCK_ROWS) for c in ("members", "guests"))
+    found = sizes.agg(F.sum("members"), F.sum(F.col("members") * (m + g) + F.col("guests") * m)).first()
+    return found[0] or 0, int(found[1] or 0)
+
+
+def _tiles(celled: DataFrame, sizes: DataFrame, block_rows: int | None = None) -> DataFrame:
     """(cell, x, y, block, k, v): each row once for each block of its cell that its own one meets, x <= y.
 
     Members' blocks come first and meet all blocks, guests' blocks come after them and meet only members'."""
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / (block_rows or BLOCK_ROWS)).cast("int")
     sizes = sizes.select(F.col("cell").alias("__c"), blocks("members").alias("m"), blocks("guests").alias("g"))
     draw = lambda n: F.pmod(F.xxhash64("k", F.lit("block")), F.col(n)).cast("int")
     rows = celled.join(F.broadcast(sizes), F.col("cell") == F.col("__c"))  # a row a pivot
@@ -154,8 +164,9 @@ def _within(a: np.ndarray, b: np.ndarray, most: float | None, same: bool) -> Ite
     """(i, j, distance) of unit rows within `most`, of one block with itself each pair once: single precision shows the
     candidates, double precision decides."""
     small, other = a.astype(np.float32), b.astype(np.float32).T
-    for at in range(0, len(a), STRIPE_ROWS):
-        stripe = slice(at, at + STRIPE_ROWS)
+    step = max(1, min(STRIPE_ROWS, STRIPE_ROWS * BLOCK_ROWS // max(1, len(b))))
+    for at in range(0, len(a), step):
+        stripe = slice(at, at + step)
         few = None
         if most is not None:
             i, j = np.nonzero(small[stripe] @ other >= np.float32(1.0 - 2.0 * most - SCREEN_SLACK))
@@ -183,7 +194,13 @@ def near_pairs(df: DataFrame, key: str, vector: str, most: float | None = None,
         i, j, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"i": np.minimum(ki[i], kj[j]), "j": np.maximum(ki[i], kj[j]), "distance": d})
 
-    return _tiles(homes(rows, centres, reach), _counts(rows, centres, reach)).groupBy("cell", "x", "y").applyInArrow(kernel, "i long, j long, distance double")
+    sizes, block_rows = _counts(rows, centres, reach), None
+    if len(centres) > 1:
+        n, sent = _sent(sizes)
+        if sent > WHOLE * n:
+            centres, block_rows = centres[:1], min(LARGE_ROWS, -(-n // WHOLE))
+            sizes = _counts(rows, centres, reach)
+    return _tiles(homes(rows, centres, reach), sizes, block_rows).groupBy("cell", "x", "y").applyInArrow(kernel, "i long, j long, distance double")
 
 
 def candidate_pairs(df: DataFrame, key: str, vector: str, most: float, pivots: int | None = None) -> int:

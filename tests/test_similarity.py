@@ -95,3 +95,16 @@ def test_visitors_leave_in_small_batches(monkeypatch):
     one = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([[1.0, 2.0]] * 7)], ["k", "v"])
     got = list(similarity._visitors(one, np.repeat(np.arange(7), 9), np.tile(np.arange(9), 7), []))
     assert max(b.num_rows for b in got) == 10 and sum(b.num_rows for b in got) == 63
+
+
+def test_rows_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """Where cells spare nothing, rows meet in WHOLE blocks instead of one for every BLOCK_ROWS others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    rows = lambda: sorted((r[0], r[1], round(r[2], 9)) for r in similarity.near_pairs(df, "k", "v", 0.3).collect())
+    want, sent, tiles = rows(), [], similarity._tiles
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(similarity, "_tiles", lambda *a: sent.append(tiles(*a).count()) or tiles(*a))
+    assert rows() == want and want
+    assert sent[0] <= (similarity.WHOLE + 1) * len(x)
