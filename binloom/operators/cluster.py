@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -152,68 +152,142 @@ def valley_of_counts(counts: np.ndarray, ratio: float, pdf: np.ndarray | None =
     return float(cut) if tail[low] < ratio * peak and cut <= 0.2 + ratio else None
 
 
-def medoid_kernel(keys: np.ndarray, x: np.ndarray, radius: float = 0.05, default: float = 0.06, seed: int = 0, tries: int = 25, window: int = 200, least: int = 20) -> list[tuple]:
-    """Medoid clusters of normalised rows: wander to a medoid of lower mean distance, cut at the valley of the density.
+#: Angle of the distance 0.3, the furthest that a valley is looked for.
+REACH = float(np.arccos(0.4))
+#: Seeds whose products are made at once, and products held at most.
+SEEDS, PRODUCTS = 64, 1 << 24
+
+
+class _Left:
+    """Single-precision products of seeds with the rows left, which show who can be near; double precision decides.
+
+    Seeds go next to each other in one matrix product; rows that are gone are dropped before one is made."""
+
+    def __init__(self, x: np.ndarray, alive: np.ndarray):
+        self.x, self.alive, self.compared = x, alive, 0
+        self.ids, self.small = np.arange(len(x)), x.astype(np.float32)
+        self.made: dict[int, np.ndarray] = {}
+        self.seeds, self.used = 1, 0
+
+    def seed(self, start: int, later: Iterator[int]) -> None:
+        """Turn to a seed; `later` are those that follow it."""
+        if start not in self.made:
+            self.seeds = max(1, min(SEEDS, self.seeds * 2 if 2 * self.used >= self.seeds else self.seeds // 2, PRODUCTS // max(1, len(self.ids))))
+            some, self.made, self.used = [start, *islice(later, self.seeds - 1)], {}, 0
+            kept = self.alive[self.ids]
+            if kept.sum() < 0.75 * len(kept):
+                self.ids, self.small = self.ids[kept], self.small[kept]
+            self.made = dict(zip(some, self.x[some].astype(np.float32) @ self.small.T))
+            self.compared += len(some) * len(self.ids)
+        self.used += 1
+        self.start, self.products = start, self.made.pop(start)
+        self.first = self._among(REACH, None)
+
+    def _among(self, angle: float, places: np.ndarray | None) -> np.ndarray:
+        """Places of rows that may be within an angle of the seed."""
+        some = self.products if places is None else self.products[places]
+        far = some < 0.5 * np.cos(min(angle + similarity.ANGLE_SLACK, np.pi)) - similarity.SCREEN_SLACK
+        found = np.flatnonzero(~far)
+        return found if places is None else places[found]
+
+    def around(self, m: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows left, distances) of row m, of all within an angle of it and some more. They are no further from the seed
+        than m and the angle together."""
+        turn = 0.0 if m == self.start else float(np.arccos(np.clip(2.0 * (self.x[m] @ self.x[self.start]), -1.0, 1.0)))
+        places = self._among(turn + reach, self.first if turn + reach <= REACH else None)
+        places = places[self.alive[self.ids[places]]]
+        self.compared += len(places)
+        if m != self.start and len(places) > 1024:
+            near = self.small[places] @ self.x[m].astype(np.float32)
+            places = places[~(near < 0.5 * np.cos(reach) - similarity.SCREEN_SLACK)]
+        rows = self.ids[places]
+        d = 0.5 - np.einsum("nd,d->n", self.x[rows], self.x[m])  # the same in both directions and in whatever company
+        d[rows == m] = 0.0
+        return rows, d
+
+
+def medoid_turns(x: np.ndarray, lone: np.ndarray | None = None, radius: float = 0.05, default: float = 0.06, seed: int = 0, tries: int = 25, window: int = 200, least: int = 20, left: _Left | None = None) -> Iterator[tuple[np.ndarray, int, float]]:
+    """(rows, medoid, cut) of the medoid clusters of normalised rows, one by one: wander to a medoid of lower mean distance,
+    cut at the valley of the density.
 
     A seed without a valley stays for later. If fewer than `least` of the last `window` seeds had one, the valley may be
-    shallower by 0.1 of the peak; once that ratio is over 0.55, a seed without one is cut at `default`.
+    shallower by 0.1 of the peak; once that ratio is over 0.55, a seed without one is cut at `default`. `lone` rows have none
+    within the radius, so they stand alone whatever else is left, and are not compared with any.
     """
     rng = np.random.default_rng(seed)
-    alive, waiting, out, cluster = np.ones(len(x), bool), deque(rng.permutation(len(x)).tolist()), [], 0
+    left = left or _Left(x, np.ones(len(x), bool))
+    alive, waiting = left.alive, deque(rng.permutation(len(x)).tolist())
+    lone = np.zeros(len(x), bool) if lone is None else lone
     pdf = _smoothing()
-    ratio, recent = 0.1, deque(maxlen=window)
-
-    def distances(m: int) -> np.ndarray:
-        d = 0.5 - x @ x[m]
-        d[m] = 0.0
-        return d
-
+    ratio, recent, inner = 0.1, deque(maxlen=window), float(np.arccos(1.0 - 2.0 * radius))
     while waiting:
         start = waiting.popleft()
         if not alive[start]:
             continue
-        medoid, d, futile, seen = start, distances(start), 0, {start}
-        while futile < tries:
-            inside = np.flatnonzero(alive & (d <= radius))
-            fresh = [i for i in inside.tolist() if i not in seen]
-            if not fresh:
-                break
-            other = fresh[int(rng.integers(len(fresh)))]
-            seen.add(other)
-            e = distances(other)
-            if e[alive & (e <= radius)].mean() < d[inside].mean():
-                medoid, d, futile = other, e, 0
-            else:
-                futile += 1
-        cut = _valley(d[alive], ratio, pdf)
-        if cut is None and ratio > 0.55:
-            cut = default
+        if lone[start]:
+            medoid, cut, members = start, 0.025, np.array([start])
+        else:
+            left.seed(start, (i for i in waiting if alive[i] and not lone[i]))
+            rows, d = left.around(start, inner)
+            medoid, futile, seen, inside, mean = start, 0, {start}, rows[d <= radius], d[d <= radius].mean()
+            while futile < tries:
+                fresh = inside[np.isin(inside, list(seen), invert=True)]
+                if not len(fresh):
+                    break
+                other = int(fresh[int(rng.integers(len(fresh)))])
+                seen.add(other)
+                rows, d = left.around(other, inner)
+                if (lower := d[d <= radius].mean()) < mean:
+                    medoid, futile, inside, mean = other, 0, rows[d <= radius], lower
+                else:
+                    futile += 1
+            rows, d = left.around(medoid, REACH)
+            cut = _valley(d, ratio, pdf)
+            if cut is None and ratio > 0.55:
+                cut = default
+            members = rows[d <= cut] if cut is not None else None
         recent.append(cut is not None)
         if cut is None:
             waiting.append(start)
         else:
-            members = np.flatnonzero(alive & (d <= cut))
             alive[members] = False
-            out += [(keys[i], cluster, keys[medoid], cut) for i in members]
-            cluster += 1
+            yield members, medoid, cut
             if alive[start]:
                 waiting.append(start)
         if len(recent) == window and sum(recent) < least:
             ratio += 0.1
             recent.clear()
-    return out
+
+
+def medoid_kernel(keys: np.ndarray, x: np.ndarray, radius: float = 0.05, default: float = 0.06, seed: int = 0, tries: int = 25, window: int = 200, least: int = 20) -> list[tuple]:
+    """(key, cluster, key of the medoid, cut) of medoid_turns."""
+    turns = medoid_turns(x, None, radius, default, seed, tries, window, least)
+    return [(keys[i], cluster, keys[medoid], cut) for cluster, (members, medoid, cut) in enumerate(turns) for i in members]
 
 
 def medoid_bins(df: DataFrame, key: str, vector: str, seed: int = 0, most: int = 1_000_000) -> DataFrame:
-    """(key, bin, medoid, cut): iterative medoid clustering. It is sequential by nature and runs in one task, which is
-    refused for more than `most` rows: cluster parts of the graph, or take k-means, beyond."""
-    if df.count() > most:
+    """(key, bin, medoid, cut): iterative medoid clustering. Rows without another in the radius are found by a join in all
+    tasks; which seed comes next hangs on all before it, so the turns are taken in one task, which is refused for more than
+    `most` rows: cluster parts of the graph, or take medoid_rounds, beyond."""
+    n = df.count()
+    if n > most:
         raise ValueError(f"medoid clustering runs in one task and is meant for {most} rows at most")
-    rows = df.select(F.lit(0).alias("one"), F.col(key).cast("long").alias("k"), G.medoid_normalise(F.col(vector)).alias("v"))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        got = medoid_kernel(pdf["k"].to_numpy(), np.stack(pdf["v"].to_numpy()), seed=seed)
-        return pd.DataFrame(got, columns=[key, "bin", "medoid", "cut"])
+    near = similarity.near_rows(df, key, vector, 0.05).select("k", F.lit(False).alias("lone"))
+    rows = df.select(F.col(key).cast("long").alias("k"), G.medoid_normalise(F.col(vector)).alias("v")).join(near, "k", "left")
+    rows = rows.select("k", "v", F.coalesce("lone", F.lit(True)).alias("lone")).repartition(1).sortWithinPartitions("k")
 
-    return rows.groupBy("one").applyInPandas(kernel, f"{key} long, bin long, medoid long, cut double")
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lone, x, at = np.empty(n, np.int64), np.empty(n, bool), None, 0
+        for one in batches:
+            some = slice(at, at := at + one.num_rows)
+            v = similarity.matrix(one.column(1))
+            x = np.empty((n, v.shape[1])) if x is None else x
+            keys[some], x[some], lone[some] = one.column(0).to_numpy(), v, one.column(2).to_numpy(zero_copy_only=False)
+        turns = enumerate(medoid_turns(x, lone, seed=seed) if at else ())
+        while some := list(islice(turns, similarity.BATCH_ROWS)):
+            sizes = [len(members) for _, (members, _, _) in some]
+            of = lambda values, kind: pa.array(np.repeat(np.array(values, kind), sizes))
+            members = np.concatenate([members for _, (members, _, _) in some])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[members]), of([c for c, _ in some], np.int64), of([keys[m] for _, (_, m, _) in some], np.int64), of([cut for _, (_, _, cut) in some], np.float64)], [key, "bin", "medoid", "cut"])
+
+    return rows.mapInArrow(kernel, f"`{key}` long, bin long, medoid long, cut double")

@@ -182,11 +182,22 @@ def _within(a: np.ndarray, b: np.ndarray, most: float | None, same: bool) -> Ite
         yield i[ok], j[ok], d[ok]
 
 
-def near_pairs(df: DataFrame, key: str, vector: str, most: float | None = None, pivots: int | None = None) -> DataFrame:
-    """(i, j, distance), i < j, of all pairs, or of those within `most`; distance is half of one minus the cosine."""
+def _near_tiles(df: DataFrame, key: str, vector: str, most: float | None, pivots: int | None) -> DataFrame:
+    """The tiles in which all pairs within `most` meet, each pair in one."""
     rows = _rows(df, key, vector)
     centres = pivots_of(rows, 1 if most is None else pivots)
     reach = None if most is None else float(np.arccos(np.clip(1.0 - 2.0 * most, -1.0, 1.0)))
+    sizes, block_rows = _counts(rows, centres, reach), None
+    if len(centres) > 1:
+        n, sent = _sent(sizes)
+        if sent > WHOLE * n:
+            centres, block_rows = centres[:1], min(LARGE_ROWS, -(-n // WHOLE))
+            sizes = _counts(rows, centres, reach)
+    return _tiles(homes(rows, centres, reach), sizes, block_rows)
+
+
+def near_pairs(df: DataFrame, key: str, vector: str, most: float | None = None, pivots: int | None = None) -> DataFrame:
+    """(i, j, distance), i < j, of all pairs, or of those within `most`; distance is half of one minus the cosine."""
 
     def kernel(t: pa.Table) -> pa.Table:
         (ki, a), (kj, b), same = _halves(t)
@@ -194,13 +205,28 @@ def near_pairs(df: DataFrame, key: str, vector: str, most: float | None = None,
         i, j, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"i": np.minimum(ki[i], kj[j]), "j": np.maximum(ki[i], kj[j]), "distance": d})
 
-    sizes, block_rows = _counts(rows, centres, reach), None
-    if len(centres) > 1:
-        n, sent = _sent(sizes)
-        if sent > WHOLE * n:
-            centres, block_rows = centres[:1], min(LARGE_ROWS, -(-n // WHOLE))
-            sizes = _counts(rows, centres, reach)
-    return _tiles(homes(rows, centres, reach), sizes, block_rows).groupBy("cell", "x", "y").applyInArrow(kernel, "i long, j long, distance double")
+    return _near_tiles(df, key, vector, most, pivots).groupBy("cell", "x", "y").applyInArrow(kernel, "i long, j long, distance double")
+
+
+def near_rows(df: DataFrame, key: str, vector: str, most: float, pivots: int | None = None) -> DataFrame:
+    """(k): the keys of all rows that have another within `most`, and maybe of some just beyond (by single precision). No
+    pairs are made, so large groups of copies take no more room than others."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        (ki, a), (kj, b), same = _halves(t)
+        near, back = np.zeros(len(ki), bool), np.zeros(len(kj), bool)
+        if a.size and b.size:
+            small, other = unit(a).astype(np.float32), unit(b).astype(np.float32).T
+            step = max(1, min(STRIPE_ROWS, STRIPE_ROWS * BLOCK_ROWS // len(kj)))
+            for at in range(0, len(ki), step):
+                hit = ~(small[at : at + step] @ other < np.float32(1.0 - 2.0 * most - SCREEN_SLACK))
+                if same:
+                    hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+                near[at : at + step] = hit.any(axis=1)
+                back |= hit.any(axis=0)
+        return pa.table({"k": np.unique(np.concatenate([ki[near], kj[back]]))})
+
+    return _near_tiles(df, key, vector, most, pivots).groupBy("cell", "x", "y").applyInArrow(kernel, "k long").distinct()
 
 
 def candidate_pairs(df: DataFrame, key: str, vector: str, most: float, pivots: int | None = None) -> int:
