@@ -156,7 +156,7 @@ def spectral(df: DataFrame, key: str, vector: str, k: int, neighbours: int = 10,
     neighbours by cosine (a link's weight is the share of its ends that name it, and each row is its own neighbour)."""
     unit = df.select(F.col(key).cast("long").alias("node"), F.transform(G.medoid_normalise(F.col(vector)), lambda x: x * F.sqrt(F.lit(2.0))).alias("u"))
     scratch = Scratch(df.sparkSession)
-    near = similarity.top_products(unit, "node", "u", neighbours + 1).where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(0.5).alias("weight"))
+    near = similarity.top_products(scratch.keep(unit), "node", "u", neighbours + 1).where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(0.5).alias("weight"))
     links = scratch.keep(near.unionByName(gnn.reversed_(near.withColumnRenamed("weight", "value")).withColumnRenamed("value", "weight")))
     nodes = unit.select("node")
     adjacency = scratch.keep(graph.with_loops(graph.normalised_adjacency(links), nodes, "node", "norm").withColumnRenamed("norm", "value"))

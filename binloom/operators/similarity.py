@@ -31,6 +31,8 @@ BLOCK_ROWS, MOST_PIVOTS = 8192, 1024
 WHOLE, LARGE_ROWS = 8, 1 << 17
 #: Rows that are multiplied at once, and that leave a task in one batch.
 STRIPE_ROWS, BATCH_ROWS = 256, 4096
+#: Scores that are ranked at once: what a task holds besides its two blocks.
+SCORES = 1 << 18
 #: Room for rounding in comparisons of angles and of scores (which count to six digits).
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 2e-6
 #: Room for single precision in a cosine of unit rows: their rounding and that of sums of any usual length.
@@ -247,11 +249,12 @@ def similar_edges(df: DataFrame, key: str, vector: str, least: float, pivots: in
 
 def _best(ki: np.ndarray, kj: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> pa.Table:
     """The k largest products with b of each row of a, ties (of 6 digits) to the lower key."""
-    found = []
-    for at in range(0, len(a) if len(b) else 0, STRIPE_ROWS):
-        score = a[at : at + STRIPE_ROWS] @ b.T
+    found, step = [], max(1, min(STRIPE_ROWS, SCORES // max(1, len(b))))
+    for at in range(0, len(a) if len(b) else 0, step):
+        score = a[at : at + step] @ b.T
         rough = np.round(score, 6)
-        least = -np.partition(-rough, k - 1, axis=1)[:, k - 1 : k] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+        last = score.shape[1] - k
+        least = np.partition(rough, last, axis=1)[:, last : last + 1] if last > 0 else np.full((len(score), 1), -np.inf)
         i, j = np.nonzero(rough >= least)
         order = np.lexsort((kj[j], -rough[i, j], i))
         i, j = i[order], j[order]
@@ -274,7 +277,7 @@ def top_products(df: DataFrame, key: str, vector: str, k: int, pivots: int | Non
 
     def at_home(t: pa.Table) -> pa.Table:
         (ki, a), (kj, b), same = _halves(t)
-        a, b = a.astype(np.float64), b.astype(np.float64)
+        a, b = a.astype(np.float64, copy=False), b.astype(np.float64, copy=False)
         found = _best(ki, kj, a, b, k)
         return found if same else pa.concat_tables([found, _best(kj, ki, b, a, k)])
 
@@ -320,7 +323,7 @@ def top_products(df: DataFrame, key: str, vector: str, k: int, pivots: int | Non
 
     def abroad(t: pa.Table) -> pa.Table:
         a, b = (t.filter(t["guest"] if guest else pc.invert(t["guest"])).sort_by("k").combine_chunks() for guest in (True, False))
-        x, y = (matrix(side["v"].combine_chunks()).astype(np.float64) for side in (a, b))
+        x, y = (matrix(side["v"].combine_chunks()).astype(np.float64, copy=False) for side in (a, b))
         return _best(a["k"].to_numpy(), b["k"].to_numpy(), x, y, k)
 
     found = guests.unionByName(members).groupBy("cell", "x", "y").applyInArrow(abroad, _SCORES)
