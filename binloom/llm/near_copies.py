@@ -17,7 +17,11 @@ within that budget, so bits and views follow from the number of documents (`plan
 5. What views, judged words and forests leave out is found exactly: two sets of the similarity share a shingle among the
    first of each in any one order of shingles (n - ceil(0.8 n) + 1 of n). Sets of unlike components that share one are
    candidates, unless their sizes, the places of the shingle, or the parities of their shingles in PARITY classes prove
-   them less similar. So the views only spare work, and no link between components is left out.
+   them less similar; then parities in more classes than they have shingles judge, and the rest is checked on the texts. So
+   the views only spare work, and no link between components is left out.
+
+Texts stay where they are but for those of candidates, and rows but for those of components of several: which these may
+be is told to the tasks by a bounded filter, and an exact join decides.
 
 The order has shingles that are frequent in a sample last, which makes few meet; any order gives the same result. A shingle
 of many sets is dealt to blocks of sets that meet two by two, so no task has all of it.
@@ -31,7 +35,7 @@ their names, whatever these are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm.common import durable, durable_table, pick, row_identity, spread, utf8
+from binloom.llm.common import asked, durable, durable_table, pick, remove, row_identity, spread, utf8, written
 from binloom.llm.simhash import BITS, CROWD, TASK_ROWS, components, majority, pairs_of, shingle_hashes, subtrees
 
 SHINGLE, SIMILARITY, BUDGET, RECALL = 5, 0.8, 2, 0.98
@@ -238,25 +242,62 @@ def candidates(sets: DataFrame, bits: int, similarity: float = SIMILARITY, crowd
     return neighbours.unionByName(met).where("a <> b").distinct()
 
 
-def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The edges (a, b) whose texts' sets of shingles have at least the similarity."""
+def both_ends(edges: DataFrame, of: DataFrame, read: Callable, holds: Callable) -> DataFrame:
+    """The edges (a, b) for which holds(x, y), of what `read` makes of the bytes that `of` (node, data) has of either end."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok, last, one = np.zeros(batch.num_rows, bool), None, None
             for k in range(batch.num_rows):
                 node = batch.column(1)[k].as_py()
-                if node != last:  # the edges of one text mostly follow each other
-                    last, one = node, np.unique(shingle_hashes(batch.column(3)[k].as_py(), SHINGLE))
-                two = np.unique(shingle_hashes(batch.column(2)[k].as_py(), SHINGLE))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                ok[k] = both >= similarity * (len(one) + len(two) - both) - 1e-9
+                if node != last:  # the edges of one node mostly follow each other
+                    last, one = node, read(batch.column(3)[k].as_py())
+                ok[k] = holds(one, read(batch.column(2)[k].as_py()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    left, right = texts.withColumnsRenamed({"node": "a", "text": "x"}), texts.withColumnsRenamed({"node": "b", "text": "y"})
+    left, right = (of.toDF(node, data) for node, data in (("a", "x"), ("b", "y")))
     return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(kernel, "a long, b long")
 
 
+def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The edges (a, b) whose texts' sets of shingles have at least the similarity."""
+
+    def holds(one: np.ndarray, two: np.ndarray) -> bool:
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        return both >= similarity * (len(one) + len(two) - both) - 1e-9
+
+    return both_ends(edges, texts, lambda text: np.unique(shingle_hashes(text, SHINGLE)), holds)
+
+
+def sketch(text: bytes) -> bytes:
+    """The size of a text's set of shingles and its parities, in two to four times as many classes as it has shingles."""
+    some = np.unique(shingle_hashes(text, SHINGLE))
+    classes = 1 << max(4, (2 * len(some)).bit_length())
+    odd = np.bincount((some & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return len(some).to_bytes(8, "little") + np.packbits(odd).tobytes()
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(row, sketch) of texts (row, text)."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(x.as_py()) for x in batch.column(1)], pa.binary())], ["row", "sketch"])
+
+    return texts.mapInArrow(kernel, "row binary, sketch binary")
+
+
+def may_hold(one: bytes, two: bytes, similarity: float = SIMILARITY) -> bool:
+    """Whether two sketches leave the similarity possible: sets differ in a shingle at least for each class that is unlike."""
+    (m, x), (n, y) = ((int.from_bytes(s[:8], "little"), np.frombuffer(s, np.uint8, offset=8)) for s in (one, two))
+    while len(x) != len(y):  # half as many classes: those that become one are added
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def similar_components(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) from the candidates (a, b, distance): first each node's nearest one is checked, then those
     that are left between components; one inside a component has nothing to add."""
@@ -274,14 +315,17 @@ def left_between(sets: DataFrame, linked: DataFrame, similarity: float = SIMILAR
     """(a, b): all pairs of sets (node, size, prefix, parities) of unlike components (node, component) that may have the
     similarity, none that has it left out."""
     tasks = max(spread(sets.sparkSession), sets.count() * 16 // TASK_ROWS + 1)
-    component = F.coalesce("component", "node").alias("component")
-    marks = sets.select("node", "size", "prefix").join(linked, "node", "left").select("node", "size", component, F.posexplode("prefix").alias("at", "mark")).repartition(tasks, "mark")
-    # The maxima that are not used have both sides read the same columns, so that they are shuffled once.
-    unlike = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *[F.max(c).alias(f"__{c}") for c in ("node", "size", "at")])
-    unlike = unlike.where("low <> high and (__node + __size + __at) is not null").select("mark", F.ceil(F.col("n") / meet).cast("int").alias("blocks"))
-    live = durable_table(marks.join(unlike, "mark"))
+    component = F.coalesce("component", "node")
+    told = asked(sets.select("node", "prefix"), "node", linked)
+    alone = told.where(~F.col("asked")).select("node", "prefix", F.lit(None).cast("long").alias("component"))
+    marks = alone.unionByName(told.where("asked").drop("asked").join(linked, "node", "left")).select(F.posexplode("prefix").alias("at", "mark"), "node", "component")
+    marks = marks.select("mark", "node", "at", "component").repartition(tasks, "mark")  # sizes follow where marks are shared
+    # The maximum that is not used has both sides read the same columns, so that they are shuffled once.
+    unlike = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min(component).alias("low"), F.max(component).alias("high"), F.max("at").alias("__at"))
+    unlike = unlike.where("low <> high and __at is not null").select("mark", F.ceil(F.col("n") / meet).cast("int").alias("blocks"))
+    live = durable_table(marks.join(unlike, "mark").withColumn("component", component))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = live.join(sets.select("node", *_PARITIES), "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = live.join(sets.select("node", "size", *_PARITIES), "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("mark", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "size", "component", "at", *_PARITIES)
     x, y = (dealt.select("mark", "low", "high", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "node", "size", "component", "at", *_PARITIES)]) for side in "xy")
     c = F.col
@@ -297,28 +341,48 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     """(doc_id, row, component) of every row: components of sets of shingles that are linked by the similarity."""
     n = docs.count()
     bits, views = plan_views(n, similarity, BUDGET, recall)
-    rows = durable_table(shingle_sets(docs, max(JUDGED, -(-bits * views // BITS)), similarity, frequent_shingles(docs, n)))
-    # Numbers are fixed by writing them: a set has one from here on.
+    full, all_rows = written(shingle_sets(docs, max(JUDGED, -(-bits * views // BITS)), similarity, frequent_shingles(docs, n)))
+    rows = durable_table(full.select("doc_id", "row", "set_1", "set_2"))
+    # A set of one row is a set already; others are merged. Numbers are fixed by writing them: a set has one from here on.
     of_set = ["size", "print", "prefix", *_PARITIES]
-    sets = rows.groupBy("set_1", "set_2").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in of_set])
+    told = asked(full.drop("doc_id"), "set_1", rows.groupBy("set_1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    merged = told.where("asked").groupBy("set_1", "set_2").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in of_set])
+    sets = told.where(~F.col("asked")).drop("asked").unionByName(merged)
     sets = durable_table(sets.withColumn("node", F.monotonically_increasing_id()))
+    remove(docs.sparkSession, all_rows)
+
+    def ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The nodes of pairs with their rows (node, row), and the (row, text) that may be theirs."""
+        known = durable_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "row"), "node"))
+        some = docs.select(row_identity("doc_id", "text").alias("row"), utf8("text").alias("text"))
+        return known, asked(some, "row", known).where("asked").drop("asked")
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "row"), "node")
-        return durable_table(docs.select(row_identity("doc_id", "text").alias("row"), utf8("text").alias("text")).join(ends, "row").dropDuplicates(["node"]).select("node", "text"))
+    def texts(pairs: DataFrame) -> tuple[DataFrame, str]:
+        known, some = ends(pairs)
+        return written(some.join(known, "row").dropDuplicates(["row"]).select("node", "text"))
 
     edges = durable_table(candidates(viewed(sets, bits, views), bits, similarity, crowd))
-    linked = similar_components(edges, texts(edges), similarity)
+    some, path = texts(edges)
+    linked = similar_components(edges, some, similarity)
+    remove(docs.sparkSession, path)
     rest = durable_table(left_between(sets, linked, similarity))
-    linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(rest, texts(rest), similarity)))
+    known, some = ends(rest)
+    drawn = durable_table(sketches(some).join(known, "row").dropDuplicates(["row"]).select("node", "sketch"))
+    rest = durable_table(both_ends(rest, drawn, bytes, lambda x, y: may_hold(x, y, similarity)))
+    some, path = texts(rest)
+    linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(rest, some, similarity)))
+    remove(docs.sparkSession, path)
     label = sets.select("set_1", "set_2", "node").join(linked, "node", "left").select("set_1", "set_2", F.coalesce("component", "node").alias("component"))
     return rows.join(label, ["set_1", "set_2"]).select("doc_id", "row", "component")
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """One row of each component of near copies, with the columns of docs."""
-    found = near_copies(docs, **options)
+    found = durable_table(near_copies(docs, **options))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    keep = durable(found.groupBy("component").agg(first).select(F.col("first.row").alias("kept")))
+    groups = durable_table(found.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).select("component", F.col("first.row").alias("kept"), "n"))
+    grouped = found.join(groups.where("n > 1"), "component", "left_semi").select(F.col("row").alias("kept"))
     packed = docs.select(row_identity("doc_id", "text").alias("kept"), F.struct(*pick(docs.columns)).alias("whole"))
-    return packed.join(keep, "kept", "left_semi").dropDuplicates(["kept"]).select("whole.*")
+    told = asked(packed, "kept", durable_table(grouped))  # a row that no other is like stays without being moved
+    chosen = told.where("asked").drop("asked").join(groups.select("kept"), "kept", "left_semi").dropDuplicates(["kept"])
+    return told.where(~F.col("asked")).drop("asked").unionByName(chosen).select("whole.*")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from binloom.llm import near_copies, simhash
+from binloom.llm import common, near_copies, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -146,3 +146,46 @@ def test_links_that_no_view_shows_are_found(spark, monkeypatch, meet):
     assert pairs
     got = {x["doc_id"]: x["component"] for x in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert same_groups([got[d] for d, _ in rows], want)
+
+
+def test_texts_without_a_near_copy_are_not_shuffled(spark, monkeypatch):
+    """Of unlike texts only shingles and fingerprints travel, no text: less than half the bytes that the texts have."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)  # sampled texts are shuffled
+    r = random.Random(11)
+    rows = [(k, " ".join(f"{r.getrandbits(800):0200x}" for _ in range(500))) for k in range(60)]
+    rows += [(200 + k, t) for k, t in rows[:3]]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorList(True).apply(0).totalShuffleWrite()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = near_copies.durable_table(docs)
+    dealt = store.executorList(True).apply(0).totalShuffleWrite()
+    assert sorted(x["doc_id"] for x in near_copies.distinct_documents(docs).collect()) == list(range(60))
+    assert dealt > before
+    assert store.executorList(True).apply(0).totalShuffleWrite() - dealt < sum(len(t) for _, t in rows) / 2
+
+
+@pytest.mark.parametrize("slots", [1 << 24, 64])
+def test_a_filter_loses_no_key(spark, slots):
+    keys = spark.createDataFrame([(k, "x") for k in range(500)], "k long, `a.b` string")
+    some = spark.createDataFrame([(k * 7,) for k in range(100)], "k long")
+    told = common.asked(keys, "k", some, slots)
+    assert told.columns == ["k", "a.b", "asked"]
+    got = {r["k"]: r["asked"] for r in told.collect()}
+    assert len(got) == 500 and all(got[k] for k in range(0, 500, 7))
+    assert slots == 64 or sum(got.values()) < 100
+    assert not any(r["asked"] for r in common.asked(keys, "k", some.limit(0), slots).collect())
+
+
+def test_sketches_keep_all_pairs_of_the_similarity():
+    r = random.Random(3)
+    dropped = 0
+    for words in (1, 4, 5, 30, 200, 1000, 4000):
+        base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+        for share in (0, 0.005, 0.01, 0.02, 0.03, 0.2):
+            v = [f"n{r.randrange(10**9)}" if r.random() < share else w for w in base[: r.randrange(words - words // 8, words + 1)]]
+            x, y = (" ".join(t).encode() for t in (base, v))
+            a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (x, y))
+            may = near_copies.may_hold(near_copies.sketch(x), near_copies.sketch(y))
+            assert may or len(a & b) < 0.8 * len(a | b)
+            dropped += not may
+    assert dropped > 5
