@@ -92,13 +92,14 @@ def _by_task(rows: DataFrame, work: Callable[[Iterator[np.ndarray]], object]) ->
 # Spectral
 
 
-def top_eigenvectors(adjacency: DataFrame, nodes: DataFrame, k: int, tolerance: float = 1e-7, most: int = 60, seed: int = 0) -> tuple[DataFrame, np.ndarray, int]:
+def top_eigenvectors(adjacency: DataFrame, nodes: DataFrame, k: int, tolerance: float = 1e-7, most: int | None = None, seed: int = 0, guard: int = 0) -> tuple[DataFrame, np.ndarray, int]:
     """((node, x), values, rounds): the k largest eigenvalues of a symmetric matrix (src, dst, value) with orthonormal vectors.
 
     Locally optimal block iteration: each round adds the residuals to the vectors and the last directions, multiplies those
-    once by the matrix (a join), and takes the best k combinations, from inner products summed over all nodes. It ends when
-    every residual is shorter than the tolerance."""
-    scratch = Scratch(nodes.sparkSession)
+    once by the matrix (a join), and takes the best combinations, from inner products summed over all nodes. It ends when
+    each of the k residuals is shorter than the tolerance, however many rounds that takes; with `most` it raises where more
+    are needed. `guard` further vectors go along, so that values just below the k-th one hold it up less."""
+    scratch, wanted, k = Scratch(nodes.sparkSession), k, k + guard
     start = F.array(*[F.hash("node", F.lit(seed * 1000 + c)).cast("double") / float(1 << 31) for c in range(k)])
     frame = scratch.keep(nodes.select("node", start.alias("x")))
     frame = scratch.keep(frame.join(gnn.spread_along(adjacency, frame, "x", out="mx"), "node", "left").withColumn("mx", F.coalesce("mx", F.array_repeat(F.lit(0.0), k))))
@@ -109,8 +110,13 @@ def top_eigenvectors(adjacency: DataFrame, nodes: DataFrame, k: int, tolerance:
     frame = scratch.keep(gnn.by_rows(frame, ["node"], ["s", "ms"], ["s", "ms", "r"], lambda s, ms, c=x, v=values: (s @ c, ms @ c, ms @ c - s @ c * v)))
     while True:
         norms = np.sqrt(np.maximum(gnn.totals(frame, ["r"], lambda r: {"r": (r**2).sum(axis=0)}).get("r", np.zeros(k)), 0.0))
-        if rounds == most or norms.max(initial=0.0) < tolerance:
+        if not np.isfinite(norms).all():
+            raise ValueError("the matrix has values that are no numbers")
+        if norms[:wanted].max(initial=0.0) < tolerance:
             break
+        if rounds == most:
+            scratch.clear()
+            raise RuntimeError(f"eigenvectors still change after {rounds} rounds")
         step = Scratch(nodes.sparkSession)
         scale = 1.0 / np.maximum(norms, 1e-300)
         frame = gnn.by_rows(frame, ["node"], ["s", "ms", "r"], ["s", "ms", "r"], lambda s, ms, r, c=scale: (s, ms, r * c))
@@ -129,9 +135,9 @@ def top_eigenvectors(adjacency: DataFrame, nodes: DataFrame, k: int, tolerance:
         frame = step.keep(gnn.by_rows(frame, ["node"], ["s", "ms"], ["s", "ms", "r"], combine))
         scratch.clear()
         scratch, rounds = step, rounds + 1
-    out = scratch.keep(frame.select("node", F.slice("s", 1, k).alias("x")), last=True)
+    out = scratch.keep(frame.select("node", F.slice("s", 1, wanted).alias("x")), last=True)
     scratch.clear()
-    return out, values, rounds
+    return out, values[:wanted], rounds
 
 
 def _ritz(frame: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,16 +157,18 @@ def _ritz(frame: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.hstack([c, np.zeros((len(c), pad))]), np.concatenate([values[best], np.zeros(pad)])) if pad else (c, values[best])
 
 
-def spectral(df: DataFrame, key: str, vector: str, k: int, neighbours: int = 10, seed: int = 0, tolerance: float = 1e-3, most: int = 30) -> DataFrame:
+def spectral(df: DataFrame, key: str, vector: str, k: int, neighbours: int = 10, seed: int = 0, tolerance: float = 1e-3, most: int | None = None) -> DataFrame:
     """(key, bin): k-means on the rows, of length 1, of the first k eigenvectors of the normalised graph of nearest
-    neighbours by cosine (a link's weight is the share of its ends that name it, and each row is its own neighbour)."""
+    neighbours by cosine (a link's weight is the share of its ends that name it, and each row is its own neighbour).
+
+    The eigenvectors are taken to the tolerance in as many rounds as that takes, k guards beside them; `most` is an error."""
     unit = df.select(F.col(key).cast("long").alias("node"), F.transform(G.medoid_normalise(F.col(vector)), lambda x: x * F.sqrt(F.lit(2.0))).alias("u"))
     scratch = Scratch(df.sparkSession)
     near = similarity.top_products(scratch.keep(unit), "node", "u", neighbours + 1).where("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(0.5).alias("weight"))
     links = scratch.keep(near.unionByName(gnn.reversed_(near.withColumnRenamed("weight", "value")).withColumnRenamed("value", "weight")))
     nodes = unit.select("node")
     adjacency = scratch.keep(graph.with_loops(graph.normalised_adjacency(links), nodes, "node", "norm").withColumnRenamed("norm", "value"))
-    embedded, _, _ = top_eigenvectors(adjacency, nodes, k, tolerance, most, seed)
+    embedded, _, _ = top_eigenvectors(adjacency, nodes, k, tolerance, most, seed, guard=k)
     scratch.clear()
     rows = embedded.select("node", F.transform("x", lambda x: x / F.greatest(G.norm(F.col("x")), F.lit(1e-12))).alias("x"))
     if rows.isEmpty():

@@ -744,7 +744,7 @@ def learned_fractions(t: Tables) -> DataFrame:
 
 @query()
 def spectral_bins(t: Tables) -> DataFrame:
-    return partitions.spectral(t.embeddings, "vec_id", "embedding", 8, most=12)
+    return partitions.spectral(t.embeddings, "vec_id", "embedding", 8)
 
 
 @query()

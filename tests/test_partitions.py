@@ -45,6 +45,35 @@ def test_spectral_finds_separated_groups(spark):
     assert same_parts(partitions.spectral(table(spark, x), "k", "v", 3, neighbours=5).collect(), labels)
 
 
+def test_spectral_bins_are_of_eigenvectors_to_the_tolerance(spark, monkeypatch):
+    from binloom.plans import queries
+
+    found = []
+
+    def seen(adjacency, nodes, *more, **others):
+        edges, whole = adjacency.collect(), partitions_top(adjacency, nodes, *more, **others)
+        found.append((edges, whole[0].collect(), whole[1]))
+        return whole
+
+    partitions_top = partitions.top_eigenvectors
+    monkeypatch.setattr(partitions, "top_eigenvectors", seen)
+    assert queries.QUERIES["spectral_bins"](spark, "/root/testdata/sf0.001").count() > 0
+    edges, rows, values = found[0]
+    at = {r["node"]: i for i, r in enumerate(rows)}
+    x, a = np.array([r["x"] for r in rows]), np.zeros((len(rows), len(rows)))
+    for r in edges:
+        a[at[r["src"]], at[r["dst"]]] += r["value"]
+    assert np.linalg.norm(a @ x - x * values, axis=0).max() < 1e-3
+    assert np.allclose(values, np.linalg.eigvalsh(a)[::-1][:8], atol=1e-3)
+
+
+def test_too_few_rounds_are_an_error(spark):
+    n = 30
+    edges = spark.createDataFrame([(i, j, 0.5) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "src long, dst long, value double")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        partitions.top_eigenvectors(edges, spark.range(n).withColumnRenamed("id", "node"), 2, 1e-8, most=2)
+
+
 @pytest.mark.parametrize("most, radius", [(1000, 0.3), (20, 0.01)])
 def test_leaves_add_up_to_the_table(spark, most, radius):
     x, _ = blobs(4, 60)
