@@ -46,10 +46,11 @@ def link_edges(links: DataFrame, contigs: DataFrame, min_length: int) -> DataFra
     return both_directions(links.join(a, "src").join(b, "dst").select(F.col("si").alias("src"), F.col("di").alias("dst"), "weight"))
 
 
-def shared_member_edges(pairs: DataFrame, node: str, group: str, once: bool = False, nodes: DataFrame | None = None, between: dict[str, Callable[[Callable, Callable], Column]] | None = None, by_source: bool = False) -> DataFrame:
+def shared_member_edges(pairs: DataFrame, node: str, group: str, once: bool = False, nodes: DataFrame | None = None, between: dict[str, Callable[[Callable, Callable], Column]] | None = None, by_source: bool = False, ordered: bool = False) -> DataFrame:
     """(src, dst, weight): nodes in the same group, weight the number of groups; both directions, or `once`, src < dst.
 
     With `by_source` there are both directions, and all edges of a source are in one task, so that it needs no other shuffle.
+    `ordered` has those of `once` in order of src and dst, tasks being ranges of them, as Blocks want them.
 
     With nodes (node, ...) each end brings its columns along to where the pair is made, and `between` names further columns of
     an edge as made of both: f(a, b), a("x") being x of src. A pair's own value must be the same in every group."""
@@ -66,8 +67,10 @@ def shared_member_edges(pairs: DataFrame, node: str, group: str, once: bool = Fa
     met = x.join(y, "__g").where("src < dst").select("src", "dst", *made)
     if by_source:
         return mirrored(met).repartition(2 * n, "src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), *[F.max(name).alias(name) for name in between])
-    met = met.repartition(n, "src", "dst")
+    met = met.repartitionByRange(n, "src", "dst") if ordered else met.repartition(n, "src", "dst")
     half = met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), *[F.max(name).alias(name) for name in between])
+    if ordered:
+        half = half.sortWithinPartitions("src", "dst")
     return half if once else mirrored(half)
 
 

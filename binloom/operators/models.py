@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, IndexToString, StringIndexer
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binloom import functions as G
+from binloom.operators.blocks import Blocks, added
 from binloom.operators.cluster import nearest_centroid
 
 # Share of the k-mer part in the reconstruction loss, weight of the divergence, bounds of the log variance,
@@ -91,21 +93,49 @@ def learned_fraction(adjacency: DataFrame, features: DataFrame, value: str, colu
     return sums.select("src", ((t[0] + t[1]) * below / (below * below + LAF_GUARD)).alias("value"))
 
 
-def learned_fractions(adjacency: DataFrame, features: DataFrame, value: str, columns: list[str], node: str, units: list[tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]]) -> DataFrame:
+def learned_fractions(adjacency: DataFrame | Blocks, features: DataFrame, value: str, columns: list[str], node: str, units: list[tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]], wanted: list[tuple[int, int]] | None = None) -> DataFrame:
     """(src, out): of each column, as a list, the value of each unit (inner, outer, scale) of the learned aggregator; one
-    join with the neighbours gives the sums of all."""
+    join with the neighbours gives the sums of all. Of Blocks (which have their values), sums are made of the `wanted`
+    pairs (column, unit) only, the others are null."""
+    wanted = wanted or [(i, j) for i in range(len(columns)) for j in range(len(units))]
     s = [G.clip(G.sigmoid(F.col(c).cast("double")), LAF_EPS, 1 - LAF_EPS).alias(f"s{i}") for i, c in enumerate(columns)]
+    if isinstance(adjacency, Blocks):
+        return _fractions(_power_sums(adjacency, features.select(F.col(node).alias("node"), *s), len(columns), units, wanted), len(columns), units, wanted)
     met = adjacency.join(features.select(F.col(node).alias("dst"), *s), "dst")
     side = lambda i, k: F.col(f"s{i}") if k % 2 == 0 else 1 - F.col(f"s{i}")
-    sums = {(i, j, k): F.sum(F.col(value) * F.pow(side(i, k), F.lit(max(inner[k], 0.0)))).alias(f"t{i}_{j}_{k}") for i in range(len(columns)) for j, (inner, _, _) in enumerate(units) for k in range(4)}
+    sums = {(i, j, k): F.sum(F.col(value) * F.pow(side(i, k), F.lit(max(inner[k], 0.0)))).alias(f"t{i}_{j}_{k}") for i, j in wanted for inner in [units[j][0]] for k in range(4)}
+    return _fractions(met.groupBy("src").agg(*sums.values()), len(columns), units, wanted)
 
+
+def _power_sums(adjacency: Blocks, features: DataFrame, columns: int, units: list, wanted: list[tuple[int, int]]) -> DataFrame:
+    """(src, t of each column, unit and term) over the neighbours; a missing feature is no summand, a sum of none is null."""
+
+    def step(near: np.ndarray, far: np.ndarray, value: np.ndarray, x: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(x)
+        x = np.where(known, x, 0.5)
+        terms = [np.where(known[:, i], np.power(x[:, i] if k % 2 == 0 else 1.0 - x[:, i], max(units[j][0][k], 0.0)), 0.0) for i, j in wanted for k in range(4)]
+        out = added(near, far, value, np.stack(terms, axis=1))
+        if not known.all():
+            some = np.stack([np.bincount(near, known[far, i], len(x)) > 0 for i in range(columns)], axis=1)
+            out = np.where(np.repeat(some[:, [i for i, _ in wanted]], 4, axis=1), out, np.nan)
+        return out
+
+    names = [f"t{i}_{j}_{k}" for i, j in wanted for k in range(4)]
+    parts = adjacency.meet(adjacency.degrees.select("node").join(features, "node", "left"), F.array(*[f"s{i}" for i in range(columns)]), step)
+    part = [F.col("part")[c] for c in range(len(names))]
+    return parts.groupBy(F.col("node").alias("src")).agg(*[F.sum(F.when(~F.isnan(p), p)).alias(name) for p, name in zip(part, names)])
+
+
+def _fractions(sums: DataFrame, columns: int, units: list, wanted: list[tuple[int, int]]) -> DataFrame:
     def fraction(i: int, j: int) -> Column:
+        if (i, j) not in wanted:
+            return F.lit(None).cast("double")
         _, outer, scale = units[j]
         t = [F.pow(F.col(f"t{i}_{j}_{k}") + LAF_EPS, F.lit(max(outer[k], 0.0))) * scale[k] for k in range(4)]
         return (t[0] + t[1]) * (t[2] + t[3]) / ((t[2] + t[3]) * (t[2] + t[3]) + LAF_GUARD)
 
-    out = F.array(*[F.array(*[fraction(i, j) for j in range(len(units))]) for i in range(len(columns))])
-    return met.groupBy("src").agg(*sums.values()).select("src", out.alias("out"))
+    out = F.array(*[F.array(*[fraction(i, j) for j in range(len(units))]) for i in range(columns)])
+    return sums.select("src", out.alias("out"))
 
 
 def principal_components(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:

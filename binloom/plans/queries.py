@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from binloom import functions as G
 from binloom.operators import cluster, density_order, features, gnn, graph, medoids, metrics, models, partitions, similarity, stats, training
+from binloom.operators.blocks import Blocks
 from binloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +175,11 @@ def _edges(t: Tables, once: bool = False, by_source: bool = False) -> DataFrame:
     return graph.shared_member_edges(t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), "n", "k", once, by_source=by_source)
 
 
+def _blocks(t: Tables) -> Blocks:
+    """The same edges, normalised, as blocks."""
+    return Blocks(graph.shared_member_edges(t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), "n", "k", once=True, ordered=True))
+
+
 def _marked(t: Tables, **more) -> DataFrame:
     """Each edge once with the number of suppliers that both parts have."""
     pairs, marks = t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("k")), t.lineitem.select(F.col("l_partkey").alias("n"), F.col("l_suppkey").alias("g"))
@@ -532,8 +538,9 @@ def sage_propagate(t: Tables) -> DataFrame:
 @query("with " + NORM + ", x as (select p_partkey n, 1/(1+exp(-(p_size/25.0-1))) s from part), u as (select na.src, sum(norm*pow(s,1.0))+1e-6 a, sum(norm*pow(1-s,0.5))+1e-6 b, sum(norm*pow(s,2.0))+1e-6 c, sum(norm*pow(1-s,0.0))+1e-6 d from na join x on n=dst group by na.src), w as (select src, pow(a,1.0)*0.7+pow(b,2.0)*-0.2 up, pow(c,0.5)*0.4+pow(d,1.0)*0.3 below from u) select src, round(up*below/(below*below+1e-3),6) \"value\" from w")
 def learned_fraction(t: Tables) -> DataFrame:
     x = t.part.select("p_partkey", (F.col("p_size") / 25.0 - 1).alias("x"))
-    out = models.learned_fraction(graph.normalised_adjacency(_edges(t, once=True), once=True, dealt=True), x, "norm", "x", "p_partkey", (1.0, 0.5, 2.0, -1.0), (1.0, 2.0, 0.5, 1.0), (0.7, -0.2, 0.4, 0.3))
-    return out.select("src", *r6("value"))
+    unit = ((1.0, 0.5, 2.0, -1.0), (1.0, 2.0, 0.5, 1.0), (0.7, -0.2, 0.4, 0.3))
+    out = models.learned_fractions(_blocks(t), x, "norm", ["x"], "p_partkey", [unit])
+    return out.select("src", F.round(F.col("out")[0][0], 6).alias("value"))
 
 
 @query("with " + NEG + ", " + VEC + ", c as (select y, list_cosine_similarity(a.v,b.v) c from (select src, dst, 1.0 y from e union all select src, dst, 0.0 from neg) p join v a on src=a.n join v b on dst=b.n) select round(avg(c) filter (where y=1),6) pos, round(avg(c) filter (where y=0),6) neg, round(avg(ln(1+exp(c))-y*c),6) loss from c")
@@ -738,7 +745,7 @@ def learned_fractions(t: Tables) -> DataFrame:
     """Two units over two features; of the size the first unit's value, of the price the second one's."""
     x = t.part.select("p_partkey", (F.col("p_size") / 25.0 - 1).alias("x"), (F.col("p_retailprice") / 1000 - 1).alias("y"))
     units = [((1.0, 0.5, 2.0, -1.0), (1.0, 2.0, 0.5, 1.0), (0.7, -0.2, 0.4, 0.3)), ((0.3, 1.5, 1.0, 2.0), (2.0, 0.5, 1.0, 1.0), (0.1, 0.9, 0.5, -0.6))]
-    out = models.learned_fractions(graph.normalised_adjacency(_edges(t, once=True), once=True, dealt=True), x, "norm", ["x", "y"], "p_partkey", units)
+    out = models.learned_fractions(_blocks(t), x, "norm", ["x", "y"], "p_partkey", units, wanted=[(0, 0), (1, 1)])
     return out.select("src", F.round(F.col("out")[0][0], 6).alias("size_0"), F.round(F.col("out")[1][1], 6).alias("price_1"))
 
 
