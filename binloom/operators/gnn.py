@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom import functions as G
+from binloom.operators.blocks import Blocks, added
 from binloom.operators.graph import negative_edges
 from binloom.operators.training import KEEP, State, adam
 from binloom.sources.store import Scratch
@@ -186,8 +187,9 @@ class Pass:
     In training the statistics of a layer are those of the pass, which move the running ones; else the running ones count.
     """
 
-    def __init__(self, net: Net, state: State, nodes: DataFrame, edges: DataFrame, scratch: Scratch, training: bool, salt: int = 0):
-        """nodes (node, x), edges (src, dst, value) with the loops that the layers are meant to see."""
+    def __init__(self, net: Net, state: State, nodes: DataFrame, edges: DataFrame | Blocks, scratch: Scratch, training: bool, salt: int = 0):
+        """nodes (node, x), edges (src, dst, value) with the loops that the layers are meant to see, or Blocks, whose nodes
+        are longs and which have no backward pass."""
         self.net, self.state, self.edges, self.scratch, self.training, self.salt = net, state, edges, scratch, training, salt
         self.norm: list[tuple[np.ndarray, np.ndarray]] = []
         self.attention: list[DataFrame] = []
@@ -228,11 +230,18 @@ class Pass:
         if net.kind == "gat":
             left, right = s[f"{i}.l"], s[f"{i}.r"]
             scored = self.scratch.keep(by_rows(self.tape, ["node"], self._inputs(i), ["h", "left", "right"], lambda *x: _scores(at(*x) @ w, left, right)))
-            self.attention.append(self.scratch.keep(attention_weights(self.edges, scored, net.heads)))
-            near = summed(weighted_messages(self.attention[i], scored, net.heads, net.hidden), "src", "message", "near", width).withColumnRenamed("src", "node")
+            if isinstance(self.edges, Blocks):
+                near = attended(self.edges, scored, net.heads, net.hidden)
+            else:
+                self.attention.append(self.scratch.keep(attention_weights(self.edges, scored, net.heads)))
+                near = summed(weighted_messages(self.attention[i], scored, net.heads, net.hidden), "src", "message", "near", width).withColumnRenamed("src", "node")
         else:
             b = s.get(f"{i}.b", 0.0)
-            near = spread_along(self.edges, by_rows(self.tape, ["node"], self._inputs(i), ["y"], lambda *x: (at(*x) @ w + b,)), "y", width=width)
+            y = by_rows(self.tape, ["node"], self._inputs(i), ["y"], lambda *x: (at(*x) @ w + b,))
+            if isinstance(self.edges, Blocks):
+                near = summed(self.edges.meet(y, F.col("y"), added), "node", "part", "near", width)
+            else:
+                near = spread_along(self.edges, y, "y", width=width)
         z = self.tape.join(near, "node", "left").withColumn("near", _or_zeros("near", width))
         if net.kind == "sage":
             v, d = s[f"{i}.v"], s.get(f"{i}.d", 0.0)
@@ -358,6 +367,33 @@ def weighted_messages(attention: DataFrame, scored: DataFrame, heads: int, size:
     return by_rows(met, ["src"], ["alpha", "h"], ["message"], lambda a, h: ((a[:, :, None] * h.reshape(len(h), heads, size)).reshape(len(h), -1),))
 
 
+def attended(edges: Blocks, scored: DataFrame, heads: int, size: int) -> DataFrame:
+    """(node, near): of each head the sum of the far ends' vectors by attention_weights, no edge or weight being written.
+
+    A block gives each node its largest score, the sum of the others' powers below it and their vectors by these; a node's
+    parts are then brought to the largest score of all."""
+
+    def step(near: np.ndarray, far: np.ndarray, value: np.ndarray, x: np.ndarray) -> np.ndarray:
+        h, left, right = x[:, : heads * size].reshape(len(x), heads, size), x[:, heads * size : heads * (size + 1)], x[:, heads * (size + 1) :]
+        parts = []
+        for k in range(heads):
+            raw = value * (left[near, k] + right[far, k])
+            e = np.where(raw >= 0, raw, SLOPE * raw)
+            most = np.full(len(x), -np.inf)
+            np.maximum.at(most, near, e)
+            power = np.exp(e - most[near])
+            parts += [most[:, None], np.bincount(near, power, len(x))[:, None], added(near, far, power, h[:, k])]
+        return np.hstack(parts)
+
+    parts, wide = edges.meet(scored, F.concat("h", "left", "right"), step), size + 2
+    w, at = Window.partitionBy("node"), lambda k, wide: F.col("part")[k * wide]
+    parts = parts.select("node", "part", *[F.exp(at(k, wide) - F.max(at(k, wide)).over(w)).alias(f"__{k}") for k in range(heads)])
+    scaled = lambda values, by: F.transform(values, lambda p: p * by)
+    parts = parts.select("node", F.concat(*[scaled(F.slice("part", k * wide + 2, size + 1), F.col(f"__{k}")) for k in range(heads)]).alias("part"))
+    sums, wide = summed(parts, "node", "part", "part", heads * (size + 1)), size + 1
+    return sums.select("node", F.concat(*[scaled(F.slice("part", k * wide + 2, size), 1.0 / at(k, wide)) for k in range(heads)]).alias("near"))
+
+
 def pair_gradients(pairs: DataFrame, embedded: DataFrame) -> DataFrame:
     """(node, g, loss) summed by node: cross-entropy with cosines as logits of pairs (src, dst, y, share), times share; a
     pair's loss is at its src."""
@@ -385,7 +421,7 @@ def gradients(net: Net, state: State, nodes: DataFrame, edges: DataFrame, pairs:
     return float(loss), run.backward(found.select("node", "g"))
 
 
-def embed(net: Net, state: State, nodes: DataFrame, edges: DataFrame, concat: bool = True, own_statistics: bool = False) -> DataFrame:
+def embed(net: Net, state: State, nodes: DataFrame, edges: DataFrame | Blocks, concat: bool = True, own_statistics: bool = False) -> DataFrame:
     """(node, emb) by the running statistics, or by those of these nodes; after the node's own vector if `concat`."""
     scratch = Scratch(nodes.sparkSession)
     out = Pass(replace(net, dropout=0.0), dict(state), nodes, edges, scratch, own_statistics).embedded

@@ -692,8 +692,9 @@ _SOFT = ", f{k} as (select src, b.y{k} h, case when norm*({l}*a.y{k}+{r}*b.y{k})
 def _layer(t: Tables, kind: str) -> DataFrame:
     net = gnn.Net(kind, 2, 1 if kind == "gat" else 2, 2, layers=1, heads=2)
     nodes = t.part.select(F.col("p_partkey").alias("node"), F.array(F.col("p_retailprice") / 1000, F.col("p_size") / 50.0).alias("x"))
-    edges = graph.normalised_adjacency(_edges(t, once=True), once=True, dealt=True).withColumnRenamed("norm", "value")
+    edges = _blocks(t)
     out = gnn.embed(net, {k: np.array(v) for k, v in _LAYER.items()}, nodes, edges, concat=False, own_statistics=True)
+    edges.clear()
     return out.select(F.col("node").alias("p_partkey"), *[F.round(F.col("emb")[k], 5).alias(f"out_{k}") for k in (0, 1)])
 
 
