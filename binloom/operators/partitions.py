@@ -102,7 +102,7 @@ def top_eigenvectors(adjacency: DataFrame, nodes: DataFrame, k: int, tolerance:
     scratch, wanted, k = Scratch(nodes.sparkSession), k, k + guard
     start = F.array(*[F.hash("node", F.lit(seed * 1000 + c)).cast("double") / float(1 << 31) for c in range(k)])
     frame = scratch.keep(nodes.select("node", start.alias("x")))
-    frame = scratch.keep(frame.join(gnn.spread_along(adjacency, frame, "x", out="mx"), "node", "left").withColumn("mx", F.coalesce("mx", F.array_repeat(F.lit(0.0), k))))
+    frame = scratch.keep(frame.join(gnn.spread_along(adjacency, frame, "x", out="mx", width=k), "node", "left").withColumn("mx", F.coalesce("mx", F.array_repeat(F.lit(0.0), k))))
     frame = frame.select("node", F.col("x").alias("s"), F.col("mx").alias("ms"))
     coefficients = _ritz(frame, k)
     x, mx = coefficients[0], coefficients[0]
@@ -121,7 +121,7 @@ def top_eigenvectors(adjacency: DataFrame, nodes: DataFrame, k: int, tolerance:
         scale = 1.0 / np.maximum(norms, 1e-300)
         frame = gnn.by_rows(frame, ["node"], ["s", "ms", "r"], ["s", "ms", "r"], lambda s, ms, r, c=scale: (s, ms, r * c))
         frame = step.keep(frame)
-        frame = frame.join(gnn.spread_along(adjacency, frame, "r", out="mr"), "node", "left").withColumn("mr", F.coalesce("mr", F.array_repeat(F.lit(0.0), k)))
+        frame = frame.join(gnn.spread_along(adjacency, frame, "r", out="mr", width=k), "node", "left").withColumn("mr", F.coalesce("mr", F.array_repeat(F.lit(0.0), k)))
         frame = step.keep(gnn.by_rows(frame, ["node"], ["s", "ms", "r", "mr"], ["s", "ms"], lambda s, ms, r, mr: (np.hstack([s[:, :k], r, s[:, k:]]), np.hstack([ms[:, :k], mr, ms[:, k:]]))))
         c, values = _ritz(frame, k)
         direction = c.copy()
@@ -133,7 +133,7 @@ def top_eigenvectors(adjacency: DataFrame, nodes: DataFrame, k: int, tolerance:
             return s, ms, ms[:, :k] - s[:, :k] * values
 
         frame = step.keep(gnn.by_rows(frame, ["node"], ["s", "ms"], ["s", "ms", "r"], combine))
-        scratch.clear()
+        scratch.clear(shuffles=True)
         scratch, rounds = step, rounds + 1
     out = scratch.keep(frame.select("node", F.slice("s", 1, wanted).alias("x")), last=True)
     scratch.clear()

@@ -9,8 +9,8 @@ blocks, a few rows at a time, so no task sees a whole cell.
 
 At most MOST_PIVOTS pivots go to all tasks. Where nothing is near anything, rows visit all cells and the work is that of
 all pairs: it grows with the square of the rows. Pairs within an angle then meet without cells in WHOLE blocks, so a row is
-shuffled that often (floats stay floats on the way), more only over WHOLE times LARGE_ROWS rows; the k largest products
-shuffle each row once for every BLOCK_ROWS others. On data that cluster the work is that of the cells.
+shuffled that often (floats stay floats on the way), more only over WHOLE times LARGE_ROWS rows. So do the k
+largest products, with blocks of WIDE_ROWS at most, which a task goes through BLOCK_ROWS at a time. On data that cluster the work is that of the cells.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from binloom.sources.store import durable
 BLOCK_ROWS, MOST_PIVOTS = 8192, 1024
 #: Blocks without cells where these would send rows about more often, and rows that such a block has at most.
 WHOLE, LARGE_ROWS = 8, 1 << 17
+#: The same for the k largest products, whose tasks hold vectors as doubles.
+WIDE_ROWS = 1 << 16
 #: Rows that are multiplied at once, and that leave a task in one batch.
 STRIPE_ROWS, BATCH_ROWS = 256, 4096
 #: Scores that are ranked at once: what a task holds besides its two blocks.
@@ -264,6 +266,18 @@ def _best(ki: np.ndarray, kj: np.ndarray, a: np.ndarray, b: np.ndarray, k: int)
     return pa.table({"i": i, "j": j, "score": score})
 
 
+def _best_of_wide(ki: np.ndarray, kj: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, block_rows: int) -> pa.Table:
+    """_best of blocks of more rows: by parts of b, of which the k best of a row are kept."""
+    held = _best(ki, kj[:0], a, b[:0], k)
+    for at in range(0, len(b), block_rows):
+        both = pa.concat_tables([held, _best(ki, kj[at : at + block_rows], a, b[at : at + block_rows], k)])
+        i, j, score = (both[c].to_numpy() for c in ("i", "j", "score"))
+        order = np.lexsort((j, -np.round(score, 6), i))
+        i = i[order]
+        held = both.take(pa.array(order[np.arange(len(i)) - np.searchsorted(i, i) < k]))
+    return held
+
+
 _SCORES = "i long, j long, score double"
 
 
@@ -300,19 +314,43 @@ def top_products(df: DataFrame, key: str, vector: str, k: int, pivots: int | Non
         radius[cell], longest[cell], shortest[cell] = three
     bound = own.groupBy("i").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).select(F.col("i").alias("k"), F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float("-inf"))).alias("kth"))
 
+    def visited(one: pa.RecordBatch) -> np.ndarray:
+        x, home, kth = matrix(one.column(1)).astype(np.float64), one.column(2).to_numpy(), one.column(3).to_numpy()
+        cosine = np.cos(np.maximum(_angles(x, centres) - radius[None, :] - ANGLE_SLACK, 0.0))
+        plain = x.sum(axis=1) != 0  # what unit() replaces has no angle of its own
+        reached = np.linalg.norm(x, axis=1)[:, None] * np.where(cosine > 0, cosine * longest, cosine * shortest)
+        visit = ((reached >= kth[:, None] - SCORE_SLACK) | ~plain[:, None] | odd[None, :]) & (radius >= 0)[None, :]
+        visit[np.arange(len(x)), home] = False
+        return visit
+
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in _stripes(batches):
-            x, home, kth = matrix(one.column(1)).astype(np.float64), one.column(2).to_numpy(), one.column(3).to_numpy()
-            cosine = np.cos(np.maximum(_angles(x, centres) - radius[None, :] - ANGLE_SLACK, 0.0))
-            plain = x.sum(axis=1) != 0  # what unit() replaces has no angle of its own
-            reached = np.linalg.norm(x, axis=1)[:, None] * np.where(cosine > 0, cosine * longest, cosine * shortest)
-            visit = ((reached >= kth[:, None] - SCORE_SLACK) | ~plain[:, None] | odd[None, :]) & (radius >= 0)[None, :]
-            visit[np.arange(len(x)), home] = False
-            yield from _visitors(one, *np.nonzero(visit), [])
+            yield from _visitors(one, *np.nonzero(visited(one)), [])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres), np.int64)
+        for one in _stripes(batches):
+            total += visited(one).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(total)], ["cell", "m"])
+
+    def wide(t: pa.Table) -> pa.Table:
+        (ki, a), (kj, b), same = _halves(t)
+        a, b = a.astype(np.float64, copy=False), b.astype(np.float64, copy=False)
+        found = _best_of_wide(ki, kj, a, b, k, part_rows)
+        return found if same else pa.concat_tables([found, _best_of_wide(kj, ki, b, a, k, part_rows)])
 
     zero = celled.where(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")) == 0).select("cell").distinct().collect()  # cells, a row a pivot
     odd = np.isin(np.arange(len(centres)), [r[0] for r in zero])
-    guests = rows.join(celled.select("k", F.col("cell").alias("home")), "k").join(bound, "k").select("k", "v", "home", "kth").mapInArrow(visits, f"cell int, k long, v {_kind(rows)}")
+    guests = rows.join(celled.select("k", F.col("cell").alias("home")), "k").join(bound, "k").select("k", "v", "home", "kth")
+    sizes, part_rows = _counts(rows, centres, None), BLOCK_ROWS
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS)
+    far = guests.mapInArrow(counted, "cell int, m long").groupBy("cell").agg(F.sum("m").alias("abroad"))
+    n, sent = sizes.join(far, "cell").agg(F.sum("members"), F.sum(F.col("abroad") * blocks("members") + F.col("members") * blocks("abroad"))).first()
+    if (sent or 0) > WHOLE * n:
+        near, block_rows = centres[:1], min(WIDE_ROWS, -(-n // WHOLE))
+        tiles = _tiles(homes(rows, near), _counts(rows, near, None), block_rows)
+        return ranked(tiles.groupBy("cell", "x", "y").applyInArrow(wide, _SCORES)).select("i", "j", "score", "rank")
+    guests = guests.mapInArrow(visits, f"cell int, k long, v {_kind(rows)}")
     guests = _dealt(guests, "cell", "x").withColumnRenamed("blocks", "guests")
     members = _dealt(celled.select("cell", "k", "v"), "cell", "y").withColumnRenamed("blocks", "members")
     # A tile is a block of guests and one of members of a cell: each goes to all blocks of the other kind.

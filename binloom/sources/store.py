@@ -43,10 +43,14 @@ class Scratch:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def clear(self) -> None:
+    def clear(self, shuffles: bool = False) -> None:
+        """With `shuffles` also the files of shuffles that no table needs any more, which else wait for the driver's memory to
+        be collected: for steps of many rounds."""
         for path in self.paths:
             _remove(self.spark, path)
         self.paths = []
+        if shuffles:
+            self.spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

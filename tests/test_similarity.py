@@ -108,3 +108,17 @@ def test_rows_are_sent_a_bounded_number_of_times(spark, monkeypatch):
     monkeypatch.setattr(similarity, "_tiles", lambda *a: sent.append(tiles(*a).count()) or tiles(*a))
     assert rows() == want and want
     assert sent[0] <= (similarity.WHOLE + 1) * len(x)
+
+
+def test_top_products_where_cells_spare_nothing_meet_in_whole_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 24))
+    x[250:260] = x[3]  # copies tie
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    seen, tiles = [], similarity._tiles
+    monkeypatch.setattr(similarity, "_tiles", lambda rows, sizes, block_rows=None: seen.append(block_rows) or tiles(rows, sizes, block_rows))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(similarity.unit(x))], "k long, v array<double>")
+    got = sorted((r["i"], r["rank"], r["j"]) for r in similarity.top_products(df, "k", "v", 4).collect())
+    score = np.round(similarity.unit(x) @ similarity.unit(x).T, 6)
+    assert got == [(i, r + 1, int(j)) for i in range(300) for r, j in enumerate(np.lexsort((np.arange(300), -score[i]))[:4])]
+    assert seen == [None, 38]  # a row goes to 8 blocks, not to all 19 cells and back
